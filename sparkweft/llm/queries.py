@@ -3,21 +3,77 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparkweft.llm.decontaminate import contaminated
 from sparkweft.llm.minhash_dedup import near_duplicates
+from sparkweft.llm.packing import pack, token_pieces
+from sparkweft.llm.quality_rules import quality_rules
+from sparkweft.llm.secret_scan import find_secrets, span_string
 from sparkweft.llm.shared import read_table
+from sparkweft.llm.url_filter import filter_urls
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+CAPACITY = 4096
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(read_table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY)
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), CAPACITY)
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
 
-ORACLE_OP6 = r"""
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=80)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(span_string(F.filter("secrets", lambda s: s["kind"] < 3)), 256).alias("base_sha256"), span_string(F.col("secrets")).alias("spans"),
+    )
+
+
+UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLE_OP1 = rf"""
+WITH parsed AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {UPPER_LOWER}), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fits AS (
+  SELECT page_id, h || p AS rule, v, length(h || p) AS n FROM parsed JOIN rules
+  ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+best AS (SELECT page_id, arg_max(rule, n) AS rule, arg_max(v, n) AS v FROM fits GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parsed LEFT JOIN best USING (page_id)
+"""
+
+ORACLE_OP6 = rf"""
 WITH words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS s FROM words),
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words),
 sh AS (SELECT doc_id, unnest(s) AS x FROM sets),
 pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
@@ -29,5 +85,24 @@ reach AS MATERIALIZED (
 SELECT doc_id, len(s)::BIGINT AS n_shingles, root AS component_id, doc_id = root AS kept FROM sets JOIN reach ON x = doc_id
 """
 
-QUERIES = {"op6_minhash_dedup": op6_minhash_dedup}
-ORACLES = {"op6_minhash_dedup": ORACLE_OP6}
+ORACLE_OP8 = rf"""
+WITH texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+words AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM texts),
+sets AS (
+  SELECT side, id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words),
+sh AS (SELECT side, id, unnest(s) AS x, len(s) AS n FROM sets),
+shared AS (
+  SELECT d.id AS doc_id, b.id AS item_id, any_value(b.n) AS n, count(*) AS k FROM sh d JOIN sh b ON d.side = 0 AND b.side = 1 AND d.x = b.x GROUP BY d.id, b.id)
+SELECT doc_id, item_id, n::BIGINT AS n_item_shingles, k AS n_shared FROM shared WHERE 100 * k >= 80 * n
+"""
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_minhash_dedup": op6_minhash_dedup,
+    "op8_decontaminate": op8_decontaminate,
+    "op10_secret_scan": op10_secret_scan,
+}
+ORACLES = {"op1_url_filter": ORACLE_OP1, "op6_minhash_dedup": ORACLE_OP6, "op8_decontaminate": ORACLE_OP8}

@@ -96,3 +96,14 @@ def shingle_sequence(text: str | None, cache: WordHash, n: int = 5) -> np.ndarra
 def is_held_out(doc_id) -> "F.Column":
     """The fold that no model learns from: crc32 of the id as text, mod 5, is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def per_worker(key: str, make):
+    """make() once in each Python worker process; kept over the tasks that the process runs."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_sparkweft_worker", types.ModuleType("_sparkweft_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

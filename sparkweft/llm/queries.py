@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from sparkweft.llm.decontaminate import contaminated
 from sparkweft.llm.minhash_dedup import near_duplicates
 from sparkweft.llm.packing import pack, token_pieces
+from sparkweft.llm.quality_classifier import fit_quality, score_quality
 from sparkweft.llm.quality_rules import quality_rules
 from sparkweft.llm.secret_scan import find_secrets, span_string
 from sparkweft.llm.shared import read_table
+from sparkweft.llm.toxicity import fit_toxicity, score_toxicity
 from sparkweft.llm.url_filter import filter_urls
+from sparkweft.llm.warc import round_trip
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 CAPACITY = 4096
@@ -27,10 +30,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = round_trip(read_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(read_table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY)
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), CAPACITY)
@@ -40,6 +53,11 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=80)
 
@@ -99,9 +117,12 @@ SELECT doc_id, item_id, n::BIGINT AS n_item_shingles, k AS n_shared FROM shared
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op10_secret_scan": op10_secret_scan,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkweft.llm.chat_tree import prefix_trees, read_back
 from sparkweft.llm.decontaminate import contaminated
 from sparkweft.llm.minhash_dedup import near_duplicates
 from sparkweft.llm.packing import pack, token_pieces
@@ -62,6 +63,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=80)
 
 
+def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    awkward = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), awkward.alias("text"))
+    return read_back(*prefix_trees(rows.unionByName(extra)))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
@@ -115,6 +123,18 @@ shared AS (
 SELECT doc_id, item_id, n::BIGINT AS n_item_shingles, k AS n_shared FROM shared WHERE 100 * k >= 80 * n
 """
 
+ORACLE_OP9 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+per AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+    sum(length(regexp_replace(text, '([\\#<])', '_\1', 'g')) + length(regexp_replace(role, '([\\#<:\n])', '_\1', 'g')) + 15) AS n
+  FROM rows GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, n::BIGINT AS formatted_chars FROM per
+"""
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_warc": op2_warc,
@@ -124,6 +144,7 @@ QUERIES = {
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op9_chat_tree": op9_chat_tree,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES = {"op1_url_filter": ORACLE_OP1, "op6_minhash_dedup": ORACLE_OP6, "op8_decontaminate": ORACLE_OP8}
+ORACLES = {"op1_url_filter": ORACLE_OP1, "op6_minhash_dedup": ORACLE_OP6, "op8_decontaminate": ORACLE_OP8, "op9_chat_tree": ORACLE_OP9}

@@ -20,41 +20,67 @@ from pyspark.sql import functions as F
 from sparkweft.llm.shared import per_worker, shared_table
 
 END_ID = 1
-_SPLIT = re.compile("[ \t\n\x0b\x0c\r]+")
+#: A word of letters that lower-case one by one and that normal forms leave alone.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
-class TokenBytes:
-    """Text to its token ids as little-endian unsigned 32-bit integers.
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes themselves, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
 
-    The tokenizer drops white space and no token crosses it, so the ids of a text are those of its blank-separated parts,
-    one after the other; parts are remembered, up to a limit.
+
+class TokenBytes(dict):
+    """Blank-separated part of a text to its token ids as little-endian unsigned 32-bit integers.
+
+    The tokenizer drops white space and no token crosses it, so the ids of a text are those of its parts, one after the
+    other. Parts are remembered in two generations of limit parts each: what is in use survives, memory stays bounded. Plain
+    words go straight to the tokenizer's model, everything else through the whole tokenizer.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 300_000):
+    def __init__(self, vocabulary: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.limit, self.known = limit, {}
-
-    def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = list(parts)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for part, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(got.ids, "<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.limit, self.old = limit, {}
+        self.letters = [_byte_letters()[b] for b in range(256)]
+        self.tail = {m: self._whole(m.decode()) for m in (b",", b".")}
+        # plain words may only skip the other steps if these are the steps
+        self.plain = all(self._word(w.lower()) == self._whole(w) for w in ("zürich", "Thonwhed", "a", "Ñandú")) and self._whole("Zürich.") == self._word("zürich") + self.tail[b"."]
+
+    def _whole(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        text = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
+
+    def __missing__(self, raw: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        out = self.old.get(raw)
+        if out is None:
+            if self.plain and raw.isalpha() and raw.islower():
+                out = self._word(raw.decode())
+            elif self.plain and raw[-1:] in self.tail and _WORD.fullmatch(raw[:-1].decode("utf-8", "replace")):
+                out = self[raw[:-1]] + self.tail[raw[-1:]]
+            elif self.plain and (m := _WORD.fullmatch(raw.decode("utf-8", "replace"))):
+                out = self._word(m[0].lower())
+            else:
+                out = self._whole(raw.decode("utf-8", "replace"))
+        self[raw] = out
+        return out
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        parts = _SPLIT.split(text)
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            self.learn(set(parts))
-            return b"".join(map(self.known.__getitem__, parts))
+        raw = text.encode("utf-8", "replace")
+        if self.plain and b"<|" not in raw:  # A-Z go to lower case anyway; special tokens are told apart by case
+            raw = raw.lower()
+        return b"".join(map(self.__getitem__, raw.split()))
 
 
 def _tokenize(vocabulary, capacity: int, key: str):

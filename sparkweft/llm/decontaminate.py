@@ -91,11 +91,15 @@ def contained(seq: np.ndarray, index: ItemIndex, percent: int) -> list[tuple[int
     return out
 
 
+def _index(items, cache: WordHash) -> ItemIndex:
+    sets = [(i, np.unique(shingle_sequence(t, cache))) for i, t in items.value]
+    return ItemIndex([(i, s) for i, s in sets if len(s)])
+
+
 def _search(items, percent: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = per_worker("words", WordHash)
-        index = ItemIndex([(i, np.unique(shingle_sequence(t, cache))) for i, t in items.value])
-        index = ItemIndex([(i, s) for i, s in zip(index.ids.tolist(), index.sets, strict=True) if len(s)])
+        index = _index(items, cache)
         for batch in batches:
             rows = [(d.as_py(), *hit) for d, t in zip(batch.column(0), batch.column(1), strict=True) for hit in contained(shingle_sequence(t.as_py(), cache), index, percent)]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
@@ -104,6 +108,25 @@ def _search(items, percent: int):
     return search
 
 
+def _keep(items, percent: int, at: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = per_worker("words", WordHash)
+        index = _index(items, cache)
+        for batch in batches:
+            yield batch.filter(pa.array([not contained(shingle_sequence(t.as_py(), cache), index, percent) for t in batch.column(at)], pa.bool_()))
+
+    return keep
+
+
+def _blocks(benchmark: DataFrame, item_bytes: int):
+    """The items as broadcasts of at most about item_bytes of text each; mostly one."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // item_bytes))
+    for k in range(blocks):
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared): each document row with each item it contains.
 
@@ -112,14 +135,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_co
     found only in the same text. Repeated rows on either side give repeated rows. Null ids are carried. Other columns are
     ignored. Empty tables give an empty one.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // item_bytes))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for k in range(blocks):  # each block's size is bounded by item_bytes
-        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()]
-        found = rows.mapInArrow(_search(spark.sparkContext.broadcast(own), percent), "doc_id long, item_id long, n_item_shingles long, n_shared long")
+    for items in _blocks(benchmark, item_bytes):
+        found = rows.mapInArrow(_search(items, percent), "doc_id long, item_id long, n_item_shingles long, n_shared long")
         out = found if out is None else out.unionAll(found)
     return out
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text_col: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of docs that contain no item, all columns as they are; what counts as contained is as in contaminated()."""
+    out = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    for items in _blocks(benchmark, item_bytes):
+        out = out.mapInArrow(_keep(items, percent, out.columns.index(text_col)), out.schema)
+    return out

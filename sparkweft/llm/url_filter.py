@@ -48,7 +48,7 @@ class Level:
     def fill(self, keys: DataFrame) -> Level:
         """From a DataFrame with a column key; what comes back is bits / 64 words at most."""
         bit = keys.select(F.explode(F.array(*self.probes(F.col("key")))).alias("bit"))
-        words = bit.groupBy((F.col("bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("word")).collect()
+        words = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("word")).collect()
         self.words = [0] * -(-self.bits // 64)
         for r in words:
             self.words[r["at"]] = r["word"]
@@ -56,7 +56,7 @@ class Level:
 
     def has(self, key: Column) -> Column:
         words = F.array(*[F.lit(w).cast("long") for w in self.words])
-        tests = [F.shiftright(F.get(words, (p / 64).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1 for p in self.probes(key)]
+        tests = [F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in self.probes(key)]
         out = tests[0]
         for t in tests[1:]:
             out = out & t

@@ -38,6 +38,8 @@ FEATURES = ("plain", "negated", "reported", "aimed", "threat")
 SAMPLE = 8_000
 #: Learned prefixes that are kept, the most significant first.
 MOST_PREFIXES = 4_000
+#: Natural logarithm of how much rarer by chance than one in all tried prefixes a kept one is.
+SURPRISE = 5
 
 
 def word_core(word: str) -> str:
@@ -161,12 +163,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def significant(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, n_tried: int) -> dict[str, float]:
-    """Prefixes that toxic documents have and clean ones lack, beyond what chance gives among n_tried prefixes; with log-odds."""
+    """Prefixes that toxic documents have and clean ones lack, far beyond what chance gives among n_tried, with log-odds.
+
+    Of prefixes that stand for the same words the longest is kept: one goes where the next letter is nearly always the same.
+    """
     share = n_toxic / max(1, n_toxic + n_clean)
-    need = math.log(max(2, n_tried)) + 1
+    need = math.log(max(2, n_tried)) + SURPRISE
+    longest: dict[str, int] = {}
+    for prefix, t, _ in counts:
+        longest[prefix[:-1]] = max(t, longest.get(prefix[:-1], 0))
     out = []
     for prefix, t, c in counts:
-        if t < 3 or t <= 12 * c * share / max(1e-9, 1 - share):
+        if t < 3 or t <= 12 * c * share / max(1e-9, 1 - share) or 100 * longest.get(prefix, 0) >= 60 * t:
             continue
         p = t / (t + c)
         surprise = t * math.log(p / share) + (c * math.log((1 - p) / (1 - share)) if c else 0)
@@ -217,7 +225,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
         n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
         counts = picked.select("doc_id", "label", "text").mapInArrow(_prefixes, "prefix string, toxic long, clean long").groupBy("prefix").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
         often = counts.where("t + c >= 3")
-        likely = often.where(F.col("t") * (n1 + n0) > (F.col("t") + F.col("c")) * n1 * 2).orderBy((F.col("t") - F.col("c")).desc(), "prefix").limit(10 * MOST_PREFIXES)
+        likely = often.where(F.col("t") * (n1 + n0) > (F.col("t") + F.col("c")) * n1 * 2).orderBy((F.col("t") - F.col("c")).desc(), "prefix").limit(25 * MOST_PREFIXES)
         lexicon = significant([tuple(r) for r in likely.collect()], n1, n0, often.count()) if n1 and n0 else {}
         found = picked.select("doc_id", "label", "text").mapInArrow(_matches(docs.sparkSession.sparkContext.broadcast(lexicon), True), "doc_id long, label int, found array<double>").collect()  # sample rows of 5 numbers
     finally:

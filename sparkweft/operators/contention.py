@@ -99,10 +99,11 @@ def impacts(adjacency: DataFrame) -> DataFrame:
     return adjacency.where("dir in ('down', 'shared')").groupBy("change_id").agg(F.countDistinct("nbr").alias("impact"))
 
 
-def suggested_order(depth: DataFrame, impact: DataFrame) -> DataFrame:
-    """(change_id, depth, impact, position): deepest first, then widest, then by id. One row per change in flight."""
-    rows = depth.select(F.col("node").alias("change_id"), "depth").join(impact, "change_id", "left").na.fill(0, ["impact"])
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("depth"), F.desc("impact"), "change_id")))
+def suggested_order(depth: DataFrame, impact: DataFrame, component: DataFrame) -> DataFrame:
+    """(component, change_id, depth, impact, position) in each cluster: deepest first, then widest, then by id."""
+    rows = depth.join(component, "node").select("component", F.col("node").alias("change_id"), "depth").join(impact, "change_id", "left").na.fill(0, ["impact"])
+    order = Window.partitionBy("component").orderBy(F.desc("depth"), F.desc("impact"), "change_id")
+    return rows.withColumn("position", F.row_number().over(order))
 
 
 def cluster_rollup(component: DataFrame, verdict: DataFrame, claims: DataFrame) -> DataFrame:

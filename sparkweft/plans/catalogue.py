@@ -1,4 +1,962 @@
-"""Every registered query with its oracle."""
+"""Every registered query over the test tables, with the SQL that checks it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkweft.functions import vocabulary as v
+from sparkweft.functions.paths import dirname, is_test_path
+from sparkweft.operators import adjacency as adj
+from sparkweft.operators import cochange as cc
+from sparkweft.operators import compat, components, contention, contracts, graph, landing, resolve, routes, surfaces
+from sparkweft.sources.projection import name_sql, path_sql, relation, table, with_relations
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+AS_OF = "2024-01-31 00:00:00"
+STOP = ", ".join(f"'{n}'" for n in v.STOP_NAMES)
+TAILS = ", ".join(f"'{n}'" for n in v.BUILTIN_TAILS)
+
+
+def query(oracle: str | None = None):
+    """Registers a query under its name, with its oracle; relations the oracle names are put before it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = with_relations(oracle)
+        return f
+
+    return add
+
+
+class Relations:
+    """The relations of one directory, read on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return relation(self.spark, self.sf_dir, name)
+
+    def table(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+
+# ---- co-change -------------------------------------------------------------------------------------------------
+
+BASKET_SQL = """kept AS (SELECT commit_id, path FROM touch WHERE commit_id IN (SELECT commit_id FROM touch GROUP BY commit_id HAVING count(*) <= 40)),
+nf AS (SELECT path, count(*) AS n FROM kept GROUP BY path), total AS (SELECT count(DISTINCT commit_id) AS n FROM kept),
+co AS (SELECT a.path AS path_a, b.path AS path_b, count(*) AS co FROM kept a JOIN kept b ON a.commit_id = b.commit_id AND a.path < b.path GROUP BY ALL),
+scored AS (SELECT path_a, path_b, co, x.n AS n_a, y.n AS n_b, total.n AS n_total, greatest(co / x.n, co / y.n) AS strength, (co * total.n) / (x.n * y.n) AS lift
+  FROM co JOIN nf x ON x.path = path_a JOIN nf y ON y.path = path_b, total)"""
+
+
+def _pairs(r: Relations, support: int = 2, lift: float = 2.0, strength: float = 0.0) -> DataFrame:
+    return cc.cochange_pairs(r.touch, support, lift, strength)
+
+
+@query(f"WITH {BASKET_SQL} SELECT * FROM scored WHERE co >= 2 AND lift >= 2")
+def cochange_pairs(spark, sf_dir):
+    return _pairs(Relations(spark, sf_dir))
+
+
+@query(f"WITH {BASKET_SQL} SELECT * FROM scored WHERE co >= 5 AND lift >= 2 AND strength >= 0.3")
+def cochange_default_floors(spark, sf_dir):
+    return cc.cochange_pairs(Relations(spark, sf_dir).touch)
+
+
+HOURS_SQL = "touches AS (SELECT DISTINCT date_trunc('{unit}', occurred_at) AS commit_id, path FROM event_log)"
+
+
+@query(
+    f"""WITH {HOURS_SQL.format(unit="day")}, sizes AS (SELECT commit_id, count(*) AS n FROM touches GROUP BY 1)
+    SELECT count(*) AS commits, count(*) FILTER (WHERE n > 40) AS giant, count(*) FILTER (WHERE n <= 40) AS kept FROM sizes"""
+)
+def cochange_giant_skip(spark, sf_dir):
+    touch = Relations(spark, sf_dir).event_log.select(F.date_trunc("day", "occurred_at").alias("commit_id"), "path").distinct()
+    kept = cc.baskets(touch).select("commit_id").distinct().withColumn("kept", F.lit(True))
+    return touch.select("commit_id").distinct().join(kept, "commit_id", "left").agg(F.count("*").alias("commits"), F.count_if(F.col("kept").isNull()).alias("giant"), F.count_if(F.col("kept")).alias("kept"))
+
+
+@query(
+    f"""WITH {BASKET_SQL}, sides AS (
+      SELECT path_a AS edited, path_b AS partner, co, lift, co / n_a AS prob FROM scored UNION ALL SELECT path_b, path_a, co, lift, co / n_b FROM scored),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY edited ORDER BY lift DESC NULLS LAST, prob DESC NULLS LAST, co DESC NULLS LAST, partner) AS rank FROM sides WHERE co >= 2 AND lift >= 2 AND prob >= 0.02)
+    SELECT edited, partner, co, lift, prob, rank FROM ranked WHERE rank <= 3"""
+)
+def cochange_partners_topk(spark, sf_dir):
+    return cc.partners(_pairs(Relations(spark, sf_dir)), min_support=2, min_prob=0.02)
+
+
+@query(f"WITH {BASKET_SQL} SELECT path_a, path_b, co FROM scored WHERE co >= 2 AND lift >= 2 ORDER BY lift DESC, co DESC, path_a, path_b LIMIT 200")
+def cochange_all_topn(spark, sf_dir):
+    return _pairs(Relations(spark, sf_dir)).orderBy(F.desc("lift"), F.desc("co"), "path_a", "path_b").limit(200).select("path_a", "path_b", "co")
+
+
+@query(f"WITH {BASKET_SQL} SELECT path_a, path_b, co FROM co WHERE co >= 2")
+def cochange_incremental_equals_batch(spark, sf_dir):
+    """Pair counts of two halves of history, added up."""
+    touch = cc.baskets(Relations(spark, sf_dir).touch)
+    old, new = touch.where("commit_id % 3 <> 0"), touch.where("commit_id % 3 <= 1")
+    fresh = cc.unseen(new, old)
+    return cc.merge_counts(cc.pair_counts(old), cc.pair_counts(fresh)).where("co >= 2")
+
+
+STRUCT_SQL = "structure AS (SELECT DISTINCT least(src, dst) AS path_a, greatest(src, dst) AS path_b FROM import_edge WHERE src <> dst AND reference_status IS NULL)"
+
+
+@query(f"WITH {BASKET_SQL}, {STRUCT_SQL} SELECT path_a, path_b, co, lift FROM scored WHERE co >= 2 AND lift >= 2 AND NOT EXISTS (SELECT 1 FROM structure s WHERE s.path_a = scored.path_a AND s.path_b = scored.path_b)")
+def graph_blind_pairs(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return cc.graph_blind(_pairs(r), cc.structural_pairs(graph.usable(r.import_edge))).select("path_a", "path_b", "co", "lift")
+
+
+@query(
+    f"""WITH {BASKET_SQL}, labelled AS (
+      SELECT DISTINCT least(src, dst) AS path_a, greatest(src, dst) AS path_b, CASE WHEN reference_status IS NULL THEN 'resolved' ELSE 'uncertain' END AS label FROM import_edge WHERE src <> dst),
+    rows AS (SELECT label, co.co, coalesce(co.co * total.n / (x.n * y.n), 0.0) AS lift FROM labelled LEFT JOIN co USING (path_a, path_b) JOIN nf x ON x.path = path_a JOIN nf y ON y.path = path_b, total),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY lift) AS pos, count(*) OVER (PARTITION BY label) AS n FROM rows)
+    SELECT label, any_value(n) AS n, count(co) AS ever, max(CASE WHEN pos = n // 2 + 1 THEN lift END) AS median_lift FROM ranked GROUP BY label"""
+)
+def pair_stats_by_type(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    label = F.when(F.col("reference_status").isNull(), "resolved").otherwise("uncertain").alias("label")
+    pairs = r.import_edge.where("src <> dst").select(F.least("src", "dst").alias("path_a"), F.greatest("src", "dst").alias("path_b"), label).distinct()
+    kept = cc.baskets(r.touch)
+    return cc.pair_stats(pairs, cc.pair_counts(kept), cc.file_counts(kept), kept.select("commit_id").distinct().count())
+
+
+@query("SELECT commit_id, path FROM touch WHERE commit_id NOT IN (SELECT commit_id FROM touch WHERE commit_id % 5 = 0)")
+def seen_commit_dedupe(spark, sf_dir):
+    touch = Relations(spark, sf_dir).touch
+    return cc.unseen(touch, touch.where("commit_id % 5 = 0")).select("commit_id", "path")
+
+
+# ---- graph -----------------------------------------------------------------------------------------------------
+
+EDGES_SQL = "edges AS (SELECT src, dst, 'imports' AS kind, reference_status FROM import_edge UNION ALL SELECT src, dst, 'calls', reference_status FROM call_edge UNION ALL SELECT src, dst, kind, reference_status FROM resource_edge)"
+
+
+def _edges(r: Relations) -> DataFrame:
+    imports = r.import_edge.select("src", "dst", F.lit("imports").alias("kind"), "reference_status")
+    calls = r.call_edge.select("src", "dst", F.lit("calls").alias("kind"), "reference_status")
+    return imports.unionAll(calls).unionAll(r.resource_edge.select("src", "dst", "kind", "reference_status"))
+
+
+@query(f"WITH {EDGES_SQL}, kinds AS (SELECT unnest({v.EDGE_KINDS}) AS kind) SELECT k.kind, count(e.src) AS n FROM kinds k LEFT JOIN edges e ON e.kind = k.kind GROUP BY k.kind")
+def kind_counts(spark, sf_dir):
+    return graph.kind_counts(_edges(Relations(spark, sf_dir)), v.EDGE_KINDS)
+
+
+@query("SELECT language, count(*) AS files FROM file_node GROUP BY language")
+def language_coverage(spark, sf_dir):
+    return graph.language_coverage(Relations(spark, sf_dir).file_node)
+
+
+@query(
+    """WITH few AS (SELECT name FROM symbol_node GROUP BY name HAVING count(DISTINCT path) <= 3)
+    SELECT s.path, c.src AS caller, count(DISTINCT s.name) AS n FROM symbol_node s JOIN few USING (name) JOIN call_edge c ON c.dst = s.name WHERE c.src <> s.path GROUP BY ALL"""
+)
+def blast_radius(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return graph.blast_radius(r.symbol_node, r.call_edge)
+
+
+HUBS_SQL = "hubs AS (SELECT dst AS path, count(DISTINCT src) AS importers FROM import_edge WHERE reference_status IS NULL GROUP BY dst HAVING count(DISTINCT src) > 8)"
+
+
+@query(f"WITH {HUBS_SQL} SELECT * FROM hubs")
+def hub_files(spark, sf_dir):
+    return graph.hub_files(Relations(spark, sf_dir).import_edge)
+
+
+HOT_SQL = "hot AS (SELECT dst, count(DISTINCT src) AS touchers FROM resource_edge WHERE reference_status IS NULL GROUP BY dst HAVING count(DISTINCT src) > 8)"
+
+
+@query(f"WITH {HOT_SQL} SELECT * FROM hot")
+def resource_hubs(spark, sf_dir):
+    return graph.hub_resources(Relations(spark, sf_dir).resource_edge)
+
+
+SIZES_SQL = """fan AS (SELECT dst AS path, count(DISTINCT src) AS importers FROM import_edge WHERE reference_status IS NULL GROUP BY dst),
+sizes AS (SELECT path, count(*) AS symbols FROM many_symbols GROUP BY path), churn AS (SELECT path, count(*) AS landings FROM event_log WHERE kind = 'landed' GROUP BY path),
+hits AS (SELECT path, count(*) AS collisions FROM event_log WHERE kind = 'collision_held' GROUP BY path)"""
+MANY_SQL = "many_symbols AS (SELECT path, name FROM symbol_node UNION ALL SELECT src, dst FROM resource_edge)"
+
+
+def _many_symbols(r: Relations) -> DataFrame:
+    return r.symbol_node.select("path", "name").unionAll(r.resource_edge.select("src", "dst"))
+
+
+@query(
+    f"""WITH {MANY_SQL}, {SIZES_SQL}, rows AS (
+      SELECT path, coalesce(importers, 0) AS importers, coalesce(symbols, 0) AS symbols, landings FROM churn JOIN file_node USING (path) LEFT JOIN fan USING (path) LEFT JOIN sizes USING (path) WHERE NOT generated AND landings >= 2)
+    SELECT *, CASE WHEN importers >= 4 AND symbols >= 3 THEN 'both' WHEN importers >= 4 THEN 'foundation' ELSE 'god_file' END AS basis FROM rows WHERE importers >= 4 OR symbols >= 3"""
+)
+def hotspots(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return graph.hotspots(r.file_node, r.import_edge, _many_symbols(r), r.event_log.where("kind = 'landed'"), fan=4, size=3, churn=2)
+
+
+@query(
+    f"""WITH {MANY_SQL}, {SIZES_SQL}, rows AS (
+      SELECT path, coalesce(collisions, 0) AS collisions, coalesce(importers, 0) AS importers, coalesce(symbols, 0) AS symbols, coalesce(landings, 0) AS landings
+      FROM file_node LEFT JOIN hits USING (path) LEFT JOIN fan USING (path) LEFT JOIN sizes USING (path) LEFT JOIN churn USING (path) WHERE NOT generated),
+    flags AS (SELECT *, collisions >= 3 AS o, landings >= 2 AND (importers >= 4 OR symbols >= 3) AS s FROM rows)
+    SELECT path, collisions, importers, symbols, landings, CASE WHEN o AND s THEN 'both' WHEN o THEN 'collisions' WHEN symbols >= 3 AND importers < 4 THEN 'god_file' ELSE 'structural' END AS basis,
+      greatest(importers, symbols) * landings AS weight FROM flags WHERE o OR s"""
+)
+def split_candidates(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return graph.split_candidates(r.file_node, r.import_edge, _many_symbols(r), r.event_log.where("kind = 'landed'"), r.event_log.where("kind = 'collision_held'"), fan=4, size=3, churn=2)
+
+
+@query("SELECT dst AS path, count(DISTINCT src) AS importers FROM import_edge WHERE reference_status IS NULL GROUP BY dst ORDER BY importers DESC, path LIMIT 8")
+def central_files(spark, sf_dir):
+    return graph.central_files(Relations(spark, sf_dir).import_edge)
+
+
+@query(
+    """WITH many AS (SELECT dst FROM resource_edge WHERE kind = 'alters' GROUP BY dst HAVING count(DISTINCT src) > 1)
+    SELECT src, dst, kind, CASE WHEN dst IN (SELECT dst FROM many) THEN 'ambiguous' ELSE reference_status END AS reference_status FROM resource_edge"""
+)
+def ambiguous_definers(spark, sf_dir):
+    return graph.ambiguous_definers(Relations(spark, sf_dir).resource_edge)
+
+
+@query(
+    f"""WITH {EDGES_SQL}, twice AS (SELECT * FROM edges UNION ALL SELECT src, dst, kind, 'unresolved' FROM edges WHERE length(dst) % 2 = 0)
+    SELECT src, dst, kind, CASE WHEN bool_or(reference_status IS NULL) THEN NULL ELSE min(reference_status) END AS reference_status FROM twice GROUP BY src, dst, kind"""
+)
+def edge_dedupe_resolved_wins(spark, sf_dir):
+    edges = _edges(Relations(spark, sf_dir))
+    twice = edges.unionAll(edges.where("length(dst) % 2 = 0").withColumn("reference_status", F.lit("unresolved")))
+    return graph.dedupe_edges(twice)
+
+
+NODES_SQL = """nodes AS (SELECT path AS id, 'file' AS kind, path, language, cast(NULL AS varchar) AS content_hash, analysis_status FROM file_node
+  UNION ALL SELECT path, 'file', path, NULL, 'h' || (loc % 5), CASE WHEN loc % 3 = 0 THEN 'ambiguous' END FROM file_node)"""
+
+
+@query(
+    f"""WITH {NODES_SQL} SELECT id, kind, path, max(language) AS language, max(content_hash) AS content_hash,
+    CASE max(CASE analysis_status WHEN 'failed' THEN 3 WHEN 'incomplete' THEN 2 WHEN 'ambiguous' THEN 1 ELSE 0 END) WHEN 3 THEN 'failed' WHEN 2 THEN 'incomplete' WHEN 1 THEN 'ambiguous' END AS analysis_status
+    FROM nodes GROUP BY id, kind, path"""
+)
+def node_dedupe_status_rank(spark, sf_dir):
+    files = Relations(spark, sf_dir).file_node
+    one = files.select(F.col("path").alias("id"), F.lit("file").alias("kind"), "path", "language", F.lit(None).cast("string").alias("content_hash"), "analysis_status")
+    two = files.select("path", F.lit("file"), "path", F.lit(None).cast("string"), F.concat(F.lit("h"), F.col("loc") % 5), F.when(F.col("loc") % 3 == 0, "ambiguous"))
+    return graph.dedupe_nodes(one.unionAll(two))
+
+
+@query(
+    """WITH before AS (SELECT src, dst, reference_status FROM import_edge WHERE length(src) % 3 <> 0), after AS (SELECT src, dst, reference_status FROM import_edge WHERE length(dst) % 3 <> 0)
+    SELECT *, 'added' AS change FROM (SELECT * FROM after EXCEPT ALL SELECT * FROM before) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM before EXCEPT ALL SELECT * FROM after)"""
+)
+def graph_diff(spark, sf_dir):
+    edges = Relations(spark, sf_dir).import_edge
+    return graph.graph_diff(edges.where("length(src) % 3 <> 0"), edges.where("length(dst) % 3 <> 0"))
+
+
+@query(
+    """WITH worst AS (SELECT src AS path, max(CASE reference_status WHEN 'unresolved' THEN 2 ELSE 1 END) AS r FROM import_edge WHERE reference_status IS NOT NULL GROUP BY src)
+    SELECT path, CASE greatest(CASE analysis_status WHEN 'failed' THEN 3 WHEN 'incomplete' THEN 2 WHEN 'ambiguous' THEN 1 ELSE 0 END, coalesce(r, 0)) WHEN 3 THEN 'failed' WHEN 2 THEN 'incomplete' WHEN 1 THEN 'ambiguous' END AS analysis_status
+    FROM file_node LEFT JOIN worst USING (path)"""
+)
+def status_propagation(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return graph.propagate_status(r.file_node, r.import_edge).select("path", "analysis_status")
+
+
+@query("WITH fresh AS (SELECT src, dst || '.new' AS dst FROM import_edge WHERE length(src) % 4 = 0) SELECT src, dst FROM import_edge WHERE src NOT IN (SELECT src FROM fresh) UNION ALL SELECT src, dst FROM fresh")
+def graph_patch(spark, sf_dir):
+    edges = Relations(spark, sf_dir).import_edge.select("src", "dst")
+    fresh = edges.where("length(src) % 4 = 0").withColumn("dst", F.concat("dst", F.lit(".new")))
+    return graph.patch(edges, fresh, fresh.select(F.col("src").alias("path")), owner="src")
+
+
+@query("SELECT account, path, arg_max(event_id, (occurred_at, event_id)) AS event_id, max(occurred_at) AS occurred_at FROM event_log GROUP BY account, path")
+def latest_version(spark, sf_dir):
+    events = Relations(spark, sf_dir).event_log.select("account", "path", "event_id", "occurred_at", F.struct("occurred_at", "event_id").alias("at"))
+    return graph.latest_version(events, ["account", "path"], "at").select("account", "path", "event_id", "occurred_at")
+
+
+# ---- adjacency -------------------------------------------------------------------------------------------------
+
+TEST_SQL = "(regexp_matches(lower({0}), '(^|/)(tests?|specs?|__tests__|examples?|testing)/') OR regexp_matches(regexp_replace({0}, '^.*/', ''), '(^test_|_test\\.|\\.test\\.|_spec\\.|\\.spec\\.)|(Tests?\\.|Specs?\\.)'))"
+ADJ_SQL = f"""{HUBS_SQL}, {HOT_SQL},
+edited AS (SELECT DISTINCT path AS f, agent, change_id FROM claim WHERE state = 'active'),
+named AS (SELECT DISTINCT name, path FROM symbol_node WHERE NOT starts_with(name, '__') AND lower(name) NOT IN ({STOP})),
+defs AS (SELECT name, path, n FROM named JOIN (SELECT name, count(*) AS n FROM named GROUP BY name HAVING count(*) <= 3) USING (name)),
+good_imports AS (SELECT DISTINCT src, dst FROM import_edge WHERE reference_status IS NULL),
+links AS (SELECT DISTINCT c.src AS caller, d.path AS definer FROM call_edge c JOIN defs d ON d.name = c.dst WHERE c.reference_status IS NULL AND c.src <> d.path AND d.path NOT IN (SELECT path FROM hubs)
+  AND (EXISTS (SELECT 1 FROM good_imports i WHERE i.src = c.src AND i.dst = d.path)
+    OR (d.n = 1 AND NOT ({TEST_SQL.format("d.path")} AND NOT {TEST_SQL.format("c.src")}) AND length(d.name) > 2 AND lower(d.name) NOT IN ({TAILS})))),
+cool AS (SELECT DISTINCT src, dst FROM resource_edge WHERE reference_status IS NULL AND dst NOT IN (SELECT dst FROM hot)),
+axes AS (SELECT caller AS f, definer AS nbr, 'up' AS dir FROM links UNION SELECT definer, caller, 'down' FROM links
+  UNION SELECT src, dst, 'up' FROM good_imports WHERE src <> dst AND dst NOT IN (SELECT path FROM hubs) UNION SELECT dst, src, 'down' FROM good_imports WHERE src <> dst AND dst NOT IN (SELECT path FROM hubs)
+  UNION SELECT a.src, b.src, 'shared' FROM cool a JOIN cool b ON a.dst = b.dst AND a.src <> b.src),
+adjacent AS (SELECT f, agent, change_id, nbr, dir FROM edited JOIN axes USING (f))"""
+
+
+def _adjacency(r: Relations) -> DataFrame:
+    return adj.claim_adjacency(r.claim, r.symbol_node, r.call_edge, r.import_edge, r.resource_edge)
+
+
+@query(f"WITH {ADJ_SQL} SELECT * FROM adjacent")
+def claim_adjacency(spark, sf_dir):
+    return _adjacency(Relations(spark, sf_dir))
+
+
+@query(f"WITH {ADJ_SQL} SELECT dir, count(*) AS links, count(DISTINCT f) AS files FROM adjacent GROUP BY dir")
+def claim_adjacency_dirs(spark, sf_dir):
+    return _adjacency(Relations(spark, sf_dir)).groupBy("dir").agg(F.count("*").alias("links"), F.countDistinct("f").alias("files"))
+
+
+DAMP_SQL = """hubs AS (SELECT dst AS path FROM import_edge WHERE reference_status IS NULL GROUP BY dst HAVING count(DISTINCT src) > 4),
+hot AS (SELECT dst FROM resource_edge WHERE reference_status IS NULL GROUP BY dst HAVING count(DISTINCT src) > 4),
+live AS (SELECT DISTINCT path, change_id FROM claim WHERE state = 'active'),
+via_import AS (SELECT DISTINCT src, dst FROM import_edge WHERE reference_status IS NULL AND dst IN (SELECT path FROM hubs) AND src IN (SELECT path FROM live) AND dst IN (SELECT path FROM live)),
+via_res AS (SELECT DISTINCT src, dst FROM resource_edge WHERE reference_status IS NULL AND dst IN (SELECT dst FROM hot) AND src IN (SELECT path FROM live)),
+coupled AS (SELECT src AS f, dst AS nbr, dst AS via FROM via_import UNION SELECT dst, src, dst FROM via_import UNION SELECT a.src, b.src, a.dst FROM via_res a JOIN via_res b ON a.dst = b.dst AND a.src <> b.src),
+damp AS (SELECT DISTINCT c.f, a.change_id, c.nbr, b.change_id AS nbr_change, c.via FROM coupled c JOIN live a ON a.path = c.f JOIN live b ON b.path = c.nbr WHERE a.change_id <> b.change_id)"""
+
+
+def _dampened(r: Relations) -> DataFrame:
+    return adj.dampened_pairs(r.claim, r.import_edge, r.resource_edge, degree=4)
+
+
+@query(f"WITH {DAMP_SQL} SELECT * FROM damp")
+def dampened_pairs(spark, sf_dir):
+    return _dampened(Relations(spark, sf_dir))
+
+
+@query(
+    f"""WITH named AS (SELECT DISTINCT name, path FROM symbol_node WHERE NOT starts_with(name, '__') AND lower(name) NOT IN ({STOP})),
+    defs AS (SELECT name, path FROM named WHERE lower(name) NOT IN ({TAILS}) AND length(name) >= 3 AND name IN (SELECT name FROM named GROUP BY name HAVING count(*) <= 3)),
+    res AS (SELECT DISTINCT src, dst FROM resource_edge),
+    raw AS (SELECT src, dst, 'import' AS label FROM import_edge UNION ALL SELECT c.src, d.path, 'call' FROM call_edge c JOIN defs d ON d.name = c.dst UNION ALL SELECT a.src, b.src, 'resource' FROM res a JOIN res b ON a.dst = b.dst AND a.src < b.src)
+    SELECT DISTINCT least(src, dst) AS path_a, greatest(src, dst) AS path_b, label FROM raw WHERE src <> dst"""
+)
+def coupled_pairs_offline(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return adj.coupled_pairs_offline(r.symbol_node, r.call_edge, r.import_edge, r.resource_edge)
+
+
+CONTRACT_SQL = """contracts_a AS (SELECT src AS path, dst AS contract, CASE WHEN kind = 'alters' THEN 'defines' ELSE 'uses' END AS role FROM resource_edge WHERE src LIKE 'src/%'),
+contracts_b AS (SELECT src AS path, dst AS contract, CASE WHEN kind = 'alters' THEN 'defines' ELSE 'uses' END AS role FROM resource_edge WHERE src LIKE 'tests/%'),
+bad AS (SELECT contract FROM contracts_a WHERE role = 'defines' GROUP BY contract HAVING count(DISTINCT path) > 1 UNION SELECT contract FROM contracts_b WHERE role = 'defines' GROUP BY contract HAVING count(DISTINCT path) > 1),
+linked AS (SELECT a.path AS definer, b.path AS consumer, a.contract FROM contracts_a a JOIN contracts_b b ON a.contract = b.contract AND a.role = 'defines' AND b.role = 'uses'
+  UNION SELECT b.path, a.path, a.contract FROM contracts_a a JOIN contracts_b b ON a.contract = b.contract AND b.role = 'defines' AND a.role = 'uses')"""
+
+
+@query(f"WITH {CONTRACT_SQL} SELECT * FROM linked WHERE contract NOT IN (SELECT contract FROM bad)")
+def cross_repo_contracts(spark, sf_dir):
+    rows = Relations(spark, sf_dir).resource_edge.select(F.col("src").alias("path"), F.col("dst").alias("contract"), F.when(F.col("kind") == "alters", "defines").otherwise("uses").alias("role"))
+    return adj.cross_repo_contracts(rows.where("path like 'src/%'"), rows.where("path like 'tests/%'"))
+
+
+@query(f"WITH {CONTRACT_SQL} SELECT contract, count(*) AS links FROM linked WHERE contract NOT IN (SELECT contract FROM bad) GROUP BY contract")
+def cross_tenant_contract_surface(spark, sf_dir):
+    """Counts per shared contract only, as two consenting tenants see them."""
+    return cross_repo_contracts(spark, sf_dir).groupBy("contract").agg(F.count("*").alias("links"))
+
+
+# ---- contention ------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {ADJ_SQL}, other AS (SELECT DISTINCT path AS nbr, agent AS oa, change_id AS oc FROM claim WHERE state = 'active')
+    SELECT f AS path, count(DISTINCT oc) AS degree FROM adjacent JOIN other USING (nbr) WHERE agent <> oa GROUP BY f"""
+)
+def contested_files(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return contention.contested_files(_adjacency(r), r.claim)
+
+
+WAITS_SQL = """wait_rows AS (SELECT w.path, w.change_id AS waiter, h.change_id AS holder, w.claim_id AS waiter_claim, h.claim_id AS holder_claim, w.is_draft <> h.is_draft AS cross_draft, false AS low_value
+  FROM claim w JOIN claim h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id)"""
+
+
+@query(f"WITH {WAITS_SQL} SELECT * FROM wait_rows")
+def waits(spark, sf_dir):
+    return contention.waits(Relations(spark, sf_dir).claim)
+
+
+@query("SELECT path, arg_min(change_id, (claimed_at, claim_id)) AS leader, count(DISTINCT change_id) AS changes FROM claim GROUP BY path HAVING count(DISTINCT change_id) >= 2")
+def waits_leader(spark, sf_dir):
+    """The earliest change of each contended path."""
+    rows = Relations(spark, sf_dir).claim.groupBy("path").agg(F.min_by("change_id", F.struct("claimed_at", "claim_id")).alias("leader"), F.countDistinct("change_id").alias("changes"))
+    return rows.where("changes >= 2")
+
+
+@query(
+    """SELECT w.path, w.change_id AS waiter, h.change_id AS holder, min(greatest(w.lo, h.lo)) AS line FROM claim w JOIN claim h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id
+    WHERE greatest(w.lo, h.lo) - least(w.hi, h.hi) <= 2 GROUP BY ALL"""
+)
+def conflict_points(spark, sf_dir):
+    return contention.conflict_points(Relations(spark, sf_dir).claim)
+
+
+@query(
+    """WITH tight AS (SELECT claim_id, s.name, row_number() OVER (PARTITION BY claim_id ORDER BY end_line - start_line, start_line, s.name) AS rn FROM claim c JOIN symbol_node s ON s.path = c.path AND c.lo >= s.start_line AND c.hi <= s.end_line + 1),
+    hashes AS (SELECT path, min(content_hash) AS g, max(end_line) AS last_line FROM symbol_node GROUP BY path),
+    side AS (SELECT c.*, t.name, c.base_hash = g AS fresh, c.lo > last_line AS app FROM claim c LEFT JOIN tight t ON t.claim_id = c.claim_id AND rn = 1 LEFT JOIN hashes USING (path))
+    SELECT w.path, w.change_id AS waiter, h.change_id AS holder, CASE WHEN w.name = h.name THEN 'same' WHEN w.fresh AND h.fresh AND w.name IS NOT NULL AND h.name IS NOT NULL THEN 'disjoint' WHEN w.fresh AND h.fresh AND w.app AND h.app THEN 'append' ELSE 'unknown' END AS relation
+    FROM side w JOIN side h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id"""
+)
+def symbol_overlap_relation(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return contention.symbol_overlap(r.claim, r.symbol_node)
+
+
+LINKS_SQL = """active_by_path AS (SELECT DISTINCT path AS nbr, change_id AS b FROM claim WHERE state = 'active'),
+pair_links AS (SELECT DISTINCT change_id AS a, b FROM adjacent JOIN active_by_path USING (nbr) WHERE change_id <> b AND change_id LIKE '%3' UNION SELECT waiter, holder FROM wait_rows WHERE waiter LIKE '%1' AND holder LIKE '%1')"""
+
+
+def _links(r: Relations) -> DataFrame:
+    """Links among some changes only: over all of them the test tables make one cluster."""
+    rows = contention.change_links(contention.waits(r.claim).where("waiter like '%1' and holder like '%1'"), _adjacency(r).where("change_id like '%3'"), r.claim)
+    return rows
+
+
+@query(
+    f"""WITH RECURSIVE {ADJ_SQL}, {WAITS_SQL}, {LINKS_SQL}, sides AS (SELECT a, b FROM pair_links UNION SELECT b, a FROM pair_links), nodes AS (SELECT DISTINCT change_id AS node FROM claim),
+    reach(x, y) AS (SELECT node, node FROM nodes UNION SELECT r.x, s.b FROM reach r JOIN sides s ON s.a = r.y) SELECT x AS node, min(y) AS component FROM reach GROUP BY x"""
+)
+def inflight_components(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return components.connected_components(r.claim.select(F.col("change_id").alias("node")).distinct(), _links(r))
+
+
+DEPS_SQL = "deps AS (SELECT DISTINCT waiter AS node, holder AS needs FROM wait_rows WHERE length(waiter) > length(holder) OR (length(waiter) = length(holder) AND waiter > holder)), nodes AS (SELECT DISTINCT change_id AS node FROM claim)"
+
+
+@query(
+    f"""WITH RECURSIVE {WAITS_SQL}, {DEPS_SQL}, walk(node, needs, d) AS (SELECT node, node, 0 FROM nodes UNION SELECT w.node, p.needs, w.d + 1 FROM walk w JOIN deps p ON p.node = w.needs WHERE w.d < 64)
+    SELECT node, max(d) AS depth FROM walk GROUP BY node"""
+)
+def landing_depth(spark, sf_dir):
+    claims = Relations(spark, sf_dir).claim
+    nodes = claims.select(F.col("change_id").alias("node")).distinct()
+    return components.depths(nodes, _deps(claims))
+
+
+def _deps(claims: DataFrame) -> DataFrame:
+    later = "length(waiter) > length(holder) or (length(waiter) = length(holder) and waiter > holder)"
+    return contention.waits(claims).where(later).select(F.col("waiter").alias("node"), F.col("holder").alias("needs")).distinct()
+
+
+VERDICT_SQL = f"""{ADJ_SQL}, {WAITS_SQL}, {DAMP_SQL.replace("hubs AS", "hubs4 AS").replace("hot AS", "hot4 AS").replace("FROM hubs)", "FROM hubs4)").replace("FROM hot)", "FROM hot4)")}, {BASKET_SQL},
+changes AS (SELECT DISTINCT change_id FROM claim), own AS (SELECT DISTINCT change_id, path FROM claim),
+w AS (SELECT waiter AS change_id, bool_or(NOT cross_draft AND NOT low_value) AS hard, bool_or(NOT cross_draft) AS soft, bool_or(cross_draft) AS draft FROM wait_rows GROUP BY waiter),
+con AS (SELECT DISTINCT a.change_id, true AS contested FROM adjacent a JOIN claim c ON c.path = a.nbr AND c.state = 'active' AND c.change_id <> a.change_id),
+facts AS (SELECT change_id, bool_or(f.path IS NULL) AS absent, bool_or(analysis_status IS NOT NULL) AS uncertain FROM own LEFT JOIN file_node f USING (path) GROUP BY change_id),
+d AS (SELECT change_id, true AS dampened, bool_or(EXISTS (SELECT 1 FROM scored s WHERE s.path_a = least(f, nbr) AND s.path_b = greatest(f, nbr) AND s.co >= 3 AND s.lift >= 2)) AS borne_out FROM damp GROUP BY change_id),
+loss AS (SELECT count(*) > 0 AS any_loss FROM own JOIN file_node USING (path) WHERE analysis_status IN ('failed', 'incomplete')),
+ladder AS (SELECT change_id, CASE WHEN hard THEN 1 WHEN soft THEN 2 WHEN draft THEN 3 WHEN contested THEN 4 WHEN absent THEN 5 WHEN borne_out THEN 6 WHEN any_loss THEN 7 WHEN uncertain THEN 8 WHEN dampened THEN 9 ELSE 10 END AS step
+  FROM changes LEFT JOIN w USING (change_id) LEFT JOIN con USING (change_id) LEFT JOIN facts USING (change_id) LEFT JOIN d USING (change_id), loss),
+judged AS (SELECT change_id, step, (['serialize', 'serialize_soft', 'warn', 'warn', 'unknown', 'warn', 'unknown', 'unknown', 'unknown', 'clear'])[step] AS verdict FROM ladder)"""
+
+
+def _some_claims(r: Relations) -> DataFrame:
+    """Fewer claims per change, so that every step of the ladder has cases."""
+    return r.claim.withColumn("change_id", F.concat("change_id", F.lit("-"), F.col("claim_id") % 50))
+
+
+FEW_SQL = "claim AS (SELECT * REPLACE (change_id || '-' || (claim_id % 50) AS change_id) FROM all_claims)"
+
+
+def _few(oracle: str) -> str:
+    """The oracle over _some_claims: the relation goes by another name and a CTE takes its place."""
+    return oracle.replace(" claim AS (", " all_claims AS (", 1).replace(ADJ_SQL[:40], f"{FEW_SQL}, {ADJ_SQL[:40]}", 1)
+
+
+def _verdicts(r: Relations) -> DataFrame:
+    claims = _some_claims(r)
+    links = adj.claim_adjacency(claims, r.symbol_node, r.call_edge, r.import_edge, r.resource_edge)
+    return contention.verdicts(claims, r.file_node, contention.waits(claims), links, adj.dampened_pairs(claims, r.import_edge, r.resource_edge, degree=4), _pairs(r))
+
+
+@query()
+def verdicts(spark, sf_dir):
+    return _verdicts(Relations(spark, sf_dir))
+
+
+ORACLES["verdicts"] = _few(with_relations(f"WITH {VERDICT_SQL} SELECT change_id, verdict, cast(step AS int) AS step FROM judged"))
+
+
+@query(f"WITH {DAMP_SQL}, {BASKET_SQL} SELECT damp.*, EXISTS (SELECT 1 FROM scored s WHERE s.path_a = least(f, nbr) AND s.path_b = greatest(f, nbr) AND s.co >= 2 AND s.lift >= 1.5) AS corroborated FROM damp")
+def corroborated_dampened(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return contention.corroborated(_dampened(r), _pairs(r, 2, 1.5), min_co=2, min_lift=1.5)
+
+
+@query()
+def cluster_rollup(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    claims = _some_claims(r)
+    verdict = _verdicts(r)
+    link = contention.waits(claims).where("substring_index(waiter, '-', -1) = substring_index(holder, '-', -1)").select(F.col("waiter").alias("a"), F.col("holder").alias("b"))
+    parts = components.connected_components(claims.select(F.col("change_id").alias("node")).distinct(), link)
+    return contention.cluster_rollup(parts, verdict, claims)
+
+
+ORACLES["cluster_rollup"] = _few(
+    with_relations(
+        f"""WITH RECURSIVE {VERDICT_SQL}, pair AS (SELECT waiter AS a, holder AS b FROM wait_rows WHERE split_part(waiter, '-', 3) = split_part(holder, '-', 3)),
+    sides AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair), reach(x, y) AS (SELECT change_id, change_id FROM changes UNION SELECT r.x, s.b FROM reach r JOIN sides s ON s.a = r.y),
+    member AS (SELECT x AS change_id, min(y) AS component FROM reach GROUP BY x),
+    sized AS (SELECT component, count(*) AS size, (['serialize', 'serialize_soft', 'warn', 'unknown', 'clear'])[min(list_position(['serialize', 'serialize_soft', 'warn', 'unknown', 'clear'], verdict))] AS worst FROM member JOIN judged USING (change_id) GROUP BY component HAVING count(*) >= 2),
+    spots AS (SELECT component, path FROM claim JOIN member USING (change_id) GROUP BY component, path HAVING count(DISTINCT change_id) >= 2)
+    SELECT component, any_value(size) AS size, any_value(worst) AS worst, count(path) AS hotspots FROM sized LEFT JOIN spots USING (component) GROUP BY component"""
+    )
+)
+
+
+@query()
+def effective_verdicts(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    claims = _some_claims(r)
+    added = claims.where("claim_id % 2 = 0").select("path").distinct()
+    return contention.effective_verdicts(_verdicts(r), claims, r.file_node, adj.dampened_pairs(claims, r.import_edge, r.resource_edge, degree=4), added)
+
+
+ORACLES["effective_verdicts"] = _few(
+    with_relations(
+        f"""WITH {VERDICT_SQL}, added AS (SELECT DISTINCT path FROM claim WHERE claim_id % 2 = 0), gone AS (SELECT change_id, bool_and(path IN (SELECT path FROM added)) AS all_new FROM own WHERE path NOT IN (SELECT path FROM file_node) GROUP BY change_id)
+    SELECT change_id, verdict, CASE WHEN verdict = 'unknown' AND coalesce(all_new, false) AND dampened IS NULL THEN 'clear' WHEN verdict = 'clear' AND dampened IS NOT NULL THEN 'unknown' ELSE verdict END AS effective
+    FROM judged LEFT JOIN gone USING (change_id) LEFT JOIN d USING (change_id)"""
+    )
+)
+
+
+@query(
+    f"""WITH RECURSIVE {ADJ_SQL}, {WAITS_SQL}, {LINKS_SQL}, {DEPS_SQL}, sides AS (SELECT a, b FROM pair_links UNION SELECT b, a FROM pair_links),
+    reach(x, y) AS (SELECT node, node FROM nodes UNION SELECT r.x, s.b FROM reach r JOIN sides s ON s.a = r.y), member AS (SELECT x AS node, min(y) AS component FROM reach GROUP BY x),
+    walk(node, needs, d) AS (SELECT node, node, 0 FROM nodes UNION SELECT w.node, p.needs, w.d + 1 FROM walk w JOIN deps p ON p.node = w.needs WHERE w.d < 64), depth AS (SELECT node, max(d) AS depth FROM walk GROUP BY node),
+    impact AS (SELECT change_id, count(DISTINCT nbr) AS impact FROM adjacent WHERE dir IN ('down', 'shared') GROUP BY change_id)
+    SELECT component, node AS change_id, depth, coalesce(impact, 0) AS impact, row_number() OVER (PARTITION BY component ORDER BY depth DESC, coalesce(impact, 0) DESC, node) AS position
+    FROM depth JOIN member USING (node) LEFT JOIN impact ON change_id = node"""
+)
+def suggested_order(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    nodes = r.claim.select(F.col("change_id").alias("node")).distinct()
+    return contention.suggested_order(components.depths(nodes, _deps(r.claim)), contention.impacts(_adjacency(r)), components.connected_components(nodes, _links(r)))
+
+
+@query("SELECT claim_id, path, change_id, row_number() OVER (PARTITION BY path ORDER BY claimed_at, claim_id) AS position FROM claim WHERE state = 'waiting'")
+def queue_positions(spark, sf_dir):
+    return graph.queue_positions(Relations(spark, sf_dir).claim)
+
+
+FINDINGS_SQL = """findings AS (SELECT producer_pr, consumer_pr, rule_id, compat_result FROM (
+  SELECT change_id || '-' || (event_id % 10) AS producer_pr, 'PR-' || ((event_id * 7) % 6 * 10 + event_id % 10) || '-' || (event_id % 10) AS consumer_pr, CASE event_id % 3 WHEN 0 THEN 'required_arg_added' WHEN 1 THEN 'kwonly_renamed' ELSE 'varargs_removed' END AS rule_id,
+    CASE event_id % 4 WHEN 0 THEN 'risky' WHEN 1 THEN 'unknown' ELSE 'breaking' END AS compat_result FROM event_log WHERE kind = 'warned') x)"""
+
+
+def _findings(r: Relations) -> DataFrame:
+    rule = F.when(F.col("event_id") % 3 == 0, "required_arg_added").when(F.col("event_id") % 3 == 1, "kwonly_renamed").otherwise("varargs_removed")
+    result = F.when(F.col("event_id") % 4 == 0, "risky").when(F.col("event_id") % 4 == 1, "unknown").otherwise("breaking")
+    group = F.col("event_id") % 10
+    consumer = F.concat_ws("-", F.lit("PR"), (F.col("event_id") * 7) % 6 * 10 + F.col("event_id") % 10, group)
+    return r.event_log.where("kind = 'warned'").select(F.concat_ws("-", "change_id", group).alias("producer_pr"), consumer.alias("consumer_pr"), rule.alias("rule_id"), result.alias("compat_result"))
+
+
+LEDGES_SQL = f"""{FINDINGS_SQL}, ledges AS (SELECT producer_pr AS producer, consumer_pr AS consumer, bool_or(compat_result = 'breaking') AS hard, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules
+  FROM findings WHERE producer_pr <> consumer_pr AND compat_result IN ('breaking', 'risky') GROUP BY ALL)"""
+
+
+@query(f"WITH {LEDGES_SQL} SELECT * FROM ledges")
+def landing_order_edges(spark, sf_dir):
+    return landing.landing_edges(_findings(Relations(spark, sf_dir)))
+
+
+@query(f"WITH {LEDGES_SQL} SELECT x.producer AS a, x.consumer AS b FROM ledges x JOIN ledges y ON x.producer = y.consumer AND x.consumer = y.producer WHERE x.hard AND y.hard AND x.producer < x.consumer")
+def landing_mutual_pairs(spark, sf_dir):
+    return landing.mutual_pairs(landing.landing_edges(_findings(Relations(spark, sf_dir))))
+
+
+@query()
+def landing_plan(spark, sf_dir):
+    return landing.landing_plan(_findings(Relations(spark, sf_dir)))
+
+
+# ---- compatibility ---------------------------------------------------------------------------------------------
+
+SHAPES_SQL = """SELECT p_partkey AS symbol, p_partkey % 11 = 0 AS gone, p_partkey % 23 = 0 AS broken, p_size % 4 AS n1, (p_size + p_partkey) % 4 AS n2, p_partkey % 3 AS r1, p_size % 3 AS r2, p_partkey % 5 = 0 AS v1, p_size % 5 = 0 AS v2, p_partkey % 6 AS k1, p_size % 6 AS k2 FROM part"""
+
+
+def _shape(names: str, required: str, varargs: str, kw: str):
+    params = F.slice(F.array(*[F.lit(x) for x in "abc"]), F.lit(1), F.col(names))
+    arity = F.least(F.col(required), F.col(names)).cast("int")
+    kws = F.when(F.col(kw) == 0, F.array(F.lit("x"))).when(F.col(kw) == 1, F.array(F.lit("y"))).otherwise(F.expr("cast(array() as array<string>)"))
+    mark = F.concat_ws("/", F.array_join(params, ","), arity, F.array_join(kws, ","), F.col(varargs))
+    return F.struct(params.alias("param_names"), kws.alias("kwonly_names"), arity.alias("required_arity"), F.col(varargs).alias("has_varargs"), mark.alias("shape_fingerprint"))
+
+
+@query(
+    f"""WITH s AS ({SHAPES_SQL}), t AS (SELECT symbol, gone, broken, (['a', 'b', 'c'])[1:n1] AS p1, (['a', 'b', 'c'])[1:n2] AS p2, least(r1, n1) AS q1, least(r2, n2) AS q2, v1, v2,
+      CASE k1 WHEN 0 THEN ['x'] WHEN 1 THEN ['y'] ELSE []::VARCHAR[] END AS w1, CASE k2 WHEN 0 THEN ['x'] WHEN 1 THEN ['y'] ELSE []::VARCHAR[] END AS w2 FROM s),
+    r AS (SELECT *, p1 = p2 AND q1 = q2 AND w1 = w2 AND v1 = v2 AS same,
+      len(list_filter(p2[1:q2], lambda x: NOT list_contains(list_concat(p1, w1), x))) > 0 OR q2 > q1 AS a1, len(list_filter(p2[1:q2], lambda x: list_contains(p1[q1 + 1:], x))) > 0 AS a2,
+      len(list_filter(w1, lambda x: NOT list_contains(w2, x))) > 0 AND len(list_filter(w2, lambda x: NOT list_contains(w1, x))) > 0 AS a3,
+      len(list_filter(p1[1:q1], lambda x: NOT list_contains(list_concat(p2, w2), x))) > 0 OR q2 < q1 AS a4, v1 AND NOT v2 AS a5 FROM t)
+    SELECT symbol, CASE WHEN gone THEN 'breaking' WHEN broken THEN 'unknown' WHEN same THEN 'compatible' WHEN a1 OR a2 OR a3 THEN 'breaking' WHEN a4 OR a5 THEN 'risky' ELSE 'compatible' END AS compat_result,
+      CASE WHEN gone THEN 'exported_symbol_removed' WHEN broken THEN 'unparseable_shape' WHEN same THEN '' ELSE concat_ws(',', CASE WHEN a1 THEN 'required_arg_added' END, CASE WHEN a2 THEN 'optional_to_required' END,
+      CASE WHEN a3 THEN 'kwonly_renamed' END, CASE WHEN a4 THEN 'required_arg_removed' END, CASE WHEN a5 THEN 'varargs_removed' END) END AS rules FROM r"""
+)
+def shape_compare(spark, sf_dir):
+    rows = spark.sql(SHAPES_SQL.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    before, after = _shape("n1", "r1", "v1", "k1"), _shape("n2", "r2", "v2", "k2")
+    pairs = rows.select(F.col("symbol"), before.alias("before"), F.when(~F.col("gone"), F.when(F.col("broken"), after.withField("param_names", F.lit(None).cast("array<string>"))).otherwise(after)).alias("after"))
+    return compat.compare_shapes(pairs).select("symbol", "compat_result", F.array_join("rules", ",").alias("rules"))
+
+
+POINTS_SQL = "SELECT p_partkey AS qual, nullif(p_partkey % 4, 3) AS head_a, nullif(p_size % 4, 3) AS head_b, nullif(p_partkey % 3, 2) AS base_a, nullif(p_size % 3, 2) AS base_b FROM part"
+
+
+@query(
+    f"""SELECT qual, CASE WHEN head_a IS NOT DISTINCT FROM head_b OR (base_a IS NULL AND base_b IS NULL AND (head_a IS NULL OR head_b IS NULL)) THEN NULL WHEN base_a IS DISTINCT FROM base_b THEN 'unknown_baseline'
+    WHEN head_a IS DISTINCT FROM base_a AND head_b IS DISTINCT FROM base_b THEN 'divergent_definitions' WHEN head_a IS DISTINCT FROM base_a THEN 'contract_delta:a' WHEN head_b IS DISTINCT FROM base_b THEN 'contract_delta:b' ELSE 'rebase_needed' END AS claim FROM ({POINTS_SQL})"""
+)
+def pair_classification(spark, sf_dir):
+    rows = spark.sql(POINTS_SQL.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return compat.classify_pairs(rows).select("qual", "claim")
+
+
+@query("SELECT claim_id, sha1(concat_ws('|', least(base_hash, change_id), greatest(base_hash, change_id), path)) AS fingerprint FROM claim")
+def finding_fingerprints(spark, sf_dir):
+    return Relations(spark, sf_dir).claim.select("claim_id", compat.finding_fingerprint(F.col("base_hash"), F.col("change_id"), F.col("path")).alias("fingerprint"))
+
+
+# ---- event log -------------------------------------------------------------------------------------------------
+
+WITHIN = "occurred_at > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL {0} DAY AND occurred_at <= TIMESTAMP '2024-01-31 00:00:00'"
+
+
+@query(
+    f"""WITH last AS (SELECT agent, arg_max(path, occurred_at) AS last_path, max(occurred_at) AS later FROM event_log WHERE kind = 'pushed' GROUP BY agent)
+    SELECT agent, count(*) AS held, count(*) FILTER (WHERE {WITHIN.format(7)}) AS held_recent, count(*) FILTER (WHERE later > occurred_at AND last_path <> path) AS steered
+    FROM event_log LEFT JOIN last USING (agent) WHERE kind = 'collision_held' GROUP BY agent"""
+)
+def collision_summary(spark, sf_dir):
+    return surfaces.collision_summary(Relations(spark, sf_dir).event_log, AS_OF)
+
+
+@query(
+    f"""WITH base AS (SELECT account, count(*) FILTER (WHERE kind IN ('collision_held', 'warned')) AS interventions, count(*) FILTER (WHERE kind IN ('collision_held', 'warned') AND {WITHIN.format(7)}) AS recent FROM event_log GROUP BY account),
+    l AS (SELECT * FROM event_log WHERE kind = 'landed'), hit AS (SELECT account, count(*) AS occurred FROM l WHERE EXISTS (SELECT 1 FROM l o WHERE o.account = l.account AND o.path = l.path AND o.agent <> l.agent AND o.occurred_at < l.occurred_at AND o.occurred_at >= l.occurred_at - INTERVAL 14 DAY) GROUP BY account)
+    SELECT account, interventions, recent, coalesce(occurred, 0) AS occurred FROM base LEFT JOIN hit USING (account)"""
+)
+def effect_counters(spark, sf_dir):
+    return surfaces.effect_counters(Relations(spark, sf_dir).event_log, AS_OF)
+
+
+@query(f"SELECT path, count(DISTINCT agent) AS agents FROM event_log WHERE kind = 'landed' AND {WITHIN.format(20)} GROUP BY path HAVING count(DISTINCT agent) >= 2")
+def collisions_on_main(spark, sf_dir):
+    return surfaces.collisions_on_main(Relations(spark, sf_dir).event_log, AS_OF, 20)
+
+
+@query(
+    f"""SELECT path, count(*) FILTER (WHERE {WITHIN.format(7)}) AS recent, count(*) FILTER (WHERE occurred_at > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14 DAY AND occurred_at <= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY) AS prior
+    FROM event_log WHERE kind = 'landed' GROUP BY path HAVING recent > 0 OR prior > 0"""
+)
+def repo_hotspots_recent_prior(spark, sf_dir):
+    return surfaces.recent_prior(Relations(spark, sf_dir).event_log, AS_OF, 7)
+
+
+@query("SELECT path, count(*) AS events, count(DISTINCT agent) AS agents, min(occurred_at) AS first_at, max(occurred_at) AS last_at FROM event_log GROUP BY path")
+def file_insights(spark, sf_dir):
+    return surfaces.file_insights(Relations(spark, sf_dir).event_log)
+
+
+@query("SELECT path, count(DISTINCT change_id) AS changes FROM claim WHERE claimed_at <= TIMESTAMP '2024-01-15 00:00:00' AND claimed_at + INTERVAL 14400 MINUTE > TIMESTAMP '2024-01-15 00:00:00' GROUP BY path HAVING count(DISTINCT change_id) >= 2")
+def now_contended(spark, sf_dir):
+    return surfaces.now_contended(Relations(spark, sf_dir).claim, "2024-01-15 00:00:00", 14400)
+
+
+@query(
+    """WITH c AS (SELECT *, claimed_at + INTERVAL 14400 MINUTE > TIMESTAMP '2024-01-25 00:00:00' AS live FROM claim WHERE claimed_at <= TIMESTAMP '2024-01-25 00:00:00')
+    SELECT path, change_id, 'abandoned' AS why FROM c WHERE state = 'active' AND NOT live AND path NOT IN (SELECT path FROM c WHERE state = 'active' AND live)
+    UNION ALL SELECT path, change_id, 'starved' FROM c WHERE state = 'waiting' AND claimed_at < TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 60 MINUTE"""
+)
+def stalled_work(spark, sf_dir):
+    return surfaces.stalled_work(Relations(spark, sf_dir).claim, "2024-01-25 00:00:00", 14400)
+
+
+@query(
+    """WITH f AS (SELECT *, row_number() OVER (PARTITION BY change_id, path ORDER BY occurred_at DESC, event_id DESC) AS rn FROM event_log WHERE kind = 'pr_failing'),
+    l AS (SELECT change_id, path, max(occurred_at) AS landed_at FROM event_log WHERE kind = 'landed' GROUP BY ALL)
+    SELECT change_id, path, occurred_at AS failing_since FROM f LEFT JOIN l USING (change_id, path) WHERE rn = 1 AND (landed_at IS NULL OR landed_at < occurred_at)"""
+)
+def stuck_changes(spark, sf_dir):
+    return surfaces.stuck_changes(Relations(spark, sf_dir).event_log)
+
+
+DETAIL_SQL = """outcomes AS (SELECT event_id, 'pred=' || CASE event_id % 5 WHEN 0 THEN 'clear' WHEN 1 THEN 'warn' WHEN 2 THEN 'serialize' ELSE 'unknown' END || ';adv=' || CASE event_id % 3 WHEN 0 THEN 'ignored' ELSE 'followed' END
+  || ';land=' || CASE event_id % 7 WHEN 0 THEN 'conflicted' WHEN 1 THEN 'reverted' ELSE 'clean' END || ';conf=observed' AS detail FROM event_log WHERE kind = 'landed')"""
+
+
+def _outcomes(r: Relations) -> DataFrame:
+    e = F.col("event_id")
+    pred = F.when(e % 5 == 0, "clear").when(e % 5 == 1, "warn").when(e % 5 == 2, "serialize").otherwise("unknown")
+    land = F.when(e % 7 == 0, "conflicted").when(e % 7 == 1, "reverted").otherwise("clean")
+    detail = F.concat(F.lit("pred="), pred, F.lit(";adv="), F.when(e % 3 == 0, "ignored").otherwise("followed"), F.lit(";land="), land, F.lit(";conf=observed"))
+    return r.event_log.where("kind = 'landed'").select("event_id", detail.alias("detail"))
+
+
+@query(f"WITH {DETAIL_SQL} SELECT regexp_extract(detail, 'pred=([a-z_]+)', 1) AS pred, regexp_extract(detail, 'land=([a-z_]+)', 1) AS land, count(*) AS n FROM outcomes GROUP BY ALL")
+def outcome_matrix(spark, sf_dir):
+    return surfaces.outcome_matrix(_outcomes(Relations(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {DETAIL_SQL}, p AS (SELECT regexp_extract(detail, 'pred=([a-z_]+)', 1) AS pred, regexp_extract(detail, 'adv=([a-z_]+)', 1) = 'ignored' AS ign, regexp_extract(detail, 'land=([a-z_]+)', 1) IN ('conflicted', 'reverted') AS bad FROM outcomes)
+    SELECT pred, count(*) AS n, count(*) FILTER (WHERE ign) AS ignored, count(*) FILTER (WHERE ign AND bad) AS bad_when_ignored, count(*) FILTER (WHERE pred = 'clear' AND bad) AS silent_misses FROM p GROUP BY pred"""
+)
+def ignored_advice_rate(spark, sf_dir):
+    return surfaces.ignored_advice(_outcomes(Relations(spark, sf_dir)))
+
+
+@query("SELECT change_id, arg_min(event_id, (occurred_at, event_id)) AS event_id, min(occurred_at) AS occurred_at FROM event_log WHERE kind = 'warned' GROUP BY change_id")
+def first_predictions(spark, sf_dir):
+    return surfaces.first_predictions(Relations(spark, sf_dir).event_log)
+
+
+@query(f"SELECT count(DISTINCT agent) AS seats FROM (SELECT agent FROM event_log WHERE {WITHIN.format(5)} UNION SELECT agent FROM claim WHERE {WITHIN.format(5).replace('occurred_at', 'claimed_at')}) WHERE agent NOT LIKE '%[bot]'")
+def seat_count(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return surfaces.seat_count(r.event_log, r.claim, AS_OF, 5)
+
+
+@query("SELECT account, count(*) AS events, count(DISTINCT path) AS paths, count(*) * 100.0::DOUBLE / 1500 AS share, count(*) > 1500 AS over FROM event_log GROUP BY account")
+def account_cost(spark, sf_dir):
+    return surfaces.account_cost(Relations(spark, sf_dir).event_log, 1500).withColumn("share", F.col("share").cast("double"))
+
+
+@query(
+    """WITH f AS (SELECT account, count(DISTINCT path) AS files FROM event_log GROUP BY account), l(account, file_limit) AS (VALUES ('acct0', 10), ('acct1', 700), ('acct2', 100000), ('acct3', NULL))
+    SELECT account, files, file_limit, greatest(coalesce(files - file_limit, 0), 0) AS over_by, coalesce(files * 5 >= file_limit * 4 AND files <= file_limit, false) AS near FROM f LEFT JOIN l USING (account)"""
+)
+def account_coverage(spark, sf_dir):
+    limits = spark.sql("SELECT * FROM VALUES ('acct0', 10), ('acct1', 700), ('acct2', 100000), ('acct3', NULL) AS t(account, file_limit)")
+    return surfaces.coverage(Relations(spark, sf_dir).event_log, limits)
+
+
+@query(
+    """WITH f AS (SELECT account, agent, min(occurred_at) AS s FROM event_log WHERE kind = 'pushed' GROUP BY ALL), t AS (SELECT f.account, f.agent, min(e.occurred_at) AS l, any_value(s) AS s FROM f JOIN event_log e ON e.account = f.account AND e.agent = f.agent AND e.kind = 'landed' AND e.occurred_at >= s GROUP BY ALL)
+    SELECT account, count(*) AS n, quantile_cont(secs::DOUBLE, 0.5) AS p50, quantile_cont(secs::DOUBLE, 0.9) AS p90 FROM (SELECT account, epoch(date_trunc('second', l)) - epoch(date_trunc('second', s)) AS secs FROM t) GROUP BY account"""
+)
+def activation_latency_percentiles(spark, sf_dir):
+    return surfaces.activation_latency(Relations(spark, sf_dir).event_log)
+
+
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY account, agent ORDER BY occurred_at, event_id) AS rn FROM event_log), p AS (SELECT account, agent, min(occurred_at) FILTER (WHERE rn = 1) AS one, min(occurred_at) FILTER (WHERE rn = 2) AS two FROM r GROUP BY ALL)
+    SELECT account, count(*) AS agents, count(*) FILTER (WHERE two <= one + INTERVAL 1 DAY) AS repeated FROM p GROUP BY account"""
+)
+def repeat_within_1d(spark, sf_dir):
+    return surfaces.repeat_within(Relations(spark, sf_dir).event_log, 1)
+
+
+@query("SELECT event_id, kind FROM event_log WHERE kind NOT IN ('pushed', 'warned') OR (kind = 'pushed' AND occurred_at > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY) OR (kind = 'warned' AND occurred_at > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14 DAY)")
+def retention_prune(spark, sf_dir):
+    return surfaces.retention_prune(Relations(spark, sf_dir).event_log, AS_OF, {"pushed": 7, "warned": 14}).select("event_id", "kind")
+
+
+@query("SELECT event_id, account FROM event_log WHERE account <> 'acct4' AND (account <> 'acct1' OR occurred_at >= TIMESTAMP '2024-01-10 00:00:00')")
+def generation_filter(spark, sf_dir):
+    bounds = spark.sql("SELECT 'acct1' AS account, timestamp_ntz'2024-01-10 00:00:00' AS active_from")
+    return surfaces.generation_filter(Relations(spark, sf_dir).event_log, bounds, spark.sql("SELECT 'acct4' AS account"), "account", "occurred_at").select("event_id", "account")
+
+
+@query("SELECT account, path, date_trunc('day', occurred_at) AS batch, arg_max(event_id, (occurred_at, event_id)) AS event_id, count(*) - 1 AS skipped, count(*) > 1 AS \"full\" FROM event_log WHERE kind = 'pushed' GROUP BY ALL")
+def push_coalesce(spark, sf_dir):
+    pushes = Relations(spark, sf_dir).event_log.where("kind = 'pushed'")
+    return surfaces.push_coalesce(pushes, ["account", "path"], F.date_trunc("day", "occurred_at").cast("timestamp_ntz"))
+
+
+@query("SELECT agent, count(*) FILTER (WHERE state = 'active') AS active, count(*) FILTER (WHERE state = 'waiting') AS waiting, coalesce(string_agg(DISTINCT CASE WHEN state = 'active' THEN path END, ',' ORDER BY CASE WHEN state = 'active' THEN path END), '') AS paths FROM claim GROUP BY agent")
+def board(spark, sf_dir):
+    return surfaces.board(Relations(spark, sf_dir).claim)
+
+
+@query("SELECT DISTINCT path FROM event_log WHERE path > 'src/m3/' ORDER BY path LIMIT 21")
+def keyset_page(spark, sf_dir):
+    return surfaces.page(Relations(spark, sf_dir).event_log.select("path").distinct(), "path", "src/m3/", 20)
+
+
+# ---- routes, imports, contracts from paths ---------------------------------------------------------------------
+
+HREF_SQL = """hrefs AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), urls AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*', '') AS route FROM pages)"""
+NORM_SQL = r"""lower(regexp_replace(CASE WHEN length(s) > 1 THEN regexp_replace(s, '/+$', '') ELSE s END, '/{2,}', '/', 'g'))"""
+STEPS_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(x, '[?#](.|\n)*$', '')), '\$\{[^}]*\}', '{}', 'g'), ':[A-Za-z_]\w*', '{}', 'g'), '\{[^}]*\}', '{}', 'g'), '<[^>]*>', '{}', 'g'), '\[\.\.\.[^\]]*\]', '{}', 'g'), '\[[^\]]*\]', '{}', 'g'), '\(\?[^)]*\)|\(\.\*\)|\^|\$', '', 'g')"""
+RAW_SQL = r"""raw AS (SELECT DISTINCT page_id, x FROM (SELECT page_id, route || CASE page_id % 4 WHEN 0 THEN '/{id}' WHEN 1 THEN '/:id/edit' WHEN 2 THEN '//items/<int:k>/' ELSE '?a=1' END AS x FROM urls) y),
+norm AS (SELECT page_id, x, CASE WHEN x IS NULL OR x = '' THEN '' ELSE """ + NORM_SQL + r""" END AS route FROM (SELECT page_id, x, CASE WHEN t LIKE '/%' THEN t ELSE '/' || t END AS s FROM (SELECT page_id, x, """ + STEPS_SQL + r""" AS t FROM raw)))"""
+
+
+def _raw_routes(r: Relations) -> DataFrame:
+    i = F.col("page_id") % 4
+    tail = F.when(i == 0, "/{id}").when(i == 1, "/:id/edit").when(i == 2, "//items/<int:k>/").otherwise("?a=1")
+    return r.table("pages").select("page_id", F.concat(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), tail).alias("x")).distinct()
+
+
+@query(f"WITH {HREF_SQL}, {RAW_SQL} SELECT page_id, x, route FROM norm")
+def route_normalize(spark, sf_dir):
+    return _raw_routes(Relations(spark, sf_dir)).select("page_id", "x", routes.normalize_route(F.col("x")).alias("route"))
+
+
+SPECIFIC_SQL = f"""(route <> '' AND route NOT IN ({", ".join(f"'{u}'" for u in v.UBIQUITOUS_ROUTES)}) AND ((len(list_filter(string_split(route, '/'), lambda s: s <> '')) >= 2 AND list_filter(string_split(route, '/'), lambda s: s <> '')[1] <> '{{}}')
+  OR (len(list_filter(string_split(route, '/'), lambda s: s <> '')) = 1 AND contains(route, '{{}}') AND route <> '/{{}}')))"""
+
+
+@query(f"WITH {HREF_SQL}, {RAW_SQL} SELECT page_id, route, {SPECIFIC_SQL} AS specific FROM norm")
+def route_specific(spark, sf_dir):
+    rows = _raw_routes(Relations(spark, sf_dir)).select("page_id", routes.normalize_route(F.col("x")).alias("route"))
+    return rows.select("page_id", "route", routes.is_specific(F.col("route")).alias("specific"))
+
+
+SIDES_SQL = """defined AS (SELECT DISTINCT 'api/s' || (p_partkey % 40) || '.py' AS path, '/api/' || split_part(p_name, ' ', 1) || '/{}/' || split_part(p_name, ' ', 2) AS route FROM part WHERE p_partkey % 2 = 0),
+requested AS (SELECT DISTINCT 'web/c' || (p_partkey % 50) || '.ts' AS path, CASE p_partkey % 3 WHEN 0 THEN '/' ELSE '/v2/api/' END || split_part(p_name, ' ', 1) || '/' || (p_partkey % 9) || '/' || split_part(p_name, ' ', 2) AS route FROM part WHERE p_partkey % 2 = 1)"""
+ALIGN_SQL = """len(a) = len(b) AND len(list_filter(list_zip(a, b), lambda z: NOT (z[1] = z[2] OR z[1] = '{}' OR z[2] = '{}'))) = 0 AND len(list_filter(list_zip(a, b), lambda z: z[1] = z[2] AND z[1] <> '{}')) > 0"""
+MATCH_SQL = f"""{SIDES_SQL}, sides2 AS (SELECT d.path AS definer, q.path AS requester, d.route, q.route AS url, list_filter(string_split(d.route, '/'), lambda s: s <> '') AS ds, list_filter(string_split(q.route, '/'), lambda s: s <> '') AS qs FROM defined d CROSS JOIN requested q),
+tails AS (SELECT *, CASE WHEN len(ds) <= len(qs) THEN ds ELSE ds[len(ds) - len(qs) + 1:] END AS a, CASE WHEN len(qs) <= len(ds) THEN qs ELSE qs[len(qs) - len(ds) + 1:] END AS b FROM sides2 WHERE len(ds) = len(qs) OR least(len(ds), len(qs)) >= 2),
+matched AS (SELECT definer, requester, route, url FROM tails WHERE {ALIGN_SQL} AND ds[1] <> '{{}}' AND len(ds) >= 2 AND len(qs) >= 2)"""
+
+
+def _route_sides(r: Relations) -> tuple[DataFrame, DataFrame]:
+    part = r.table("part")
+    word = lambda i: F.get(F.split("p_name", " "), F.lit(i))
+    k = F.col("p_partkey")
+    defined = part.where("p_partkey % 2 = 0").select(F.concat(F.lit("api/s"), k % 40, F.lit(".py")).alias("path"), F.concat(F.lit("/api/"), word(0), F.lit("/{}/"), word(1)).alias("route")).distinct()
+    start = F.when(k % 3 == 0, "/").otherwise("/v2/api/")
+    asked = part.where("p_partkey % 2 = 1").select(F.concat(F.lit("web/c"), k % 50, F.lit(".ts")).alias("path"), F.concat(start, word(0), F.lit("/"), k % 9, F.lit("/"), word(1)).alias("route")).distinct()
+    return defined, asked
+
+
+@query(f"WITH {MATCH_SQL} SELECT * FROM matched")
+def route_match(spark, sf_dir):
+    return routes.match_pairs(*_route_sides(Relations(spark, sf_dir)))
+
+
+@query(f"WITH {MATCH_SQL} SELECT definer, requester, route, url, count(DISTINCT definer) OVER (PARTITION BY url) = 1 AS sure FROM matched")
+def route_single_definer(spark, sf_dir):
+    return routes.single_definer(routes.match_pairs(*_route_sides(Relations(spark, sf_dir))))
+
+
+@query(
+    f"""WITH {SIDES_SQL}, r AS (SELECT DISTINCT route, list_filter(string_split(route, '/'), lambda s: s <> '') AS s FROM (SELECT route FROM defined UNION SELECT route || '/{{}}' FROM requested)),
+    c AS (SELECT route, s[1:list_max(list_filter(range(1, len(s) + 1), lambda i: s[i] <> '{{}}'))] AS core FROM r),
+    k AS (SELECT route, core, unnest(list_filter(range(1, len(core)), lambda i: core[i] <> '{{}}')[1:5]) AS i FROM c) SELECT route, array_to_string(core[i:], '/') AS key FROM k"""
+)
+def route_suffix_keys(spark, sf_dir):
+    defined, asked = _route_sides(Relations(spark, sf_dir))
+    rows = defined.select("route").union(asked.select(F.concat("route", F.lit("/{}")))).distinct()
+    return rows.select("route", F.explode(routes.suffix_keys(F.col("route"))).alias("key"))
+
+
+IMPORTS_SQL = f"""files AS (SELECT path, language AS family FROM file_node),
+asked AS (SELECT src, CASE WHEN n % 4 = 0 THEN './' || regexp_replace(regexp_replace(dst, '^.*/', ''), '\\.[a-z]+$', '') WHEN n % 4 = 1 THEN replace(regexp_replace(dst, '\\.[a-z]+$', ''), '/', '.') WHEN n % 4 = 2 THEN '@/' || dst ELSE 'lib' || n END AS module, language AS family
+  FROM (SELECT src, dst, length(src) + length(dst) * 3 AS n FROM import_edge) e JOIN file_node ON path = src)"""
+
+
+def _asked(r: Relations) -> DataFrame:
+    n = F.length("src") + F.length("dst") * 3
+    stem = F.regexp_replace("dst", r"\.[a-z]+$", "")
+    module = F.when(n % 4 == 0, F.concat(F.lit("./"), F.regexp_replace(stem, "^.*/", ""))).when(n % 4 == 1, F.translate(stem, "/", ".")).when(n % 4 == 2, F.concat(F.lit("@/"), F.col("dst"))).otherwise(F.concat(F.lit("lib"), n))
+    return r.import_edge.join(r.file_node, F.col("src") == F.col("path")).select("src", module.alias("module"), F.col("language").alias("family"))
+
+
+@query(
+    rf"""WITH {IMPORTS_SQL}, q AS (SELECT DISTINCT src, module, family, module LIKE './%' AS rel, module LIKE '@/%' AS loc FROM asked),
+    t AS (SELECT *, CASE WHEN rel THEN regexp_replace(src, '/[^/]*$', '') || substr(module, 2) WHEN loc THEN substr(module, 3) ELSE replace(module, '.', '/') END AS target FROM q),
+    cand AS (SELECT t.*, f.path, 0 AS rank FROM t JOIN files f ON f.path = t.target WHERE rel OR loc
+      UNION SELECT t.*, f.path, 0 FROM t JOIN files f ON f.path = t.target
+      UNION SELECT t.*, f.path, 1 FROM t JOIN files f ON f.family = t.family AND CASE WHEN rel THEN regexp_replace(f.path, '\.[a-z]+$', '') = target ELSE ('/' || regexp_replace(f.path, '\.[a-z]+$', '')) LIKE '%/' || regexp_replace(target, '\.[a-z]+$', '') END),
+    c AS (SELECT * FROM cand WHERE path <> src), best AS (SELECT src, module, min(rank) AS r, bool_and(path LIKE 'tests/%') AS tt FROM c GROUP BY ALL),
+    kept AS (SELECT DISTINCT c.src, c.module, c.path FROM c JOIN best b ON b.src = c.src AND b.module = c.module AND c.rank = b.r AND (c.path LIKE 'tests/%') = b.tt),
+    n AS (SELECT src, module, count(*) AS n FROM kept GROUP BY ALL)
+    SELECT src, module, path AS dst, CASE WHEN n > 1 THEN 'ambiguous' END AS reference_status FROM kept JOIN n USING (src, module) WHERE n <= 8
+    UNION ALL SELECT src, module, module, 'ambiguous' FROM n WHERE n > 8
+    UNION ALL SELECT src, module, module, CASE WHEN rel OR loc THEN 'unresolved' END FROM q WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.src = q.src AND n.module = q.module)"""
+)
+def import_suffix_resolve(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return resolve.resolve_imports(_asked(r), r.file_node.select("path", F.col("language").alias("family")))
+
+
+@query(
+    """WITH stems AS (SELECT DISTINCT 'p' || (p_partkey % 60) AS stem, path, language AS family FROM part JOIN file_node ON file_node.path LIKE '%/p' || p_partkey || '.%' WHERE p_partkey < 400), asked AS (SELECT DISTINCT family, stem FROM stems)
+    SELECT family, stem, count(*) AS n, CASE WHEN count(*) > 8 THEN 'raw' WHEN count(*) > 1 THEN 'ambiguous' ELSE 'resolved' END AS fate FROM stems JOIN asked USING (family, stem) GROUP BY ALL"""
+)
+def bare_fanout_cap(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    key = F.regexp_extract("path", r"/p(\d+)\.", 1).cast("long")
+    rows = r.file_node.select("path", F.col("language").alias("family"), key.alias("k")).where("k < 400").select("path", "family", F.concat(F.lit("p"), F.col("k") % 60).alias("stem"))
+    n = rows.groupBy("family", "stem").agg(F.count("*").alias("n"))
+    return n.select("family", "stem", "n", F.when(F.col("n") > v.MAX_BARE_FANOUT, "raw").when(F.col("n") > 1, "ambiguous").otherwise("resolved").alias("fate"))
+
+
+STEM_FILES_SQL = "stem_files AS (SELECT DISTINCT 'src/' || (CASE p_partkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'docs' ELSE 'gamma' END) || '/' || replace(p_name, ' ', '_') || CASE WHEN p_partkey % 5 = 0 THEN '.service' ELSE '' END || CASE p_size % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.go' ELSE '.ts' END AS path FROM part WHERE p_partkey % 7 <= 1)"
+
+
+@query(
+    rf"""WITH {STEM_FILES_SQL}, s AS (SELECT path, CASE regexp_extract(path, '\.[a-z]+$') WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' ELSE 'web' END AS family, replace(regexp_extract(path, '/([a-z_]+)[^/]*$', 1), '_', '-') AS stem, regexp_replace(path, '/[^/]*$', '') AS dir FROM stem_files WHERE path NOT LIKE '%/docs/%'),
+    g AS (SELECT family, stem FROM s GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8 AND count(DISTINCT dir) >= 2) SELECT 'sibling_stem::' || family || '::src::' || stem AS contract, path FROM s JOIN g USING (family, stem)"""
+)
+def sibling_stem_groups(spark, sf_dir):
+    part, k = Relations(spark, sf_dir).table("part").where("p_partkey % 7 <= 1"), F.col("p_partkey")
+    place = F.when(k % 4 == 0, "alpha").when(k % 4 == 1, "beta").when(k % 4 == 2, "docs").otherwise("gamma")
+    ext = F.when(F.col("p_size") % 3 == 0, ".py").when(F.col("p_size") % 3 == 1, ".go").otherwise(".ts")
+    files = part.select(F.concat(F.lit("src/"), place, F.lit("/"), F.translate("p_name", " ", "_"), F.when(k % 5 == 0, ".service").otherwise(""), ext).alias("path")).distinct()
+    return contracts.sibling_stems(files)
+
+
+ROLE_FILES_SQL = "role_files AS (SELECT DISTINCT 'frontend/src/' || CASE p_partkey % 3 WHEN 0 THEN 'pages' WHEN 1 THEN 'components' ELSE 'hooks' END || '/x' || (p_partkey % 60) || '/' || split_part(p_name, ' ', 1) || '_' || split_part(p_name, ' ', 2) || 's' || CASE p_size % 2 WHEN 0 THEN '.tsx' ELSE '.vue' END AS path FROM part WHERE p_partkey < 300)"
+
+
+@query(
+    rf"""WITH {ROLE_FILES_SQL}, f AS (SELECT path, regexp_extract(path, '^frontend/src/(pages|components)/', 1) AS role, unnest(string_split(regexp_extract(path, '/([a-z_]+)\.[a-z]+$', 1), '_')) AS raw FROM role_files WHERE path NOT LIKE '%/hooks/%'),
+    t AS (SELECT DISTINCT path, role, CASE WHEN raw LIKE '%ies' AND length(raw) > 4 THEN left(raw, -3) || 'y' WHEN raw LIKE '%ses' AND length(raw) > 4 THEN left(raw, -2) WHEN raw LIKE '%s' AND raw NOT LIKE '%ss' AND length(raw) > 4 THEN left(raw, -1) ELSE raw END AS token FROM f),
+    u AS (SELECT * FROM t WHERE length(token) >= 4 AND token NOT IN ({", ".join(f"'{x}'" for x in v.ROLE_TOKEN_STOP)})), g AS (SELECT token FROM u GROUP BY token HAVING count(DISTINCT role) = 2 AND count(DISTINCT path) <= 30)
+    SELECT DISTINCT 'role_feature::web_frontend::frontend::src::components__pages::' || token AS contract, path FROM u JOIN g USING (token)"""
+)
+def role_feature_pairs(spark, sf_dir):
+    part, k = Relations(spark, sf_dir).table("part").where("p_partkey < 300"), F.col("p_partkey")
+    role = F.when(k % 3 == 0, "pages").when(k % 3 == 1, "components").otherwise("hooks")
+    word = lambda i: F.get(F.split("p_name", " "), F.lit(i))
+    ext = F.when(F.col("p_size") % 2 == 0, ".tsx").otherwise(".vue")
+    files = part.select(F.concat(F.lit("frontend/src/"), role, F.lit("/x"), k % 60, F.lit("/"), word(0), F.lit("_"), word(1), F.lit("s"), ext).alias("path")).distinct()
+    return contracts.role_features(files, most=30)
+
+
+# ---- meter -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {BASKET_SQL}, named AS (SELECT DISTINCT name, path FROM symbol_node WHERE NOT starts_with(name, '__') AND lower(name) NOT IN ({STOP})),
+    defs AS (SELECT name, path FROM named WHERE name IN (SELECT name FROM named GROUP BY name HAVING count(*) <= 3)),
+    raw AS (SELECT src, dst, 'import' AS label FROM import_edge UNION ALL SELECT c.src, d.path, 'call' FROM call_edge c JOIN defs d ON d.name = c.dst),
+    prs AS (SELECT DISTINCT least(src, dst) AS path_a, greatest(src, dst) AS path_b, label FROM raw WHERE src <> dst AND src IN (SELECT path FROM file_node) AND dst IN (SELECT path FROM file_node)),
+    res AS (SELECT * FROM resource_edge WHERE src IN (SELECT path FROM file_node)), k AS (SELECT dst, count(DISTINCT src) AS n, bool_or(kind = 'alters') AND bool_or(kind = 'queries') AS two FROM res GROUP BY dst),
+    cool AS (SELECT DISTINCT src, dst FROM res WHERE dst IN (SELECT dst FROM k WHERE n BETWEEN 2 AND 8)),
+    links AS (SELECT path_a, path_b FROM prs WHERE label = 'import' UNION SELECT a.src, b.src FROM cool a JOIN cool b ON a.dst = b.dst AND a.src < b.src),
+    one AS (SELECT (SELECT count(*) FROM file_node) AS n, (SELECT sum(loc)::BIGINT FROM file_node) AS loc, (SELECT count(*) FROM k WHERE n >= 2) + (SELECT count(*) FROM k WHERE two) AS xs, (SELECT count(*) FROM prs WHERE label = 'call') AS calls,
+      (SELECT count(*) FROM prs WHERE label = 'import' AND regexp_replace(path_a, '/[^/]*$', '') <> regexp_replace(path_b, '/[^/]*$', '')) AS xdir, 2 * (SELECT count(*) FROM links) AS ends,
+      (SELECT count(*) FROM (SELECT dst FROM import_edge WHERE dst IN (SELECT path FROM file_node) GROUP BY dst HAVING count(DISTINCT src) > 8)) + (SELECT count(*) FROM k WHERE n > 8) AS conc,
+      (SELECT count(*) FROM scored s WHERE co >= 2 AND lift >= 2 AND NOT EXISTS (SELECT 1 FROM prs p WHERE p.path_a = s.path_a AND p.path_b = s.path_b)) AS blind),
+    m AS (SELECT loc, xs / n AS xs_intensity, calls / n AS call_density, xdir / n AS xdir_density, ends / n AS blast_mean, blind / n AS blind_density, CASE WHEN conc = 0 THEN 0 WHEN conc <= 3 THEN 1 WHEN conc <= 10 THEN 2 ELSE 3 END AS hub_bucket FROM one),
+    p AS (SELECT *, 1.0::DOUBLE + 2.0::DOUBLE * xs_intensity + 0.35::DOUBLE * least(call_density, 3.0::DOUBLE) + 0.3::DOUBLE * least(xdir_density, 3.0::DOUBLE) + 0.03::DOUBLE * least(blast_mean, 10.0::DOUBLE) + 0.15::DOUBLE * hub_bucket + 0.5::DOUBLE * least(blind_density, 2.0::DOUBLE) AS raw_premium FROM m)
+    SELECT loc, xs_intensity, call_density, xdir_density, blast_mean, blind_density, hub_bucket, least(raw_premium, 4.0::DOUBLE) AS premium, raw_premium > 4.0 + 1e-9 AS premium_capped, floor(loc * least(raw_premium, 4.0::DOUBLE))::BIGINT AS units FROM p"""
+)
+def units_components(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    structure = adj.resolved_pairs_meter(r.file_node, r.symbol_node, r.call_edge, r.import_edge).select("path_a", "path_b").distinct()
+    return adj.meter(r.file_node, r.symbol_node, r.call_edge, r.import_edge, r.resource_edge, cc.graph_blind(_pairs(r), structure))

@@ -39,8 +39,8 @@ def bin_minima(rows: np.ndarray, bins: int) -> np.ndarray:
 class ItemIndex:
     """For each size partition the items' minima, sorted, with the item they belong to; small items with all shingles."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.ids = np.array([i for i, _ in items], np.int64)
+    def __init__(self, items: list[tuple[int | None, np.ndarray]]):
+        self.ids = [i for i, _ in items]
         self.sets = [s for _, s in items]
         self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -69,7 +69,7 @@ class ItemIndex:
         return {i for i in own if np.isin(self.sets[i], shingles).any()}
 
 
-def contained(seq: np.ndarray, index: ItemIndex, percent: int) -> list[tuple[int, int, int]]:
+def contained(seq: np.ndarray, index: ItemIndex, percent: int) -> list[tuple[int | None, int, int]]:
     """(item, its shingles, those in the document) for each item of which at least percent lie in the document."""
     if not len(seq):
         return []
@@ -87,7 +87,7 @@ def contained(seq: np.ndarray, index: ItemIndex, percent: int) -> list[tuple[int
         at = np.minimum(np.searchsorted(whole, s), len(whole) - 1)
         shared = int((whole[at] == s).sum())
         if shared and 100 * shared >= percent * len(s):
-            out.append((int(index.ids[i]), len(s), shared))
+            out.append((index.ids[i], len(s), shared))
     return out
 
 

@@ -123,8 +123,8 @@ def read_frames(src, chunk: int = 1 << 20) -> Iterator[bytes]:
     decode = z.ZstdDecompressor(dict_data=z.ZstdCompressionDict(body))
     left = src.read(chunk)
     while left:
-        if len(left) < 4:
-            left += src.read(chunk)
+        while len(left) < 4 and (more := src.read(chunk)):
+            left += more
         if left[:4] != struct.pack("<I", FRAME_MAGIC):
             raise WarcError("no Zstandard frame where a record should start")
         one, parts = decode.decompressobj(), []

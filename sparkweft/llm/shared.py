@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but these six ASCII blanks, which are what bytes.split() splits at.
@@ -48,6 +48,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of an id filter at most: 2 MB wherever it goes.
+ID_FILTER_BITS = 1 << 24
+
+
+def id_filter(ids: DataFrame, id_col: str = "doc_id"):
+    """A test that all of ids pass and most others don't, as a function of a column: a Bloom filter of at most ID_FILTER_BITS.
+
+    For rows to be left out before a join that decides exactly. It is never larger than its bound; with more ids than it
+    has room for it lets more through, and the join moves more. Null ids are ignored.
+    """
+    known = ids.where(F.col(id_col).isNotNull())
+    bits = 1 << 12
+    count = known.count()
+    while bits < ID_FILTER_BITS and bits < 12 * count:
+        bits *= 2
+    probes = lambda c: [F.pmod(F.xxhash64(c, F.lit(s)), F.lit(bits)) for s in (11, 12, 13)]
+    hit = known.select(F.explode(F.array(*probes(F.col(id_col)))).alias("bit"))
+    rows = hit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("word")).collect()  # bits / 64 rows at most
+    words = [0] * (bits // 64)
+    for r in rows:
+        words[r["at"]] = r["word"]
+    table = F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<bigint>")
+
+    def passes(c: Column) -> Column:
+        tests = [F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in probes(c)]
+        return tests[0] & tests[1] & tests[2]
+
+    return passes
+
+
 class WordHash(dict):
     """Word (bytes) to the 8 bytes of its 64-bit hash. Forgets all once it holds limit words, so memory stays bounded."""
 
@@ -93,17 +123,18 @@ def shingle_sequence(text: str | None, cache: WordHash, n: int = 5) -> np.ndarra
     return window_hashes(h, min(n, len(words))) ^ np.uint64(0 if len(words) >= n else len(words))
 
 
-def is_held_out(doc_id) -> "F.Column":
+def is_held_out(doc_id: Column) -> Column:
     """The fold that no model learns from: crc32 of the id as text, mod 5, is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
 def per_worker(key: str, make):
-    """make() once in each Python worker process; kept over the tasks that the process runs."""
+    """make() once in each Python worker process, kept over its tasks until another key is asked for: one cache at a time."""
     import sys
     import types
 
     kept = sys.modules.setdefault("_sparkweft_worker", types.ModuleType("_sparkweft_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get("key") != key:
+        kept.pop("value", None)
+        kept["key"], kept["value"] = key, make()
+    return kept["value"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.llm.decontaminate import without_contaminated
-from sparkweft.llm.minhash_dedup import near_duplicates
+from sparkweft.llm.minhash_dedup import without_duplicates
 from sparkweft.llm.packing import pack, token_pieces
 from sparkweft.llm.quality_classifier import fit_quality, with_quality
 from sparkweft.llm.queries import CAPACITY, tokenizer_path
@@ -29,8 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; of rows that repeat, one. Rows without id go."""
-    kept = near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return without_duplicates(docs, percent=NEAR_PERCENT).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,7 +51,9 @@ def least_spread(candidate: Column) -> Column:
     """The least sum of c log2 c (millionths) over all windows of a string, from counts that each step changes by two."""
     weight = F.array(*[F.lit(w) for w in WEIGHT])
     codes = F.transform(F.regexp_extract_all(candidate, F.lit("(?s)."), F.lit(0)), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
-    steps = F.transform(codes, lambda c, i: F.struct(c.alias("put"), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(-1).alias("gone"), i.alias("i")))
+    # bound to a variable, so that it is worked out once and not for each step
+    paired = lambda all_of: F.transform(all_of, lambda c, i: F.struct(c.alias("put"), F.when(i >= WINDOW, F.get(all_of, i - WINDOW)).otherwise(-1).alias("gone"), i.alias("i")))
+    steps = F.get(F.transform(F.array(codes), paired), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         put, gone = F.get(acc["counts"], x["put"]), F.when(x["gone"] >= 0, F.get(acc["counts"], x["gone"])).otherwise(0)
@@ -100,10 +102,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     base = F.array_sort(F.concat(F.filter("_assign", lambda s, i: F.get(F.col("_values"), i) >= ASSIGN_LEAST), F.col("_access"), F.col("_hex")))
     spans = spans.withColumn("_base", base)
-    text_of = lambda s: F.col("_text").substr(s["start"] + 1, s["end"] - s["start"])
-    allowed = lambda s: F.array_contains(F.array(*[text_of(s).rlike(p) for p in ALLOWED]), True)
-    free = F.filter("_entropy", lambda s: ~clash(s, F.col("_base")))
-    extra = F.filter(free, lambda s: ~allowed(s) & _is_random(text_of(s)))
+    allowed = lambda c: F.array_contains(F.array(*[c.rlike(p) for p in ALLOWED]), True)
+    candidates = F.arrays_zip(F.col("_entropy").alias("span"), F.col("_candidate").alias("string"))
+    extra = F.filter(candidates, lambda c: ~clash(c["span"], F.col("_base")) & ~allowed(c["string"]) & _is_random(c["string"]))
+    extra = F.transform(extra, lambda c: c["span"])
     out = spans.withColumn("secrets", F.when(F.size("_candidate") > 0, F.array_sort(F.concat(F.col("_base"), extra))).otherwise(F.col("_base")))
     return out.drop("_text", "_values", "_assign", "_access", "_hex", "_candidate", "_entropy", "_base")
 

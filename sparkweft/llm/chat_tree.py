@@ -202,7 +202,7 @@ def prefix_trees(conversations: DataFrame, tokenizer_path: str | None = None, mo
     turns = shared_table(ordered.mapInArrow(_chain, "conv_id long, depth long, role string, text string, key binary, path binary"), "turns")
     ends = turns.where("path is not null")
     leaves = shared_table(ends.groupBy(F.col("key").alias("end_key")).agg(F.min("conv_id").alias("rep"), F.first("path").alias("path")), "leaves")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = min(100_000, 1 + (leaves.agg(F.sum(F.octet_length("path"))).first()[0] or 0) // (KEY * most_nodes))
     in_order = leaves.select("rep", "path").repartitionByRange(partitions, "path").sortWithinPartitions("path")
     placed = shared_table(in_order.mapInArrow(_layout(most_nodes), "rep long, tree long, leaf long, shared long"), "placed")
     new = turns.join(placed, turns.conv_id == placed.rep).where("depth >= shared")

@@ -19,9 +19,14 @@ LANGUAGES = {
 MAX_BYTES, MAX_SQL_BYTES, MAX_LINE, MAX_LINES, BINARY_PROBE = 1_500_000, 12_000_000, 250_000, 100_000, 8192
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to root, content, length) of all files below root but those in skipped directories."""
+def scan(spark: SparkSession, root: str, hidden: list[str] | None = None) -> DataFrame:
+    """(path relative to root, content, length) of all files below root but those in skipped directories.
+
+    Spark's file listing leaves out names that start with a dot or an underscore; hidden names such files one by one.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if hidden:
+        files = files.unionAll(spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{h}" for h in hidden]))
     base = re.sub("^file:/*", "/", root.rstrip("/"))
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "")
     rows = files.select(path.alias("path"), "content", "length")

@@ -11,7 +11,7 @@ from sparkweft.llm.minhash_dedup import near_duplicates
 from sparkweft.llm.packing import pack, token_pieces
 from sparkweft.llm.quality_classifier import fit_quality, score_quality
 from sparkweft.llm.quality_rules import quality_rules
-from sparkweft.llm.secret_scan import find_secrets, span_string
+from sparkweft.llm.secret_scan import ALLOWED, CLASSES, WEIGHT, WINDOW, find_secrets, most_allowed, span_string
 from sparkweft.llm.shared import read_table
 from sparkweft.llm.toxicity import fit_toxicity, score_toxicity
 from sparkweft.llm.url_filter import filter_urls
@@ -135,6 +135,43 @@ per AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, n::BIGINT AS formatted_chars FROM per
 """
 
+ORACLE_OP2 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+n AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS first, count(*) OVER (PARTITION BY h) AS n FROM p),
+b AS (SELECT *, array_to_string(list_transform(string_split(sha1(h), ''), lambda c: (['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'])[strpos('0123456789abcdef', c)]), '') AS bits FROM n)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (16 * (substr(bits, 5 * i + 1, 1) = '1')::INT + 8 * (substr(bits, 5 * i + 2, 1) = '1')::INT
+    + 4 * (substr(bits, 5 * i + 3, 1) = '1')::INT + 2 * (substr(bits, 5 * i + 4, 1) = '1')::INT + (substr(bits, 5 * i + 5, 1) = '1')::INT)::INT, 1)), '') AS payload_digest,
+  CASE WHEN n > 1 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n > 1 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM b
+"""
+
+
+def _oracle_op10() -> str:
+    either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    assign = rf"""({"|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [(0, assign), (1, "AKIA[A-Z0-9]+"), (2, "[0-9a-f]+"), (3, "[A-Za-z0-9+/_=-]{20,}")]
+    found = " UNION ALL ".join(f"SELECT doc_id, {k} AS kind, regexp_extract_all(x, '{p}') AS f, string_split_regex(x, '{p}') AS g, {f"regexp_extract_all(x, '{p}', 2)" if not k else "[]::VARCHAR[]"} AS v FROM t" for k, p in kinds)
+    allowed = " OR ".join(f"regexp_matches(str, '{p}')" for p in ALLOWED)
+    bound = f"CASE WHEN regexp_matches(str, '{CLASSES[0][1]}') THEN {most_allowed(CLASSES[0][2])} ELSE {most_allowed(CLASSES[1][2])} END"
+    names = "(['assign', 'access', 'hex', 'entropy'])[kind + 1]"
+    said = f"{names} || ':' || start || ':' || stop"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), m AS ({found}),
+i AS (SELECT doc_id, kind, f, g, v, unnest(range(1, len(f) + 1)) AS i FROM m),
+s AS (SELECT doc_id, kind, f[i] AS str, coalesce(list_sum(list_transform(g[1:i], lambda q: length(q))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda q: length(q))), 0) AS start, v[i] AS v FROM i),
+e AS (SELECT *, start + length(str) AS stop FROM s),
+base AS (SELECT * FROM e WHERE (kind = 0 AND length(v) >= 6) OR (kind = 1 AND length(str) >= 20) OR (kind = 2 AND length(str) >= 24)),
+cand AS (SELECT * FROM e WHERE kind = 3 AND regexp_matches(str, '[0-9]') AND regexp_matches(str, '[A-Za-z]') AND NOT ({allowed})
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = e.doc_id AND b.start < e.stop AND e.start < b.stop)),
+w AS (SELECT doc_id, start, string_split(substr(str, j, {WINDOW}), '') AS w FROM (SELECT doc_id, start, str, unnest(range(1, length(str) - {WINDOW - 2})) AS j FROM cand)),
+h AS (SELECT doc_id, start, min(list_sum(list_transform(list_distinct(w), lambda c: ({WEIGHT})[len(list_filter(w, lambda d: d = c)) + 1]))) AS least FROM w GROUP BY ALL),
+every AS (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT doc_id, kind, start, stop FROM cand JOIN h USING (doc_id, start) WHERE least <= {bound}),
+r AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS k, count(*) FILTER (WHERE kind = 2) AS x,
+  coalesce(string_agg(CASE WHEN kind < 3 THEN {said} END, ',' ORDER BY start, kind), '') AS b, string_agg({said}, ',' ORDER BY start, kind) AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(x, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN r USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_warc": op2_warc,
@@ -147,4 +184,4 @@ QUERIES = {
     "op9_chat_tree": op9_chat_tree,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES = {"op1_url_filter": ORACLE_OP1, "op6_minhash_dedup": ORACLE_OP6, "op8_decontaminate": ORACLE_OP8, "op9_chat_tree": ORACLE_OP9}
+ORACLES = {"op1_url_filter": ORACLE_OP1, "op2_warc": ORACLE_OP2, "op6_minhash_dedup": ORACLE_OP6, "op8_decontaminate": ORACLE_OP8, "op9_chat_tree": ORACLE_OP9, "op10_secret_scan": _oracle_op10()}

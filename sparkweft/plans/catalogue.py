@@ -11,7 +11,7 @@ from sparkweft.functions import vocabulary as v
 from sparkweft.functions.paths import dirname, is_test_path
 from sparkweft.operators import adjacency as adj
 from sparkweft.operators import cochange as cc
-from sparkweft.operators import compat, components, contention, contracts, graph, landing, resolve, routes, surfaces
+from sparkweft.operators import compat, components, contention, contracts, evaluation, graph, landing, resolve, routes, surfaces, validation
 from sparkweft.sources.projection import name_sql, path_sql, relation, table, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -960,3 +960,101 @@ def units_components(spark, sf_dir):
     r = Relations(spark, sf_dir)
     structure = adj.resolved_pairs_meter(r.file_node, r.symbol_node, r.call_edge, r.import_edge).select("path_a", "path_b").distinct()
     return adj.meter(r.file_node, r.symbol_node, r.call_edge, r.import_edge, r.resource_edge, cc.graph_blind(_pairs(r), structure))
+
+
+# ---- validation and evaluation ---------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {EDGES_SQL}, s AS (SELECT *, CASE kind WHEN 'imports' THEN 'imports' WHEN 'calls' THEN 'calls' WHEN 'reads_config' THEN 'config' ELSE 'database' END AS substrate FROM edges)
+    SELECT substrate, count(*) AS edges, count(*) FILTER (WHERE reference_status = 'unresolved') AS unresolved, count(*) FILTER (WHERE reference_status = 'ambiguous') AS ambiguous FROM s GROUP BY substrate"""
+)
+def substrate_metrics(spark, sf_dir):
+    return validation.metrics(_edges(Relations(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {EDGES_SQL}, nodes AS (SELECT path AS id, 'file' AS kind, path FROM file_node UNION ALL SELECT path, 'file', path FROM file_node WHERE loc % 3 = 0 UNION ALL SELECT '', 'gizmo', '/' || path FROM file_node WHERE loc % 5 = 0),
+    e AS (SELECT src, dst, CASE WHEN length(src) % 7 = 0 THEN 'likes' ELSE kind END AS kind, CASE WHEN length(dst) % 11 = 0 THEN 'odd' ELSE reference_status END AS reference_status FROM edges),
+    r AS (SELECT 'repeated_node' AS rule, count(*) AS n FROM (SELECT id FROM nodes GROUP BY id, kind, path HAVING count(*) > 1) UNION ALL SELECT 'unknown_node_kind', count(*) FROM nodes WHERE kind = 'gizmo' UNION ALL SELECT 'bad_id', count(*) FROM nodes WHERE id = ''
+      UNION ALL SELECT 'bad_path', count(*) FROM nodes WHERE path LIKE '/%' UNION ALL SELECT 'unknown_edge_kind', count(*) FROM e WHERE kind = 'likes' UNION ALL SELECT 'bad_reference_status', count(*) FROM e WHERE reference_status = 'odd')
+    SELECT * FROM r WHERE n > 0"""
+)
+def graph_validation(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    files = r.file_node
+    node = lambda d, i, k, p: d.select(i.alias("id"), F.lit(k).alias("kind"), p.alias("path"))
+    path = F.col("path")
+    nodes = node(files, path, "file", path).unionAll(node(files.where("loc % 3 = 0"), path, "file", path)).unionAll(node(files.where("loc % 5 = 0"), F.lit(""), "gizmo", F.concat(F.lit("/"), path)))
+    edges = _edges(r).withColumns({"kind": F.when(F.length("src") % 7 == 0, "likes").otherwise(F.col("kind")), "reference_status": F.when(F.length("dst") % 11 == 0, "odd").otherwise(F.col("reference_status"))})
+    return validation.validation_errors(nodes, edges)
+
+
+KEYS_SQL = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'table' WHEN 1 THEN 'column' WHEN 2 THEN 'config_key' WHEN 3 THEN 'iac_resource' WHEN 4 THEN 'job_task' ELSE 'api_type' END AS kind, CASE p_partkey % 6 WHEN 1 THEN 'column::' WHEN 3 THEN 'iac_resource::' WHEN 4 THEN 'job::' ELSE '' END || p_brand AS id, p_name AS name FROM part"
+
+
+@query(f"SELECT p_partkey, CASE WHEN kind IN ('table', 'config_key') THEN name WHEN kind IN ('column', 'iac_resource') THEN regexp_replace(id, '^[a-z_]+::', '') ELSE id END AS canonical_key FROM ({KEYS_SQL})")
+def canonical_keys(spark, sf_dir):
+    rows = spark.sql(KEYS_SQL.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return rows.select("p_partkey", validation.canonical_key(F.col("kind"), F.col("id"), F.col("name")).alias("canonical_key"))
+
+
+@query(f"WITH k AS (SELECT kind, CASE WHEN kind IN ('table', 'config_key') THEN name WHEN kind IN ('column', 'iac_resource') THEN regexp_replace(id, '^[a-z_]+::', '') ELSE id END AS canonical_key FROM ({KEYS_SQL})) SELECT canonical_key, count(DISTINCT kind) AS kinds FROM k GROUP BY 1 HAVING count(DISTINCT kind) > 1")
+def cross_kind_collisions(spark, sf_dir):
+    rows = spark.sql(KEYS_SQL.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return validation.cross_kind_collisions(rows.withColumn("canonical_key", validation.canonical_key(F.col("kind"), F.col("id"), F.col("name"))))
+
+
+RATES_SQL = f"""{BASKET_SQL}, labelled AS (SELECT DISTINCT least(src, dst) AS path_a, greatest(src, dst) AS path_b, CASE WHEN reference_status IS NULL THEN 'coupled' ELSE 'control' END AS label FROM import_edge WHERE src <> dst),
+rates AS (SELECT label, regexp_replace(path_a, '/[^/]*$', '') <> regexp_replace(path_b, '/[^/]*$', '') AS cross_dir, count(*) AS pairs, count(co.co) AS together FROM labelled LEFT JOIN co USING (path_a, path_b) GROUP BY ALL)"""
+
+
+def _labelled(r: Relations) -> DataFrame:
+    label = F.when(F.col("reference_status").isNull(), "coupled").otherwise("control")
+    return r.import_edge.where("src <> dst").select(F.least("src", "dst").alias("path_a"), F.greatest("src", "dst").alias("path_b"), label.alias("label")).distinct()
+
+
+@query(f"WITH {RATES_SQL} SELECT label, cross_dir, pairs, together FROM rates")
+def evaluation_rates(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return evaluation.change_rates(_labelled(r), cc.pair_counts(cc.baskets(r.touch))).withColumnRenamed("cross", "cross_dir")
+
+
+@query(
+    f"""WITH {RATES_SQL}, one AS (SELECT sum(together) FILTER (WHERE label = 'coupled') / sum(pairs) FILTER (WHERE label = 'coupled') AS coupled, sum(together) FILTER (WHERE label = 'control') / sum(pairs) FILTER (WHERE label = 'control') AS control,
+      sum(together) FILTER (WHERE label = 'coupled' AND cross_dir) / sum(pairs) FILTER (WHERE label = 'coupled' AND cross_dir) AS coupled_cross, sum(together) FILTER (WHERE label = 'control' AND cross_dir) / sum(pairs) FILTER (WHERE label = 'control' AND cross_dir) AS control_cross,
+      coalesce(sum(pairs) FILTER (WHERE label = 'coupled' AND cross_dir), 0)::BIGINT AS cross_pairs FROM rates)
+    SELECT *, cross_pairs >= 20 AND control_cross > 0 AS applicable, cross_pairs >= 20 AND control_cross > 0 AND coupled > 1.3::DOUBLE * control AND coupled_cross > 1.3::DOUBLE * control_cross AS "real" FROM one"""
+)
+def evaluation_verdict(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return evaluation.verdict(evaluation.change_rates(_labelled(r), cc.pair_counts(cc.baskets(r.touch))))
+
+
+@query()
+def evaluation_controls(spark, sf_dir):
+    """Control pairs by a seeded hash order, which has no SQL twin."""
+    return evaluation.controls(Relations(spark, sf_dir).file_node)
+
+
+@query(
+    f"""WITH {BASKET_SQL}, {STRUCT_SQL}, labelled AS (SELECT DISTINCT least(src, dst) AS path_a, greatest(src, dst) AS path_b, length(src) % 2 = 0 AS related FROM call_edge JOIN file_node ON path = src WHERE src < dst),
+    hist AS (SELECT path_a, path_b FROM scored WHERE co >= 2 AND lift >= 2), f AS (SELECT src AS path_a, dst AS path_b, length(src) % 2 = 0 AS related FROM (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM import_edge WHERE src <> dst)),
+    g AS (SELECT related, s.path_a IS NOT NULL AS g, h.path_a IS NOT NULL AS h FROM f LEFT JOIN structure s USING (path_a, path_b) LEFT JOIN hist h USING (path_a, path_b)),
+    m AS (SELECT related, unnest([{{'mode': 'graph', 'said': g}}, {{'mode': 'cochange', 'said': h}}, {{'mode': 'union', 'said': g OR h}}, {{'mode': 'corroborated', 'said': g AND h}}]) AS u FROM g)
+    SELECT u.mode AS mode, count(*) FILTER (WHERE u.said AND related) AS tp, count(*) FILTER (WHERE u.said AND NOT related) AS fp, count(*) FILTER (WHERE NOT u.said AND related) AS fn, count(*) FILTER (WHERE NOT u.said AND NOT related) AS tn FROM m GROUP BY 1"""
+)
+def detector_scores(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    labelled = r.import_edge.where("src <> dst").select(F.least("src", "dst").alias("path_a"), F.greatest("src", "dst").alias("path_b")).distinct().withColumn("related", F.length("path_a") % 2 == 0)
+    return evaluation.detector_scores(labelled, cc.structural_pairs(graph.usable(r.import_edge)), _pairs(r))
+
+
+@query(
+    f"""WITH {BASKET_SQL}, {STRUCT_SQL}, hist AS (SELECT path_a, path_b FROM scored WHERE co >= 2 AND lift >= 2), me AS (SELECT '{{path}}' AS p),
+    s AS (SELECT DISTINCT CASE WHEN path_a = p THEN path_b ELSE path_a END AS candidate FROM structure, me WHERE p IN (path_a, path_b)), h AS (SELECT DISTINCT CASE WHEN path_a = p THEN path_b ELSE path_a END AS candidate FROM hist, me WHERE p IN (path_a, path_b))
+    SELECT candidate, CASE WHEN s.candidate IS NULL THEN 'not_observed' ELSE 'observed' END AS static, CASE WHEN h.candidate IS NULL THEN 'not_observed' ELSE 'observed' END AS historical FROM s FULL JOIN h USING (candidate)""".replace("{path}", "src/m1/p12.py")
+)
+def review_file(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return evaluation.review("src/m1/p12.py", cc.structural_pairs(graph.usable(r.import_edge)), _pairs(r))

@@ -199,3 +199,13 @@ def test_graph_hash_ignores_order(spark):
     rows = [(f"s{i}", f"d{i % 7}", None) for i in range(50)]
     a, b = spark.createDataFrame(rows, EDGE), spark.createDataFrame(rows[::-1], EDGE).repartition(5)
     assert graph.graph_hash(a).first() == graph.graph_hash(b).first() != graph.graph_hash(a.limit(49)).first()
+
+
+def test_nfc_and_controls(spark):
+    from sparkweft.operators import evaluation, validation
+
+    rows = validation.nfc_fold(spark.createDataFrame([("é",), ("plain",), (None,)], "p string"), "p").collect()
+    assert [r.p for r in rows] == ["é", "plain", None]
+    files = spark.createDataFrame([(f"f{i}",) for i in range(300)], "path string")
+    a = sorted(map(tuple, evaluation.controls(files).collect()))
+    assert a == sorted(map(tuple, evaluation.controls(files.repartition(7)).collect())) and 300 < len(a) < 600

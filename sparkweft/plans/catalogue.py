@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.functions import vocabulary as v
-from sparkweft.functions.paths import dirname, is_test_path
 from sparkweft.operators import adjacency as adj
 from sparkweft.operators import cochange as cc
 from sparkweft.operators import compat, components, contention, contracts, evaluation, graph, landing, resolve, routes, surfaces, validation
-from sparkweft.sources.projection import name_sql, path_sql, relation, table, with_relations
+from sparkweft.sources.projection import relation, table, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -126,3 +126,18 @@ def effective_verdicts(verdict: DataFrame, claims: DataFrame, files: DataFrame,
     quiet = F.col("dampened").isNull()
     effective = F.when((F.col("verdict") == "unknown") & F.coalesce("all_new", F.lit(False)) & quiet, "clear").when((F.col("verdict") == "clear") & ~quiet, "unknown").otherwise(F.col("verdict"))
     return rows.select("change_id", "verdict", effective.alias("effective"))
+
+
+def coupling_snapshot(adjacency: DataFrame) -> DataFrame:
+    """(change_id, couplings, snapshot): a hash of each change's couplings in order; another hash means an acknowledgement is stale."""
+    rows = adjacency.select("change_id", F.concat_ws("|", "f", "nbr", "dir").alias("c")).distinct()
+    return rows.groupBy("change_id").agg(F.count("*").alias("couplings"), F.sha2(F.array_join(F.array_sort(F.collect_list("c")), "\n"), 256).alias("snapshot"))
+
+
+def coordination_brief(verdict: DataFrame, wait_rows: DataFrame, impact: DataFrame) -> DataFrame:
+    """(change_id, brief): the verdict with the changes waited for and the reach, as one JSON document per change."""
+    holders = wait_rows.groupBy(F.col("waiter").alias("change_id")).agg(F.array_sort(F.collect_set("holder")).alias("waits_for"), F.countDistinct("path").alias("contended_paths"))
+    rows = verdict.join(holders, "change_id", "left").join(impact, "change_id", "left")
+    none = F.expr("cast(array() as array<string>)")
+    brief = F.struct("verdict", F.coalesce("waits_for", none).alias("waits_for"), F.coalesce("contended_paths", F.lit(0)).alias("contended_paths"), F.coalesce("impact", F.lit(0)).alias("impact"))
+    return rows.select("change_id", F.to_json(brief).alias("brief"))

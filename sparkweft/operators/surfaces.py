@@ -182,3 +182,15 @@ def freshness(versions: DataFrame, heads: DataFrame, extractor: str, as_of: str)
     behind = ~F.col("commit_sha").eqNullSafe(F.col("head_sha")) | ~F.col("extractor_version").eqNullSafe(F.lit(extractor))
     age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("captured_at").cast("timestamp"))
     return rows.select("repo", behind.alias("behind"), age.alias("age"))
+
+
+def rekey(rows: DataFrame, renames: DataFrame, key: str) -> DataFrame:
+    """Rows with their coordinate under its new name; renames (old, new) has one row per old name."""
+    table = renames.select(F.col("old").alias(key), F.col("new").alias("_new"))
+    return rows.join(table, key, "left").withColumn(key, F.coalesce("_new", key)).drop("_new").select(rows.columns)
+
+
+def fair_order(deliveries: DataFrame, per_account: int) -> DataFrame:
+    """(delivery, turn): each account's deliveries in order of arrival, accounts taking turns, at most per_account in flight (the queue's own cap)."""
+    order = Window.partitionBy("account").orderBy("occurred_at", "event_id")
+    return deliveries.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_account).select("event_id", "account", "turn")

@@ -1057,3 +1057,36 @@ def detector_scores(spark, sf_dir):
 def review_file(spark, sf_dir):
     r = Relations(spark, sf_dir)
     return evaluation.review("src/m1/p12.py", cc.structural_pairs(graph.usable(r.import_edge)), _pairs(r))
+
+
+@query(
+    f"""WITH {ADJ_SQL}, c AS (SELECT DISTINCT change_id, f || '|' || nbr || '|' || dir AS c FROM adjacent)
+    SELECT change_id, count(*) AS couplings, sha256(string_agg(c, chr(10) ORDER BY c)) AS snapshot FROM c GROUP BY change_id"""
+)
+def coupling_snapshot(spark, sf_dir):
+    return contention.coupling_snapshot(_adjacency(Relations(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {ADJ_SQL}, {WAITS_SQL}, i AS (SELECT change_id, count(DISTINCT nbr) AS impact FROM adjacent WHERE dir IN ('down', 'shared') GROUP BY change_id),
+    w AS (SELECT waiter AS change_id, string_agg(DISTINCT '"' || holder || '"', ',' ORDER BY '"' || holder || '"') AS h, count(DISTINCT path) AS n FROM wait_rows GROUP BY waiter)
+    SELECT change_id, '{{"verdict":"' || CASE WHEN h IS NULL THEN 'clear' ELSE 'serialize' END || '","waits_for":[' || coalesce(h, '') || '],"contended_paths":' || coalesce(n, 0) || ',"impact":' || coalesce(impact, 0) || '}}' AS brief
+    FROM (SELECT DISTINCT change_id FROM claim) LEFT JOIN w USING (change_id) LEFT JOIN i USING (change_id)"""
+)
+def coordination_brief(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    rows = contention.waits(r.claim)
+    waiting = rows.select(F.col("waiter").alias("change_id")).distinct().withColumn("w", F.lit(True))
+    verdict = r.claim.select("change_id").distinct().join(waiting, "change_id", "left").select("change_id", F.when(F.col("w"), "serialize").otherwise("clear").alias("verdict"))
+    return contention.coordination_brief(verdict, rows, contention.impacts(_adjacency(r)))
+
+
+@query("SELECT event_id, CASE account WHEN 'acct1' THEN 'acct9' WHEN 'acct2' THEN 'acct8' ELSE account END AS account FROM event_log")
+def renamed_coordinates(spark, sf_dir):
+    names = spark.sql("SELECT * FROM VALUES ('acct1', 'acct9'), ('acct2', 'acct8') AS t(old, new)")
+    return surfaces.rekey(Relations(spark, sf_dir).event_log, names, "account").select("event_id", "account")
+
+
+@query("SELECT event_id, account, turn FROM (SELECT event_id, account, row_number() OVER (PARTITION BY account ORDER BY occurred_at, event_id) AS turn FROM event_log WHERE kind = 'pushed') WHERE turn <= 50")
+def fair_queue_order(spark, sf_dir):
+    return surfaces.fair_order(Relations(spark, sf_dir).event_log.where("kind = 'pushed'"), 50)

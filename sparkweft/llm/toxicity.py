@@ -62,7 +62,7 @@ def tag_word(word: str, lexicon: dict[str, float]) -> tuple[int, float]:
 class Tags(dict):
     """Lower-case word to its tag as one byte; the insults met keep their weights. Bounded."""
 
-    def __init__(self, lexicon: dict[str, float], limit: int = 300_000):
+    def __init__(self, lexicon: dict[str, float], limit: int = 150_000):
         super().__init__()
         self.lexicon, self.limit, self.weights = lexicon, limit, {}
 
@@ -219,7 +219,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
     one = clean.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     few = F.broadcast(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # sample ids at most
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(few, "doc_id").select("doc_id", "label", "text")
-    picked = rows.mapInArrow(_sketch, "doc_id long, label int, text string, sketch long").dropDuplicates(["sketch", "label"]).persist()
+    sketched = rows.mapInArrow(_sketch, "doc_id long, label int, text string, sketch long")
+    # of each group the smallest id, so that every run learns from the same rows; sample rows at most
+    picked = sketched.groupBy("sketch", "label").agg(F.min(F.struct("doc_id", "text")).alias("row")).select("row.doc_id", "label", "row.text").persist()
     try:
         sizes = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
         n1, n0 = sizes.get(1, 0), sizes.get(0, 0)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.shared import shared_table
+from sparkweft.llm.shared import shared_table, small_batches
 
 # The template. In roles and texts each of \\, # and < gets a backslash before it (in roles : and line ends too),
 # so neither mark occurs in them as it stands.
@@ -194,6 +194,7 @@ def prefix_trees(conversations: DataFrame, tokenizer_path: str | None = None, mo
     ignored. Empty tables give empty ones.
     """
     spark = conversations.sparkSession
+    small_batches(spark)
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

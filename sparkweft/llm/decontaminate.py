@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.shared import WordHash, per_worker, shingle_sequence
+from sparkweft.llm.shared import WordHash, per_worker, shingle_sequence, small_batches
 
 RUN = 1024
 BINS_PER_SHINGLE = 8
@@ -120,6 +120,7 @@ def _keep(items, percent: int, at: int):
 
 def _blocks(benchmark: DataFrame, item_bytes: int):
     """The items as broadcasts of at most about item_bytes of text each; mostly one."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // item_bytes))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweft.llm.components import connected_components
-from sparkweft.llm.shared import WordHash, id_filter, shared_table, shingle_sequence
+from sparkweft.llm.shared import WordHash, id_filter, shared_table, shingle_sequence, small_batches
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
@@ -157,6 +157,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     and is not kept. Rows that repeat an id are judged each by its own text. Other columns of the input are ignored.
     An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = shared_table(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, band_keys array<long>"), "sketch")
     known = sketches.where("doc_id is not null and digest is not null")

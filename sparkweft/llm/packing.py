@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweft.llm.shared import per_worker, shared_table
+from sparkweft.llm.shared import per_worker, shared_table, small_batches
 
 END_ID = 1
 #: A word of letters that lower-case one by one and that normal forms leave alone.
@@ -38,7 +38,7 @@ class TokenBytes(dict):
     words go straight to the tokenizer's model, everything else through the whole tokenizer.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 400_000):
+    def __init__(self, vocabulary: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -117,6 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
     each, a null id is carried, other columns are ignored, an empty table gives an empty one. The vocabulary file is read
     on the driver and sent along.
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())  # one file of a few MB, whatever the input
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

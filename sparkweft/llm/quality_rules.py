@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.shared import WordHash, per_worker, shared_table, window_hashes, word_hashes
+from sparkweft.llm.shared import WordHash, per_worker, shared_table, small_batches, window_hashes, word_hashes
 
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -107,6 +107,7 @@ def posterior(patterns: np.ndarray, table: np.ndarray, prior: float) -> np.ndarr
 
 def quality_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the features and each rule's vote (-1 reject, 0 abstain, 1 keep) as votes array."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, " + ", ".join(f"{x} long" for x in FEATURES)
     vote = [F.when(F.expr(no), -1).when(F.expr(yes), 1).otherwise(0).cast("int") for _, no, yes in RULES]

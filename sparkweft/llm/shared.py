@@ -32,6 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+#: Rows of whole texts in one Arrow batch; the default of 10,000 is meant for narrow rows.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send texts to Python in batches of at most BATCH_ROWS rows, so that neither side holds many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def new_shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/sparkweft-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
@@ -81,7 +92,7 @@ def id_filter(ids: DataFrame, id_col: str = "doc_id"):
 class WordHash(dict):
     """Word (bytes) to the 8 bytes of its 64-bit hash. Forgets all once it holds limit words, so memory stays bounded."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 120_000):
         super().__init__()
         self.limit = limit
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.shared import WordHash, is_held_out, shingle_sequence
+from sparkweft.llm.shared import WordHash, is_held_out, shingle_sequence, small_batches
 
 # Word lists of the transducers that are not learned.
 THREATS = frozenset("kill hurt destroy beat burn shoot stab punish töten schlagen tuer frapper détruire matar golpear destruir".split())
@@ -215,6 +215,7 @@ class Grammar:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Grammar:
     """Learns from at most sample labelled documents, none held out, one of each group of copies."""
+    small_batches(docs.sparkSession)
     clean = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     one = clean.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     few = F.broadcast(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # sample ids at most
@@ -255,6 +256,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", te
     and not held out; other columns are ignored. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(grammar.lexicon)  # MOST_PREFIXES short strings at most
     found = rows.mapInArrow(_matches(sent, False), "doc_id long, found array<double>")
     logit = F.lit(float(grammar.weights[-1]))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.shared import new_shared_path, shared_table
+from sparkweft.llm.shared import new_shared_path, shared_table, small_batches
 
 # Fixed values of the formats.
 DICT_MAGIC = 0x184D2A5D
@@ -268,6 +268,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     The payload is the html in UTF-8, empty where it is null. A null id is largest only among null ids. Other columns are
     ignored. An empty table writes no archive.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     payload = F.coalesce("html", F.lit("")).cast("binary")
     marked = rows.withColumn("digest", F.when(F.octet_length(payload) >= least_bytes, F.unhex(F.sha1(payload))))

@@ -51,14 +51,17 @@ def match_pairs(defined: DataFrame, requested: DataFrame) -> DataFrame:
 
     The index key is (place from the end, segment), on which both sides meet by an equi-join; nothing is compared with everything.
     """
-    def keyed(df: DataFrame, file: str, route: str) -> DataFrame:
+    def keyed(df: DataFrame, route: str) -> DataFrame:
         segs = segments(F.col("route"))
         back = F.transform(segs, lambda s, i: F.struct((F.size(segs) - i).alias("at"), s.alias("seg")))
-        rows = df.where(is_specific(F.col("route"))).select(F.col("path").alias(file), F.col("route").alias(route), F.explode(back).alias("k"))
-        return rows.where("k.seg <> '{}'").select(file, route, "k.at", "k.seg")
-
-    pairs = keyed(defined, "definer", "r").join(keyed(requested, "requester", "u"), ["at", "seg"]).select("definer", "requester", "r", "u").distinct()
-    hit = pairs.where((F.col("definer") != F.col("requester")) & match_routes(F.col("r"), F.col("u")))
+        rows = df.select("route").distinct().where(is_specific(F.col("route"))).select(F.col("route").alias(route), F.explode(back).alias("k"))
+        return rows.where("k.seg <> '{}'").select(route, "k.at", "k.seg")
+
+    # distinct routes meet first; files come back to those that match
+    pairs = keyed(defined, "r").join(keyed(requested, "u"), ["at", "seg"]).select("r", "u").distinct().where(match_routes(F.col("r"), F.col("u")))
+    d = defined.select(F.col("path").alias("definer"), F.col("route").alias("r")).distinct()
+    q = requested.select(F.col("path").alias("requester"), F.col("route").alias("u")).distinct()
+    hit = pairs.join(d, "r").join(q, "u").where("definer <> requester")
     return hit.select("definer", "requester", F.col("r").alias("route"), F.col("u").alias("url"))
 
 

@@ -463,21 +463,16 @@ ladder AS (SELECT change_id, CASE WHEN hard THEN 1 WHEN soft THEN 2 WHEN draft T
 judged AS (SELECT change_id, step, (['serialize', 'serialize_soft', 'warn', 'warn', 'unknown', 'warn', 'unknown', 'unknown', 'unknown', 'clear'])[step] AS verdict FROM ladder)"""
 
 
-def _some_claims(r: Relations) -> DataFrame:
-    """Fewer claims per change, so that every step of the ladder has cases."""
-    return r.claim.withColumn("change_id", F.concat("change_id", F.lit("-"), F.col("claim_id") % 50))
-
-
 FEW_SQL = "claim AS (SELECT * REPLACE (change_id || '-' || (claim_id % 50) AS change_id) FROM all_claims)"
 
 
 def _few(oracle: str) -> str:
-    """The oracle over _some_claims: the relation goes by another name and a CTE takes its place."""
+    """The oracle over changes split into fewer claims each, which the queries no longer do: the relation goes by another name and a CTE takes its place."""
     return oracle.replace(" claim AS (", " all_claims AS (", 1).replace(ADJ_SQL[:40], f"{FEW_SQL}, {ADJ_SQL[:40]}", 1)
 
 
 def _verdicts(r: Relations) -> DataFrame:
-    claims = _some_claims(r)
+    claims = r.claim
     links = adj.claim_adjacency(claims, r.symbol_node, r.call_edge, r.import_edge, r.resource_edge)
     return contention.verdicts(claims, r.file_node, contention.waits(claims), links, adj.dampened_pairs(claims, r.import_edge, r.resource_edge, degree=4), _pairs(r))
 
@@ -499,9 +494,9 @@ def corroborated_dampened(spark, sf_dir):
 @query()
 def cluster_rollup(spark, sf_dir):
     r = Relations(spark, sf_dir)
-    claims = _some_claims(r)
+    claims = r.claim
     verdict = _verdicts(r)
-    link = contention.waits(claims).where("substring_index(waiter, '-', -1) = substring_index(holder, '-', -1)").select(F.col("waiter").alias("a"), F.col("holder").alias("b"))
+    link = contention.waits(claims).select(F.col("waiter").alias("a"), F.col("holder").alias("b"))
     parts = components.connected_components(claims.select(F.col("change_id").alias("node")).distinct(), link)
     return contention.cluster_rollup(parts, verdict, claims)
 
@@ -521,7 +516,7 @@ ORACLES["cluster_rollup"] = _few(
 @query()
 def effective_verdicts(spark, sf_dir):
     r = Relations(spark, sf_dir)
-    claims = _some_claims(r)
+    claims = r.claim
     added = claims.where("claim_id % 2 = 0").select("path").distinct()
     return contention.effective_verdicts(_verdicts(r), claims, r.file_node, adj.dampened_pairs(claims, r.import_edge, r.resource_edge, degree=4), added)
 

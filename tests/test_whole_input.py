@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from sparkweft.functions import vocabulary as v
 from sparkweft.operators import components, contention
 from sparkweft.plans import catalogue
 from sparkweft.plans.catalogue import QUERIES, Relations
@@ -64,3 +65,33 @@ def test_several_clusters(spark):
     links = contention.change_links(contention.waits(claims), adjacency, claims)
     out = components.connected_components(claims.select(F.col("change_id").alias("node")), links)
     assert {r.node: r.component for r in out.collect()} == {"PR-1": "PR-1", "PR-2": "PR-1", "PR-3": "PR-3", "PR-4": "PR-3", "PR-5": "PR-5"}
+
+
+@tables
+def test_rollup_judges_real_changes_over_all_waits(spark):
+    r = Relations(spark, DIR)
+    claims = r.claim.collect()
+    said = {x.change_id: x for x in QUERIES["verdicts"](spark, DIR).collect()}
+    assert set(said) == {c.change_id for c in claims}
+    waiting = {w for w, _ in all_waits(claims)}
+    assert waiting == {c for c, x in said.items() if x.step <= 3}
+    assert {x.change_id: x.verdict for x in QUERIES["effective_verdicts"](spark, DIR).collect()} == {c: x.verdict for c, x in said.items()}
+    member = clusters(said, all_waits(claims))
+    want = {}
+    for root in set(member.values()):
+        mine = {c for c in member if member[c] == root}
+        on = {}
+        for c in claims:
+            if c.change_id in mine:
+                on.setdefault(c.path, set()).add(c.change_id)
+        if len(mine) >= 2:
+            want[root] = (len(mine), min((said[c].verdict for c in mine), key=v.VERDICTS.index), sum(len(x) >= 2 for x in on.values()))
+    assert {x.component: (x.size, x.worst, x.hotspots) for x in QUERIES["cluster_rollup"](spark, DIR).collect()} == want
+
+
+def test_rollup_of_several_clusters(spark):
+    parts = spark.createDataFrame([("A", "A"), ("B", "A"), ("C", "C"), ("D", "C"), ("E", "E")], "node string, component string")
+    verdict = spark.createDataFrame([("A", "clear"), ("B", "warn"), ("C", "unknown"), ("D", "clear"), ("E", "serialize")], "change_id string, verdict string")
+    claims = spark.createDataFrame([("A", "x"), ("B", "x"), ("B", "y"), ("C", "z"), ("D", "w"), ("E", "x")], "change_id string, path string")
+    out = contention.cluster_rollup(parts, verdict, claims)
+    assert sorted((x.component, x.size, x.worst, x.hotspots) for x in out.collect()) == [("A", 2, "warn", 1), ("C", 2, "unknown", 0)]

@@ -890,11 +890,17 @@ def import_suffix_resolve(spark, sf_dir):
     SELECT family, stem, count(*) AS n, CASE WHEN count(*) > 8 THEN 'raw' WHEN count(*) > 1 THEN 'ambiguous' ELSE 'resolved' END AS fate FROM stems JOIN asked USING (family, stem) GROUP BY ALL"""
 )
 def bare_fanout_cap(spark, sf_dir):
+    """Bare imports of every stem: one raw edge, several ambiguous ones or one resolved. A stem's files grow with the root of the key."""
     r = Relations(spark, sf_dir)
     key = F.regexp_extract("path", r"/p(\d+)\.", 1).cast("long")
-    rows = r.file_node.select("path", F.col("language").alias("family"), key.alias("k")).where("k < 400").select("path", "family", F.concat(F.lit("p"), F.col("k") % 60).alias("stem"))
+    stem = F.concat(F.lit("p"), F.floor(F.sqrt("k")))
+    rows = r.file_node.select(F.col("language").alias("family"), key.alias("k")).select("family", stem.alias("stem"), F.concat(F.lit("src/m"), "k", F.lit("/"), stem, F.lit(".py")).alias("path"))
     n = rows.groupBy("family", "stem").agg(F.count("*").alias("n"))
-    return n.select("family", "stem", "n", F.when(F.col("n") > v.MAX_BARE_FANOUT, "raw").when(F.col("n") > 1, "ambiguous").otherwise("resolved").alias("fate"))
+    asked = n.select(F.concat(F.lit("main/"), "family").alias("src"), F.col("stem").alias("module"), "family")
+    raw = F.bool_or(F.col("dst") == F.col("module"))
+    edges = resolve.resolve_imports(asked, rows.select("path", "family")).groupBy("src", "module").agg(F.when(raw, "raw").when(F.bool_or(F.col("reference_status") == "ambiguous"), "ambiguous").otherwise("resolved").alias("fate"))
+    fates = edges.select(F.substring("src", 6, 1000).alias("family"), F.col("module").alias("stem"), "fate")
+    return n.join(fates, ["family", "stem"]).select("family", "stem", "n", "fate")
 
 
 STEM_FILES_SQL = "stem_files AS (SELECT DISTINCT 'src/' || (CASE p_partkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'docs' ELSE 'gamma' END) || '/' || replace(p_name, ' ', '_') || CASE WHEN p_partkey % 5 = 0 THEN '.service' ELSE '' END || CASE p_size % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.go' ELSE '.ts' END AS path FROM part WHERE p_partkey % 7 <= 1)"
@@ -905,10 +911,12 @@ STEM_FILES_SQL = "stem_files AS (SELECT DISTINCT 'src/' || (CASE p_partkey % 4 W
     g AS (SELECT family, stem FROM s GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8 AND count(DISTINCT dir) >= 2) SELECT 'sibling_stem::' || family || '::src::' || stem AS contract, path FROM s JOIN g USING (family, stem)"""
 )
 def sibling_stem_groups(spark, sf_dir):
-    part, k = Relations(spark, sf_dir).table("part").where("p_partkey % 7 <= 1"), F.col("p_partkey")
+    """One file per part; a stem is a word of its name and the root of its key, so that groups grow with the table, past the cap."""
+    part, k = Relations(spark, sf_dir).table("part"), F.col("p_partkey")
     place = F.when(k % 4 == 0, "alpha").when(k % 4 == 1, "beta").when(k % 4 == 2, "docs").otherwise("gamma")
     ext = F.when(F.col("p_size") % 3 == 0, ".py").when(F.col("p_size") % 3 == 1, ".go").otherwise(".ts")
-    files = part.select(F.concat(F.lit("src/"), place, F.lit("/"), F.translate("p_name", " ", "_"), F.when(k % 5 == 0, ".service").otherwise(""), ext).alias("path")).distinct()
+    stem = F.concat(F.get(F.split("p_name", " "), F.lit(1)), F.lit("_"), F.floor(F.sqrt(k)))
+    files = part.select(F.concat(F.lit("src/"), place, F.lit("/x"), k, F.lit("/"), stem, F.when(k % 5 == 0, ".service").otherwise(""), ext).alias("path")).distinct()
     return contracts.sibling_stems(files)
 
 
@@ -922,11 +930,13 @@ ROLE_FILES_SQL = "role_files AS (SELECT DISTINCT 'frontend/src/' || CASE p_partk
     SELECT DISTINCT 'role_feature::web_frontend::frontend::src::components__pages::' || token AS contract, path FROM u JOIN g USING (token)"""
 )
 def role_feature_pairs(spark, sf_dir):
-    part, k = Relations(spark, sf_dir).table("part").where("p_partkey < 300"), F.col("p_partkey")
+    """One file per part; beside two words of its name, a token of the root of its key, whose files grow with the table, past the cap."""
+    part, k = Relations(spark, sf_dir).table("part"), F.col("p_partkey")
     role = F.when(k % 3 == 0, "pages").when(k % 3 == 1, "components").otherwise("hooks")
     word = lambda i: F.get(F.split("p_name", " "), F.lit(i))
     ext = F.when(F.col("p_size") % 2 == 0, ".tsx").otherwise(".vue")
-    files = part.select(F.concat(F.lit("frontend/src/"), role, F.lit("/x"), k % 60, F.lit("/"), word(0), F.lit("_"), word(1), F.lit("s"), ext).alias("path")).distinct()
+    stem = F.concat(word(0), F.lit("_"), word(1), F.lit("s_feat"), F.floor(F.sqrt(k)))
+    files = part.select(F.concat(F.lit("frontend/src/"), role, F.lit("/x"), k, F.lit("/"), stem, ext).alias("path")).distinct()
     return contracts.role_features(files, most=30)
 
 

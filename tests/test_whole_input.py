@@ -1,12 +1,15 @@
 """Catalogue queries over all their input, against brute force; where the SQL beside a query takes less, this is its check."""
 
+import math
 import os
+from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkweft.functions import vocabulary as v
-from sparkweft.operators import components, contention
+from sparkweft.operators import components, contention, resolve
 from sparkweft.plans import catalogue
 from sparkweft.plans.catalogue import QUERIES, Relations
 
@@ -95,3 +98,52 @@ def test_rollup_of_several_clusters(spark):
     claims = spark.createDataFrame([("A", "x"), ("B", "x"), ("B", "y"), ("C", "z"), ("D", "w"), ("E", "x")], "change_id string, path string")
     out = contention.cluster_rollup(parts, verdict, claims)
     assert sorted((x.component, x.size, x.worst, x.hotspots) for x in out.collect()) == [("A", 2, "warn", 1), ("C", 2, "unknown", 0)]
+
+
+def parts(spark):
+    return [(r.p_partkey, r.p_name.split(" "), r.p_size) for r in Relations(spark, DIR).table("part").collect()]
+
+
+@tables
+def test_bare_imports_of_all_files(spark):
+    n = Counter((("python", "typescript", "go")[k % 3], f"p{math.isqrt(k)}") for k, _, _ in parts(spark) if k % 10 != 9)
+    fate = lambda x: "raw" if x > v.MAX_BARE_FANOUT else "ambiguous" if x > 1 else "resolved"
+    assert {(r.family, r.stem): (r.n, r.fate) for r in QUERIES["bare_fanout_cap"](spark, DIR).collect()} == {g: (x, fate(x)) for g, x in n.items()}
+
+
+def test_bare_imports_are_resolved_by_the_operator(spark, monkeypatch):
+    """At the cap and one over it, as resolve_imports says."""
+    rows = [(f"src/m{k}/p{k}.py", "go") for k in [i for s in (2, 3) for i in range(s * s, (s + 1) ** 2)]]
+    rows += [(f"src/m{100 + i}/p{100 + i}.py", "go") for i in range(9)]  # 100 to 108: one stem
+    files = spark.createDataFrame(rows, "path string, language string")
+    monkeypatch.setattr(catalogue, "Relations", lambda *_: SimpleNamespace(file_node=files))
+    out = {r.stem: (r.n, r.fate) for r in QUERIES["bare_fanout_cap"](spark, "").collect()}
+    assert out == {"p2": (5, "ambiguous"), "p3": (7, "ambiguous"), "p10": (9, "raw")}
+    one = resolve.resolve_imports
+    monkeypatch.setattr(resolve, "resolve_imports", lambda i, f: one(i, f, 4))
+    assert {r.stem: r.fate for r in QUERIES["bare_fanout_cap"](spark, "").collect()} == {"p2": "raw", "p3": "raw", "p10": "raw"}
+
+
+@tables
+def test_siblings_of_all_parts(spark):
+    groups = {}
+    for k, name, size in parts(spark):
+        if k % 4 != 2:  # docs
+            ext = (".py", ".go", ".ts")[size % 3]
+            path = f"src/{('alpha', 'beta', '', 'gamma')[k % 4]}/x{k}/{name[1]}_{math.isqrt(k)}{'' if k % 5 else '.service'}{ext}"
+            groups.setdefault(f"sibling_stem::{({'.py': 'python', '.go': 'go', '.ts': 'web'})[ext]}::src::{name[1]}-{math.isqrt(k)}", []).append(path)
+    want = sorted((c, p) for c, g in groups.items() if 2 <= len(g) <= v.MAX_GROUP_FILES for p in g)
+    assert want and sorted(map(tuple, QUERIES["sibling_stem_groups"](spark, DIR).collect())) == want
+
+
+@tables
+def test_role_pairs_of_all_parts(spark):
+    groups = {}
+    for k, name, size in parts(spark):
+        if k % 3 < 2:
+            path = f"frontend/src/{('pages', 'components')[k % 3]}/x{k}/{name[0]}_{name[1]}s_feat{math.isqrt(k)}{'.vue' if size % 2 else '.tsx'}"
+            for t in {name[0], name[1] if len(name[1]) >= 4 else f"{name[1]}s", f"feat{math.isqrt(k)}"}:
+                if len(t) >= 4 and t not in v.ROLE_TOKEN_STOP:
+                    groups.setdefault(f"role_feature::web_frontend::frontend::src::components__pages::{t}", []).append((k % 3, path))
+    want = sorted((c, p) for c, g in groups.items() if len({r for r, _ in g}) == 2 and len(g) <= 30 for _, p in g)
+    assert want and sorted(map(tuple, QUERIES["role_feature_pairs"](spark, DIR).collect())) == want

@@ -83,3 +83,15 @@ def test_empty_and_native(spark, none):
     assert s.find_secrets(none).count() == 0
     plan = s.find_secrets(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_random_strings_of_small_alphabets(spark):
+    r = random.Random(17)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    made = [(name, n, "".join(r.choice(chars) for _ in range(n))) for name, chars in (("lower", lower), ("base32", upper), ("HEX", "0123456789ABCDEF"), ("base62", B64[:62])) for n in (20, 24, 32) for _ in range(200)]
+    made = [x for x in made if re.search("[0-9]", x[2]) and re.search("[A-Za-z]", x[2])]
+    df = spark.createDataFrame([(f"{a}{n}", f"see {x} there") for a, n, x in made], "kind string, text string")
+    found = {r.kind: r.share for r in s.find_secrets(df).groupBy("kind").agg(F.avg((F.size("secrets") > 0).cast("int")).alias("share")).collect()}
+    assert len(found) == 12 and min(found.values()) >= 0.95, found
+    words = "aaaaaaaaaaaaaaaaaaaa1 1111222233334444aaaa v1-release-candidate-notes some_long_function_name_2 bananabananabanana22"
+    assert s.find_secrets(spark.createDataFrame([(words,)], "text string")).first().secrets == []

@@ -28,8 +28,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; of rows that repeat, one. Rows without id go."""
-    return without_duplicates(docs, percent=NEAR_PERCENT).select(docs.columns)
+    """Of each group of near copies the document with the smallest id; of rows that repeat, one.
+
+    A row without id takes part under a number of its text, above the ids, so that a copy with an id goes before it.
+    """
+    number = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 3)
+    known = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), number))
+    return without_duplicates(known, percent=NEAR_PERCENT, id_col="_key").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,3 +77,13 @@ def test_registered():
     known = e.queries()
     assert [n for n in known if re.match(r"op\d+_", n)] == list(queries.QUERIES) and "pipeline" in known
     assert os.path.exists(queries.tokenizer_path())
+
+
+def test_near_dedup_keeps_clean_rows_without_id(spark):
+    a, b, c = words(1, 90), words(2, 90), words(3, 90)
+    rows = [(1, a), (None, a), (None, a + " tail"), (None, b), (None, b), (None, b + " tail"), (None, c), (2, None), (3, ""), (3, ""), (4, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r.doc_id, r.text) for r in cp.near_dedup(spark, docs, "").collect()]
+    named, unnamed = [x for x in out if x[0] is not None], [t for i, t in out if i is None]
+    assert sorted(named, key=str) == [(1, a), (2, None), (3, "")]
+    assert len(unnamed) == 2 and c in unnamed and {b, b + " tail"} & set(unnamed)

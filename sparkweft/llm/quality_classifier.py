@@ -8,7 +8,8 @@ features' numbers: executors get a table of BUCKETS floats and look words up.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,14 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from sparkweft.llm.shared import is_held_out, per_worker, small_batches, window_hashes
+from sparkweft.llm.shared import is_held_out, per_worker, shared_table, small_batches, window_hashes
 
 BUCKETS, DIM = 1 << 18, 8
 NGRAMS = (3, 4)
-#: Labelled documents of each class to learn from, the first by a hash of the id. The bound on what the driver gathers.
+#: Labelled documents of each class to learn from, the first by a hash of the id. Their features, whole, go to a file of the driver's.
 PER_CLASS = 1500
-#: Distinct features of a training document that are kept; one with more is thinned evenly over the whole text.
-MOST_FEATURES = 8_192
 EPOCHS, RATE, SEED = 6, 0.5, 20_240
 SAME_PAIR = 0
 
@@ -79,14 +78,31 @@ def _training_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         ids, counts = [], []
         for text in batch.column(2):
             i, c = document_features(text.as_py(), cache)
-            if len(i) > MOST_FEATURES:
-                pick = np.linspace(0, len(i) - 1, MOST_FEATURES).astype(int)
-                i, c = i[pick], c[pick]
             ids.append(i.astype("<i4").tobytes())
             counts.append(c.astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "label", "ids", "counts"])
 
 
+class Stored(Sequence):
+    """(buckets, counts) of documents in a file, read one at a time: a document has up to BUCKETS of each."""
+
+    def __init__(self, file):
+        self.file, self.places = file, []
+
+    def add(self, ids: bytes, counts: bytes) -> None:
+        self.places.append((self.file.seek(0, 2), len(ids)))
+        self.file.write(ids + counts)
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at, n = self.places[k]
+        self.file.seek(at)
+        both = self.file.read(2 * n)
+        return np.frombuffer(both[:n], "<i4"), np.frombuffer(both[n:], "<f4")
+
+
 @dataclass
 class Model:
     """margin: by bucket, the difference of the two classes' logits that a feature alone would give; bias: that of no features."""
@@ -95,7 +111,7 @@ class Model:
     bias: float
 
 
-def train(labels: np.ndarray, features: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+def train(labels: np.ndarray, features: Sequence[tuple[np.ndarray, np.ndarray]]) -> Model:
     """Softmax over averaged vectors, one document at a time, with a falling rate. Without both classes: the smoothed share."""
     n, ones = len(labels), int(labels.sum()) if len(labels) else 0
     if not ones or ones == n:
@@ -183,9 +199,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, per_class:
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, label_col, per_class, id_col, text_col).mapInArrow(_training_features, "doc_id long, label int, ids binary, counts binary")
-    got = sorted((r["doc_id"], bytes(r["ids"]), bytes(r["counts"]), r["label"]) for r in rows.collect())  # 2 * per_class rows of 64 KB at most
-    features = [(np.frombuffer(i, "<i4"), np.frombuffer(c, "<f4")) for _, i, c, _ in got]
-    return train(np.array([x[3] for x in got], np.int64), features)
+    rows = shared_table(rows, "features").orderBy("doc_id", "ids", "counts", "label")
+    labels_of = []
+    with tempfile.TemporaryFile() as file:  # the driver's own
+        features = Stored(file)
+        for r in rows.toLocalIterator():
+            features.add(bytes(r["ids"]), bytes(r["counts"]))
+            labels_of.append(r["label"])
+        return train(np.array(labels_of, np.int64), features)
 
 
 def with_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

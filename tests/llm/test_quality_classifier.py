@@ -65,3 +65,16 @@ def test_training_is_repeatable():
     feats = [(rng.integers(0, q.BUCKETS, 20), np.ones(20, np.float32)) for _ in range(20)]
     y = np.array([i % 2 for i in range(20)])
     assert np.array_equal(q.train(y, feats).margin, q.train(y, feats).margin)
+
+
+def test_long_documents_are_learned_from_whole(spark, monkeypatch):
+    seen = []
+    real = q.train
+    monkeypatch.setattr(q, "train", lambda labels, features: (seen.extend((int(x), *features[k]) for k, x in enumerate(labels)), real(labels, features))[1])
+    docs = [(i, words(i, 6000 if i % 4 == 0 else 20)) for i in range(24)]
+    frame_of = spark.createDataFrame(docs, "doc_id long, text string")
+    q.fit_quality(frame_of, spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int"))
+    want = [(i % 2, *q.document_features(t, {})) for i, t in docs if zlib.crc32(str(i).encode()) % 5]
+    assert len(seen) == len(want) and max(len(i) for _, i, _ in want) > 8_192
+    for (x, i, c), (y, j, d) in zip(seen, want, strict=True):
+        assert x == y and i.tolist() == j.tolist() and c.tolist() == d.tolist()

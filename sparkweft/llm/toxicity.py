@@ -228,7 +228,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
         n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
         counts = picked.select("doc_id", "label", "text").mapInArrow(_prefixes, "prefix string, toxic long, clean long").groupBy("prefix").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
         often = counts.where("t + c >= 3")
-        likely = often.where(F.col("t") * (n1 + n0) > (F.col("t") + F.col("c")) * n1 * 2).orderBy((F.col("t") - F.col("c")).desc(), "prefix").limit(25 * MOST_PREFIXES)
+        # by odds, which hold at any share of toxic documents; significant() asks for far more
+        likely = often.where(F.col("t") * n0 > F.col("c") * n1 * 2).orderBy((F.col("t") - F.col("c")).desc(), "prefix").limit(25 * MOST_PREFIXES)
         lexicon = significant([tuple(r) for r in likely.collect()], n1, n0, often.count()) if n1 and n0 else {}
         found = picked.select("doc_id", "label", "text").mapInArrow(_matches(docs.sparkSession.sparkContext.broadcast(lexicon), True), "doc_id long, label int, found array<double>").collect()  # sample rows of 5 numbers
     finally:

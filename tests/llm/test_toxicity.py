@@ -73,3 +73,10 @@ def test_logistic():
     w = t.fit_logistic(x, y)
     p = 1 / (1 + np.exp(-(x[:, 0] * w[0] + w[1])))
     assert (p[:3] < 0.2).all() and (p[3:] > 0.8).all()
+
+
+def test_labels_mostly_toxic(spark):
+    """Insults are learned at any share of toxic documents."""
+    docs = [(i, " ".join([*words(i, 40).split(), *([f"{BAD[i % 5]}, {BAD[(i + 1) % 5]}"] if i % 5 < 3 else [])])) for i in range(400)]
+    grammar = t.fit_toxicity(frame(spark, docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 < 3)) for i, _ in docs], "doc_id long, toxic int"))
+    assert any(p.startswith("grob") for p in grammar.lexicon) and any(p.startswith("vile") for p in grammar.lexicon)

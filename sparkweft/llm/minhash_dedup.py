@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweft.llm.components import connected_components
-from sparkweft.llm.shared import WordHash, id_filter, shared_table, shingle_sequence, small_batches
+from sparkweft.llm.shared import WordHash, free_names, id_filter, join_counted, shared_table, shingle_sequence, small_batches
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
@@ -75,14 +75,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHash()
     for batch in batches:
         n, digest, keys = [], [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             s = np.unique(shingle_sequence(text.as_py(), cache))
             n.append(len(s))
             digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             keys.append(band_keys(signature(s)) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "digest", "band_keys"],
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+            names=["doc_id", "row_key", "n_shingles", "digest", "band_keys"],
         )
 
 
@@ -148,31 +148,27 @@ def _compare(percent: int):
     return compare
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Words are runs of non-blank characters, A-Z lower-cased; a set holds the distinct 5-word shingles. A pair with a
-    similarity of at least percent shares a bucket but for a chance of (1 - s^5)^32: 7e-9 at 0.85, 3e-6 at 0.8. Null, empty and
-    blank texts have an empty set, link with nothing and are kept. A null id passes through with a null component
-    and is not kept. Rows that repeat an id are judged each by its own text. Other columns of the input are ignored.
-    An empty table gives an empty one.
-    """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = shared_table(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, band_keys array<long>"), "sketch")
+def _judge(rows: DataFrame, percent: int, chunk_bytes: int) -> DataFrame:
+    """(doc_id, row_key, n_shingles, digest, component_id, kept) of rows (doc_id, row_key, text); row_key is carried."""
+    small_batches(rows.sparkSession)
+    schema = "doc_id long, row_key string, n_shingles long, digest binary, band_keys array<long>"
+    sketches = shared_table(rows.select("doc_id", "row_key", "text").mapInArrow(_sketch, schema), "sketch")
     known = sketches.where("doc_id is not null and digest is not null")
 
     # equal sets: one class each, named by its smallest id; what hangs on the set is the same in all its rows
-    classes = shared_table(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("band_keys").alias("band_keys")), "classes")
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("band_keys").alias("band_keys"), F.count("*").alias("n"))
+    classes = shared_table(classes, "classes")
+    totals = classes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     buckets = classes.select("rep", F.explode("band_keys").alias("bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre <> last").select("bucket", "centre")
-    stars = buckets.join(centres, "bucket").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+    centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"), F.count("*").alias("n")).where("centre <> last").select("bucket", "centre", "n")
+    centres = shared_table(centres, "centres")
+    stars = join_counted(buckets, centres, "bucket", BANDS * totals["classes"]).where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
 
     parts = connected_components(stars).select(F.col("node").alias("rep"), F.col("root").alias("part"))
-    members = shared_table(parts.join(classes.select("rep", "n"), "rep"), "parts")
-    sized = members.groupBy("part").agg(F.sum(F.col("n") * 8 + 8 * BINS).alias("bytes"))
+    members = shared_table(parts.join(classes.select("rep", "size"), "rep"), "parts")
+    sized = members.groupBy("part").agg(F.sum(F.col("size") * 8 + 8 * BINS).alias("bytes"), F.count("*").alias("n"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(chunk_bytes))).cast("int")
-    dealt = members.join(sized.select("part", chunks.alias("chunks")), "part").select(
+    dealt = join_counted(members.select("part", "rep"), sized.select("part", chunks.alias("chunks"), "n"), "part", members.count()).select(
         "part", F.col("rep").alias("doc_id"), "chunks", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk")
     ).distinct()
     dealt = shared_table(dealt, "dealt")
@@ -187,24 +183,57 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     links = met.groupBy("part", "x", "y").applyInArrow(_compare(percent), "a long, b long")
     merged = connected_components(links)
 
-    named = classes.join(merged, classes.rep == merged.node, "left").select("digest", F.coalesce("root", "rep").alias("class_root"))
-    out = sketches.join(named, "digest", "left").withColumn("component_id", F.least(F.coalesce("class_root", "doc_id"), "doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    # rows whose set is theirs alone and links with nothing are their own component and need no join
+    named = classes.join(merged, classes.rep == merged.node, "left").where("n > 1 or root is not null").select("digest", F.coalesce("root", "rep").alias("class_root"), "n")
+    judged = join_counted(sketches.drop("band_keys"), named, "digest", totals["rows"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("class_root", "doc_id"), "doc_id"))
+    out = judged.select("doc_id", "row_key", "n_shingles", "digest", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Words are runs of non-blank characters, A-Z lower-cased; a set holds the distinct 5-word shingles. A pair with a
+    similarity of at least percent shares a bucket but for a chance of (1 - s^5)^32: 7e-9 at 0.85, 3e-6 at 0.8. Null, empty and
+    blank texts have an empty set, link with nothing and are kept. A null id passes through with a null component
+    and is not kept. Rows that repeat an id are judged each by its own text. Other columns of the input are ignored.
+    An empty table gives an empty one.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    return _judge(rows, percent, chunk_bytes).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def without_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one row of each component: the row of its smallest id stays, once. Rows without id go.
+    """docs without all but one row of each component; all columns are as they are.
+
+    The rows of the smallest id stay. Of those of one shingle set one stays, with the least text key, and of rows with the
+    same id and text the first by all columns as JSON. Rows of one id with other texts are judged each by its own: one may go
+    and the other stay. Empty texts are copies only of the same id's. A row without id takes part under a number of its
+    text, above the ids, so that a copy with an id goes before it. An empty table gives an empty one.
 
-    All columns are as they are. Only rows whose id may be dropped or repeated are moved to be decided on; the filter
-    that finds them has a fixed size, and the join behind it is exact.
+    Only rows that may be dropped or repeated are moved to be decided on; the filter that finds them has a fixed size,
+    and the join behind it is exact.
     """
-    judged = shared_table(near_duplicates(docs, percent, id_col, text_col).select(F.col("doc_id").alias("_id"), "kept"), "judged")
-    per_id = judged.groupBy("_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"), F.bool_and("kept").alias("all_kept"))
-    suspect = id_filter(per_id.where("n > 1 or not all_kept"), "_id")
-    own = F.col(id_col).cast("long")
-    rows = docs.where(own.isNotNull())
-    maybe = rows.where(suspect(own))
-    kept = per_id.where("kept").select("_id")
-    decided = maybe.join(kept, own == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col])
-    return rows.where(~suspect(own)).unionByName(decided)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.concat_ws(":", F.xxhash64(text), F.xxhash64(F.lit(1), text), F.col(text_col).isNull().cast("int"))
+    number = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 3)
+    own = F.coalesce(F.col(id_col).cast("long"), number)
+    rows = docs.select(own.alias("doc_id"), key.alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    judged = shared_table(_judge(rows, percent, CHUNK_BYTES).select("doc_id", "row_key", "digest", "kept"), "judged")
+    # of an id's rows in its own component the ones of one set are copies of each other
+    per_set = judged.groupBy("doc_id", "digest", F.when(F.col("digest").isNull(), F.col("row_key")).alias("blank"))
+    per_set = shared_table(per_set.agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"), F.min("row_key").alias("stays")), "per-set")
+    suspect = id_filter(per_set.where("n > 1 or not kept"))
+
+    names = free_names(docs, "_id", "_key")
+    keyed = docs.withColumns(dict(zip(names, (own, key), strict=True)))
+    maybe = keyed.where(suspect(F.col(names[0])))
+    kept = per_set.where("kept").select(F.col("doc_id").alias(names[0]), F.col("stays").alias(names[1]), (F.col("n") > 1).alias("repeats"))
+    decided = maybe.join(kept.drop("repeats"), names, "left_semi")
+    again = kept.where("repeats").drop("repeats")
+    once = decided.join(again, names, "left_anti")
+    # partial aggregates, so that a row that repeats very often goes to one task once from each
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = decided.join(again, names, "left_semi").groupBy(*names).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return keyed.where(~suspect(F.col(names[0]))).drop(*names).unionByName(once.drop(*names)).unionByName(first)

@@ -52,7 +52,52 @@ def shared_table(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_shared_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes what shared_table wrote, once what was made of it is written itself."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with table on key (inner or left); table has one row per key, with n, how many of the total rows have the key.
+
+    A key with more rows than two average shuffle partitions is hot. There are fewer hot keys than half the shuffle partitions,
+    whatever the input, so their part of table goes to the driver and to all tasks, and their rows stay where they lie; the
+    others meet by a shuffle. Null keys match nothing and are not shuffled. Columns other than n are added.
+    """
+    spark = rows.sparkSession
+    hot_from = 2 * total / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = table.where(F.col("n") > hot_from).collect()  # fewer than half the shuffle partitions
+    plain = table.drop("n")
+    added = [c for c in plain.columns if c != key]
+    known = rows.where(F.col(key).isNotNull())
+    if found:
+        hot = F.broadcast(spark.createDataFrame(found, table.schema).drop("n"))
+        out = known.join(hot, key).unionByName(known.join(hot, key, "left_anti").join(table.where(F.col("n") <= hot_from).drop("n"), key, how))
+    else:
+        out = known.join(plain, key, how)
+    if how == "left":
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in plain.schema if f.name in added]
+        out = out.unionByName(rows.where(F.col(key).isNull()).select("*", *empty))
+    return out.select(*rows.columns, *added)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has, for columns that are taken out again."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

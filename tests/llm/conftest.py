@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Columns that every operator must ignore or carry, named like its own.
-CLASH = {"score": 0.5, "kept": True, "n": 1, "part": 2, "label": 1, "rep": 3, "digest": "d", "length": 4, "task": 5, "component_id": 6, "rule": "r", "votes": "v", "batch": 7, "secrets_": 8}
+CLASH = {"score": 0.5, "kept": True, "n": 1, "part": 2, "label": 1, "rep": 3, "digest": "d", "length": 4, "task": 5, "component_id": 6, "rule": "r", "votes": "v", "batch": 7, "secrets_": 8, "_id": 9, "_key": 10, "_text": 11, "_base": 12, "_best": 13, "best": 14, "secrets": 15, "row_key": 16, "m": 17}
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(120_000))
 

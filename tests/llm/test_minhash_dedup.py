@@ -4,10 +4,11 @@ from collections import Counter, defaultdict
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkweft.llm import minhash_dedup as m
 from sparkweft.llm.components import connected_components
-from sparkweft.llm.shared import WordHash, id_filter, shingle_sequence
+from sparkweft.llm.shared import WordHash, id_filter, join_counted, shingle_sequence
 from tests.llm.conftest import frame, odd_texts, words
 
 
@@ -106,12 +107,30 @@ def test_components(spark):
 def test_without_duplicates(spark, odd):
     out = m.without_duplicates(odd, 85)
     assert out.columns == odd.columns
-    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4, 5, 6, 8, 11, 12, 13, 14, 15]
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == [1, 11, 12, 13, 14, 15, 3, 4, 5, 6, 8, None]
+
+
+def test_rows_of_one_id_are_judged_by_their_text(spark):
+    a, b = words(1, 90), words(2, 90)
+    rows = [(1, a, 1), (2, a, 2), (2, b, 3), (3, a.upper(), 4), (4, b + " tail", 5), (5, b, 7), (5, b, 6), (1, a, 0), (6, "", 8), (6, None, 9), (6, "", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x int").withColumns({"_id": F.lit(7), "_key": F.lit("k")})
+    out = m.without_duplicates(docs, 80)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"], r["text"] or "", r["x"]) for r in out.collect())
+    assert got == [(1, a, 0), (2, b, 3), (6, "", 9), (6, "", 10)] or got == [(1, a, 0), (2, b, 3), (6, "", 8), (6, "", 9)]
+    assert {r["_id"] for r in out.collect()} == {7}
+    assert got == sorted((r["doc_id"], r["text"] or "", r["x"]) for r in m.without_duplicates(docs.repartition(5), 80).collect())
+
+
+def test_joins_split_hot_keys(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 7).when(F.col("id") < 1500, F.lit(None)).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    table = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("y"))
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(table.drop("n"), "k", how).select("k", "x", "y").collect()))
+        assert sorted(map(str, join_counted(rows, table, "k", 3000, how).select("k", "x", "y").collect())) == want
 
 
 def test_id_filter_passes_all_its_ids(spark):
     passes = id_filter(spark.range(500).selectExpr("id * 7 as doc_id"))
-    from pyspark.sql import functions as F
-
     hit = {r["id"] for r in spark.range(5000).where(passes(F.col("id"))).collect()}
     assert {7 * i for i in range(500)} <= hit and len(hit) < 1500

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkweft.llm.shared import free_names
+
 # The patterns of the base kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
@@ -34,25 +36,44 @@ KINDS = ("assign", "access", "hex", "entropy")
 WEIGHT = [round(c * math.log2(c) * 1_000_000) if c else 0 for c in range(WINDOW + 1)]
 
 
+#: Steps of a prefix computation by doubling: enough for a billion elements.
+_DOUBLING = f"array({', '.join(str(1 << k) for k in range(30))})"
+#: Code points of the blocks that texts are cut into before pieces are taken out of them.
+BLOCK = 1000
+_NO_SPANS = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, join) -> Column:
+    """The running join (a sum, a maximum) of an array: log2(n) rounds, each joining an element with the one 2^k before it."""
+    steps = F.filter(F.expr(_DOUBLING), lambda d: d < F.size(values))
+    return F.aggregate(steps, values, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, join(x, F.get(acc, i - d))).otherwise(x)))
+
+
 def _spans(text: Column, found: Column, pattern: str, kind: int) -> Column:
-    """Array of (start, kind, end) of found, the matches of pattern in text."""
+    """Array of (start, kind, end) of found, the matches of pattern in text, from the lengths of the matches and the gaps between."""
     gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.transform(found, F.length).alias("n"), F.transform(F.slice(gaps, 1, F.size(found)), F.length).alias("gap"))
-    start = lambda acc, x: acc["at"] + x["gap"]
-    summed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (start(acc, x) + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), F.lit(kind).alias("kind"), (start(acc, x) + x["n"]).alias("end")))).alias("out"),
-        ),
-    )
-    return F.when(F.size(found) > 0, summed["out"]).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))
+    steps = _bound(gaps, lambda g: F.transform(found, lambda m, i: F.length(m) + F.length(F.get(g, i))))
+    ends = _bound(steps, lambda s: running(s, lambda x, y: x + y))
+    spans = _bound(ends, lambda e: F.transform(found, lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("start"), F.lit(kind).alias("kind"), F.get(e, i).alias("end"))))
+    return F.when(F.size(found) > 0, spans).otherwise(F.expr(_NO_SPANS))
+
+
+def _touches(c: Column, spans: Column) -> Column:
+    """Whether span c overlaps one of spans, which are in order and don't overlap each other: the last that starts before c ends
+    decides, and is found by bisection."""
+    steps = F.reverse(F.filter(F.expr(_DOUBLING), lambda d: d <= F.size(spans)))
+    before = F.aggregate(steps, F.lit(0), lambda n, d: F.when((n + d <= F.size(spans)) & (F.get(spans, n + d - 1)["start"] < c["end"]), n + d).otherwise(n))
+    return F.coalesce(F.get(spans, before - 1)["end"] > c["start"], F.lit(False))
 
 
 def least_spread(candidate: Column) -> Column:
     """The least sum of c log2 c (millionths) over all windows of a string, from counts that each step changes by two."""
-    weight = F.array(*[F.lit(w) for w in WEIGHT])
+    weight = F.expr(f"array({', '.join(map(str, WEIGHT))})")
     codes = F.transform(F.regexp_extract_all(candidate, F.lit("(?s)."), F.lit(0)), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
     # bound to a variable, so that it is worked out once and not for each step
     paired = lambda all_of: F.transform(all_of, lambda c, i: F.struct(c.alias("put"), F.when(i >= WINDOW, F.get(all_of, i - WINDOW)).otherwise(-1).alias("gone"), i.alias("i")))
@@ -82,35 +103,39 @@ def _is_random(candidate: Column) -> Column:
     return least_spread(candidate) <= bound
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with secrets: an array of (start, kind, end) by start and kind; kind is an index of KINDS, offsets are code points.
+def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
+    """docs with out_col: an array of (start, kind, end) by start and kind; kind is an index of KINDS, offsets are code points.
 
     A null text is empty and has none. Base kinds are leftmost matches that don't overlap within a kind; an assignment
     whose value has under six characters is consumed and dropped. Entropy spans are whole candidate strings that touch
-    no base span and match nothing of ALLOWED. Rows are independent: repeated rows, null ids and extra columns pass through.
+    no base span and match nothing of ALLOWED. Rows are independent: repeated rows, null ids and other columns pass through,
+    whatever their names; a column named out_col is replaced. An empty table gives an empty one. The work is n log n in the
+    matches of a text.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    all_of = lambda pattern, group: F.regexp_extract_all(F.col("_text"), F.lit(pattern), F.lit(group))
-    clash = lambda c, spans: F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    found = docs.withColumn("_text", text).withColumns({"_assign": all_of(ASSIGN, 0), "_access": all_of(ACCESS, 0), "_hex": all_of(HEX, 0), "_candidate": all_of(CANDIDATE, 0)})
-    values = F.when(F.size("_assign") > 0, F.transform(all_of(ASSIGN, 2), F.length)).otherwise(F.expr("cast(array() as array<int>)"))
+    text, assign, access, hexes, candidate, values, entropy, base = free_names(docs, "text_", "assign_", "access_", "hex_", "candidate_", "values_", "entropy_", "base_")
+    col = F.col
+    all_of = lambda pattern, group: F.regexp_extract_all(col(text), F.lit(pattern), F.lit(group))
+    whole = docs.withColumn(text, F.coalesce(col(text_col).cast("string"), F.lit("")))
+    found = whole.withColumns({assign: all_of(ASSIGN, 0), access: all_of(ACCESS, 0), hexes: all_of(HEX, 0), candidate: all_of(CANDIDATE, 0)})
+    lengths = F.when(F.size(assign) > 0, F.transform(all_of(ASSIGN, 2), F.length)).otherwise(F.expr("cast(array() as array<int>)"))
     spans = found.withColumns(
         {
-            "_values": values,
-            "_assign": _spans(F.col("_text"), F.col("_assign"), ASSIGN, 0),
-            "_access": _spans(F.col("_text"), F.col("_access"), ACCESS, 1),
-            "_hex": _spans(F.col("_text"), F.col("_hex"), HEX, 2),
-            "_entropy": _spans(F.col("_text"), F.col("_candidate"), CANDIDATE, 3),
+            values: lengths,
+            assign: _spans(col(text), col(assign), ASSIGN, 0),
+            access: _spans(col(text), col(access), ACCESS, 1),
+            hexes: _spans(col(text), col(hexes), HEX, 2),
+            entropy: _spans(col(text), col(candidate), CANDIDATE, 3),
         }
     )
-    base = F.array_sort(F.concat(F.filter("_assign", lambda s, i: F.get(F.col("_values"), i) >= ASSIGN_LEAST), F.col("_access"), F.col("_hex")))
-    spans = spans.withColumn("_base", base)
+    spans = spans.withColumn(assign, F.filter(assign, lambda s, i: F.get(col(values), i) >= ASSIGN_LEAST))
+    spans = spans.withColumn(base, F.array_sort(F.concat(assign, access, hexes)))
     allowed = lambda c: F.array_contains(F.array(*[c.rlike(p) for p in ALLOWED]), True)
-    candidates = F.arrays_zip(F.col("_entropy").alias("span"), F.col("_candidate").alias("string"))
-    extra = F.filter(candidates, lambda c: ~clash(c["span"], F.col("_base")) & ~allowed(c["string"]) & _is_random(c["string"]))
+    clash = lambda c: _touches(c, col(assign)) | _touches(c, col(access)) | _touches(c, col(hexes))
+    candidates = F.arrays_zip(col(entropy).alias("span"), col(candidate).alias("string"))
+    extra = F.filter(candidates, lambda c: ~clash(c["span"]) & ~allowed(c["string"]) & _is_random(c["string"]))
     extra = F.transform(extra, lambda c: c["span"])
-    out = spans.withColumn("secrets", F.when(F.size("_candidate") > 0, F.array_sort(F.concat(F.col("_base"), extra))).otherwise(F.col("_base")))
-    return out.drop("_text", "_values", "_assign", "_access", "_hex", "_candidate", "_entropy", "_base")
+    out = spans.withColumn(out_col, F.when(F.size(candidate) > 0, F.array_sort(F.concat(col(base), extra))).otherwise(col(base)))
+    return out.drop(text, assign, access, hexes, candidate, values, entropy, base)
 
 
 def span_string(spans: Column) -> Column:
@@ -120,13 +145,22 @@ def span_string(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """text with each span, or run of overlapping spans, replaced by mask."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-    )
-    return F.when(F.size(spans) > 0, F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))).otherwise(text)
+    """text with each span, or run of overlapping spans, replaced by mask; spans are as find_secrets gives them, in order.
+
+    A null text stays null, one without spans as it is. The text is cut into blocks first, so that a piece costs its own
+    length and a block's, not the length of all text before it.
+    """
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        i, j = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        some = lambda k, start, n: F.coalesce(F.substring(F.get(blocks, k), start + 1, n), F.lit(""))
+        middle = F.when(j > i + 1, F.array_join(F.slice(blocks, i + 2, j - i - 1), "")).otherwise("")
+        return F.when(i == j, some(i, a % BLOCK, b - a)).otherwise(F.concat(some(i, a % BLOCK, F.lit(BLOCK)), middle, some(j, F.lit(0), b % BLOCK)))
+
+    def cut(blocks: Column, reach: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
+        parts = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(piece(blocks, before(i), s["start"]), F.lit(mask))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), piece(blocks, F.element_at(reach, -1), F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    done = _bound(F.transform(spans, lambda s: s["end"]), lambda ends: _bound(running(ends, F.greatest), lambda reach: _bound(blocks, lambda b: cut(b, reach))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)

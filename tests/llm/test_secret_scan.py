@@ -42,7 +42,7 @@ def extra(t):
             continue
         if any(re.search(p, c) for p in s.ALLOWED):
             continue
-        bits = 3.3 if re.fullmatch("[0-9A-Fa-f-]+", c) else 3.9
+        bits = next(b for _, chars, b in s.NARROW + s.CLASSES if re.search(chars, c))
         if max(entropy(c[i : i + s.WINDOW]) for i in range(len(c) - s.WINDOW + 1)) >= bits:
             out.append((m.start(), 3, m.end()))
     return out
@@ -95,3 +95,38 @@ def test_random_strings_of_small_alphabets(spark):
     assert len(found) == 12 and min(found.values()) >= 0.95, found
     words = "aaaaaaaaaaaaaaaaaaaa1 1111222233334444aaaa v1-release-candidate-notes some_long_function_name_2 bananabananabanana22"
     assert s.find_secrets(spark.createDataFrame([(words,)], "text string")).first().secrets == []
+
+
+def test_many_matches_in_one_text(spark):
+    """A checksum list: every line is a hex span and an entropy candidate; the work must not grow with their square."""
+    hexes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(20_000)]
+    text = "\n".join(h if i % 3 else h.upper() for i, h in enumerate(hexes)) + "\ntoken=abcdefgh"
+    out = s.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("secrets", s.redact(F.col("text"), F.col("secrets")).alias("out")).first()
+    assert [tuple(x) for x in out["secrets"] if x["kind"] < 3] == base(text)
+    kinds = [x["kind"] for x in out["secrets"]]
+    assert kinds.count(2) > 13_300 and kinds.count(3) > 6_600
+    assert out["out"].count("[SECRET]") == len(kinds) and out["out"].endswith("\n[SECRET]")
+
+
+def test_columns_named_like_scratch(spark):
+    names = ["_text", "text_", "_assign", "assign_", "access_", "hex_", "candidate_", "entropy_", "base_", "_base", "values_", "secrets"]
+    df = spark.createDataFrame([("token=abcdefgh", *range(len(names)))], ["text", *names])
+    out = s.find_secrets(df, out_col="found")
+    assert out.columns == [*df.columns, "found"]
+    row = out.first()
+    assert [row[n] for n in names] == list(range(len(names))) and [tuple(x) for x in row["found"]] == [(0, 0, 14)]
+
+
+def test_redaction_across_blocks(spark):
+    r = random.Random(3)
+    for _ in range(8):
+        text = "".join(r.choice("ab\U0001f600 ") for _ in range(r.choice([0, 5, 999, 1000, 1001, 2500, 7000])))
+        ends = sorted(r.randrange(len(text) + 1) for _ in range(12))
+        spans = sorted((a, 0, r.choice([b, min(len(text), b + 700)])) for a, b in zip(ends, ends[1:], strict=False) if a < b)
+        want, at = "", 0
+        for a, _, b in spans:
+            if a >= at:
+                want += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        df = spark.createDataFrame([(text, spans)], "text string, spans array<struct<start:int,kind:int,end:int>>")
+        assert df.select(s.redact(F.col("text"), F.col("spans"))).first()[0] == (want + text[at:] if spans else text)

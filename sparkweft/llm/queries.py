@@ -11,7 +11,7 @@ from sparkweft.llm.minhash_dedup import near_duplicates
 from sparkweft.llm.packing import pack, token_pieces
 from sparkweft.llm.quality_classifier import fit_quality, score_quality
 from sparkweft.llm.quality_rules import quality_rules
-from sparkweft.llm.secret_scan import ALLOWED, CLASSES, WEIGHT, WINDOW, find_secrets, most_allowed, span_string
+from sparkweft.llm.secret_scan import ALLOWED, CLASSES, NARROW, WEIGHT, WINDOW, find_secrets, most_allowed, span_string
 from sparkweft.llm.shared import read_table
 from sparkweft.llm.toxicity import fit_toxicity, score_toxicity
 from sparkweft.llm.url_filter import filter_urls
@@ -152,7 +152,7 @@ def _oracle_op10() -> str:
     kinds = [(0, assign), (1, "AKIA[A-Z0-9]+"), (2, "[0-9a-f]+"), (3, "[A-Za-z0-9+/_=-]{20,}")]
     found = " UNION ALL ".join(f"SELECT doc_id, {k} AS kind, regexp_extract_all(x, '{p}') AS f, string_split_regex(x, '{p}') AS g, {f"regexp_extract_all(x, '{p}', 2)" if not k else "[]::VARCHAR[]"} AS v FROM t" for k, p in kinds)
     allowed = " OR ".join(f"regexp_matches(str, '{p}')" for p in ALLOWED)
-    bound = f"CASE WHEN regexp_matches(str, '{CLASSES[0][1]}') THEN {most_allowed(CLASSES[0][2])} ELSE {most_allowed(CLASSES[1][2])} END"
+    bound = "CASE " + " ".join(f"WHEN regexp_matches(str, '{chars}') THEN {most_allowed(bits)}" for _, chars, bits in NARROW + CLASSES) + " END"
     names = "(['assign', 'access', 'hex', 'entropy'])[kind + 1]"
     said = f"{names} || ':' || start || ':' || stop"
     return f"""

@@ -9,13 +9,14 @@ a few bytes per listed key, whatever the corpus.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Listed keys that a cascade of array literals may hold.
-MAX_LISTED = 200_000
+from sparkweft.llm.shared import free_names
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,7 +29,8 @@ def path_of(url: Column) -> Column:
 
 
 def _values(spark: SparkSession, keys: list[str]) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in keys])).alias("key"))
+    """The keys as a table, from one literal that is parsed once."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("key"))
 
 
 class Level:
@@ -55,7 +57,7 @@ class Level:
         return self
 
     def has(self, key: Column) -> Column:
-        words = F.array(*[F.lit(w).cast("long") for w in self.words])
+        words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")  # one constant that all probes look into
         tests = [F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in self.probes(key)]
         out = tests[0]
         for t in tests[1:]:
@@ -64,27 +66,29 @@ class Level:
 
 
 class Cascade:
-    """Exact membership of listed keys over the keys of a corpus."""
+    """Exact membership of listed keys over the keys of a corpus.
+
+    The list is the caller's own, so it fits the driver; a cascade holds some 1.5 bits a listed key and doubling of the
+    corpus's keys per listed key, and goes with the tasks. What the first level lets through by mistake is kept within ten
+    times the list by its rate.
+    """
 
-    def __init__(self, universe: DataFrame, listed: list[str], n_universe: int, max_levels: int = 40):
+    def __init__(self, universe: DataFrame, listed: list[str], n_universe: int, max_levels: int = 60):
         self.levels: list[Level] = []
         listed = sorted(set(listed))
         if not listed:
             return
-        if len(listed) > MAX_LISTED:
-            raise ValueError(f"{len(listed)} listed keys; a cascade of literals holds {MAX_LISTED}: split the list")
-        spark = universe.sparkSession
+        spark, own = universe.sparkSession, set(listed)
         rate = min(0.5, len(listed) * math.sqrt(0.5) / max(1, n_universe))
         while True:
             first = Level(len(listed), rate, 0).fill(_values(spark, listed))
-            passed = universe.where(first.has(F.col("key")) & ~F.col("key").isin(listed)) if len(listed) <= 1000 else universe.where(first.has(F.col("key"))).join(F.broadcast(_values(spark, listed)), "key", "left_anti")  # at most MAX_LISTED keys
-            bound = 10 * len(listed) + 1000
-            wrong = [r["key"] for r in passed.distinct().limit(bound + 1).collect()]
-            if len(wrong) <= bound:
+            bound = 11 * len(listed) + 1000
+            passed = [r["key"] for r in universe.where(first.has(F.col("key"))).distinct().limit(bound + 1).collect()]
+            if len(passed) <= bound:
                 break
             rate /= 16  # an unlucky or undercounted universe: fewer mistakes, so that they stay within the bound
         self.levels = [first]
-        inside, outside = listed, sorted(wrong)  # the next level holds what the last let through by mistake
+        inside, outside = listed, sorted(k for k in passed if k not in own)  # the next level holds what the last let through by mistake
         while outside and len(self.levels) < max_levels:
             level = Level(len(outside), 0.5, len(self.levels)).fill(_values(spark, outside))
             through = sorted(r["key"] for r in _values(spark, inside).where(level.has(F.col("key"))).collect())
@@ -137,5 +141,6 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
         for verdict in ("block", "allow"):
             if cascades[verdict].levels:
                 hits.append(F.when(key.isNotNull() & cascades[verdict].has(key), F.struct(F.length(key).alias("n"), F.lit(verdict == "block").alias("first"), key.alias("rule"), F.lit(verdict).alias("verdict"))))
-    best = F.greatest(*hits) if len(hits) > 1 else hits[0]
-    return parsed.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}).drop("_best")
+    (best,) = free_names(parsed, "best")
+    marked = parsed.withColumn(best, F.greatest(*hits) if len(hits) > 1 else hits[0])
+    return marked.withColumns({"rule": F.col(f"{best}.rule"), "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(default))}).drop(best)

@@ -56,3 +56,12 @@ def test_undercounted_universe_still_exact(spark):
 def test_stays_native(spark):
     plan = u.filter_urls(spark.createDataFrame(URLS, "page_id long, url string"), RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Join" not in plan and "Exchange" not in plan
+
+
+def test_a_list_of_a_million_keys(spark):
+    universe = spark.range(0, 3_000_000, 70).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    cascade = u.Cascade(universe, [f"k{i}" for i in range(0, 2_000_000, 2)], 3_000_000 // 70)
+    assert universe.where(cascade.has(F.col("key"))).count() == len(range(0, 2_000_000, 70))
+    assert universe.where(cascade.has(F.col("key"))).where(F.substring("key", 2, 9).cast("int") >= 2_000_000).count() == 0
+    plan = universe.where(cascade.has(F.col("key")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "from_json" not in plan

@@ -7,10 +7,10 @@ features' numbers: executors get a table of BUCKETS floats and look words up.
 
 from __future__ import annotations
 
-import struct
 import tempfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +28,43 @@ PER_CLASS = 1500
 EPOCHS, RATE, SEED = 6, 0.5, 20_240
 SAME_PAIR = 0
 
+#: Bytes of text that are worked on at a time.
+WORK_BYTES = 1_000_000
 #: What scoring keeps of a word: its features' margins summed, their number, its hash.
 WORD = [("m", "<f4"), ("n", "<u4"), ("h", "<u8")]
 
 
-def word_features(word: bytes) -> list[int]:
-    """Buckets of a word: itself and the character n-grams of <word>; case and marks count."""
-    out = [xxh3_64_intdigest(word, 1) % BUCKETS]
-    if len(word) <= 200:
-        if word.isascii():
-            chars = b"<" + word + b">"
-            grams = [chars[i : i + n] for n in NGRAMS for i in range(len(chars) - n + 1)]
-        else:
-            text = f"<{word.decode('utf-8', 'surrogatepass')}>"
-            grams = [text[i : i + n].encode("utf-8", "surrogatepass") for n in NGRAMS for i in range(len(text) - n + 1)]
-        out += [xxh3_64_intdigest(g, 2) % BUCKETS for g in grams]
-    return out
+@dataclass
+class WordTable:
+    """Features of some words: buckets, the word (by its place) that each belongs to, and the words' hashes."""
+
+    buckets: np.ndarray
+    owner: np.ndarray
+    hashes: np.ndarray
+
+
+def word_table(words: list[bytes]) -> WordTable:
+    """Each word's features, the word itself and the character n-grams of <word>, for all words at once; case and marks count.
+
+    The words, in their marks, lie one behind the other as an array of code points; an n-gram is a window of it that ends
+    within its word. A word of any length has all its n-grams.
+    """
+    raw = b"<" + b"><".join(words) + b">"
+    codes = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    nth = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # code points up to each byte
+    ends = nth[np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2) - 1]
+    owner = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+    buckets, owners = [np.array([xxh3_64_intdigest(w, 1) % BUCKETS for w in words], np.int64)], [np.arange(len(words))]
+    for n in NGRAMS:
+        at = np.arange(len(codes) - n + 1)
+        at = at[at + n <= ends[owner[at]]]
+        h = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            h = (h ^ codes[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        buckets.append((h % np.uint64(BUCKETS)).astype(np.int64))
+        owners.append(owner[at])
+    return WordTable(np.concatenate(buckets), np.concatenate(owners), np.array([xxh3_64_intdigest(w) for w in words], np.uint64))
 
 
 def pair_buckets(hashes: np.ndarray) -> np.ndarray:
@@ -55,29 +76,25 @@ def pair_buckets(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def document_features(text: str | None, cache: dict[bytes, tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of one whole text."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    hashes = np.empty(len(words), np.uint64)
-    parts = []
-    for i, w in enumerate(words):
-        if w not in cache:
-            if len(cache) > 100_000:
-                cache.clear()
-            cache[w] = np.array(word_features(w), np.int64), xxh3_64_intdigest(w)
-        got, hashes[i] = cache[w]
-        parts.append(got)
-    return np.unique(np.concatenate([*parts, pair_buckets(hashes)]), return_counts=True)
+    place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    order = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    table = word_table(list(place))
+    pairs = pair_buckets(table.hashes[order])
+    ids, at = np.unique(np.concatenate((table.buckets, pairs)), return_inverse=True)
+    times = np.concatenate((np.bincount(order)[table.owner], np.ones(len(pairs), np.int64)))
+    return ids, np.bincount(at, times).astype(np.int64)
 
 
 def _training_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache: dict = {}
     for batch in batches:
         ids, counts = [], []
         for text in batch.column(2):
-            i, c = document_features(text.as_py(), cache)
+            i, c = document_features(text.as_py())
             ids.append(i.astype("<i4").tobytes())
             counts.append(c.astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "label", "ids", "counts"])
@@ -146,39 +163,65 @@ class WordMargins(dict):
     def __init__(self, margin: np.ndarray, limit: int = 120_000):
         super().__init__()
         self.margin, self.limit, self.old = margin, limit, {}
-        self.numbers = margin.tolist()
-        self.pack = struct.Struct("<fIQ").pack
+
+    def learn(self, words: list[bytes]) -> None:
+        """Works the words out, as many at a time as make up some WORK_BYTES."""
+        part, size = [], 0
+        for i, w in enumerate(words, 1):
+            part.append(w)
+            size += len(w)
+            if size >= WORK_BYTES or i == len(words):
+                if len(self) >= self.limit:
+                    self.old = dict(self)
+                    self.clear()
+                table = word_table(part)
+                rows = np.empty(len(part), WORD)
+                rows["m"] = np.bincount(table.owner, self.margin[table.buckets])
+                rows["n"], rows["h"] = np.bincount(table.owner), table.hashes
+                raw = rows.tobytes()
+                self.update((x, raw[k : k + 16]) for x, k in zip(part, range(0, len(raw), 16), strict=True))
+                part, size = [], 0
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        out = self.old.get(word)
-        if out is None:
-            ids = word_features(word)
-            out = self.pack(sum(map(self.numbers.__getitem__, ids)), len(ids), xxh3_64_intdigest(word))
-        self[word] = out
+        if word not in self.old:
+            self.learn([word])
+            return self[word]
+        out = self[word] = self.old[word]
         return out
 
 
+def score_texts(texts: list[str | None], words: WordMargins, bias: float) -> np.ndarray:
+    """Scores of whole texts; those in hand should be some WORK_BYTES or one text."""
+    parts = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+    words.learn(list(set().union(*parts).difference(words, words.old)))
+    rows = np.frombuffer(b"".join(map(words.__getitem__, chain.from_iterable(parts))), WORD)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    owner = np.repeat(np.arange(len(parts)), lengths)
+    pairs = pair_buckets(rows["h"])
+    inside = owner[1:] == owner[:-1]  # pairs within one text
+    total = np.bincount(owner, rows["m"], len(parts)) + np.bincount(owner[1:][inside], words.margin[pairs[inside]], len(parts))
+    number = np.bincount(owner, rows["n"], len(parts)) + np.maximum(lengths - 1, 0)
+    return 1 / (1 + np.exp(-np.clip(bias + total / np.maximum(number, 1), -50, 50)))
+
+
 def score_text(text: str | None, words: WordMargins, bias: float) -> float:
-    parts = (text or "").encode("utf-8", "surrogatepass").split()
-    logit = bias
-    if parts:
-        rows = np.frombuffer(b"".join(map(words.__getitem__, parts)), WORD)
-        pairs = pair_buckets(rows["h"])
-        total = float(rows["m"].sum(dtype=np.float64)) + float(words.margin[pairs].sum(dtype=np.float64))
-        logit += total / (int(rows["n"].sum()) + len(pairs))
-    return float(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
+    return float(score_texts([text], words, bias)[0])
 
 
-def _score(model, at: int):
+def _score(model, at: int, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margin, bias = model.value
         words = per_worker(f"margins {xxh3_64_intdigest(margin.tobytes())}", lambda: WordMargins(margin))
         for batch in batches:
-            scores = [score_text(t.as_py(), words, bias) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            scores, part, size = [], [], 0
+            for t in batch.column(at):
+                part.append(t.as_py())
+                size += len(part[-1] or "")
+                if size >= WORK_BYTES:
+                    scores.append(score_texts(part, words, bias))
+                    part, size = [], 0
+            scores.append(score_texts(part, words, bias))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=[*batch.schema.names, name])
 
     return score
 
@@ -197,6 +240,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, per_class:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model learned from training_rows.
+
+    Null and empty texts are documents without features, rows that repeat an id are documents each, labels without a
+    document and documents without a label (null ids among them) are left out. Without labels of both classes, or in an
+    empty table, every document scores the smoothed share of ones.
+    """
     small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, label_col, per_class, id_col, text_col).mapInArrow(_training_features, "doc_id long, label int, ids binary, counts binary")
     rows = shared_table(rows, "features").orderBy("doc_id", "ids", "counts", "label")
@@ -209,16 +258,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
         return train(np.array(labels_of, np.int64), features)
 
 
-def with_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with a column score (0 to 1, higher: label 1 likelier), which replaces one of that name.
+def with_quality(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with a column score_col (0 to 1, higher: label 1 likelier), which replaces one of that name.
 
     Empty, blank and null texts have no features and get the model's bias alone. Rows are scored one by one, and all other
     columns, null ids and repeated rows pass through. An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    rows = docs.drop("score").withColumn(text_col, F.col(text_col).cast("string"))
+    rows = docs.drop(score_col).withColumn(text_col, F.col(text_col).cast("string"))
     sent = docs.sparkSession.sparkContext.broadcast((model.margin, model.bias))  # BUCKETS floats, 1 MB
-    return rows.mapInArrow(_score(sent, rows.columns.index(text_col)), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(_score(sent, rows.columns.index(text_col), score_col), T.StructType([*rows.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -55,7 +55,7 @@ def test_scoring_equals_the_model_it_shrinks():
     rng = np.random.default_rng(0)
     margin = rng.normal(size=q.BUCKETS).astype(np.float32)
     for text in ("one two two É three", LONG[:5000], "a"):
-        ids, counts = q.document_features(text, {})
+        ids, counts = q.document_features(text)
         want = 1 / (1 + np.exp(-(0.25 + (margin[ids].astype(float) * counts).sum() / counts.sum())))
         assert abs(q.score_text(text, q.WordMargins(margin, limit=50), 0.25) - want) < 1e-5
 
@@ -74,7 +74,28 @@ def test_long_documents_are_learned_from_whole(spark, monkeypatch):
     docs = [(i, words(i, 6000 if i % 4 == 0 else 20)) for i in range(24)]
     frame_of = spark.createDataFrame(docs, "doc_id long, text string")
     q.fit_quality(frame_of, spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int"))
-    want = [(i % 2, *q.document_features(t, {})) for i, t in docs if zlib.crc32(str(i).encode()) % 5]
+    want = [(i % 2, *q.document_features(t)) for i, t in docs if zlib.crc32(str(i).encode()) % 5]
     assert len(seen) == len(want) and max(len(i) for _, i, _ in want) > 8_192
     for (x, i, c), (y, j, d) in zip(seen, want, strict=True):
         assert x == y and i.tolist() == j.tolist() and c.tolist() == d.tolist()
+
+
+def test_features_against_a_plain_count():
+    """Words, n-grams and pairs counted one by one; a word of any length has all its n-grams."""
+    for text in ("ab ab é\U0001f600x a", "x" * 900 + " y", words(3, 40), ""):
+        parts = text.split()
+        grams = [f"<{w}>"[i : i + n] for w in parts for n in q.NGRAMS for i in range(len(w) + 3 - n)]
+        ids, counts = q.document_features(text)
+        assert counts.sum() == len(parts) + len(grams) + max(0, len(parts) - 1)
+        one = {g: int(q.word_table([g.strip("<>").encode()]).buckets[0]) for g in parts}
+        for w in set(parts):
+            assert counts[np.searchsorted(ids, one[w])] >= parts.count(w)
+        # equal grams share a bucket wherever they stand
+        assert len(ids) <= len(set(parts)) + len(set(grams)) + max(0, len(parts) - 1)
+
+
+def test_texts_are_scored_alike_alone_and_together():
+    margin = np.random.default_rng(1).normal(size=q.BUCKETS).astype(np.float32)
+    texts = [t for _, t in odd_texts()]
+    together = q.score_texts(texts, q.WordMargins(margin, limit=20), 0.1)
+    assert np.allclose(together, [q.score_text(t, q.WordMargins(margin), 0.1) for t in texts], atol=1e-6)

@@ -14,7 +14,7 @@ from sparkweft.llm.packing import pack, token_pieces
 from sparkweft.llm.quality_classifier import fit_quality, with_quality
 from sparkweft.llm.queries import CAPACITY, tokenizer_path
 from sparkweft.llm.secret_scan import find_secrets, redact
-from sparkweft.llm.shared import new_shared_path, read_table
+from sparkweft.llm.shared import free_names, new_shared_path, read_table
 
 QUALITY_AT = 0.3
 NEAR_PERCENT = 80
@@ -22,37 +22,36 @@ CONTAINED_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labels, scores at 0.3 or more."""
+    """Documents that the classifier, learned from the labels, scores at 0.3 or more; null and empty texts get its bias alone.
+
+    Rows are judged one by one, so null ids and repeated rows stay as they come; an empty table gives an empty one.
+    """
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return with_quality(docs, model).where(F.col("score") >= QUALITY_AT).select(docs.columns)
+    (score,) = free_names(docs, "score")
+    return with_quality(docs, model, score_col=score).where(F.col(score) >= QUALITY_AT).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; of rows that repeat, one.
-
-    A row without id takes part under a number of its text, above the ids, so that a copy with an id goes before it.
-    """
-    number = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 3)
-    known = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), number))
-    return without_duplicates(known, percent=NEAR_PERCENT, id_col="_key").select(docs.columns)
+    """Of each group of near copies the document with the smallest id; of rows that repeat, one; rows without id take part."""
+    return without_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    return without_contaminated(docs, read_table(spark, sf_dir, "benchmark"), percent=CONTAINED_PERCENT).select(docs.columns)
+    """Documents that contain no benchmark item; null and empty texts contain none. Rows are judged one by one."""
+    return without_contaminated(docs, read_table(spark, sf_dir, "benchmark"), percent=CONTAINED_PERCENT)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked in their texts; n_chars follows."""
-    found = find_secrets(docs)
-    hit = F.size("secrets") > 0
-    text = F.when(hit, redact(F.col("text"), F.col("secrets"))).otherwise(F.col("text"))
-    masked = found.withColumn("text", text)
-    return masked.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """All documents, secrets masked in their texts; n_chars follows. Null and empty texts stay as they are."""
+    (spans,) = free_names(docs, "spans")
+    hit = F.size(spans) > 0
+    text = F.when(hit, redact(F.col("text"), F.col(spans))).otherwise(F.col("text"))
+    masked = find_secrets(docs, out_col=spans).withColumn("text", text)
+    return masked.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(spans)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in sequences of at most 4096 tokens."""
+    """Token pieces of every row with their place in sequences of at most 4096 tokens; a null or empty text is its end id alone."""
     return pack(token_pieces(docs, tokenizer_path(), CAPACITY), CAPACITY)
 
 

@@ -1,10 +1,12 @@
 """Near-duplicate components: one-permutation hashing, optimal densification, banded buckets, star-shaped edges.
 
 Plan: (1) one pass turns each text into its shingle set's digest and its band keys; (2) equal sets collapse to their
-smallest id, so a group of copies costs one row from here on; (3) every band bucket links its members to one centre
-only (a star), never to each other; the stars' connected parts hold every pair that shares a bucket; (4) inside each
-part the full sets are compared, pairs that are already connected being skipped, and what is linked is joined up.
-Parts above a size are cut into chunks and compared chunk by chunk, so no task holds a large part.
+smallest id, so a group of copies costs one row from here on; (3) every band bucket has a centre, its smallest id, and each
+set is compared with the smallest centre of its buckets, on full sets: a star of at most one candidate edge a set; (4) what
+that links are classes already, and a bucket is done where all its members are in one; (5) in the buckets left, members of
+different classes are compared, what is outside the bucket's largest class with each other and with that class. So every pair that
+shares a bucket is linked or was compared, and a group of near copies costs its size, not its square. Groups are dealt
+in chunks of GROUP_ROWS, so no task holds a large one.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from sparkweft.llm.shared import WordHash, free_names, id_filter, join_counted,
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Bytes of shingle hashes that one comparing task may be given on each side.
-CHUNK_BYTES = 16_000_000
+#: Sets that a comparing group may have on each side.
+GROUP_ROWS = 512
 
 
 def _probe_table(bins: int, tries: int = 64) -> np.ndarray:
@@ -91,8 +93,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):  # sets are larger than texts: small batches out
             part = batch.slice(at, 512)
-            sets = [np.unique(shingle_sequence(t.as_py(), cache)).tobytes() for t in part.column(4)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], names=["part", "doc_id", "chunks", "chunk", "shingles"])
+            sets = [np.unique(shingle_sequence(t.as_py(), cache)).tobytes() for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -105,13 +107,14 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def link_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Verified links that join up all linked documents of one part; with side, only those between side 0 and side 1.
+def link_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified links that join up all linked documents of one part; with side, only those between side 0 and side 1; with known,
+    documents of the same known class count as connected.
 
     Pairs already connected are skipped. Signatures rule out pairs whose estimate is six deviations below the threshold.
     """
     n = len(ids)
-    root = np.arange(n)
+    root = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets])
     sigs = np.stack([signature(s) for s in sets])
     t = percent / 100
@@ -136,19 +139,69 @@ def link_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, side: np.
     return out
 
 
-def _compare(percent: int):
+def _links(rows: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in rows], pa.int64()), "b": pa.array([x for _, x in rows], pa.int64())})
+
+
+def _with_centre(percent: int):
+    def compare(key, table):
+        """Members of one chunk of a star with their centre."""
+        centre = key[0].as_py()
+        ids = table.column("rep").to_pylist()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        middle = [x for i, x in zip(ids, sets, strict=True) if i == centre]
+        return _links([(i, centre) for i, x in zip(ids, sets, strict=True) if i != centre and any(linked(x, m, percent) for m in middle)])
+
+    return compare
+
+
+def _across(percent: int):
     def compare(key, table):
-        del key
-        ids = table.column("doc_id").to_numpy()
+        """Members of two chunks of a bucket, as far as they are in different classes."""
+        ids, known, side = (table.column(n).to_numpy() for n in ("rep", "known", "side"))
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
-        side = table.column("side").to_numpy()
-        found = link_forest(ids, sets, percent, side if len(set(side.tolist())) > 1 else None) if len(ids) > 1 else []
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+        return _links(link_forest(ids, sets, percent, side if len(set(side.tolist())) > 1 else None, known) if len(ids) > 1 else [])
 
     return compare
 
 
-def _judge(rows: DataFrame, percent: int, chunk_bytes: int) -> DataFrame:
+def _candidate_links(rows: DataFrame, classes: DataFrame, n_classes: int, percent: int, group_rows: int) -> DataFrame:
+    """(a, b): verified links that join up all pairs of classes that share a bucket and are similar."""
+    buckets = classes.select("rep", F.explode("band_keys").alias("bucket"))
+    centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"), F.count("*").alias("n")).where("centre <> last").select("bucket", "centre", "n")
+    shared = shared_table(join_counted(buckets, shared_table(centres, "centres"), "bucket", BANDS * n_classes), "shared")
+    reps = shared_table(shared.groupBy("rep").agg(F.min("centre").alias("centre")), "reps")
+    maybe = id_filter(reps, "rep")  # most documents share no bucket: their texts stay where they are
+    texts = rows.where(maybe(F.col("doc_id"))).select(F.col("doc_id").alias("rep"), "text").join(reps.select("rep"), "rep")
+    sets = shared_table(texts.select("rep", "text").mapInArrow(_sets, "rep long, shingles binary"), "sets")
+    chunk = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(n / F.lit(group_rows)))).cast("int")
+    chunks = lambda n: F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(n / F.lit(group_rows))).cast("int") - 1)
+
+    # stars: a centre goes to each chunk of its members
+    stars = shared_table(reps.where("rep <> centre").groupBy("centre").agg(F.count("*").alias("n")), "stars")
+    members = join_counted(reps.where("rep <> centre"), stars.select("centre", "n", F.col("n").alias("size")), "centre", n_classes).select("rep", "centre", chunk(F.col("size")).alias("chunk"))
+    dealt = members.unionByName(stars.select(F.col("centre").alias("rep"), "centre", F.explode(chunks(F.col("n"))).alias("chunk")))
+    first = shared_table(dealt.join(sets, "rep").groupBy("centre", "chunk").applyInArrow(_with_centre(percent), "a long, b long"), "links")
+
+    # buckets whose members are not all in one class yet: their largest class is the base, the others are the rest
+    known = shared.join(connected_components(first).select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", "bucket", F.coalesce("root", "rep").alias("known"))
+    known = shared_table(known, "known")
+    sizes = known.groupBy("bucket", "known").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("known", F.struct("k", "known")).alias("base"), F.max("k").alias("base_n"), F.sum("k").alias("n"), F.count("*").alias("classes"))
+    left = shared_table(sizes.where("classes > 1").select("bucket", "base", "base_n", (F.col("n") - F.col("base_n")).alias("rest_n"), "n"), "left")
+    open_rows = join_counted(known, left, "bucket", BANDS * n_classes)
+    own = F.when(F.col("known") == F.col("base"), chunk(F.col("base_n"))).otherwise(chunk(F.col("rest_n")))
+    mine = open_rows.withColumn("chunk", own)
+    base = mine.where("known = base").select("rep", "known", "bucket", F.explode(chunks(F.col("rest_n"))).alias("x"), F.col("chunk").alias("y"), F.lit(True).alias("with_base"), F.lit(1).alias("side"))
+    rest = mine.where("known <> base")
+    rest_base = rest.select("rep", "known", "bucket", F.col("chunk").alias("x"), F.explode(chunks(F.col("base_n"))).alias("y"), F.lit(True).alias("with_base"), F.lit(0).alias("side"))
+    rest_rest = rest.withColumn("other", F.explode(chunks(F.col("rest_n")))).select(
+        "rep", "known", "bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), F.lit(False).alias("with_base"), F.when(F.col("chunk") > F.col("other"), 1).otherwise(0).alias("side"),
+    )
+    met = base.unionAll(rest_base).unionAll(rest_rest).join(sets, "rep")
+    return first.unionAll(met.groupBy("bucket", "with_base", "x", "y").applyInArrow(_across(percent), "a long, b long"))
+
+
+def _judge(rows: DataFrame, percent: int, group_rows: int) -> DataFrame:
     """(doc_id, row_key, n_shingles, digest, component_id, kept) of rows (doc_id, row_key, text); row_key is carried."""
     small_batches(rows.sparkSession)
     schema = "doc_id long, row_key string, n_shingles long, digest binary, band_keys array<long>"
@@ -156,32 +209,9 @@ def _judge(rows: DataFrame, percent: int, chunk_bytes: int) -> DataFrame:
     known = sketches.where("doc_id is not null and digest is not null")
 
     # equal sets: one class each, named by its smallest id; what hangs on the set is the same in all its rows
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("band_keys").alias("band_keys"), F.count("*").alias("n"))
-    classes = shared_table(classes, "classes")
+    classes = shared_table(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("band_keys").alias("band_keys"), F.count("*").alias("n")), "classes")
     totals = classes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    buckets = classes.select("rep", F.explode("band_keys").alias("bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"), F.count("*").alias("n")).where("centre <> last").select("bucket", "centre", "n")
-    centres = shared_table(centres, "centres")
-    stars = join_counted(buckets, centres, "bucket", BANDS * totals["classes"]).where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-
-    parts = connected_components(stars).select(F.col("node").alias("rep"), F.col("root").alias("part"))
-    members = shared_table(parts.join(classes.select("rep", "size"), "rep"), "parts")
-    sized = members.groupBy("part").agg(F.sum(F.col("size") * 8 + 8 * BINS).alias("bytes"), F.count("*").alias("n"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(chunk_bytes))).cast("int")
-    dealt = join_counted(members.select("part", "rep"), sized.select("part", chunks.alias("chunks"), "n"), "part", members.count()).select(
-        "part", F.col("rep").alias("doc_id"), "chunks", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk")
-    ).distinct()
-    dealt = shared_table(dealt, "dealt")
-    maybe = id_filter(dealt)  # most documents share no bucket: their texts stay where they are
-    sets = dealt.join(rows.where(maybe(F.col("doc_id"))), "doc_id").select("part", "doc_id", "chunks", "chunk", "text").mapInArrow(_sets, "part long, doc_id long, chunks int, chunk int, shingles binary")
-    # a chunk meets itself and each other chunk of its part once
-    others = F.sequence(F.lit(0), F.col("chunks") - 1)
-    met = sets.withColumn("other", F.explode(others)).select(
-        "part", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"),
-        F.when(F.col("chunk") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "shingles",
-    )
-    links = met.groupBy("part", "x", "y").applyInArrow(_compare(percent), "a long, b long")
-    merged = connected_components(links)
+    merged = connected_components(_candidate_links(rows, classes, totals["classes"], percent, group_rows))
 
     # rows whose set is theirs alone and links with nothing are their own component and need no join
     named = classes.join(merged, classes.rep == merged.node, "left").where("n > 1 or root is not null").select("digest", F.coalesce("root", "rep").alias("class_root"), "n")
@@ -191,7 +221,7 @@ def _judge(rows: DataFrame, percent: int, chunk_bytes: int) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Words are runs of non-blank characters, A-Z lower-cased; a set holds the distinct 5-word shingles. A pair with a
@@ -201,7 +231,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    return _judge(rows, percent, chunk_bytes).select("doc_id", "n_shingles", "component_id", "kept")
+    return _judge(rows, percent, group_rows).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def without_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +250,7 @@ def without_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
     number = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 3)
     own = F.coalesce(F.col(id_col).cast("long"), number)
     rows = docs.select(own.alias("doc_id"), key.alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    judged = shared_table(_judge(rows, percent, CHUNK_BYTES).select("doc_id", "row_key", "digest", "kept"), "judged")
+    judged = shared_table(_judge(rows, percent, GROUP_ROWS).select("doc_id", "row_key", "digest", "kept"), "judged")
     # of an id's rows in its own component the ones of one set are copies of each other
     per_set = judged.groupBy("doc_id", "digest", F.when(F.col("digest").isNull(), F.col("row_key")).alias("blank"))
     per_set = shared_table(per_set.agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"), F.min("row_key").alias("stays")), "per-set")

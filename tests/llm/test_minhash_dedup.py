@@ -54,7 +54,7 @@ def test_empty(spark, none):
 
 
 def test_chunked_parts_lose_no_link(spark):
-    """Near copies of one text whose links go through it, compared chunk by chunk."""
+    """Near copies of one text whose links go through it, a chain of neighbours and strangers with a common half, compared chunk by chunk."""
     base = words(5, 200).split()
     rows = [(1000, " ".join(base))]
     for k in range(40):
@@ -62,11 +62,16 @@ def test_chunked_parts_lose_no_link(spark):
         for j in range(4):
             t[(k * 5 + j * 47) % 200] = f"x{k}y{j}"
         rows.append((k, " ".join(t)))
+    half, text = words(6, 120), words(9, 150).split()
+    rows += [(2000 + k, f"{half} {words(100 + k, 70 + k)}") for k in range(9)]
+    for k in range(12):
+        rows.append((3000 - k, " ".join(text)))
+        text = text[8:] + words(200 + k, 8).split()
     df = frame(spark, rows, "doc_id long, text string")
     want = brute(rows, 80)
     assert got(df, percent=80) == want
-    assert got(df, percent=80, chunk_bytes=9000) == want
-    assert len({r[2] for r in want}) < 41
+    assert got(df, percent=80, group_rows=3) == want
+    assert len({r[2] for r in want}) < 41 + 21
 
 
 def test_signature_estimates_similarity():

@@ -50,3 +50,6 @@ UNIT_POLICY = {
 }
 SEVERITY = {"compatible": 0, "unknown": 1, "risky": 2, "breaking": 3}
 VERDICTS = "serialize serialize_soft warn unknown clear".split()
+#: Branches that may hold a lane without an open change.
+RELEASE_BRANCH = r"^(main|master|develop|release([/-].*)?|hotfix([/-].*)?)$"
+REBASE_CLASSES = "rebase_needed rebase_needed_observation".split()

@@ -1,6 +1,7 @@
 """In-flight adjacency: which files a claimed file is coupled to, and how. Three variants that differ on purpose.
 
-Claimed paths restrict every axis before its join, so the cost follows graph size plus claims and not their product.
+Claimed paths restrict calls, definers, imports and one side of the shared resources before they are joined; hubs and how many
+files define a name are properties of the whole graph and are counted over it.
 """
 
 from __future__ import annotations
@@ -19,55 +20,66 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames)
 
 
-def call_links(symbols: DataFrame, calls: DataFrame, imports: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(caller, definer): calls that resolve to a file that is no hub. Without an import that confirms it, a call counts
-    only for a name with one definer, not from product code to a test, and not for short or built-in names."""
-    called = usable(calls).select(F.col("src").alias("caller"), F.col("dst").alias("name"))
-    found = called.join(named_definers(symbols), "name").select("caller", F.col("path").alias("definer"), "name", "n").where("caller <> definer")
-    found = found.join(hubs.select(F.col("path").alias("definer")), "definer", "left_anti")
+def call_links(symbols: DataFrame, calls: DataFrame, imports: DataFrame, hubs: DataFrame, callers: DataFrame | None = None, definers: DataFrame | None = None, into_hubs: bool = False) -> DataFrame:
+    """(caller, definer): calls that resolve to a file that is no hub, or with into_hubs to one that is.
+
+    Without an import that confirms it, a call counts only for a name with one definer, not for short or built-in names, and
+    not from product code to a test unless into_hubs. Where callers or definers (path) are given, only theirs: both
+    sides shrink before they meet. How many files define a name is counted over all symbols.
+    """
+    called = usable(calls).select(F.col("src").alias("caller"), F.col("dst").alias("name")).distinct()
+    named = named_definers(symbols).select("name", F.col("path").alias("definer"), "n")
+    hub = hubs.select(F.col("path").alias("definer"))
+    named = named.join(hub, "definer", "left_semi" if into_hubs else "left_anti")
+    if callers is not None:
+        called = called.join(callers.select(F.col("path").alias("caller")), "caller", "left_semi")
+    if definers is not None:
+        named = named.join(definers.select(F.col("path").alias("definer")), "definer", "left_semi")
+    found = called.join(named, "name").where("caller <> definer")
     imported = usable(imports).select(F.col("src").alias("caller"), F.col("dst").alias("definer")).distinct().withColumn("imported", F.lit(True))
-    guarded = (F.col("n") == 1) & ~(is_test_path(F.col("definer")) & ~is_test_path(F.col("caller"))) & (F.length("name") > 2) & ~F.lower("name").isin(v.BUILTIN_TAILS)
-    return found.join(imported, ["caller", "definer"], "left").where(F.col("imported") | guarded).select("caller", "definer").distinct()
-
-
-def file_couplings(symbols: DataFrame, calls: DataFrame, imports: DataFrame, resources: DataFrame, degree: int = v.HUB_DEGREE) -> dict[str, DataFrame]:
-    """The undirected axes as directed links (f, nbr, dir), hubs taken out."""
-    hubs = hub_files(imports, degree)
-    links = call_links(symbols, calls, imports, hubs)
-    imported = usable(imports).where("src <> dst").join(hubs.select(F.col("path").alias("dst")), "dst", "left_anti").select("src", "dst")
-    touched = usable(resources).select("src", "dst").distinct().join(hub_resources(resources, degree).select("dst"), "dst", "left_anti")
-    return {"calls": links, "imports": imported, "resources": touched}
+    sure = (F.col("n") == 1) & (F.length("name") > 2) & ~F.lower("name").isin(v.BUILTIN_TAILS)
+    if not into_hubs:
+        sure = sure & ~(is_test_path(F.col("definer")) & ~is_test_path(F.col("caller")))
+    return found.join(imported, ["caller", "definer"], "left").where(F.col("imported") | sure).select("caller", "definer").distinct()
 
 
 def claim_adjacency(claims: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, resources: DataFrame, degree: int = v.HUB_DEGREE) -> DataFrame:
     """(f, agent, change_id, nbr, dir) for each active claim: up depends on nbr, down is depended on, shared by a resource."""
     edited = claims.where("state = 'active'").select(F.col("path").alias("f"), "agent", "change_id").distinct()
-    axes = file_couplings(symbols, calls, imports, resources, degree)
-    active = edited.select("f").distinct()
-    res = axes["resources"]
-    mine = res.join(active, res.src == active.f, "left_semi").select(F.col("src").alias("f"), "dst")
+    active = edited.select(F.col("f").alias("path")).distinct()
+    hubs = hub_files(imports, degree)
+    up = call_links(symbols, calls, imports, hubs, callers=active)
+    down = call_links(symbols, calls, imports, hubs, definers=active)
+    imported = usable(imports).where("src <> dst").select("src", "dst")
+    above = imported.join(active.select(F.col("path").alias("src")), "src", "left_semi")
+    below = imported.join(active.select(F.col("path").alias("dst")), "dst", "left_semi")
+    no_hub = lambda d: d.join(hubs.select(F.col("path").alias("dst")), "dst", "left_anti")
+    touched = usable(resources).select("src", "dst").distinct().join(hub_resources(resources, degree).select("dst"), "dst", "left_anti")
+    mine = touched.join(active.select(F.col("path").alias("src")), "src", "left_semi").select(F.col("src").alias("f"), "dst")
     pairs = _union(
         [
-            axes["calls"].select(F.col("caller").alias("f"), F.col("definer").alias("nbr"), F.lit("up").alias("dir")),
-            axes["calls"].select(F.col("definer").alias("f"), F.col("caller").alias("nbr"), F.lit("down").alias("dir")),
-            axes["imports"].select(F.col("src").alias("f"), F.col("dst").alias("nbr"), F.lit("up").alias("dir")),
-            axes["imports"].select(F.col("dst").alias("f"), F.col("src").alias("nbr"), F.lit("down").alias("dir")),
-            mine.join(res.select(F.col("src").alias("nbr"), "dst"), "dst").where("f <> nbr").select("f", "nbr", F.lit("shared").alias("dir")),
+            up.select(F.col("caller").alias("f"), F.col("definer").alias("nbr"), F.lit("up").alias("dir")),
+            down.select(F.col("definer").alias("f"), F.col("caller").alias("nbr"), F.lit("down").alias("dir")),
+            no_hub(above).select(F.col("src").alias("f"), F.col("dst").alias("nbr"), F.lit("up").alias("dir")),
+            no_hub(below).select(F.col("dst").alias("f"), F.col("src").alias("nbr"), F.lit("down").alias("dir")),
+            mine.join(touched.select(F.col("src").alias("nbr"), "dst"), "dst").where("f <> nbr").select("f", "nbr", F.lit("shared").alias("dir")),
         ]
     )
-    return edited.join(pairs.join(active, "f", "left_semi").distinct(), "f").select("f", "agent", "change_id", "nbr", "dir")
+    return edited.join(pairs.distinct(), "f").select("f", "agent", "change_id", "nbr", "dir")
 
 
-def dampened_pairs(claims: DataFrame, imports: DataFrame, resources: DataFrame, degree: int = v.HUB_DEGREE) -> DataFrame:
-    """(f, change_id, nbr, nbr_change, via): couplings through a hub, which adjacency leaves out, between two active changes."""
+def dampened_pairs(claims: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, resources: DataFrame, degree: int = v.HUB_DEGREE) -> DataFrame:
+    """(f, change_id, nbr, nbr_change, via): couplings through a hub, which adjacency leaves out, between two active changes: an
+    import of a hub, a call into one, or a hot resource that both touch. Active files restrict each axis before its join."""
     active = claims.where("state = 'active'").select("path", "change_id").distinct()
-    hubs = hub_files(imports, degree).select(F.col("path").alias("dst"))
-    hot = hub_resources(resources, degree).select("dst")
-    paths = active.select(F.col("path").alias("src")).distinct()
-    imp = usable(imports).select("src", "dst").join(hubs, "dst", "left_semi").join(paths, "src", "left_semi").distinct()
-    edited_hub = imp.join(paths.select(F.col("src").alias("dst")), "dst", "left_semi").select(F.col("src").alias("f"), F.col("dst").alias("nbr"), F.col("dst").alias("via"))
-    both = edited_hub.unionAll(edited_hub.select(F.col("nbr").alias("f"), F.col("f").alias("nbr"), "via"))
-    res = usable(resources).select("src", "dst").join(hot, "dst", "left_semi").join(paths, "src", "left_semi").distinct()
+    paths = active.select("path").distinct()
+    src, dst = paths.select(F.col("path").alias("src")), paths.select(F.col("path").alias("dst"))
+    hubs = hub_files(imports, degree)
+    imp = usable(imports).select("src", "dst").where("src <> dst").join(src, "src", "left_semi").join(dst, "dst", "left_semi").join(hubs.select(F.col("path").alias("dst")), "dst", "left_semi")
+    call = call_links(symbols, calls, imports, hubs, callers=paths, definers=paths, into_hubs=True).select(F.col("caller").alias("src"), F.col("definer").alias("dst"))
+    into = imp.unionByName(call).distinct()
+    both = into.select(F.col("src").alias("f"), F.col("dst").alias("nbr"), F.col("dst").alias("via")).unionAll(into.select(F.col("dst").alias("f"), F.col("src").alias("nbr"), F.col("dst").alias("via")))
+    res = usable(resources).select("src", "dst").join(src, "src", "left_semi").join(hub_resources(resources, degree).select("dst"), "dst", "left_semi").distinct()
     shared = res.select(F.col("src").alias("f"), "dst").join(res.select(F.col("src").alias("nbr"), "dst"), "dst").where("f <> nbr").select("f", "nbr", F.col("dst").alias("via"))
     pairs = both.unionAll(shared).distinct()
     a, b = active.select(F.col("path").alias("f"), "change_id"), active.select(F.col("path").alias("nbr"), F.col("change_id").alias("nbr_change"))
@@ -103,7 +115,7 @@ def cross_repo_contracts(a: DataFrame, b: DataFrame) -> DataFrame:
     return links.join(bad, "contract", "left_anti").select("definer", "consumer", "contract").distinct()
 
 
-def meter(files: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, resources: DataFrame, blind_pairs: DataFrame, policy: dict | None = None) -> DataFrame:
+def meter(files: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, resources: DataFrame, blind_pairs: DataFrame, policy: dict | None = None, degree: int = v.HUB_DEGREE) -> DataFrame:
     """One row: the components of the unit meter, the premium and the units."""
     p = v.UNIT_POLICY | (policy or {})
     known = files.select("path")
@@ -115,9 +127,9 @@ def meter(files: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataF
     )
     res = resources.join(known.select(F.col("path").alias("src")), "src", "left_semi")
     keys = res.groupBy("dst").agg(F.countDistinct("src").alias("n"), F.bool_or(F.col("kind") == "alters").alias("w"), F.bool_or(F.col("kind") == "queries").alias("r"))
-    shared = keys.agg(F.count_if(F.col("n") >= 2).alias("shared"), F.count_if(F.col("w") & F.col("r")).alias("both"), F.count_if(F.col("n") > v.HUB_DEGREE).alias("hot"))
-    hubs = imports.join(known.select(F.col("path").alias("dst")), "dst", "left_semi").groupBy("dst").agg(F.countDistinct("src").alias("n")).where(F.col("n") > v.HUB_DEGREE).agg(F.count("*").alias("hubs"))
-    cool = res.join(keys.where(F.col("n").between(2, v.HUB_DEGREE)).select("dst"), "dst", "left_semi").select("src", "dst").distinct()
+    shared = keys.agg(F.count_if(F.col("n") >= 2).alias("shared"), F.count_if(F.col("w") & F.col("r")).alias("both"), F.count_if(F.col("n") > degree).alias("hot"))
+    hubs = imports.join(known.select(F.col("path").alias("dst")), "dst", "left_semi").groupBy("dst").agg(F.countDistinct("src").alias("n")).where(F.col("n") > degree).agg(F.count("*").alias("hubs"))
+    cool = res.join(keys.where(F.col("n").between(2, degree)).select("dst"), "dst", "left_semi").select("src", "dst").distinct()
     touching = cool.join(cool.select(F.col("src").alias("other"), "dst"), "dst").where("src < other").select(F.col("src").alias("path_a"), F.col("other").alias("path_b"))
     degree = pairs.where("label = 'import'").select("path_a", "path_b").unionAll(touching).distinct().agg((2 * F.count("*")).alias("ends"))
     size = files.agg(F.count("*").alias("files"), F.sum("loc").cast("long").alias("loc"))

@@ -1,7 +1,7 @@
 """Co-change mining: which files change together, beyond what their own frequencies explain.
 
-Input is the long table of touches (commit, path). Self-joins are on the commit, whose size the giant-commit cut bounds to
-MAX_COMMIT_FILES first, and files too rare to reach the support are dropped before the join.
+Input is the long table of touches (commit, path). Pairs are made within each commit, whose size the giant-commit cut bounds to
+MAX_COMMIT_FILES first, from files that are frequent enough to reach the support.
 """
 
 from __future__ import annotations
@@ -24,20 +24,23 @@ def file_counts(kept: DataFrame) -> DataFrame:
 
 
 def pair_counts(kept: DataFrame, min_support: int = 1, commit: str = "commit_id") -> DataFrame:
-    """(path_a < path_b, co). A pair's support is at most its files', so rarer files go before the join."""
+    """(path_a < path_b, co) of distinct (commit, path) rows, as baskets() gives them. A pair's support is at most its files', so rarer
+    files go first; a commit's paths, at most as many as baskets() allows, are sorted into one array and paired within it."""
     if min_support > 1:
         often = file_counts(kept).where(F.col("n") >= min_support).select("path")
         kept = kept.join(often, "path", "left_semi")
-    a, b = kept.select(commit, F.col("path").alias("path_a")), kept.select(commit, F.col("path").alias("path_b"))
-    out = a.join(b, commit).where("path_a < path_b").groupBy("path_a", "path_b").agg(F.count("*").alias("co"))
+    sets = kept.groupBy(commit).agg(F.sort_array(F.collect_list("path")).alias("paths")).where(F.size("paths") > 1)
+    left = sets.select(F.posexplode("paths").alias("at", "path_a"), "paths")
+    pairs = left.select("path_a", F.explode(F.slice("paths", F.col("at") + 2, F.size("paths"))).alias("path_b"))
+    out = pairs.groupBy("path_a", "path_b").agg(F.count("*").alias("co"))
     return out.where(F.col("co") >= min_support) if min_support > 1 else out
 
 
-def score_pairs(pairs: DataFrame, files: DataFrame, n_total: int, min_support: int, min_lift: float, min_strength: float) -> DataFrame:
-    """Pairs with n_a, n_b, n_total, strength and lift over the floors, which hold for unrounded values."""
+def score_pairs(pairs: DataFrame, files: DataFrame, total: DataFrame, min_support: int, min_lift: float, min_strength: float) -> DataFrame:
+    """Pairs with n_a, n_b, n_total, strength and lift over the floors, which hold for unrounded values; total is one row, n_total."""
     a = files.select(F.col("path").alias("path_a"), F.col("n").alias("n_a"))
     b = files.select(F.col("path").alias("path_b"), F.col("n").alias("n_b"))
-    out = pairs.where(F.col("co") >= min_support).join(a, "path_a").join(b, "path_b").withColumn("n_total", F.lit(n_total).cast("long"))
+    out = pairs.where(F.col("co") >= min_support).join(a, "path_a").join(b, "path_b").crossJoin(F.broadcast(total))  # one row
     out = out.withColumn("strength", F.greatest(F.col("co") / F.col("n_a"), F.col("co") / F.col("n_b")))
     out = out.withColumn("lift", (F.col("co") * F.col("n_total")) / (F.col("n_a") * F.col("n_b")))
     return out.where((F.col("lift") >= min_lift) & (F.col("strength") >= min_strength))
@@ -46,8 +49,8 @@ def score_pairs(pairs: DataFrame, files: DataFrame, n_total: int, min_support: i
 def cochange_pairs(touch: DataFrame, min_support: int = v.COCHANGE_SUPPORT, min_lift: float = v.COCHANGE_LIFT, min_strength: float = v.COCHANGE_STRENGTH, max_files: int = v.MAX_COMMIT_FILES) -> DataFrame:
     """(path_a, path_b, co, n_a, n_b, n_total, strength, lift) of the pairs over all floors."""
     kept = baskets(touch, max_files)
-    n_total = kept.select("commit_id").distinct().count()
-    return score_pairs(pair_counts(kept, min_support), file_counts(kept), n_total, min_support, min_lift, min_strength)
+    total = kept.groupBy("commit_id").count().agg(F.count("*").alias("n_total"))
+    return score_pairs(pair_counts(kept, min_support), file_counts(kept), total, min_support, min_lift, min_strength)
 
 
 def strongest(pairs: DataFrame, limit: int = 5000) -> DataFrame:
@@ -93,18 +96,18 @@ def graph_blind(pairs: DataFrame, structure: DataFrame) -> DataFrame:
     return pairs.join(structure, ["path_a", "path_b"], "left_anti")
 
 
-def pair_stats(pairs: DataFrame, counted: DataFrame, files: DataFrame, n_total: int) -> DataFrame:
+def pair_stats(pairs: DataFrame, counted: DataFrame, files: DataFrame, total: DataFrame) -> DataFrame:
     """One row for each value of label in pairs (path_a, path_b, label): how many ever change together, and the median lift.
 
     The median is the lower middle one, and pairs that never change together have a lift of 0.
     """
     na = files.select(F.col("path").alias("path_a"), F.col("n").alias("n_a"))
     nb = files.select(F.col("path").alias("path_b"), F.col("n").alias("n_b"))
-    rows = pairs.join(counted, ["path_a", "path_b"], "left").join(na, "path_a").join(nb, "path_b")
-    rows = rows.withColumn("lift", F.coalesce(F.col("co") * F.lit(n_total) / (F.col("n_a") * F.col("n_b")), F.lit(0.0)))
-    order = Window.partitionBy("label").orderBy("lift")
-    ranked = rows.withColumns({"at": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy("label"))})
-    return ranked.groupBy("label").agg(
-        F.first("n").alias("n"), F.count_if(F.col("co").isNotNull()).alias("ever"),
-        F.max(F.when(F.col("at") == F.floor(F.col("n") / 2) + 1, F.col("lift"))).alias("median_lift"),
-    )
+    rows = pairs.join(counted, ["path_a", "path_b"], "left").join(na, "path_a").join(nb, "path_b").crossJoin(F.broadcast(total))  # one row
+    lift = F.coalesce(F.col("co") * F.col("n_total") / (F.col("n_a") * F.col("n_b")), F.lit(0.0))
+    # equal lifts are counted first, so that the order runs over distinct values and not over all pairs
+    values = rows.groupBy("label", lift.alias("lift")).agg(F.count("*").alias("k"), F.count("co").alias("ever"))
+    up_to = F.sum("k").over(Window.partitionBy("label").orderBy("lift"))
+    ranked = values.withColumns({"upto": up_to, "n": F.sum("k").over(Window.partitionBy("label"))})
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("lift")))
+    return ranked.groupBy("label").agg(F.first("n").alias("n"), F.sum("ever").alias("ever"), middle.alias("median_lift"))

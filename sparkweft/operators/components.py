@@ -31,8 +31,8 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 6
         jumped = hooked.join(root, "hook", "left").select("node", F.col("component").alias("before"), F.least("hook", F.coalesce("up", "hook")).alias("component")).checkpoint()
         labels = jumped.select("node", "component")
         if not jumped.where("before <> component").limit(1).count():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def depths(nodes: DataFrame, deps: DataFrame, max_hops: int = 64) -> DataFrame:

@@ -19,12 +19,38 @@ def contested_files(adjacency: DataFrame, claims: DataFrame) -> DataFrame:
     return adjacency.join(other, "nbr").where("agent <> other_agent").groupBy(F.col("f").alias("path")).agg(F.countDistinct("other_change").alias("degree"))
 
 
-def waits(claims: DataFrame) -> DataFrame:
-    """(path, waiter, holder, cross_draft, low_value): a waiting claim on a path that another change holds."""
-    held = claims.where("state = 'active'").select("path", F.col("change_id").alias("holder"), F.col("is_draft").alias("holder_draft"), F.col("claim_id").alias("holder_claim"))
-    waiting = claims.where("state = 'waiting'").select("path", F.col("change_id").alias("waiter"), F.col("is_draft").alias("waiter_draft"), F.col("claim_id").alias("waiter_claim"))
-    rows = waiting.join(held, "path").where("waiter <> holder")
-    return rows.select("path", "waiter", "holder", "waiter_claim", "holder_claim", (F.col("waiter_draft") != F.col("holder_draft")).alias("cross_draft"), low_value(F.col("path")).alias("low_value"))
+def is_advisory(change: Column) -> Column:
+    """A branch's reservation without an open change behind it, unless the branch is a release lane."""
+    return change.startswith("BR-") & ~F.lower(F.substring(change, 4, 1_000_000)).rlike(v.RELEASE_BRANCH)
+
+
+def waits(claims: DataFrame, overlap: DataFrame | None = None) -> DataFrame:
+    """(path, waiter, holder, waiter_claim, holder_claim, cross_draft, low_value, append_soft, advisory): waiting claims on paths that another change holds.
+
+    overlap (path, waiter, holder, relation), as symbol_overlap gives it: waits on ranges proven disjoint are left out, those of
+    pure appends are marked append_soft, and a proven common symbol is never of low value. A change is a draft where any of its
+    claims is. Behind an advisory holder the changes of a path also wait for the earliest of them.
+    """
+    draft = claims.groupBy("change_id").agg(F.coalesce(F.bool_or("is_draft"), F.lit(False)).alias("draft"))
+    held = claims.where("state = 'active'").select("path", F.col("change_id").alias("holder"), F.col("claim_id").alias("holder_claim"))
+    waiting = claims.where("state = 'waiting'").select("path", F.col("change_id").alias("waiter"), F.col("claim_id").alias("waiter_claim"))
+    base = waiting.join(held, "path").where("waiter <> holder").withColumn("advisory", is_advisory(F.col("holder")))
+    first = claims.where("change_id like 'PR-%' and state in ('active', 'waiting')").groupBy("path").agg(F.min_by(F.struct(F.col("change_id").alias("holder"), F.col("claim_id").alias("holder_claim")), F.struct("claimed_at", "change_id")).alias("first"))
+    lanes = held.where(is_advisory(F.col("holder"))).select("path").distinct()
+    behind = waiting.where("waiter like 'PR-%'").join(lanes, "path", "left_semi").join(first, "path").select("path", "waiter", "waiter_claim", "first.*", F.lit(False).alias("advisory")).where("waiter <> holder")
+    rows = base.unionByName(behind)
+    rows = rows.join(draft.withColumnsRenamed({"change_id": "waiter", "draft": "waiter_draft"}), "waiter").join(draft.withColumnsRenamed({"change_id": "holder", "draft": "holder_draft"}), "holder")
+    if overlap is None:
+        rows = rows.withColumns({"same": F.lit(False), "append_soft": F.lit(False)})
+    else:
+        a, b = overlap.select("path", "waiter", "holder", "relation"), overlap.select("path", F.col("holder").alias("waiter"), F.col("waiter").alias("holder"), "relation")
+        found = lambda r: F.bool_or(F.col("relation") == r)
+        known = a.unionAll(b).groupBy("path", "waiter", "holder").agg(found("disjoint").alias("disjoint"), found("same").alias("same"), found("append").alias("append_soft"))
+        rows = rows.join(known, ["path", "waiter", "holder"], "left").na.fill(False, ["disjoint", "same", "append_soft"]).where("not disjoint")
+    return rows.select(
+        "path", "waiter", "holder", "waiter_claim", "holder_claim", (F.col("waiter_draft") != F.col("holder_draft")).alias("cross_draft"),
+        (low_value(F.col("path")) & ~F.col("same")).alias("low_value"), "append_soft", "advisory",
+    )
 
 
 def conflict_points(claims: DataFrame, tolerance: int = 2) -> DataFrame:
@@ -64,27 +90,57 @@ def corroborated(dampened: DataFrame, pairs: DataFrame, min_co: int = 3, min_lif
     return rows.join(known, ["path_a", "path_b"], "left").select(*dampened.columns, F.coalesce("known", F.lit(False)).alias("corroborated"))
 
 
-def verdicts(claims: DataFrame, files: DataFrame, wait_rows: DataFrame, adjacency: DataFrame, dampened: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(change_id, verdict, step): the first step of the ladder that holds. Each fact is one boolean per change, joined once."""
+def uncertain_paths(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, reason): files whose analysis is not whole, sources of uncertain references, and known files that an ambiguous one may mean."""
+    status = F.col("analysis_status")
+    said = F.when(status == "failed", "analysis_failed").when(status == "ambiguous", "analysis_ambiguous").otherwise("analysis_incomplete")
+    own = files.where(status.isin("failed", "ambiguous", "incomplete")).select("path", said.alias("reason"))
+    bad = edges.where(F.col("reference_status").isin("ambiguous", "unresolved"))
+    out = bad.select(F.col("src").alias("path"), F.concat(F.lit("reference_"), "reference_status").alias("reason"))
+    meant = bad.where("reference_status = 'ambiguous'").select(F.col("dst").alias("path")).distinct().join(files.select("path"), "path", "left_semi").withColumn("reason", F.lit("reference_ambiguous"))
+    return own.unionAll(out).unionAll(meant).distinct()
+
+
+#: Facts in the order in which the first that holds decides, with what it says.
+LADDER = [
+    ("hard", "serialize"), ("soft", "serialize_soft"), ("draft", "warn"), ("contested", "warn"), ("absent", "unknown"), ("borne_out", "warn"),
+    ("any_loss", "unknown"), ("uncertain", "unknown"), ("dampened", "unknown"),
+]
+
+
+def change_facts(claims: DataFrame, files: DataFrame, wait_rows: DataFrame, adjacency: DataFrame, dampened: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(change_id, and one boolean for each fact of LADDER). Each fact is aggregated by change and joined once."""
     changes = claims.select("change_id").distinct()
     own = claims.select("change_id", "path").distinct()
-    w = wait_rows.groupBy(F.col("waiter").alias("change_id")).agg(
-        F.bool_or(~F.col("cross_draft") & ~F.col("low_value")).alias("hard"), F.bool_or(~F.col("cross_draft")).alias("soft"), F.bool_or("cross_draft").alias("draft"),
-    )
+    mild = F.col("low_value") | F.col("append_soft") | F.col("advisory")
+    w = wait_rows.groupBy(F.col("waiter").alias("change_id")).agg(F.bool_or(~F.col("cross_draft") & ~mild).alias("hard"), F.bool_or(~F.col("cross_draft")).alias("soft"), F.bool_or("cross_draft").alias("draft"))
     active = claims.where("state = 'active'").select(F.col("path").alias("nbr"), F.col("change_id").alias("other")).distinct()
     contested = adjacency.join(active, "nbr").where("change_id <> other").select("change_id").distinct().withColumn("contested", F.lit(True))
-    known = own.join(files.select("path", "analysis_status", F.lit(True).alias("here")), "path", "left")
-    facts = known.groupBy("change_id").agg(F.bool_or(F.col("here").isNull()).alias("absent"), F.bool_or(F.col("analysis_status").isNotNull()).alias("uncertain"))
+    doubt = uncertain_paths(files, edges).groupBy("path").agg(F.lit(True).alias("doubt"), F.bool_or(F.col("reason").isin("analysis_failed", "analysis_incomplete")).alias("loss"))
+    known = own.join(files.select("path", F.lit(True).alias("here")).distinct(), "path", "left").join(doubt, "path", "left")
+    facts = known.groupBy("change_id").agg(F.bool_or(F.col("here").isNull()).alias("absent"), F.bool_or(F.col("doubt").isNotNull()).alias("uncertain"), F.bool_or(F.coalesce("loss", F.lit(False))).alias("loss"))
     damp = corroborated(dampened, pairs).groupBy("change_id").agg(F.bool_or("corroborated").alias("borne_out"), F.lit(True).alias("dampened"))
-    lossy = own.join(files.where(F.col("analysis_status").isin("failed", "incomplete")).select("path"), "path", "left_semi").select("change_id").limit(1).agg((F.count("*") > 0).alias("any_loss"))
+    lossy = facts.agg(F.coalesce(F.bool_or("loss"), F.lit(False)).alias("any_loss"))
     rows = changes.join(w, "change_id", "left").join(contested, "change_id", "left").join(facts, "change_id", "left").join(damp, "change_id", "left").crossJoin(F.broadcast(lossy))  # one row
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    ladder = [("hard", "serialize"), ("soft", "serialize_soft"), ("draft", "warn"), ("contested", "warn"), ("absent", "unknown"), ("borne_out", "warn"), ("any_loss", "unknown"), ("uncertain", "unknown"), ("dampened", "unknown")]
-    verdict, step = F.lit("clear"), F.lit(10)
-    for i in range(len(ladder) - 1, -1, -1):
-        fact, said = ladder[i]
-        verdict, step = F.when(yes(fact), said).otherwise(verdict), F.when(yes(fact), i + 1).otherwise(step)
-    return rows.select("change_id", verdict.alias("verdict"), step.alias("step"))
+    return rows.select("change_id", *(F.coalesce(n, F.lit(False)).alias(n) for n, _ in LADDER))
+
+
+def verdicts(facts: DataFrame) -> DataFrame:
+    """(change_id, verdict, step): the first step of the ladder that holds."""
+    verdict, step = F.lit("clear"), F.lit(len(LADDER) + 1)
+    for i in range(len(LADDER) - 1, -1, -1):
+        fact, said = LADDER[i]
+        verdict, step = F.when(F.col(fact), said).otherwise(verdict), F.when(F.col(fact), i + 1).otherwise(step)
+    return facts.select("change_id", verdict.alias("verdict"), step.alias("step"))
+
+
+def loss_promoted(facts: DataFrame) -> DataFrame:
+    """(change_id): changes that are unknown only because some change in flight touches a file whose analysis lost facts."""
+    stronger = [n for n, _ in LADDER if n != "any_loss"]
+    clear = F.lit(True)
+    for n in stronger:
+        clear = clear & ~F.col(n)
+    return facts.where(F.col("any_loss") & clear).select("change_id")
 
 
 def change_links(wait_rows: DataFrame, adjacency: DataFrame, claims: DataFrame) -> DataFrame:

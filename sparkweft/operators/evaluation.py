@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.functions.paths import dirname
@@ -11,10 +13,13 @@ from sparkweft.functions.paths import dirname
 BEATS, MIN_CROSS_PAIRS = 1.3, 20
 
 
-def controls(files: DataFrame, per_file: int = 2, seed: int = 7) -> DataFrame:
-    """(path_a, path_b): control pairs. Files are put in an order by a seeded hash and each is paired with the next ones: repeatable, and
-    linear in the files. The order runs per block of a coarser hash, so no task has them all."""
-    blocks = files.select("path", F.pmod(F.xxhash64("path", F.lit(seed)), F.lit(64)).alias("block"), F.xxhash64("path", F.lit(seed + 1)).alias("h")).distinct()
+def controls(files: DataFrame, per_file: int = 2, seed: int = 7, within: Column | None = None) -> DataFrame:
+    """(path_a, path_b): control pairs. Files are put in an order by a seeded md5 and each is paired with the next ones: repeatable, and
+    linear in the files. The order runs per block of the hash's first digits, so many that a block has some thousand files at any
+    size. With within, files are paired inside its groups (a directory: same-directory controls)."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), "path"))
+    digits = max(0, math.floor(math.log(max(1, files.count()) / 1000, 16)))
+    blocks = files.select("path", h.alias("h"), (F.substring(h, 1, digits) if within is None else within).alias("block")).distinct()
     order = Window.partitionBy("block").orderBy("h", "path")
     pairs = None
     for k in range(1, per_file + 1):

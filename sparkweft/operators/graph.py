@@ -18,10 +18,10 @@ def status_rank(status: Column) -> Column:
 
 
 def dedupe_nodes(nodes: DataFrame, keys: tuple[str, ...] = ("id", "kind", "path")) -> DataFrame:
-    """One node per key: the worst status, a specific language before none, any content hash."""
+    """One node per key: the worst status, a specific language before "unknown" and none, the greatest content hash."""
     worst = F.max(status_rank(F.col("analysis_status")))
     names = F.array(F.lit(None).cast("string"), F.lit("ambiguous"), F.lit("incomplete"), F.lit("failed"))
-    return nodes.groupBy(*keys).agg(F.max("language").alias("language"), F.max("content_hash").alias("content_hash"), F.get(names, worst).alias("analysis_status"))
+    return nodes.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("language") != "unknown", F.col("language"))), F.max("language")).alias("language"), F.max("content_hash").alias("content_hash"), F.get(names, worst).alias("analysis_status"))
 
 
 def dedupe_edges(edges: DataFrame, keys: tuple[str, ...] = ("src", "dst", "kind")) -> DataFrame:

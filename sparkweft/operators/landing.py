@@ -13,10 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkweft.functions import vocabulary as v
 from sparkweft.operators.components import connected_components
 
 #: Precedence of plan classes, the gravest first.
 PLAN_CLASSES = ("unknown", "mutual", "cycle", "rebase", "ordered_with_revision", "ordered")
+STEPS = {"unknown": "hold_pending_analysis", "mutual": "coordinate_revision", "cycle": "coordinate_cycle"}
+CALL_MISMATCH = "consumer_call_mismatch"
 
 
 def landing_edges(findings: DataFrame) -> DataFrame:
@@ -59,24 +62,73 @@ def kahn(nodes: list[str], edges: list[tuple[str, str]]) -> list[str] | None:
     return out if len(out) == len(nodes) else None
 
 
+def plan_edges(findings: DataFrame) -> DataFrame:
+    """(producer, consumer, hard, unknown, rebase, revise, live): one row per direction over all usable findings.
+
+    A finding is usable where both changes are known and differ and it is breaking, risky, unknown or asks for a rebase. unknown
+    are those of unknown result and call mismatches without a reason; revise are breaking call mismatches with one; live
+    edges are those with a breaking or risky finding that is neither, and only they order.
+    """
+    rows = typed(findings).where("usable")
+    return rows.groupBy(F.col("producer_pr").alias("producer"), F.col("consumer_pr").alias("consumer")).agg(
+        F.bool_or("live_hard").alias("hard"), F.bool_or("unknown").alias("unknown"), F.bool_or("rebase").alias("rebase"), F.bool_or("revise").alias("revise"), F.bool_or("live").alias("live")
+    )
+
+
+def typed(findings: DataFrame) -> DataFrame:
+    """findings with what the plan reads off each: usable, unknown, rebase, revise, live, live_hard. evidence_class and reason_detail may be missing."""
+    optional = lambda c: F.col(c) if c in findings.columns else F.lit(None).cast("string")
+    result = F.coalesce("compat_result", F.lit(""))
+    evidence = F.coalesce(optional("evidence_class"), F.when(F.col("rule_id") == CALL_MISMATCH, CALL_MISMATCH), F.lit(""))
+    detail = F.coalesce(optional("reason_detail"), F.lit(""))
+    rebase = evidence.isin(v.REBASE_CLASSES)
+    unknown = (result == "unknown") | ((evidence == CALL_MISMATCH) & (detail == ""))
+    known = F.coalesce((F.col("producer_pr") != "") & (F.col("consumer_pr") != "") & (F.col("producer_pr") != F.col("consumer_pr")), F.lit(False))
+    live = result.isin("breaking", "risky") & ~rebase & ~unknown
+    return findings.withColumns(
+        {
+            "usable": known & (result.isin("breaking", "risky", "unknown") | rebase), "unknown": unknown, "rebase": rebase, "live": live,
+            "revise": (evidence == CALL_MISMATCH) & (result == "breaking") & (detail != ""), "live_hard": live & (result == "breaking"),
+        }
+    )
+
+
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     component = pdf["component"].iloc[0]
     nodes = sorted({*pdf["producer"], *pdf["consumer"]}, key=change_key)
-    live = pdf[~pdf["mutual"]]
+    live = pdf[pdf["live"] & ~pdf["mutual"]]
     order = kahn(nodes, list(zip(live["producer"], live["consumer"], strict=True)))
-    mutual = bool(pdf["mutual"].any())
-    kind = "cycle" if order is None else "mutual" if mutual and not len(live) else "ordered_with_revision" if mutual else "ordered"
-    steps = [(component, kind, i + 1, n) for i, n in enumerate(order)] if order else [(component, kind, None, n) for n in nodes]
-    return pd.DataFrame(steps, columns=["component", "plan", "position", "change_id"])
+    has = lambda c: bool(pdf[c].any())
+    facts = {"unknown": has("unknown"), "mutual": has("mutual"), "cycle": order is None, "rebase": has("rebase"), "ordered_with_revision": has("revise"), "ordered": True}
+    kind = next(k for k in PLAN_CLASSES if facts[k])
+    successors = set(pdf[pdf["revise" if kind == "ordered_with_revision" else "rebase"]]["consumer"])
+    turn = "update_after_predecessor" if kind == "ordered_with_revision" else "rebase"
+    steps = [(component, kind, i + 1 if kind.startswith("ordered") else None, n, STEPS.get(kind, turn if n in successors else "land")) for i, n in enumerate(order if kind.startswith("ordered") else nodes)]
+    return pd.DataFrame(steps, columns=["component", "plan", "position", "change_id", "step"])
 
 
 def landing_plan(findings: DataFrame) -> DataFrame:
-    """(component, plan, position, change_id); position is null where the component has a cycle."""
-    edges = landing_edges(findings)
-    mutual = mutual_pairs(edges)
+    """(component, plan, position, change_id, step) for each component of changes that findings link.
+
+    The gravest class that holds is the component's: unknown, mutual, cycle, rebase, ordered_with_revision, ordered. A position is
+    given in the ordered classes only; step is what the change has to do.
+    """
+    edges = plan_edges(findings)
+    hard = edges.select("producer", "consumer", "hard")
+    mutual = mutual_pairs(hard)
     both = mutual.select(F.col("a").alias("producer"), F.col("b").alias("consumer")).unionAll(mutual.select(F.col("b").alias("producer"), F.col("a").alias("consumer"))).withColumn("mutual", F.lit(True))
     marked = edges.join(both, ["producer", "consumer"], "left").withColumn("mutual", F.coalesce("mutual", F.lit(False)))
     nodes = edges.select(F.col("producer").alias("node")).union(edges.select("consumer")).distinct()
     parts = connected_components(nodes, edges.select(F.col("producer").alias("a"), F.col("consumer").alias("b")))
-    rows = marked.join(parts, F.col("producer") == F.col("node")).select("component", "producer", "consumer", "mutual")
-    return rows.groupBy("component").applyInPandas(_plan, "component string, plan string, position int, change_id string")
+    rows = marked.join(parts, F.col("producer") == F.col("node")).select("component", "producer", "consumer", "unknown", "rebase", "revise", "live", "mutual")
+    return rows.groupBy("component").applyInPandas(_plan, "component string, plan string, position int, change_id string, step string")
+
+
+def plan_summary(findings: DataFrame, plan: DataFrame) -> DataFrame:
+    """One row (classification, clusters, skipped): the gravest class of all; unknown where any finding could not be used."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in PLAN_CLASSES]), F.col("plan"))
+    worst = plan.agg(F.countDistinct("component").alias("clusters"), F.min(rank).cast("int").alias("worst"))
+    skipped = typed(findings).agg(F.count_if(~F.col("usable")).alias("skipped"))
+    names = F.array(*[F.lit(x) for x in PLAN_CLASSES])
+    said = F.when(F.col("skipped") > 0, "unknown").otherwise(F.coalesce(F.get(names, F.col("worst") - 1), F.lit("ordered")))
+    return worst.crossJoin(F.broadcast(skipped)).select(said.alias("classification"), "clusters", "skipped")  # one row each

@@ -29,28 +29,61 @@ def relative_target(src: Column, module: Column) -> Column:
     return normalize_parts(F.concat_ws("/", dirname(src), module))
 
 
+def dotted_target(src: Column, module: Column) -> Column:
+    """The path that a Python module with leading dots means: one dot is the file's directory, each more its parent."""
+    dots = F.length(F.regexp_extract(module, r"^(\.+)", 1))
+    rest = F.translate(F.regexp_replace(module, r"^\.+", ""), ".", "/")
+    return normalize_parts(F.concat_ws("/", dirname(src), F.repeat(F.lit("../"), dots - 1), rest))
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame, max_fanout: int = v.MAX_BARE_FANOUT) -> DataFrame:
     """(src, module, dst, reference_status) of imports (src, module, family).
 
-    Relative ones take the exact path, then the same path without extension or as an index file; bare and dotted ones any
-    file of the family under that suffix, test files only where there is nothing else. None found: a local one is
-    unresolved, a bare one external with no status. One: resolved. Up to max_fanout: all, ambiguous. More: one raw ambiguous edge.
+    Relative ones (./, ../, and leading dots in Python) take the exact path, then the same path without extension or as an index
+    file; bare and dotted ones any file of the family under that suffix, test files only where there is nothing else. In Python, where
+    nothing is found under a dotted name, its last part may be a member: the name without it is tried. None found: a local one is
+    unresolved, a bare one external with no status. One: resolved. Up to max_fanout: all, ambiguous. More: one raw ambiguous
+    edge; suffixes that are too common are told by their count alone and never joined with their files.
     """
-    local = F.col("module").rlike(r"^\.\.?(/|$)|^[@~]/")
-    rows = imports.select("src", "module", "family").distinct().withColumn("local", local)
-    target = F.when(F.col("module").rlike(r"^\.\.?(/|$)"), relative_target(F.col("src"), F.col("module"))).otherwise(F.regexp_replace(F.col("module"), r"^[@~]/", ""))
-    rows = rows.withColumn("target", F.when(F.col("local"), target).otherwise(F.translate("module", ".", "/")))
-    exact = rows.join(files.select(F.col("path").alias("target"), F.col("path").alias("dst")), "target").select("src", "module", "local", "dst", F.lit(0).alias("rank"))
-    index = suffix_index(files)
-    by_key = rows.join(index.withColumnsRenamed({"key": "k", "family": "fam"}), (strip_extension(F.col("target")) == F.col("k")) & (F.col("family") == F.col("fam")))
-    whole = strip_extension(F.regexp_replace(F.col("path"), r"/(index|__init__)(\.[A-Za-z0-9]+)$", "$2")) == F.col("k")
-    loose = by_key.where(~F.col("module").rlike(r"^\.\.?(/|$)") | whole).select("src", "module", "local", F.col("path").alias("dst"), F.lit(1).alias("rank"))
-    found = exact.unionAll(loose).where("src <> dst").distinct()
-    best = found.groupBy("src", "module").agg(F.min("rank").alias("best"), F.min(is_test_path(F.col("dst")).cast("int")).alias("tests"))
-    kept = found.join(best, ["src", "module"]).where((F.col("rank") == F.col("best")) & (is_test_path(F.col("dst")).cast("int") == F.col("tests"))).select("src", "module", "dst").distinct()
-    n = kept.groupBy("src", "module").agg(F.count("*").alias("n"))
-    known = kept.join(n, ["src", "module"])
-    few = known.where(F.col("n") <= max_fanout).select("src", "module", "dst", F.when(F.col("n") > 1, "ambiguous").alias("reference_status"))
-    many = n.where(F.col("n") > max_fanout).select("src", "module", F.col("module").alias("dst"), F.lit("ambiguous").alias("reference_status"))
-    none = rows.join(n, ["src", "module"], "left_anti").select("src", "module", F.col("module").alias("dst"), F.when(F.col("local"), "unresolved").alias("reference_status"))
-    return few.unionAll(many).unionAll(none)
+    slashed = F.col("module").rlike(r"^\.\.?(/|$)") & ~((F.col("family") == "python") & F.col("module").rlike(r"^\.+$"))
+    dotted = (F.col("family") == "python") & F.col("module").rlike(r"^\.+([A-Za-z_]|$)")
+    aliased = F.col("module").rlike(r"^[@~]/")
+    rows = imports.select("src", "module", "family").distinct().withColumns({"whole": slashed | dotted, "local": slashed | dotted | aliased})
+    target = (
+        F.when(slashed, relative_target(F.col("src"), F.col("module"))).when(dotted, dotted_target(F.col("src"), F.col("module")))
+        .when(aliased, F.regexp_replace(F.col("module"), r"^[@~]/", "")).otherwise(F.translate("module", ".", "/"))
+    )
+    rows = rows.withColumn("target", target)
+    hit = lambda d, rank: d.select("src", "module", "dst", rank.alias("rank"), is_test_path(F.col("dst")).cast("int").alias("test"))
+    exact = rows.join(files.select(F.col("path").alias("target"), F.col("path").alias("dst")), "target")
+    asked = rows.withColumn("k", strip_extension(F.col("target"))).select("src", "module", "family", "whole", "k", F.lit(1).alias("rank"))
+    stem = strip_extension(F.regexp_replace(F.col("path"), r"/(index|__init__)(\.[A-Za-z0-9]+)$", "$2"))
+    full = asked.where("whole").join(files.select(stem.alias("k"), "family", F.col("path").alias("dst")), ["k", "family"])
+    member = (F.col("family") == "python") & F.col("module").rlike(r"^\.*[^./]+\.[^/]+$") & F.col("k").contains("/")
+    names = asked.withColumn("tries", F.when(member, F.array(F.struct("k", "rank"), F.struct(dirname(F.col("k")).alias("k"), F.lit(2).alias("rank")))).otherwise(F.array(F.struct("k", "rank"))))
+    names = names.select("src", "module", "family", "whole", F.explode("tries").alias("t")).select("src", "module", "family", "whole", "t.k", "t.rank")
+    parents = names.where("whole and rank = 2").join(files.select(stem.alias("k"), "family", F.col("path").alias("dst")), ["k", "family"])
+    # each suffix once: how common it is over the files that are no tests, or over all where only tests have it, and its files up to the cap
+    index = suffix_index(files).select("key", "family", "path", is_test_path(F.col("path")).cast("int").alias("test"))
+    sizes = index.groupBy("key", "family").agg(F.count_if(F.col("test") == 0).alias("plain"), F.count("*").alias("n"))
+    some = F.when(F.col("plain") > 0, F.col("plain")).otherwise(F.col("n"))
+    sizes = sizes.select(F.col("key").alias("k"), "family", (F.col("plain") == 0).cast("int").alias("test"), (some > max_fanout + 1).alias("common"))  # the file that asks is no answer
+    sized = names.where("not whole").join(sizes, ["k", "family"])
+    loose = sized.where("not common").join(index.withColumnsRenamed({"key": "k", "path": "dst"}), ["k", "family", "test"])
+    none = F.lit(None).cast("string")
+    found = (
+        hit(exact, F.lit(0)).unionAll(hit(full, F.col("rank"))).unionAll(hit(parents, F.col("rank"))).unionAll(hit(loose, F.col("rank"))).where("src <> dst")
+        .unionAll(sized.where("common").select("src", "module", none.alias("dst"), "rank", F.lit(0).alias("test")))
+    )
+    # at most a few times the cap of rows for each import: they meet in one array
+    each = rows.select("src", "module", "local", F.lit(None).cast("struct<dst:string,rank:int,test:int>").alias("hit")).unionAll(found.select("src", "module", F.lit(None).cast("boolean"), F.struct("dst", "rank", "test")))
+    each = each.groupBy("src", "module").agg(F.bool_or("local").alias("local"), F.collect_set("hit").alias("hits"))
+    best = each.withColumn("hits", F.filter("hits", lambda h: h["rank"] == F.array_min(F.transform("hits", lambda x: x["rank"]))))
+    kept = best.withColumn("dsts", F.array_distinct(F.transform(F.filter("hits", lambda h: h["dst"].isNotNull() & (h["test"] == F.array_min(F.transform("hits", lambda x: x["test"])))), lambda h: h["dst"])))
+    raw = lambda status: F.array(F.struct(F.col("module").alias("dst"), status.alias("reference_status")))
+    many = F.exists("hits", lambda h: h["dst"].isNull()) | (F.size("dsts") > max_fanout)
+    edges = (
+        F.when(F.size("hits") == 0, raw(F.when(F.col("local"), "unresolved"))).when(many, raw(F.lit("ambiguous")))
+        .otherwise(F.transform("dsts", lambda d: F.struct(d.alias("dst"), F.when(F.size("dsts") > 1, "ambiguous").alias("reference_status"))))
+    )
+    return kept.select("src", "module", F.explode(edges).alias("e")).select("src", "module", "e.dst", "e.reference_status")

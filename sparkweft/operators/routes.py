@@ -1,4 +1,7 @@
-"""Cross-tier routes: normalising, specificity, slot-aligned matching by an inverted index, cross-repository suffix keys."""
+"""Cross-tier routes: their segments, specificity, matching by the places where both sides are concrete, cross-repository suffix keys.
+
+A route is an array of segments; a segment is concrete or a parameter, written {}. Everything here reads those arrays.
+"""
 
 from __future__ import annotations
 
@@ -7,58 +10,68 @@ from pyspark.sql import functions as F
 
 from sparkweft.functions import vocabulary as v
 
-
-def normalize_route(route: Column) -> Column:
-    """Query, fragment and case go; every way to write a parameter becomes {}; one leading slash, none trailing or doubled."""
-    r = F.trim(F.regexp_replace(route, r"[?#][\s\S]*$", ""))
-    for pattern in (r"\$\{[^}]*\}", r":[A-Za-z_]\w*", r"\{[^}]*\}", r"<[^>]*>", r"\[\.\.\.[^\]]*\]", r"\[[^\]]*\]"):
-        r = F.regexp_replace(r, pattern, "{}")
-    r = F.regexp_replace(r, r"\(\?[^)]*\)|\(\.\*\)|\^|\$", "")
-    r = F.when(r.startswith("/"), r).otherwise(F.concat(F.lit("/"), r))
-    r = F.when(F.length(r) > 1, F.regexp_replace(r, "/+$", "")).otherwise(r)
-    return F.when(route.isNull() | (route == ""), F.lit("")).otherwise(F.lower(F.regexp_replace(r, "/{2,}", "/")))
+# How frameworks write a parameter, and what of a pattern is no part of a path.
+PARAMETER = r"\$\{[^}]*\}|\{[^}]*\}|:[A-Za-z_]\w*|<[^>]*>|\[[^\]]*\]"
+NO_PATH = r"\(\?[^)]*\)|\(\.\*\)|\^|\$"
+ANY = "{}"
 
 
 def segments(route: Column) -> Column:
-    return F.filter(F.split(route, "/"), lambda s: s != "")
+    """The segments of a route as it is written: query and fragment dropped, parameters as {}, in lower case; null for none."""
+    path = F.trim(F.regexp_extract(route, r"^([^?#]*)", 1))
+    plain = F.lower(F.regexp_replace(F.regexp_replace(path, PARAMETER, ANY), NO_PATH, ""))
+    return F.when(route != "", F.filter(F.split(plain, "/"), lambda s: s != ""))
+
+
+def normalize_route(route: Column) -> Column:
+    """The route as one string from its segments; empty for null and empty."""
+    return F.coalesce(F.concat(F.lit("/"), F.array_join(segments(route), "/")), F.lit(""))
 
 
 def is_specific(route: Column) -> Column:
-    """Names a resource: not a common route, two segments with a concrete first, or one templated one."""
-    segs = segments(route)
-    many = (F.size(segs) >= 2) & (F.get(segs, F.lit(0)) != "{}")
-    one = (F.size(segs) == 1) & route.contains("{}") & (route != "/{}")
-    return F.coalesce((route != "") & ~route.isin(v.UBIQUITOUS_ROUTES) & (many | one), F.lit(False))
+    """Names a resource: not a common route, two segments with a concrete first, or one that is a parameter in part."""
+    parts = F.filter(F.split(route, "/"), lambda s: s != "")
+    first = F.get(parts, F.lit(0))
+    named = F.when(F.size(parts) > 1, first != ANY).otherwise(first.contains(ANY) & (first != ANY))
+    return F.coalesce(named & ~route.isin(v.UBIQUITOUS_ROUTES), F.lit(False))
 
 
-def slots_align(a: Column, b: Column) -> Column:
-    """Equal lengths, every slot equal or templated, at least one concrete slot equal."""
-    fits = F.forall(F.zip_with(a, b, lambda x, y: F.coalesce((x == y) | (x == "{}") | (y == "{}"), F.lit(False))), lambda ok: ok)
-    anchored = F.exists(F.zip_with(a, b, lambda x, y: F.coalesce((x == y) & (x != "{}"), F.lit(False))), lambda ok: ok)
-    return (F.size(a) == F.size(b)) & fits & anchored
+def from_the_end(route: Column) -> Column:
+    return F.reverse(F.filter(F.split(route, "/"), lambda s: s != ""))
 
 
 def match_routes(a: Column, b: Column) -> Column:
-    """The same contract: aligned as they are, or the shorter (two segments at least) with the longer's tail."""
-    x, y = segments(a), segments(b)
-    n = F.least(F.size(x), F.size(y))
-    tail = lambda s: F.slice(s, F.size(s) - n + 1, n)
-    return F.when(F.size(x) == F.size(y), slots_align(x, y)).when(n >= 2, slots_align(tail(x), tail(y))).otherwise(F.lit(False))
+    """The same contract: place by place from the end a parameter or equal, equal at one place; if one is longer, two places at least."""
+    x, y = from_the_end(a), from_the_end(b)
+    place = lambda p, q: F.when((p == ANY) | (q == ANY), 0).when(p == q, 1).when(p != q, -1)
+    places = F.zip_with(x, y, place)  # null where only one side has a segment
+    long = (F.size(x) == F.size(y)) | ((F.size(x) > 1) & (F.size(y) > 1))
+    return F.coalesce(long & (F.array_min(places) >= 0) & (F.array_max(places) == 1), F.lit(False))
+
+
+def _shaped(rows: DataFrame, name: str) -> DataFrame:
+    """(name, parts, shape): distinct specific routes with their segments from the end, and 1 for each concrete one, 0 for each parameter."""
+    parts = from_the_end(F.col("route"))
+    one = rows.select("route").distinct().where(is_specific(F.col("route"))).select(F.col("route").alias(name), parts.alias("parts"))
+    return one.withColumn("shape", F.array_join(F.transform("parts", lambda s: F.when(s == ANY, "0").otherwise("1")), ""))
 
 
 def match_pairs(defined: DataFrame, requested: DataFrame) -> DataFrame:
-    """(definer, requester, route, url): routes and urls that share a concrete segment at the same place from the end and match.
+    """(definer, requester, route, url): routes and urls that match.
 
-    The index key is (place from the end, segment), on which both sides meet by an equi-join; nothing is compared with everything.
+    For each pair of shapes that occur, routes and urls of them meet by an equi-join on all segments at the places where both
+    are concrete, which is the whole condition. So a segment that all share, such as api, is never a key alone, and every
+    row of the join is a match. Shapes are few, whatever the routes: one string of 0 and 1 for each way parameters lie in them.
     """
-    def keyed(df: DataFrame, route: str) -> DataFrame:
-        segs = segments(F.col("route"))
-        back = F.transform(segs, lambda s, i: F.struct((F.size(segs) - i).alias("at"), s.alias("seg")))
-        rows = df.select("route").distinct().where(is_specific(F.col("route"))).select(F.col("route").alias(route), F.explode(back).alias("k"))
-        return rows.where("k.seg <> '{}'").select(route, "k.at", "k.seg")
-
+    d, u = _shaped(defined, "r"), _shaped(requested, "u")
+    n = F.least(F.length("ds"), F.length("us"))
+    common = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.when((F.substring("ds", i, F.lit(1)) == "1") & (F.substring("us", i, F.lit(1)) == "1"), "1").otherwise("0")), "")
+    shapes = d.select(F.col("shape").alias("ds")).distinct().join(u.select(F.col("shape").alias("us")).distinct(), (F.length("ds") == F.length("us")) | (F.least(F.length("ds"), F.length("us")) > 1))
+    shapes = shapes.select("ds", "us", common.alias("common")).where(F.col("common").contains("1"))
+    places = F.filter(F.transform(F.split("common", ""), lambda c, i: F.when(c == "1", F.get("parts", i))), lambda s: s.isNotNull())
+    keyed = lambda side, own, name: side.join(shapes, side["shape"] == shapes[own]).select(name, "ds", "us", F.array_join(places, "/").alias("key"))
+    pairs = keyed(d, "ds", "r").join(keyed(u, "us", "u"), ["ds", "us", "key"]).select("r", "u")
     # distinct routes meet first; files come back to those that match
-    pairs = keyed(defined, "r").join(keyed(requested, "u"), ["at", "seg"]).select("r", "u").distinct().where(match_routes(F.col("r"), F.col("u")))
     d = defined.select(F.col("path").alias("definer"), F.col("route").alias("r")).distinct()
     q = requested.select(F.col("path").alias("requester"), F.col("route").alias("u")).distinct()
     hit = pairs.join(d, "r").join(q, "u").where("definer <> requester")
@@ -72,11 +85,10 @@ def single_definer(pairs: DataFrame) -> DataFrame:
 
 
 def suffix_keys(route: Column, most: int = 5) -> Column:
-    """Tails of a route that end at its last concrete segment and start at a concrete one, two segments at least, the longest first."""
-    segs = segments(route)
-    concrete = F.transform(segs, lambda s: s != "{}")
-    last = F.size(segs) - F.array_position(F.reverse(concrete), True) + 1
-    core = F.when(F.array_contains(concrete, True), F.slice(segs, 1, last.cast("int"))).otherwise(F.expr("cast(array() as array<string>)"))
-    starts = F.when(F.size(core) >= 2, F.sequence(F.lit(1), F.size(core) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    tails = F.transform(F.filter(starts, lambda i: F.element_at(core, i) != "{}"), lambda i: F.array_join(F.slice(core, i, F.size(core)), "/"))
-    return F.slice(tails, 1, most)
+    """Tails of a route that start at a concrete segment and end at its last one, two segments at least, the longest first, at most so many
+    (the key's own definition)."""
+    back = from_the_end(route)
+    skip = F.array_position(F.transform(back, lambda s: s != ANY), True)  # parameters behind the last concrete segment
+    core = F.when(skip > 0, F.reverse(F.slice(back, skip.cast("int"), F.size(back)))).otherwise(F.expr("cast(array() as array<string>)"))
+    tails = F.transform(core, lambda s, i: F.when((s != ANY) & (i < F.size(core) - 1), F.array_join(F.slice(core, i + 1, F.size(core)), "/")))
+    return F.slice(F.filter(tails, lambda t: t.isNotNull()), 1, most)

@@ -12,25 +12,49 @@ def _since(as_of: str, days: int, at: str = "occurred_at") -> Column:
 
 
 def collision_summary(events: DataFrame, as_of: str) -> DataFrame:
-    """(agent, held, held_recent, steered): steered where the agent went on to another path afterwards."""
-    held = events.where("kind = 'collision_held'")
-    moved = events.where("kind = 'pushed'").select("agent", "path", F.col("occurred_at").alias("later"))
-    last = moved.groupBy("agent").agg(F.max_by("path", "later").alias("last_path"), F.max("later").alias("later"))
-    rows = held.join(last, "agent", "left")
+    """(agent, held, held_recent, steered): held by another agent; steered where the agent pushed another path at that time or later.
+
+    Whether any such push exists follows from an agent's last push and its last push on another path than that one, so
+    nothing is joined with all pushes.
+    """
+    held = events.where("kind = 'collision_held' and not agent <=> counterparty").select("agent", "path", "occurred_at")
+    pushed = events.where("kind = 'pushed'").groupBy("agent", "path").agg(F.max("occurred_at").alias("later"))
+    last = pushed.groupBy("agent").agg(F.max(F.struct("later", "path")).alias("top"))
+    other = pushed.join(last, "agent").where("path <> top.path").groupBy("agent").agg(F.max("later").alias("else"))
+    rows = held.join(last, "agent", "left").join(other, "agent", "left")
+    elsewhere = F.when(F.col("top.path") != F.col("path"), F.col("top.later")).otherwise(F.col("else"))
     return rows.groupBy("agent").agg(
-        F.count("*").alias("held"), F.count_if(_since(as_of, 7)).alias("held_recent"),
-        F.count_if(F.coalesce((F.col("later") > F.col("occurred_at")) & (F.col("last_path") != F.col("path")), F.lit(False))).alias("steered"),
+        F.count("*").alias("held"), F.count_if(_since(as_of, 7)).alias("held_recent"), F.count_if(F.coalesce(elsewhere >= F.col("occurred_at"), F.lit(False))).alias("steered"),
     )
 
 
+def recent_collisions(events: DataFrame, most: int = 20) -> DataFrame:
+    """(blocked, holder, path, occurred_at): the newest collisions between agents, a report of at most so many."""
+    rows = events.where("kind = 'collision_held' and not agent <=> counterparty")
+    newest = rows.orderBy(F.desc("occurred_at"), F.desc("event_id")).limit(most)
+    return newest.select(F.col("agent").alias("blocked"), F.col("counterparty").alias("holder"), "path", "occurred_at")
+
+
 def effect_counters(events: DataFrame, as_of: str, days: int = 14) -> DataFrame:
-    """(account, interventions, recent, occurred): occurred are landings that another agent landed on too, within days before."""
+    """(account, interventions, recent, occurred): occurred are landings that another agent landed on too, within days before.
+
+    One pass along each path, no landing is joined with all others: the newest earlier moment, the agents' least and
+    greatest name then, and the newest earlier moment at which another agent than the one there landed.
+    """
     base = events.groupBy("account").agg(F.count_if(F.col("kind").isin("collision_held", "warned")).alias("interventions"), F.count_if(F.col("kind").isin("collision_held", "warned") & _since(as_of, 7)).alias("recent"))
-    landed = events.where("kind = 'landed'").select("event_id", "account", "agent", "path", "occurred_at")
-    other = landed.select("account", "path", F.col("agent").alias("other"), F.col("occurred_at").alias("before"))
-    gap = (F.col("before") < F.col("occurred_at")) & (F.col("before") >= F.col("occurred_at") - F.expr(f"interval {days} days"))
-    hit = landed.join(other, ["account", "path"]).where((F.col("agent") != F.col("other")) & gap).select("event_id", "account").distinct()
-    return base.join(hit.groupBy("account").agg(F.count("*").alias("occurred")), "account", "left").na.fill(0, ["occurred"])
+    landed = events.where("kind = 'landed'").groupBy("account", "path", "occurred_at", "agent").agg(F.count("*").alias("n"))
+    # each moment of a path: the one agent of it, or null where there are several
+    moments = landed.groupBy("account", "path", "occurred_at").agg(F.when(F.min("agent") == F.max("agent"), F.min("agent")).alias("sole"))
+    along = Window.partitionBy("account", "path").orderBy("occurred_at")
+    seen = moments.withColumns({"last_sole": F.lag("sole").over(along), "last_at": F.lag("occurred_at").over(along)})
+    # where a moment's agent differs from the one before, the moment before is the newest of another agent, until the next change
+    changed = F.when(~F.col("sole").eqNullSafe(F.col("last_sole")) | F.col("last_sole").isNull(), F.col("last_at"))
+    seen = seen.withColumn("other_at", F.last(changed, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    seen = seen.withColumn("before_last", F.lag("other_at").over(along))
+    rows = landed.join(seen, ["account", "path", "occurred_at"])
+    newest = F.when(F.col("last_sole") == F.col("agent"), F.col("before_last")).otherwise(F.col("last_at"))
+    hit = rows.where(newest >= F.col("occurred_at") - F.expr(f"interval {days} days"))
+    return base.join(hit.groupBy("account").agg(F.sum("n").alias("occurred")), "account", "left").na.fill(0, ["occurred"])
 
 
 def collisions_on_main(events: DataFrame, as_of: str, days: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.functions import vocabulary as v
+from sparkweft.functions.paths import dirname
 from sparkweft.operators import adjacency as adj
 from sparkweft.operators import cochange as cc
 from sparkweft.operators import compat, components, contention, contracts, evaluation, graph, landing, resolve, routes, surfaces, validation
@@ -17,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 AS_OF = "2024-01-31 00:00:00"
+#: Importers or touchers from which a file or resource is a hub here: the test tables' files have some 22 on average.
+HUB = 30
 STOP = ", ".join(f"'{n}'" for n in v.STOP_NAMES)
 TAILS = ", ".join(f"'{n}'" for n in v.BUILTIN_TAILS)
 
@@ -45,6 +48,10 @@ class Relations:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def query(self, sql: str, name: str) -> DataFrame:
+        """SQL over one relation."""
+        return self.spark.sql(sql.replace(f"FROM {name}", "FROM {rows}"), rows=relation(self.spark, self.sf_dir, name))
+
 
 # ---- co-change -------------------------------------------------------------------------------------------------
 
@@ -92,9 +99,9 @@ def cochange_partners_topk(spark, sf_dir):
     return cc.partners(_pairs(Relations(spark, sf_dir)), min_support=2, min_prob=0.02)
 
 
-@query(f"WITH {BASKET_SQL} SELECT path_a, path_b, co FROM scored WHERE co >= 2 AND lift >= 2 ORDER BY lift DESC, co DESC, path_a, path_b LIMIT 200")
+@query(f"WITH {BASKET_SQL} SELECT path_a, path_b, co FROM scored WHERE co >= 2 AND lift >= 2 ORDER BY round(lift, 2) DESC, round(strength, 3) DESC, co DESC, path_a, path_b LIMIT 200")
 def cochange_all_topn(spark, sf_dir):
-    return _pairs(Relations(spark, sf_dir)).orderBy(F.desc("lift"), F.desc("co"), "path_a", "path_b").limit(200).select("path_a", "path_b", "co")
+    return cc.strongest(_pairs(Relations(spark, sf_dir)), 200).select("path_a", "path_b", "co")
 
 
 @query(f"WITH {BASKET_SQL} SELECT path_a, path_b, co FROM co WHERE co >= 2")
@@ -127,7 +134,7 @@ def pair_stats_by_type(spark, sf_dir):
     label = F.when(F.col("reference_status").isNull(), "resolved").otherwise("uncertain").alias("label")
     pairs = r.import_edge.where("src <> dst").select(F.least("src", "dst").alias("path_a"), F.greatest("src", "dst").alias("path_b"), label).distinct()
     kept = cc.baskets(r.touch)
-    return cc.pair_stats(pairs, cc.pair_counts(kept), cc.file_counts(kept), kept.select("commit_id").distinct().count())
+    return cc.pair_stats(pairs, cc.pair_counts(kept), cc.file_counts(kept), kept.select("commit_id").distinct().agg(F.count("*").alias("n_total")))
 
 
 @query("SELECT commit_id, path FROM touch WHERE commit_id NOT IN (SELECT commit_id FROM touch WHERE commit_id % 5 = 0)")
@@ -166,20 +173,20 @@ def blast_radius(spark, sf_dir):
     return graph.blast_radius(r.symbol_node, r.call_edge)
 
 
-HUBS_SQL = "hubs AS (SELECT dst AS path, count(DISTINCT src) AS importers FROM import_edge WHERE reference_status IS NULL GROUP BY dst HAVING count(DISTINCT src) > 8)"
+HUBS_SQL = f"hubs AS (SELECT dst AS path, count(DISTINCT src) AS importers FROM import_edge WHERE reference_status IS NULL GROUP BY dst HAVING count(DISTINCT src) > {HUB})"
 
 
 @query(f"WITH {HUBS_SQL} SELECT * FROM hubs")
 def hub_files(spark, sf_dir):
-    return graph.hub_files(Relations(spark, sf_dir).import_edge)
+    return graph.hub_files(Relations(spark, sf_dir).import_edge, HUB)
 
 
-HOT_SQL = "hot AS (SELECT dst, count(DISTINCT src) AS touchers FROM resource_edge WHERE reference_status IS NULL GROUP BY dst HAVING count(DISTINCT src) > 8)"
+HOT_SQL = f"hot AS (SELECT dst, count(DISTINCT src) AS touchers FROM resource_edge WHERE reference_status IS NULL GROUP BY dst HAVING count(DISTINCT src) > {HUB})"
 
 
 @query(f"WITH {HOT_SQL} SELECT * FROM hot")
 def resource_hubs(spark, sf_dir):
-    return graph.hub_resources(Relations(spark, sf_dir).resource_edge)
+    return graph.hub_resources(Relations(spark, sf_dir).resource_edge, HUB)
 
 
 SIZES_SQL = """fan AS (SELECT dst AS path, count(DISTINCT src) AS importers FROM import_edge WHERE reference_status IS NULL GROUP BY dst),
@@ -195,24 +202,24 @@ def _many_symbols(r: Relations) -> DataFrame:
 @query(
     f"""WITH {MANY_SQL}, {SIZES_SQL}, rows AS (
       SELECT path, coalesce(importers, 0) AS importers, coalesce(symbols, 0) AS symbols, landings FROM churn JOIN file_node USING (path) LEFT JOIN fan USING (path) LEFT JOIN sizes USING (path) WHERE NOT generated AND landings >= 2)
-    SELECT *, CASE WHEN importers >= 4 AND symbols >= 3 THEN 'both' WHEN importers >= 4 THEN 'foundation' ELSE 'god_file' END AS basis FROM rows WHERE importers >= 4 OR symbols >= 3"""
+    SELECT *, CASE WHEN importers >= 25 AND symbols >= 32 THEN 'both' WHEN importers >= 25 THEN 'foundation' ELSE 'god_file' END AS basis FROM rows WHERE importers >= 25 OR symbols >= 32"""
 )
 def hotspots(spark, sf_dir):
     r = Relations(spark, sf_dir)
-    return graph.hotspots(r.file_node, r.import_edge, _many_symbols(r), r.event_log.where("kind = 'landed'"), fan=4, size=3, churn=2)
+    return graph.hotspots(r.file_node, r.import_edge, _many_symbols(r), r.event_log.where("kind = 'landed'"), fan=25, size=32, churn=2)
 
 
 @query(
     f"""WITH {MANY_SQL}, {SIZES_SQL}, rows AS (
       SELECT path, coalesce(collisions, 0) AS collisions, coalesce(importers, 0) AS importers, coalesce(symbols, 0) AS symbols, coalesce(landings, 0) AS landings
       FROM file_node LEFT JOIN hits USING (path) LEFT JOIN fan USING (path) LEFT JOIN sizes USING (path) LEFT JOIN churn USING (path) WHERE NOT generated),
-    flags AS (SELECT *, collisions >= 3 AS o, landings >= 2 AND (importers >= 4 OR symbols >= 3) AS s FROM rows)
-    SELECT path, collisions, importers, symbols, landings, CASE WHEN o AND s THEN 'both' WHEN o THEN 'collisions' WHEN symbols >= 3 AND importers < 4 THEN 'god_file' ELSE 'structural' END AS basis,
+    flags AS (SELECT *, collisions >= 3 AS o, landings >= 2 AND (importers >= 25 OR symbols >= 32) AS s FROM rows)
+    SELECT path, collisions, importers, symbols, landings, CASE WHEN o AND s THEN 'both' WHEN o THEN 'collisions' WHEN symbols >= 32 AND importers < 25 THEN 'god_file' ELSE 'structural' END AS basis,
       greatest(importers, symbols) * landings AS weight FROM flags WHERE o OR s"""
 )
 def split_candidates(spark, sf_dir):
     r = Relations(spark, sf_dir)
-    return graph.split_candidates(r.file_node, r.import_edge, _many_symbols(r), r.event_log.where("kind = 'landed'"), r.event_log.where("kind = 'collision_held'"), fan=4, size=3, churn=2)
+    return graph.split_candidates(r.file_node, r.import_edge, _many_symbols(r), r.event_log.where("kind = 'landed'"), r.event_log.where("kind = 'collision_held'"), fan=25, size=32, churn=2)
 
 
 @query("SELECT dst AS path, count(DISTINCT src) AS importers FROM import_edge WHERE reference_status IS NULL GROUP BY dst ORDER BY importers DESC, path LIMIT 8")
@@ -239,19 +246,21 @@ def edge_dedupe_resolved_wins(spark, sf_dir):
 
 
 NODES_SQL = """nodes AS (SELECT path AS id, 'file' AS kind, path, language, cast(NULL AS varchar) AS content_hash, analysis_status FROM file_node
-  UNION ALL SELECT path, 'file', path, NULL, 'h' || (loc % 5), CASE WHEN loc % 3 = 0 THEN 'ambiguous' END FROM file_node)"""
+  UNION ALL SELECT path, 'file', path, CASE WHEN loc % 2 = 0 THEN 'unknown' END, 'h' || (loc % 5), CASE WHEN loc % 3 = 0 THEN 'ambiguous' END FROM file_node
+  UNION ALL SELECT 'x' || path, 'file', path, 'unknown', NULL, NULL FROM file_node)"""
 
 
 @query(
-    f"""WITH {NODES_SQL} SELECT id, kind, path, max(language) AS language, max(content_hash) AS content_hash,
+    f"""WITH {NODES_SQL} SELECT id, kind, path, coalesce(max(language) FILTER (WHERE language <> 'unknown'), max(language)) AS language, max(content_hash) AS content_hash,
     CASE max(CASE analysis_status WHEN 'failed' THEN 3 WHEN 'incomplete' THEN 2 WHEN 'ambiguous' THEN 1 ELSE 0 END) WHEN 3 THEN 'failed' WHEN 2 THEN 'incomplete' WHEN 1 THEN 'ambiguous' END AS analysis_status
     FROM nodes GROUP BY id, kind, path"""
 )
 def node_dedupe_status_rank(spark, sf_dir):
     files = Relations(spark, sf_dir).file_node
     one = files.select(F.col("path").alias("id"), F.lit("file").alias("kind"), "path", "language", F.lit(None).cast("string").alias("content_hash"), "analysis_status")
-    two = files.select("path", F.lit("file"), "path", F.lit(None).cast("string"), F.concat(F.lit("h"), F.col("loc") % 5), F.when(F.col("loc") % 3 == 0, "ambiguous"))
-    return graph.dedupe_nodes(one.unionAll(two))
+    two = files.select("path", F.lit("file"), "path", F.when(F.col("loc") % 2 == 0, "unknown"), F.concat(F.lit("h"), F.col("loc") % 5), F.when(F.col("loc") % 3 == 0, "ambiguous"))
+    three = files.select(F.concat(F.lit("x"), "path"), F.lit("file"), "path", F.lit("unknown"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return graph.dedupe_nodes(one.unionAll(two).unionAll(three))
 
 
 @query(
@@ -289,11 +298,12 @@ def latest_version(spark, sf_dir):
 # ---- adjacency -------------------------------------------------------------------------------------------------
 
 TEST_SQL = "(regexp_matches(lower({0}), '(^|/)(tests?|specs?|__tests__|examples?|testing)/') OR regexp_matches(regexp_replace({0}, '^.*/', ''), '(^test_|_test\\.|\\.test\\.|_spec\\.|\\.spec\\.)|(Tests?\\.|Specs?\\.)'))"
-ADJ_SQL = f"""{HUBS_SQL}, {HOT_SQL},
-edited AS (SELECT DISTINCT path AS f, agent, change_id FROM claim WHERE state = 'active'),
+DEFS_SQL = f"""{HUBS_SQL}, {HOT_SQL},
 named AS (SELECT DISTINCT name, path FROM symbol_node WHERE NOT starts_with(name, '__') AND lower(name) NOT IN ({STOP})),
 defs AS (SELECT name, path, n FROM named JOIN (SELECT name, count(*) AS n FROM named GROUP BY name HAVING count(*) <= 3) USING (name)),
-good_imports AS (SELECT DISTINCT src, dst FROM import_edge WHERE reference_status IS NULL),
+good_imports AS (SELECT DISTINCT src, dst FROM import_edge WHERE reference_status IS NULL)"""
+ADJ_SQL = f"""{DEFS_SQL},
+edited AS (SELECT DISTINCT path AS f, agent, change_id FROM claim WHERE state = 'active'),
 links AS (SELECT DISTINCT c.src AS caller, d.path AS definer FROM call_edge c JOIN defs d ON d.name = c.dst WHERE c.reference_status IS NULL AND c.src <> d.path AND d.path NOT IN (SELECT path FROM hubs)
   AND (EXISTS (SELECT 1 FROM good_imports i WHERE i.src = c.src AND i.dst = d.path)
     OR (d.n = 1 AND NOT ({TEST_SQL.format("d.path")} AND NOT {TEST_SQL.format("c.src")}) AND length(d.name) > 2 AND lower(d.name) NOT IN ({TAILS})))),
@@ -305,7 +315,7 @@ adjacent AS (SELECT f, agent, change_id, nbr, dir FROM edited JOIN axes USING (f
 
 
 def _adjacency(r: Relations) -> DataFrame:
-    return adj.claim_adjacency(r.claim, r.symbol_node, r.call_edge, r.import_edge, r.resource_edge)
+    return adj.claim_adjacency(r.claim, r.symbol_node, r.call_edge, r.import_edge, r.resource_edge, HUB)
 
 
 @query(f"WITH {ADJ_SQL} SELECT * FROM adjacent")
@@ -318,20 +328,22 @@ def claim_adjacency_dirs(spark, sf_dir):
     return _adjacency(Relations(spark, sf_dir)).groupBy("dir").agg(F.count("*").alias("links"), F.countDistinct("f").alias("files"))
 
 
-DAMP_SQL = """hubs AS (SELECT dst AS path FROM import_edge WHERE reference_status IS NULL GROUP BY dst HAVING count(DISTINCT src) > 4),
-hot AS (SELECT dst FROM resource_edge WHERE reference_status IS NULL GROUP BY dst HAVING count(DISTINCT src) > 4),
-live AS (SELECT DISTINCT path, change_id FROM claim WHERE state = 'active'),
-via_import AS (SELECT DISTINCT src, dst FROM import_edge WHERE reference_status IS NULL AND dst IN (SELECT path FROM hubs) AND src IN (SELECT path FROM live) AND dst IN (SELECT path FROM live)),
+DAMP_SQL = f"""live AS (SELECT DISTINCT path, change_id FROM claim WHERE state = 'active'),
+via_import AS (SELECT DISTINCT src, dst FROM good_imports WHERE src <> dst AND dst IN (SELECT path FROM hubs) AND src IN (SELECT path FROM live) AND dst IN (SELECT path FROM live)),
+via_call AS (SELECT DISTINCT c.src, d.path AS dst FROM call_edge c JOIN defs d ON d.name = c.dst WHERE c.reference_status IS NULL AND c.src <> d.path AND d.path IN (SELECT path FROM hubs)
+  AND c.src IN (SELECT path FROM live) AND d.path IN (SELECT path FROM live)
+  AND (EXISTS (SELECT 1 FROM good_imports i WHERE i.src = c.src AND i.dst = d.path) OR (d.n = 1 AND length(d.name) > 2 AND lower(d.name) NOT IN ({TAILS})))),
+via_hub AS (SELECT * FROM via_import UNION SELECT * FROM via_call),
 via_res AS (SELECT DISTINCT src, dst FROM resource_edge WHERE reference_status IS NULL AND dst IN (SELECT dst FROM hot) AND src IN (SELECT path FROM live)),
-coupled AS (SELECT src AS f, dst AS nbr, dst AS via FROM via_import UNION SELECT dst, src, dst FROM via_import UNION SELECT a.src, b.src, a.dst FROM via_res a JOIN via_res b ON a.dst = b.dst AND a.src <> b.src),
+coupled AS (SELECT src AS f, dst AS nbr, dst AS via FROM via_hub UNION SELECT dst, src, dst FROM via_hub UNION SELECT a.src, b.src, a.dst FROM via_res a JOIN via_res b ON a.dst = b.dst AND a.src <> b.src),
 damp AS (SELECT DISTINCT c.f, a.change_id, c.nbr, b.change_id AS nbr_change, c.via FROM coupled c JOIN live a ON a.path = c.f JOIN live b ON b.path = c.nbr WHERE a.change_id <> b.change_id)"""
 
 
 def _dampened(r: Relations) -> DataFrame:
-    return adj.dampened_pairs(r.claim, r.import_edge, r.resource_edge, degree=4)
+    return adj.dampened_pairs(r.claim, r.symbol_node, r.call_edge, r.import_edge, r.resource_edge, HUB)
 
 
-@query(f"WITH {DAMP_SQL} SELECT * FROM damp")
+@query(f"WITH {DEFS_SQL}, {DAMP_SQL} SELECT * FROM damp")
 def dampened_pairs(spark, sf_dir):
     return _dampened(Relations(spark, sf_dir))
 
@@ -379,13 +391,25 @@ def contested_files(spark, sf_dir):
     return contention.contested_files(_adjacency(r), r.claim)
 
 
-WAITS_SQL = """wait_rows AS (SELECT w.path, w.change_id AS waiter, h.change_id AS holder, w.claim_id AS waiter_claim, h.claim_id AS holder_claim, w.is_draft <> h.is_draft AS cross_draft, false AS low_value
-  FROM claim w JOIN claim h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id)"""
+OVERLAP_SQL = """tight AS (SELECT claim_id, s.name, row_number() OVER (PARTITION BY claim_id ORDER BY end_line - start_line, start_line, s.name) AS rn FROM claim c JOIN symbol_node s ON s.path = c.path AND c.lo >= s.start_line AND c.hi <= s.end_line + 1),
+hashes AS (SELECT path, min(content_hash) AS g, max(end_line) AS last_line FROM symbol_node GROUP BY path),
+claim_side AS (SELECT c.*, t.name, c.base_hash = g AS fresh, c.lo > last_line AS app FROM claim c LEFT JOIN tight t ON t.claim_id = c.claim_id AND rn = 1 LEFT JOIN hashes USING (path)),
+overlap AS (SELECT w.path, w.change_id AS waiter, h.change_id AS holder, CASE WHEN w.name = h.name THEN 'same' WHEN w.fresh AND h.fresh AND w.name IS NOT NULL AND h.name IS NOT NULL THEN 'disjoint' WHEN w.fresh AND h.fresh AND w.app AND h.app THEN 'append' ELSE 'unknown' END AS relation
+  FROM claim_side w JOIN claim_side h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id)"""
+WAITS_SQL = f"""{OVERLAP_SQL}, drafts AS (SELECT change_id, bool_or(is_draft) AS draft FROM claim GROUP BY change_id),
+wait_rows AS (SELECT w.path, w.change_id AS waiter, h.change_id AS holder, w.claim_id AS waiter_claim, h.claim_id AS holder_claim, x.draft <> y.draft AS cross_draft, false AS low_value,
+  EXISTS (SELECT 1 FROM overlap o WHERE o.relation = 'append' AND o.path = w.path AND o.waiter = w.change_id AND o.holder = h.change_id) AS append_soft, false AS advisory
+  FROM claim w JOIN claim h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id JOIN drafts x ON x.change_id = w.change_id JOIN drafts y ON y.change_id = h.change_id
+  WHERE NOT EXISTS (SELECT 1 FROM overlap o WHERE o.relation = 'disjoint' AND o.path = w.path AND o.waiter = w.change_id AND o.holder = h.change_id))"""
+
+
+def _waits(r: Relations) -> DataFrame:
+    return contention.waits(r.claim, contention.symbol_overlap(r.claim, r.symbol_node))
 
 
 @query(f"WITH {WAITS_SQL} SELECT * FROM wait_rows")
 def waits(spark, sf_dir):
-    return contention.waits(Relations(spark, sf_dir).claim)
+    return _waits(Relations(spark, sf_dir))
 
 
 @query("SELECT path, arg_min(change_id, (claimed_at, claim_id)) AS leader, count(DISTINCT change_id) AS changes FROM claim GROUP BY path HAVING count(DISTINCT change_id) >= 2")
@@ -403,29 +427,24 @@ def conflict_points(spark, sf_dir):
     return contention.conflict_points(Relations(spark, sf_dir).claim)
 
 
-@query(
-    """WITH tight AS (SELECT claim_id, s.name, row_number() OVER (PARTITION BY claim_id ORDER BY end_line - start_line, start_line, s.name) AS rn FROM claim c JOIN symbol_node s ON s.path = c.path AND c.lo >= s.start_line AND c.hi <= s.end_line + 1),
-    hashes AS (SELECT path, min(content_hash) AS g, max(end_line) AS last_line FROM symbol_node GROUP BY path),
-    side AS (SELECT c.*, t.name, c.base_hash = g AS fresh, c.lo > last_line AS app FROM claim c LEFT JOIN tight t ON t.claim_id = c.claim_id AND rn = 1 LEFT JOIN hashes USING (path))
-    SELECT w.path, w.change_id AS waiter, h.change_id AS holder, CASE WHEN w.name = h.name THEN 'same' WHEN w.fresh AND h.fresh AND w.name IS NOT NULL AND h.name IS NOT NULL THEN 'disjoint' WHEN w.fresh AND h.fresh AND w.app AND h.app THEN 'append' ELSE 'unknown' END AS relation
-    FROM side w JOIN side h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id"""
-)
+@query(f"WITH {OVERLAP_SQL} SELECT * FROM overlap")
 def symbol_overlap_relation(spark, sf_dir):
     r = Relations(spark, sf_dir)
     return contention.symbol_overlap(r.claim, r.symbol_node)
 
 
 LINKS_SQL = """active_by_path AS (SELECT DISTINCT path AS nbr, change_id AS b FROM claim WHERE state = 'active'),
-pair_links AS (SELECT DISTINCT change_id AS a, b FROM adjacent JOIN active_by_path USING (nbr) WHERE change_id <> b AND change_id LIKE '%3' UNION SELECT waiter, holder FROM wait_rows WHERE waiter LIKE '%1' AND holder LIKE '%1')"""
+direct AS (SELECT DISTINCT w.change_id AS a, h.change_id AS b FROM claim w JOIN claim h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id),
+pair_links AS (SELECT DISTINCT change_id AS a, b FROM adjacent JOIN active_by_path USING (nbr) WHERE change_id <> b UNION SELECT a, b FROM direct)"""
 
 
 def _links(r: Relations) -> DataFrame:
-    """Links among all changes. The SQL beside it still keeps only some, so it says other clusters (README)."""
+    """Every direct wait, proven disjoint or not, and every coupling links."""
     return contention.change_links(contention.waits(r.claim), _adjacency(r), r.claim)
 
 
 @query(
-    f"""WITH RECURSIVE {ADJ_SQL}, {WAITS_SQL}, {LINKS_SQL}, sides AS (SELECT a, b FROM pair_links UNION SELECT b, a FROM pair_links), nodes AS (SELECT DISTINCT change_id AS node FROM claim),
+    f"""WITH RECURSIVE {ADJ_SQL}, {LINKS_SQL}, sides AS (SELECT a, b FROM pair_links UNION SELECT b, a FROM pair_links), nodes AS (SELECT DISTINCT change_id AS node FROM claim),
     reach(x, y) AS (SELECT node, node FROM nodes UNION SELECT r.x, s.b FROM reach r JOIN sides s ON s.a = r.y) SELECT x AS node, min(y) AS component FROM reach GROUP BY x"""
 )
 def inflight_components(spark, sf_dir):
@@ -433,11 +452,11 @@ def inflight_components(spark, sf_dir):
     return components.connected_components(r.claim.select(F.col("change_id").alias("node")).distinct(), _links(r))
 
 
-DEPS_SQL = "deps AS (SELECT DISTINCT waiter AS node, holder AS needs FROM wait_rows WHERE length(waiter) > length(holder) OR (length(waiter) = length(holder) AND waiter > holder)), nodes AS (SELECT DISTINCT change_id AS node FROM claim)"
+DEPS_SQL = "all_waits AS (SELECT w.change_id AS waiter, h.change_id AS holder FROM claim w JOIN claim h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id), deps AS (SELECT DISTINCT waiter AS node, holder AS needs FROM all_waits WHERE length(waiter) > length(holder) OR (length(waiter) = length(holder) AND waiter > holder)), nodes AS (SELECT DISTINCT change_id AS node FROM claim)"
 
 
 @query(
-    f"""WITH RECURSIVE {WAITS_SQL}, {DEPS_SQL}, walk(node, needs, d) AS (SELECT node, node, 0 FROM nodes UNION SELECT w.node, p.needs, w.d + 1 FROM walk w JOIN deps p ON p.node = w.needs WHERE w.d < 64)
+    f"""WITH RECURSIVE {DEPS_SQL}, walk(node, needs, d) AS (SELECT node, node, 0 FROM nodes UNION SELECT w.node, p.needs, w.d + 1 FROM walk w JOIN deps p ON p.node = w.needs WHERE w.d < 64)
     SELECT node, max(d) AS depth FROM walk GROUP BY node"""
 )
 def landing_depth(spark, sf_dir):
@@ -447,91 +466,84 @@ def landing_depth(spark, sf_dir):
 
 
 def _deps(claims: DataFrame) -> DataFrame:
+    """A wait of a later change needs the earlier one landed: every direct wait, so that ties in it are no cycle."""
     later = "length(waiter) > length(holder) or (length(waiter) = length(holder) and waiter > holder)"
     return contention.waits(claims).where(later).select(F.col("waiter").alias("node"), F.col("holder").alias("needs")).distinct()
 
 
-VERDICT_SQL = f"""{ADJ_SQL}, {WAITS_SQL}, {DAMP_SQL.replace("hubs AS", "hubs4 AS").replace("hot AS", "hot4 AS").replace("FROM hubs)", "FROM hubs4)").replace("FROM hot)", "FROM hot4)")}, {BASKET_SQL},
+VERDICT_SQL = f"""{ADJ_SQL}, {WAITS_SQL}, {DAMP_SQL}, {BASKET_SQL}, {EDGES_SQL},
 changes AS (SELECT DISTINCT change_id FROM claim), own AS (SELECT DISTINCT change_id, path FROM claim),
-w AS (SELECT waiter AS change_id, bool_or(NOT cross_draft AND NOT low_value) AS hard, bool_or(NOT cross_draft) AS soft, bool_or(cross_draft) AS draft FROM wait_rows GROUP BY waiter),
+w AS (SELECT waiter AS change_id, bool_or(NOT cross_draft AND NOT low_value AND NOT append_soft AND NOT advisory) AS hard, bool_or(NOT cross_draft) AS soft, bool_or(cross_draft) AS draft FROM wait_rows GROUP BY waiter),
 con AS (SELECT DISTINCT a.change_id, true AS contested FROM adjacent a JOIN claim c ON c.path = a.nbr AND c.state = 'active' AND c.change_id <> a.change_id),
-facts AS (SELECT change_id, bool_or(f.path IS NULL) AS absent, bool_or(analysis_status IS NOT NULL) AS uncertain FROM own LEFT JOIN file_node f USING (path) GROUP BY change_id),
+doubt AS (SELECT path, analysis_status IN ('failed', 'incomplete') AS loss FROM file_node WHERE analysis_status IS NOT NULL UNION SELECT src, false FROM edges WHERE reference_status IN ('ambiguous', 'unresolved')
+  UNION SELECT path, false FROM file_node WHERE path IN (SELECT dst FROM edges WHERE reference_status = 'ambiguous')),
+doubts AS (SELECT path, bool_or(loss) AS loss FROM doubt GROUP BY path),
+facts AS (SELECT change_id, bool_or(f.path IS NULL) AS absent, bool_or(d.path IS NOT NULL) AS uncertain, coalesce(bool_or(d.loss), false) AS loss FROM own LEFT JOIN file_node f USING (path) LEFT JOIN doubts d USING (path) GROUP BY change_id),
 d AS (SELECT change_id, true AS dampened, bool_or(EXISTS (SELECT 1 FROM scored s WHERE s.path_a = least(f, nbr) AND s.path_b = greatest(f, nbr) AND s.co >= 3 AND s.lift >= 2)) AS borne_out FROM damp GROUP BY change_id),
-loss AS (SELECT count(*) > 0 AS any_loss FROM own JOIN file_node USING (path) WHERE analysis_status IN ('failed', 'incomplete')),
-ladder AS (SELECT change_id, CASE WHEN hard THEN 1 WHEN soft THEN 2 WHEN draft THEN 3 WHEN contested THEN 4 WHEN absent THEN 5 WHEN borne_out THEN 6 WHEN any_loss THEN 7 WHEN uncertain THEN 8 WHEN dampened THEN 9 ELSE 10 END AS step
+loss AS (SELECT bool_or(loss) AS any_loss FROM facts),
+ladder AS (SELECT change_id, CASE WHEN hard THEN 1 WHEN soft THEN 2 WHEN draft THEN 3 WHEN contested THEN 4 WHEN absent THEN 5 WHEN borne_out THEN 6 WHEN any_loss THEN 7 WHEN uncertain THEN 8 WHEN dampened THEN 9 ELSE 10 END AS step,
+    coalesce(any_loss, false) AND NOT (coalesce(soft, false) OR coalesce(draft, false) OR contested IS NOT NULL OR absent OR coalesce(borne_out, false) OR uncertain OR dampened IS NOT NULL) AS promoted
   FROM changes LEFT JOIN w USING (change_id) LEFT JOIN con USING (change_id) LEFT JOIN facts USING (change_id) LEFT JOIN d USING (change_id), loss),
-judged AS (SELECT change_id, step, (['serialize', 'serialize_soft', 'warn', 'warn', 'unknown', 'warn', 'unknown', 'unknown', 'unknown', 'clear'])[step] AS verdict FROM ladder)"""
+judged AS (SELECT change_id, step, promoted, (['serialize', 'serialize_soft', 'warn', 'warn', 'unknown', 'warn', 'unknown', 'unknown', 'unknown', 'clear'])[step] AS verdict FROM ladder)"""
 
 
-FEW_SQL = "claim AS (SELECT * REPLACE (change_id || '-' || (claim_id % 50) AS change_id) FROM all_claims)"
+def _facts(r: Relations) -> DataFrame:
+    return contention.change_facts(r.claim, r.file_node, _waits(r), _adjacency(r), _dampened(r), _pairs(r, 3, 2.0), _edges(r))
 
 
-def _few(oracle: str) -> str:
-    """The oracle over changes split into fewer claims each, which the queries no longer do: the relation goes by another name and a CTE takes its place."""
-    return oracle.replace(" claim AS (", " all_claims AS (", 1).replace(ADJ_SQL[:40], f"{FEW_SQL}, {ADJ_SQL[:40]}", 1)
-
-
-def _verdicts(r: Relations) -> DataFrame:
-    claims = r.claim
-    links = adj.claim_adjacency(claims, r.symbol_node, r.call_edge, r.import_edge, r.resource_edge)
-    return contention.verdicts(claims, r.file_node, contention.waits(claims), links, adj.dampened_pairs(claims, r.import_edge, r.resource_edge, degree=4), _pairs(r))
-
-
-@query()
+@query(f"WITH {VERDICT_SQL} SELECT change_id, verdict, cast(step AS int) AS step FROM judged")
 def verdicts(spark, sf_dir):
-    return _verdicts(Relations(spark, sf_dir))
+    return contention.verdicts(_facts(Relations(spark, sf_dir)))
 
 
-ORACLES["verdicts"] = _few(with_relations(f"WITH {VERDICT_SQL} SELECT change_id, verdict, cast(step AS int) AS step FROM judged"))
+@query(f"WITH {VERDICT_SQL} SELECT change_id FROM judged WHERE promoted")
+def inflight_loss_promoted(spark, sf_dir):
+    return contention.loss_promoted(_facts(Relations(spark, sf_dir)))
 
 
-@query(f"WITH {DAMP_SQL}, {BASKET_SQL} SELECT damp.*, EXISTS (SELECT 1 FROM scored s WHERE s.path_a = least(f, nbr) AND s.path_b = greatest(f, nbr) AND s.co >= 2 AND s.lift >= 1.5) AS corroborated FROM damp")
-def corroborated_dampened(spark, sf_dir):
+@query(
+    f"""WITH {EDGES_SQL} SELECT path, CASE analysis_status WHEN 'failed' THEN 'analysis_failed' WHEN 'ambiguous' THEN 'analysis_ambiguous' ELSE 'analysis_incomplete' END AS reason FROM file_node WHERE analysis_status IS NOT NULL
+    UNION SELECT src, 'reference_' || reference_status FROM edges WHERE reference_status IN ('ambiguous', 'unresolved')
+    UNION SELECT path, 'reference_ambiguous' FROM file_node WHERE path IN (SELECT dst FROM edges WHERE reference_status = 'ambiguous')"""
+)
+def uncertain_paths(spark, sf_dir):
     r = Relations(spark, sf_dir)
-    return contention.corroborated(_dampened(r), _pairs(r, 2, 1.5), min_co=2, min_lift=1.5)
+    return contention.uncertain_paths(r.file_node, _edges(r))
 
 
-@query()
-def cluster_rollup(spark, sf_dir):
+@query(f"WITH {DEFS_SQL}, {DAMP_SQL}, {BASKET_SQL} SELECT damp.*, EXISTS (SELECT 1 FROM scored s WHERE s.path_a = least(f, nbr) AND s.path_b = greatest(f, nbr) AND s.co >= 2 AND s.lift >= 1.5) AS corroborated FROM damp")
+def corroborated_dampened(spark, sf_dir):
     r = Relations(spark, sf_dir)
-    claims = r.claim
-    verdict = _verdicts(r)
-    link = contention.waits(claims).select(F.col("waiter").alias("a"), F.col("holder").alias("b"))
-    parts = components.connected_components(claims.select(F.col("change_id").alias("node")).distinct(), link)
-    return contention.cluster_rollup(parts, verdict, claims)
+    return contention.corroborated(_dampened(r), _pairs(r, 2, 1.5), min_co=2, min_lift=1.5)
 
 
-ORACLES["cluster_rollup"] = _few(
-    with_relations(
-        f"""WITH RECURSIVE {VERDICT_SQL}, pair AS (SELECT waiter AS a, holder AS b FROM wait_rows WHERE split_part(waiter, '-', 3) = split_part(holder, '-', 3)),
-    sides AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair), reach(x, y) AS (SELECT change_id, change_id FROM changes UNION SELECT r.x, s.b FROM reach r JOIN sides s ON s.a = r.y),
+@query(
+    f"""WITH RECURSIVE {VERDICT_SQL}, {LINKS_SQL}, sides AS (SELECT a, b FROM pair_links UNION SELECT b, a FROM pair_links),
+    reach(x, y) AS (SELECT change_id, change_id FROM changes UNION SELECT r.x, s.b FROM reach r JOIN sides s ON s.a = r.y),
     member AS (SELECT x AS change_id, min(y) AS component FROM reach GROUP BY x),
     sized AS (SELECT component, count(*) AS size, (['serialize', 'serialize_soft', 'warn', 'unknown', 'clear'])[min(list_position(['serialize', 'serialize_soft', 'warn', 'unknown', 'clear'], verdict))] AS worst FROM member JOIN judged USING (change_id) GROUP BY component HAVING count(*) >= 2),
     spots AS (SELECT component, path FROM claim JOIN member USING (change_id) GROUP BY component, path HAVING count(DISTINCT change_id) >= 2)
     SELECT component, any_value(size) AS size, any_value(worst) AS worst, count(path) AS hotspots FROM sized LEFT JOIN spots USING (component) GROUP BY component"""
-    )
 )
-
-
-@query()
-def effective_verdicts(spark, sf_dir):
+def cluster_rollup(spark, sf_dir):
     r = Relations(spark, sf_dir)
-    claims = r.claim
-    added = claims.where("claim_id % 2 = 0").select("path").distinct()
-    return contention.effective_verdicts(_verdicts(r), claims, r.file_node, adj.dampened_pairs(claims, r.import_edge, r.resource_edge, degree=4), added)
+    parts = components.connected_components(r.claim.select(F.col("change_id").alias("node")).distinct(), _links(r))
+    return contention.cluster_rollup(parts, contention.verdicts(_facts(r)), r.claim)
 
 
-ORACLES["effective_verdicts"] = _few(
-    with_relations(
-        f"""WITH {VERDICT_SQL}, added AS (SELECT DISTINCT path FROM claim WHERE claim_id % 2 = 0), gone AS (SELECT change_id, bool_and(path IN (SELECT path FROM added)) AS all_new FROM own WHERE path NOT IN (SELECT path FROM file_node) GROUP BY change_id)
+@query(
+    f"""WITH {VERDICT_SQL}, added AS (SELECT DISTINCT path FROM claim WHERE claim_id % 2 = 0), gone AS (SELECT change_id, bool_and(path IN (SELECT path FROM added)) AS all_new FROM own WHERE path NOT IN (SELECT path FROM file_node) GROUP BY change_id)
     SELECT change_id, verdict, CASE WHEN verdict = 'unknown' AND coalesce(all_new, false) AND dampened IS NULL THEN 'clear' WHEN verdict = 'clear' AND dampened IS NOT NULL THEN 'unknown' ELSE verdict END AS effective
     FROM judged LEFT JOIN gone USING (change_id) LEFT JOIN d USING (change_id)"""
-    )
 )
+def effective_verdicts(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    added = r.claim.where("claim_id % 2 = 0").select("path").distinct()
+    return contention.effective_verdicts(contention.verdicts(_facts(r)), r.claim, r.file_node, _dampened(r), added)
 
 
 @query(
-    f"""WITH RECURSIVE {ADJ_SQL}, {WAITS_SQL}, {LINKS_SQL}, {DEPS_SQL}, sides AS (SELECT a, b FROM pair_links UNION SELECT b, a FROM pair_links),
+    f"""WITH RECURSIVE {ADJ_SQL}, {LINKS_SQL}, {DEPS_SQL}, sides AS (SELECT a, b FROM pair_links UNION SELECT b, a FROM pair_links),
     reach(x, y) AS (SELECT node, node FROM nodes UNION SELECT r.x, s.b FROM reach r JOIN sides s ON s.a = r.y), member AS (SELECT x AS node, min(y) AS component FROM reach GROUP BY x),
     walk(node, needs, d) AS (SELECT node, node, 0 FROM nodes UNION SELECT w.node, p.needs, w.d + 1 FROM walk w JOIN deps p ON p.node = w.needs WHERE w.d < 64), depth AS (SELECT node, max(d) AS depth FROM walk GROUP BY node),
     impact AS (SELECT change_id, count(DISTINCT nbr) AS impact FROM adjacent WHERE dir IN ('down', 'shared') GROUP BY change_id)
@@ -549,9 +561,8 @@ def queue_positions(spark, sf_dir):
     return graph.queue_positions(Relations(spark, sf_dir).claim)
 
 
-FINDINGS_SQL = """findings AS (SELECT producer_pr, consumer_pr, rule_id, compat_result FROM (
-  SELECT change_id || '-' || (event_id % 10) AS producer_pr, 'PR-' || ((event_id * 7) % 6 * 10 + event_id % 10) || '-' || (event_id % 10) AS consumer_pr, CASE event_id % 3 WHEN 0 THEN 'required_arg_added' WHEN 1 THEN 'kwonly_renamed' ELSE 'varargs_removed' END AS rule_id,
-    CASE event_id % 4 WHEN 0 THEN 'risky' WHEN 1 THEN 'unknown' ELSE 'breaking' END AS compat_result FROM event_log WHERE kind = 'warned') x)"""
+FINDINGS_SQL = """findings AS (SELECT change_id || '-' || (event_id % 10) AS producer_pr, 'PR-' || ((event_id * 7) % 6 * 10 + event_id % 10) || '-' || (event_id % 10) AS consumer_pr,
+  CASE event_id % 3 WHEN 0 THEN 'required_arg_added' WHEN 1 THEN 'kwonly_renamed' ELSE 'varargs_removed' END AS rule_id, CASE event_id % 4 WHEN 0 THEN 'risky' WHEN 1 THEN 'unknown' ELSE 'breaking' END AS compat_result FROM event_log WHERE kind = 'warned')"""
 
 
 def _findings(r: Relations) -> DataFrame:
@@ -562,6 +573,27 @@ def _findings(r: Relations) -> DataFrame:
     return r.event_log.where("kind = 'warned'").select(F.concat_ws("-", "change_id", group).alias("producer_pr"), consumer.alias("consumer_pr"), rule.alias("rule_id"), result.alias("compat_result"))
 
 
+#: Findings in small clusters of six changes for each landing, of all classes by the landing's number.
+PLANS_SQL = """typed AS (SELECT 'L' || (event_id // 12) || '-' || (event_id % 5) AS producer_pr, 'L' || (event_id // 12) || '-' || ((event_id + 1 + event_id // 12 % 3) % 5 + CASE WHEN event_id // 12 % 4 = 0 AND event_id % 5 >= 3 THEN 5 ELSE 0 END) AS consumer_pr,
+  CASE WHEN event_id % 7 = 0 THEN 'consumer_call_mismatch' ELSE 'required_arg_added' END AS rule_id, CASE WHEN event_id % 9 = 0 AND event_id // 12 % 5 = 0 THEN 'unknown' WHEN event_id % 2 = 0 THEN 'risky' ELSE 'breaking' END AS compat_result,
+  CASE WHEN event_id % 11 = 0 AND event_id // 12 % 2 = 0 THEN 'rebase_needed' END AS evidence_class, CASE WHEN event_id % 7 = 0 THEN 'arity' END AS reason_detail FROM event_log)"""
+PLAN_SQL = f"""{PLANS_SQL}, marked AS (SELECT *, coalesce(evidence_class, CASE WHEN rule_id = 'consumer_call_mismatch' THEN rule_id END, '') AS e FROM typed WHERE producer_pr <> consumer_pr),
+flagged AS (SELECT producer_pr AS p, consumer_pr AS c, compat_result = 'unknown' OR (e = 'consumer_call_mismatch' AND reason_detail IS NULL) AS unknown, e = 'rebase_needed' AS rebase, e = 'consumer_call_mismatch' AND compat_result = 'breaking' AND reason_detail IS NOT NULL AS revise, compat_result FROM marked),
+dir AS (SELECT p, c, bool_or(unknown) AS unknown, bool_or(rebase) AS rebase, bool_or(revise) AS revise, bool_or(NOT unknown AND NOT rebase) AS live, bool_or(NOT unknown AND NOT rebase AND compat_result = 'breaking') AS hard FROM flagged GROUP BY p, c),
+mut AS (SELECT x.p, x.c FROM dir x JOIN dir y ON x.p = y.c AND x.c = y.p WHERE x.hard AND y.hard),
+step AS (SELECT p, c FROM dir WHERE live AND NOT EXISTS (SELECT 1 FROM mut WHERE mut.p = dir.p AND mut.c = dir.c)),
+plan_nodes AS (SELECT p AS x FROM dir UNION SELECT c FROM dir), ends AS (SELECT p AS a, c AS b FROM dir UNION SELECT c, p FROM dir),
+reach(x, y) AS (SELECT x, x FROM plan_nodes UNION SELECT r.x, e.b FROM reach r JOIN ends e ON e.a = r.y), part AS (SELECT x, min(y) AS component FROM reach GROUP BY x),
+down(x, y) AS (SELECT p, c FROM step UNION SELECT d.x, s.c FROM down d JOIN step s ON s.p = d.y),
+classes AS (SELECT component, count(DISTINCT part.x) AS changes, CASE WHEN bool_or(dir.unknown) THEN 'unknown' WHEN bool_or(EXISTS (SELECT 1 FROM mut WHERE mut.p = dir.p AND mut.c = dir.c)) THEN 'mutual'
+  WHEN bool_or(EXISTS (SELECT 1 FROM down WHERE down.x = part.x AND down.y = part.x)) THEN 'cycle' WHEN bool_or(dir.rebase) THEN 'rebase' WHEN bool_or(dir.revise) THEN 'ordered_with_revision' ELSE 'ordered' END AS plan
+  FROM part LEFT JOIN dir ON dir.p = part.x GROUP BY component)"""
+
+
+def _typed_findings(r: Relations) -> DataFrame:
+    return r.query("SELECT * FROM (" + PLANS_SQL.removeprefix("typed AS (").removesuffix(")").replace("//", "DIV") + ")", "event_log")
+
+
 LEDGES_SQL = f"""{FINDINGS_SQL}, ledges AS (SELECT producer_pr AS producer, consumer_pr AS consumer, bool_or(compat_result = 'breaking') AS hard, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules
   FROM findings WHERE producer_pr <> consumer_pr AND compat_result IN ('breaking', 'risky') GROUP BY ALL)"""
 
@@ -576,6 +608,32 @@ def landing_mutual_pairs(spark, sf_dir):
     return landing.mutual_pairs(landing.landing_edges(_findings(Relations(spark, sf_dir))))
 
 
+@query(f"WITH RECURSIVE {PLAN_SQL} SELECT component, plan, changes FROM classes")
+def landing_plan_classes(spark, sf_dir):
+    plan = landing.landing_plan(_typed_findings(Relations(spark, sf_dir)))
+    return plan.groupBy("component", "plan").agg(F.count("*").alias("changes"))
+
+
+@query(
+    f"""WITH RECURSIVE {PLAN_SQL}, orders AS (SELECT down.x, down.y, component FROM down JOIN part USING (x) JOIN classes USING (component) WHERE plan IN ('ordered', 'ordered_with_revision'))
+    SELECT (SELECT count(*) FROM orders) AS ordered_pairs, (SELECT count(*) FROM typed WHERE producer_pr = consumer_pr) AS skipped,
+      CASE WHEN (SELECT count(*) FROM typed WHERE producer_pr = consumer_pr) > 0 THEN 'unknown' ELSE (['unknown', 'mutual', 'cycle', 'rebase', 'ordered_with_revision', 'ordered'])[(SELECT min(list_position(['unknown', 'mutual', 'cycle', 'rebase', 'ordered_with_revision', 'ordered'], plan)) FROM classes)] END AS classification"""
+)
+def landing_plan_summary(spark, sf_dir):
+    """The overall class, and how many pairs of changes must land in the order given: all that follow each other over live findings."""
+    findings = _typed_findings(Relations(spark, sf_dir)).cache()
+    plan = landing.landing_plan(findings).cache()
+    steps = landing.plan_edges(findings).where("live").select("producer", "consumer")
+    place = plan.where("position is not null").select("component", "change_id", "position")
+    a, b = place.withColumnsRenamed({"change_id": "producer", "position": "x"}), place.withColumnsRenamed({"change_id": "consumer", "position": "y"})
+    right = steps.join(a, "producer").join(b, ["component", "consumer"]).where("x < y").select("producer", "consumer")
+    reach = pairs = right
+    for _ in range(8):  # a cluster has at most six changes
+        reach = reach.join(right.select(F.col("producer").alias("consumer"), F.col("consumer").alias("next")), "consumer").select("producer", F.col("next").alias("consumer")).distinct()
+        pairs = pairs.union(reach)
+    return landing.plan_summary(findings, plan).crossJoin(F.broadcast(pairs.distinct().agg(F.count("*").alias("ordered_pairs")))).select("ordered_pairs", "skipped", "classification")
+
+
 @query()
 def landing_plan(spark, sf_dir):
     return landing.landing_plan(_findings(Relations(spark, sf_dir)))
@@ -635,14 +693,19 @@ WITHIN = "occurred_at > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL {0} DAY AND o
 
 
 @query(
-    f"""WITH last AS (SELECT agent, arg_max(path, occurred_at) AS last_path, max(occurred_at) AS later FROM event_log WHERE kind = 'pushed' GROUP BY agent)
-    SELECT agent, count(*) AS held, count(*) FILTER (WHERE {WITHIN.format(7)}) AS held_recent, count(*) FILTER (WHERE later > occurred_at AND last_path <> path) AS steered
-    FROM event_log LEFT JOIN last USING (agent) WHERE kind = 'collision_held' GROUP BY agent"""
+    f"""SELECT agent, count(*) AS held, count(*) FILTER (WHERE {WITHIN.format(7)}) AS held_recent,
+      count(*) FILTER (WHERE EXISTS (SELECT 1 FROM event_log p WHERE p.kind = 'pushed' AND p.agent = e.agent AND p.path <> e.path AND p.occurred_at >= e.occurred_at)) AS steered
+    FROM event_log e WHERE kind = 'collision_held' AND counterparty IS DISTINCT FROM agent GROUP BY agent"""
 )
 def collision_summary(spark, sf_dir):
     return surfaces.collision_summary(Relations(spark, sf_dir).event_log, AS_OF)
 
 
+@query("SELECT agent AS blocked, counterparty AS holder, path, occurred_at FROM event_log WHERE kind = 'collision_held' AND counterparty IS DISTINCT FROM agent ORDER BY occurred_at DESC, event_id DESC LIMIT 20")
+def recent_collisions(spark, sf_dir):
+    return surfaces.recent_collisions(Relations(spark, sf_dir).event_log)
+
+
 @query(
     f"""WITH base AS (SELECT account, count(*) FILTER (WHERE kind IN ('collision_held', 'warned')) AS interventions, count(*) FILTER (WHERE kind IN ('collision_held', 'warned') AND {WITHIN.format(7)}) AS recent FROM event_log GROUP BY account),
     l AS (SELECT * FROM event_log WHERE kind = 'landed'), hit AS (SELECT account, count(*) AS occurred FROM l WHERE EXISTS (SELECT 1 FROM l o WHERE o.account = l.account AND o.path = l.path AND o.agent <> l.agent AND o.occurred_at < l.occurred_at AND o.occurred_at >= l.occurred_at - INTERVAL 14 DAY) GROUP BY account)
@@ -886,8 +949,8 @@ def import_suffix_resolve(spark, sf_dir):
 
 
 @query(
-    """WITH stems AS (SELECT DISTINCT 'p' || (p_partkey % 60) AS stem, path, language AS family FROM part JOIN file_node ON file_node.path LIKE '%/p' || p_partkey || '.%' WHERE p_partkey < 400), asked AS (SELECT DISTINCT family, stem FROM stems)
-    SELECT family, stem, count(*) AS n, CASE WHEN count(*) > 8 THEN 'raw' WHEN count(*) > 1 THEN 'ambiguous' ELSE 'resolved' END AS fate FROM stems JOIN asked USING (family, stem) GROUP BY ALL"""
+    rf"""WITH f AS (SELECT language AS family, 'p' || floor(sqrt(regexp_extract(path, '/p(\d+)\.', 1)::BIGINT))::BIGINT AS stem FROM file_node)
+    SELECT family, stem, count(*) AS n, CASE WHEN count(*) > {v.MAX_BARE_FANOUT} THEN 'raw' WHEN count(*) > 1 THEN 'ambiguous' ELSE 'resolved' END AS fate FROM f GROUP BY ALL"""
 )
 def bare_fanout_cap(spark, sf_dir):
     """Bare imports of every stem: one raw edge, several ambiguous ones or one resolved. A stem's files grow with the root of the key."""
@@ -903,12 +966,11 @@ def bare_fanout_cap(spark, sf_dir):
     return n.join(fates, ["family", "stem"]).select("family", "stem", "n", "fate")
 
 
-STEM_FILES_SQL = "stem_files AS (SELECT DISTINCT 'src/' || (CASE p_partkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'docs' ELSE 'gamma' END) || '/' || replace(p_name, ' ', '_') || CASE WHEN p_partkey % 5 = 0 THEN '.service' ELSE '' END || CASE p_size % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.go' ELSE '.ts' END AS path FROM part WHERE p_partkey % 7 <= 1)"
-
-
 @query(
-    rf"""WITH {STEM_FILES_SQL}, s AS (SELECT path, CASE regexp_extract(path, '\.[a-z]+$') WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' ELSE 'web' END AS family, replace(regexp_extract(path, '/([a-z_]+)[^/]*$', 1), '_', '-') AS stem, regexp_replace(path, '/[^/]*$', '') AS dir FROM stem_files WHERE path NOT LIKE '%/docs/%'),
-    g AS (SELECT family, stem FROM s GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8 AND count(DISTINCT dir) >= 2) SELECT 'sibling_stem::' || family || '::src::' || stem AS contract, path FROM s JOIN g USING (family, stem)"""
+    f"""WITH f AS (SELECT CASE p_size % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.go' ELSE '.ts' END AS ext, split_part(p_name, ' ', 2) AS word, floor(sqrt(p_partkey))::BIGINT AS r, p_partkey AS k FROM part WHERE p_partkey % 4 <> 2),
+    s AS (SELECT 'sibling_stem::' || CASE ext WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' ELSE 'web' END || '::src::' || word || '-' || r AS contract,
+      'src/' || CASE k % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END || '/x' || k || '/' || word || '_' || r || CASE WHEN k % 5 = 0 THEN '.service' ELSE '' END || ext AS path FROM f)
+    SELECT contract, path FROM s WHERE contract IN (SELECT contract FROM s GROUP BY contract HAVING count(*) BETWEEN 2 AND {v.MAX_GROUP_FILES})"""
 )
 def sibling_stem_groups(spark, sf_dir):
     """One file per part; a stem is a word of its name and the root of its key, so that groups grow with the table, past the cap."""
@@ -920,11 +982,9 @@ def sibling_stem_groups(spark, sf_dir):
     return contracts.sibling_stems(files)
 
 
-ROLE_FILES_SQL = "role_files AS (SELECT DISTINCT 'frontend/src/' || CASE p_partkey % 3 WHEN 0 THEN 'pages' WHEN 1 THEN 'components' ELSE 'hooks' END || '/x' || (p_partkey % 60) || '/' || split_part(p_name, ' ', 1) || '_' || split_part(p_name, ' ', 2) || 's' || CASE p_size % 2 WHEN 0 THEN '.tsx' ELSE '.vue' END AS path FROM part WHERE p_partkey < 300)"
-
-
 @query(
-    rf"""WITH {ROLE_FILES_SQL}, f AS (SELECT path, regexp_extract(path, '^frontend/src/(pages|components)/', 1) AS role, unnest(string_split(regexp_extract(path, '/([a-z_]+)\.[a-z]+$', 1), '_')) AS raw FROM role_files WHERE path NOT LIKE '%/hooks/%'),
+    f"""WITH p AS (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) || 's' AS b, 'feat' || floor(sqrt(p_partkey))::BIGINT AS c, CASE p_size % 2 WHEN 0 THEN '.tsx' ELSE '.vue' END AS ext FROM part WHERE p_partkey % 3 < 2),
+    f AS (SELECT k % 3 AS role, 'frontend/src/' || CASE k % 3 WHEN 0 THEN 'pages' ELSE 'components' END || '/x' || k || '/' || a || '_' || b || '_' || c || ext AS path, unnest([a, b, c]) AS raw FROM p),
     t AS (SELECT DISTINCT path, role, CASE WHEN raw LIKE '%ies' AND length(raw) > 4 THEN left(raw, -3) || 'y' WHEN raw LIKE '%ses' AND length(raw) > 4 THEN left(raw, -2) WHEN raw LIKE '%s' AND raw NOT LIKE '%ss' AND length(raw) > 4 THEN left(raw, -1) ELSE raw END AS token FROM f),
     u AS (SELECT * FROM t WHERE length(token) >= 4 AND token NOT IN ({", ".join(f"'{x}'" for x in v.ROLE_TOKEN_STOP)})), g AS (SELECT token FROM u GROUP BY token HAVING count(DISTINCT role) = 2 AND count(DISTINCT path) <= 30)
     SELECT DISTINCT 'role_feature::web_frontend::frontend::src::components__pages::' || token AS contract, path FROM u JOIN g USING (token)"""
@@ -949,11 +1009,11 @@ def role_feature_pairs(spark, sf_dir):
     raw AS (SELECT src, dst, 'import' AS label FROM import_edge UNION ALL SELECT c.src, d.path, 'call' FROM call_edge c JOIN defs d ON d.name = c.dst),
     prs AS (SELECT DISTINCT least(src, dst) AS path_a, greatest(src, dst) AS path_b, label FROM raw WHERE src <> dst AND src IN (SELECT path FROM file_node) AND dst IN (SELECT path FROM file_node)),
     res AS (SELECT * FROM resource_edge WHERE src IN (SELECT path FROM file_node)), k AS (SELECT dst, count(DISTINCT src) AS n, bool_or(kind = 'alters') AND bool_or(kind = 'queries') AS two FROM res GROUP BY dst),
-    cool AS (SELECT DISTINCT src, dst FROM res WHERE dst IN (SELECT dst FROM k WHERE n BETWEEN 2 AND 8)),
+    cool AS (SELECT DISTINCT src, dst FROM res WHERE dst IN (SELECT dst FROM k WHERE n BETWEEN 2 AND {HUB})),
     links AS (SELECT path_a, path_b FROM prs WHERE label = 'import' UNION SELECT a.src, b.src FROM cool a JOIN cool b ON a.dst = b.dst AND a.src < b.src),
     one AS (SELECT (SELECT count(*) FROM file_node) AS n, (SELECT sum(loc)::BIGINT FROM file_node) AS loc, (SELECT count(*) FROM k WHERE n >= 2) + (SELECT count(*) FROM k WHERE two) AS xs, (SELECT count(*) FROM prs WHERE label = 'call') AS calls,
       (SELECT count(*) FROM prs WHERE label = 'import' AND regexp_replace(path_a, '/[^/]*$', '') <> regexp_replace(path_b, '/[^/]*$', '')) AS xdir, 2 * (SELECT count(*) FROM links) AS ends,
-      (SELECT count(*) FROM (SELECT dst FROM import_edge WHERE dst IN (SELECT path FROM file_node) GROUP BY dst HAVING count(DISTINCT src) > 8)) + (SELECT count(*) FROM k WHERE n > 8) AS conc,
+      (SELECT count(*) FROM (SELECT dst FROM import_edge WHERE dst IN (SELECT path FROM file_node) GROUP BY dst HAVING count(DISTINCT src) > {HUB})) + (SELECT count(*) FROM k WHERE n > {HUB}) AS conc,
       (SELECT count(*) FROM scored s WHERE co >= 2 AND lift >= 2 AND NOT EXISTS (SELECT 1 FROM prs p WHERE p.path_a = s.path_a AND p.path_b = s.path_b)) AS blind),
     m AS (SELECT loc, xs / n AS xs_intensity, calls / n AS call_density, xdir / n AS xdir_density, ends / n AS blast_mean, blind / n AS blind_density, CASE WHEN conc = 0 THEN 0 WHEN conc <= 3 THEN 1 WHEN conc <= 10 THEN 2 ELSE 3 END AS hub_bucket FROM one),
     p AS (SELECT *, 1.0::DOUBLE + 2.0::DOUBLE * xs_intensity + 0.35::DOUBLE * least(call_density, 3.0::DOUBLE) + 0.3::DOUBLE * least(xdir_density, 3.0::DOUBLE) + 0.03::DOUBLE * least(blast_mean, 10.0::DOUBLE) + 0.15::DOUBLE * hub_bucket + 0.5::DOUBLE * least(blind_density, 2.0::DOUBLE) AS raw_premium FROM m)
@@ -962,7 +1022,7 @@ def role_feature_pairs(spark, sf_dir):
 def units_components(spark, sf_dir):
     r = Relations(spark, sf_dir)
     structure = adj.resolved_pairs_meter(r.file_node, r.symbol_node, r.call_edge, r.import_edge).select("path_a", "path_b").distinct()
-    return adj.meter(r.file_node, r.symbol_node, r.call_edge, r.import_edge, r.resource_edge, cc.graph_blind(_pairs(r), structure))
+    return adj.meter(r.file_node, r.symbol_node, r.call_edge, r.import_edge, r.resource_edge, cc.graph_blind(_pairs(r), structure), degree=HUB)
 
 
 # ---- validation and evaluation ---------------------------------------------------------------------------------
@@ -1034,12 +1094,24 @@ def evaluation_verdict(spark, sf_dir):
     return evaluation.verdict(evaluation.change_rates(_labelled(r), cc.pair_counts(cc.baskets(r.touch))))
 
 
-@query()
+@query(
+    """WITH n AS (SELECT greatest(0, floor(log2(count(*) / 1000) / 4))::INT AS digits FROM file_node), h AS (SELECT path, md5('7:' || path) AS h, left(md5('7:' || path), digits) AS block FROM file_node, n),
+    o AS (SELECT path, lead(path, 1) OVER w AS x, lead(path, 2) OVER w AS y FROM h WINDOW w AS (PARTITION BY block ORDER BY h, path)), p AS (SELECT path, x AS other FROM o UNION ALL SELECT path, y FROM o)
+    SELECT DISTINCT least(path, other) AS path_a, greatest(path, other) AS path_b FROM p WHERE other IS NOT NULL"""
+)
 def evaluation_controls(spark, sf_dir):
-    """Control pairs by a seeded hash order, which has no SQL twin."""
+    """Control pairs by a seeded hash order."""
     return evaluation.controls(Relations(spark, sf_dir).file_node)
 
 
+@query(
+    """WITH h AS (SELECT path, md5('7:' || path) AS h, regexp_replace(path, '(^|/)[^/]*$', '') AS dir FROM file_node), o AS (SELECT path, lead(path, 1) OVER w AS x, lead(path, 2) OVER w AS y FROM h WINDOW w AS (PARTITION BY dir ORDER BY h, path)),
+    p AS (SELECT path, x AS other FROM o UNION ALL SELECT path, y FROM o) SELECT DISTINCT least(path, other) AS path_a, greatest(path, other) AS path_b FROM p WHERE other IS NOT NULL"""
+)
+def evaluation_controls_same_dir(spark, sf_dir):
+    return evaluation.controls(Relations(spark, sf_dir).file_node, within=dirname(F.col("path")))
+
+
 @query(
     f"""WITH {BASKET_SQL}, {STRUCT_SQL}, labelled AS (SELECT DISTINCT least(src, dst) AS path_a, greatest(src, dst) AS path_b, length(src) % 2 = 0 AS related FROM call_edge JOIN file_node ON path = src WHERE src < dst),
     hist AS (SELECT path_a, path_b FROM scored WHERE co >= 2 AND lift >= 2), f AS (SELECT src AS path_a, dst AS path_b, length(src) % 2 = 0 AS related FROM (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM import_edge WHERE src <> dst)),
@@ -1079,7 +1151,7 @@ def coupling_snapshot(spark, sf_dir):
 )
 def coordination_brief(spark, sf_dir):
     r = Relations(spark, sf_dir)
-    rows = contention.waits(r.claim)
+    rows = _waits(r)
     waiting = rows.select(F.col("waiter").alias("change_id")).distinct().withColumn("w", F.lit(True))
     verdict = r.claim.select("change_id").distinct().join(waiting, "change_id", "left").select("change_id", F.when(F.col("w"), "serialize").otherwise("clear").alias("verdict"))
     return contention.coordination_brief(verdict, rows, contention.impacts(_adjacency(r)))

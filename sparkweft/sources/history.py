@@ -2,49 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkweft.operators.components import ensure_checkpoints
+
 
 def parse_log(lines: DataFrame, window: int = 800) -> DataFrame:
-    """(commit_id, position, status, path, old_path) out of rows (position, value) of a log with a line 'commit <sha>' before each
-    commit's status lines, newest first; at most window commits (a look-back, as the history scan defines it)."""
-    kind = F.when(F.col("value").rlike("^commit [0-9a-f]+"), F.regexp_extract("value", "^commit ([0-9a-f]+)", 1))
-    starts = lines.withColumn("sha", kind)
-    from pyspark.sql import Window
-
-    order = Window.orderBy("position")  # one log of at most window commits
-    rows = starts.withColumn("commit_id", F.last("sha", ignorenulls=True).over(order)).withColumn("nth", F.sum(F.col("sha").isNotNull().cast("int")).over(order))
+    """(repo, commit_id, nth, status, path, old_path) out of rows (position, value, and repo where there are several) of logs with a
+    line 'commit <sha>' before each commit's status lines, newest first; of each log at most window commits (a look-back, as
+    the history scan defines it).
+
+    The window's commits are found first, as a top-k over the commit lines alone, so lines behind the look-back are neither
+    moved nor sorted; a log's remaining lines are put in order in one task.
+    """
+    several = "repo" in lines.columns
+    rows = lines.select(F.col("repo") if several else F.lit("").alias("repo"), "position", "value")
+    sha = F.nullif(F.regexp_extract("value", "^commit ([0-9a-f]+)", 1), F.lit(""))
+    heads = rows.select("repo", "position", sha.alias("commit_id")).where("commit_id is not null")
+    order = Window.partitionBy("repo").orderBy("position")
+    nth = heads.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= window + 1)
+    ends = nth.where(F.col("nth") == window + 1).select("repo", F.col("position").alias("end"))
+    near = rows.join(F.broadcast(ends), "repo", "left").where("end is null or position < end").drop("end")  # one row a log
+    marked = near.withColumn("commit_id", F.last(sha, ignorenulls=True).over(order)).withColumn("nth", F.count(sha).over(order))
     parts = F.split("value", "\t")
-    files = rows.where("sha is null and nth <= " + str(window)).where(F.size(parts) >= 2)
+    files = marked.where(sha.isNull() & (F.col("nth") > 0)).where(F.size(parts) >= 2)
     status = F.substring(F.get(parts, F.lit(0)), 1, 1)
-    return files.select("commit_id", "nth", status.alias("status"), F.element_at(parts, -1).alias("path"), F.when(status == "R", F.get(parts, F.lit(1))).alias("old_path"))
+    out = files.select("repo", "commit_id", "nth", status.alias("status"), F.element_at(parts, -1).alias("path"), F.when(status == "R", F.get(parts, F.lit(1))).alias("old_path"))
+    return out if several else out.drop("repo")
 
 
-def rename_map(renames: list[tuple[str, str]]) -> dict[str, str]:
-    """old to newest name. renames (old, new) come newest first; the older of two renames of a name wins; cycles end."""
-    to = {}
-    for old, new in renames:
-        if old != new:
-            to[old] = new
-    out = {}
-    for start in to:
-        at, seen = start, {start}
-        while at in to and to[at] not in seen:
-            at = to[at]
-            seen.add(at)
-        out[start] = at
-    return out
+def latest_names(renames: DataFrame) -> DataFrame:
+    """(path, latest): each renamed path and the newest name its renames lead to. renames are (nth, old_path, path), newest first by
+    nth; of several renames of a name the oldest counts. Each round follows one rename more, and a name that was passed already
+    ends the way, so there are as many rounds as one file has names."""
+    ensure_checkpoints(renames.sparkSession)
+    steps = renames.where("old_path <> path").groupBy(F.col("old_path").alias("path")).agg(F.max_by("path", F.struct("nth", "path")).alias("latest")).checkpoint()
+    step = steps.select(F.col("path").alias("latest"), F.col("latest").alias("next"))
+    now = steps.select("path", "latest", F.array("path", "latest").alias("trail"), F.lit(True).alias("moved"))
+    while now.where("moved").limit(1).count():
+        on = now.where("moved").join(step, "latest", "left")
+        goes = F.col("next").isNotNull() & ~F.array_contains("trail", F.col("next"))
+        went = on.select("path", F.when(goes, F.col("next")).otherwise(F.col("latest")).alias("latest"), F.when(goes, F.array_append("trail", F.col("next"))).otherwise(F.col("trail")).alias("trail"), F.coalesce(goes, F.lit(False)).alias("moved"))
+        now = now.where("not moved").unionByName(went).checkpoint()
+    return now.select("path", "latest")
 
 
 def fold_renames(touches: DataFrame, log: DataFrame) -> DataFrame:
-    """touches with each path under its latest name. Renames within the look-back window are few and go to the driver, at most 100000."""
-    found = log.where("status = 'R' and old_path is not null").select("nth", "old_path", "path").orderBy("nth", "old_path", "path").limit(100_000).collect()
-    names = rename_map([(r["old_path"], r["path"]) for r in found])
-    if not names:
-        return touches
-    table = touches.sparkSession.createDataFrame(list(names.items()), "path string, latest string")
-    return touches.join(F.broadcast(table), "path", "left").withColumn("path", F.coalesce("latest", "path")).drop("latest").distinct()
+    """touches with each path under its latest name, by all renames of the log."""
+    names = latest_names(log.where("status = 'R' and old_path is not null").select("nth", "old_path", "path"))
+    return touches.join(names, "path", "left").withColumn("path", F.coalesce("latest", "path")).drop("latest").distinct()
 
 
 PAYLOAD = "struct<repository:struct<full_name:string>,ref:string,commits:array<struct<id:string,added:array<string>,modified:array<string>,removed:array<string>>>>"

@@ -1,6 +1,7 @@
 """The domain's relations read off the test tables: one SQL text for both engines.
 
-Rules are deterministic in the keys. Part p is a file unless its key ends in 9, so some claims hit paths that the graph
+Rules are deterministic in the keys and take every row of their tables: all neighbouring lines of an order are imports and
+calls, all lines touch a resource, of which there are 28 a supplier. Part p is a file unless its key ends in 9, so some claims hit paths that the graph
 does not know.
 """
 
@@ -26,9 +27,9 @@ RELATIONS = {
     "touch": f"SELECT DISTINCT l_orderkey AS commit_id, o_orderdate AS ts, {path_sql('l_partkey')} AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "file_node": f"SELECT {path_sql('p_partkey')} AS path, CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' ELSE 'go' END AS language, p_size * 20 AS loc, p_size % 17 = 0 AS generated, CASE WHEN p_partkey % 97 = 0 THEN 'incomplete' WHEN p_partkey % 89 = 0 THEN 'failed' END AS analysis_status FROM part WHERE p_partkey % 10 <> 9",
     "symbol_node": f"SELECT {path_sql('p.p_partkey')} AS path, {name_sql('p')} AS name, CASE WHEN p_partkey % 4 = 0 THEN 'class' ELSE 'def' END AS kind, cast(1 + p_size % 20 as bigint) AS start_line, cast(12 + p_size as bigint) AS end_line, 'h' || (p_partkey % 7) AS content_hash FROM part p WHERE p_partkey % 10 <> 9",
-    "import_edge": f"SELECT DISTINCT {path_sql('a.l_partkey')} AS src, {path_sql('b.l_partkey')} AS dst, CASE WHEN a.l_orderkey % 80 = 0 THEN 'ambiguous' WHEN a.l_orderkey % 88 = 0 THEN 'unresolved' END AS reference_status FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_orderkey % 8 = 0 AND a.l_partkey <> b.l_partkey",
-    "call_edge": f"SELECT DISTINCT {path_sql('a.l_partkey')} AS src, {name_sql('p')} AS dst, CASE WHEN a.l_orderkey % 60 = 0 THEN 'ambiguous' END AS reference_status FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber JOIN part p ON p.p_partkey = b.l_partkey WHERE a.l_orderkey % 4 = 0",
-    "resource_edge": f"SELECT DISTINCT {path_sql('l_partkey')} AS src, 'table::t' || (l_suppkey * 7 + l_linenumber) AS dst, CASE l_returnflag WHEN 'R' THEN 'alters' WHEN 'A' THEN 'queries' ELSE 'reads_config' END AS kind, cast(NULL as varchar(10)) AS reference_status FROM lineitem WHERE l_orderkey % 16 = 1",
+    "import_edge": f"SELECT DISTINCT {path_sql('a.l_partkey')} AS src, {path_sql('b.l_partkey')} AS dst, CASE WHEN a.l_orderkey % 10 = 0 THEN 'ambiguous' WHEN a.l_orderkey % 11 = 0 THEN 'unresolved' END AS reference_status FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_partkey <> b.l_partkey",
+    "call_edge": f"SELECT DISTINCT {path_sql('a.l_partkey')} AS src, {name_sql('p')} AS dst, CASE WHEN a.l_orderkey % 15 = 0 THEN 'ambiguous' END AS reference_status FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber JOIN part p ON p.p_partkey = b.l_partkey",
+    "resource_edge": f"SELECT DISTINCT {path_sql('l_partkey')} AS src, 'table::t' || ((l_suppkey * 7 + l_linenumber) * 4 + l_orderkey % 4) AS dst, CASE l_returnflag WHEN 'R' THEN 'alters' WHEN 'A' THEN 'queries' ELSE 'reads_config' END AS kind, cast(NULL as varchar(10)) AS reference_status FROM lineitem",
     "claim": f"""SELECT event_id AS claim_id, path, change_id, agent, claimed_at, CASE WHEN rn = 1 THEN 'active' ELSE 'waiting' END AS state, lo, hi, base_hash, is_draft FROM (
         SELECT event_id, path, change_id, agent, ts AS claimed_at, row_number() OVER (PARTITION BY path ORDER BY ts, event_id) AS rn,
             cast(event_id % 40 as bigint) AS lo, cast(event_id % 40 + 1 + event_id % 7 as bigint) AS hi, 'h' || (event_id % 7) AS base_hash, user_id % 9 = 0 AS is_draft FROM (

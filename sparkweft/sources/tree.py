@@ -47,7 +47,7 @@ def guarded(files: DataFrame) -> DataFrame:
     lines = F.split(text, "\n")
     guard = (
         F.when(F.col("length") > limit, "too_large")
-        .when(F.instr(F.hex(head), "00") % 2 == 1, "binary")
+        .when(F.contains(head, F.unhex(F.lit("00"))), "binary")
         .when(F.size(lines) > MAX_LINES, "too_many_lines")
         .when(F.array_max(F.transform(lines, F.length)) > MAX_LINE, "long_line")
     )

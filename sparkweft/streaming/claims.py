@@ -124,22 +124,22 @@ def cochange_sink(state_dir: str, max_files: int = 40):
     """A foreachBatch function that folds each batch of touches (commit_id, path) into exact count tables under state_dir.
 
     Batches are folders of their own: a batch that is run again overwrites itself, and commits that earlier batches have
-    seen are left out.
+    seen are left out. Commit ids are kept as strings, so hex ids and numbers both do.
     """
     from sparkweft.operators.cochange import baskets, file_counts, pair_counts, unseen
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen_dir = f"{state_dir}/seen"
-        fresh = batch.select("commit_id", "path").distinct()
+        fresh = batch.select(F.col("commit_id").cast("string"), "path").distinct()
         if batch_id:
-            seen = spark.read.schema("commit_id long, batch int").parquet(seen_dir).where(F.col("batch") < batch_id)
+            seen = spark.read.schema("commit_id string, batch int").parquet(seen_dir).where(F.col("batch") < batch_id)
             fresh = unseen(fresh, seen)
         fresh.persist()
         kept = baskets(fresh, max_files)
         file_counts(kept).write.mode("overwrite").parquet(f"{state_dir}/files/batch={batch_id}")
         pair_counts(kept).write.mode("overwrite").parquet(f"{state_dir}/pairs/batch={batch_id}")
-        fresh.select(F.col("commit_id").cast("long")).distinct().write.mode("overwrite").parquet(f"{seen_dir}/batch={batch_id}")
+        fresh.select("commit_id").distinct().write.mode("overwrite").parquet(f"{seen_dir}/batch={batch_id}")
         fresh.unpersist()
 
     return fold

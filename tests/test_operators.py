@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkweft.functions.paths import is_test_path, normalize_parts
-from sparkweft.operators import adjacency, cochange, compat, components, contention, contracts, graph, landing, resolve, routes
+from sparkweft.operators import adjacency, cochange, compat, components, contention, contracts, graph, landing, resolve, routes, surfaces
 
 
 def test_giant_commits_and_rare_files(spark):
@@ -73,13 +73,18 @@ def claim(i, path, change, state, lo=1, hi=2, base="h", draft=False):
     return (i, path, change, f"ag{change}", dt.datetime(2024, 1, 1, 0, i), state, lo, hi, base, draft)
 
 
-def ladder(spark, claims, files=(), adj=(), damp=(), pairs=()):
+def ladder(spark, claims, files=(), adj=(), damp=(), pairs=(), edges=()):
     c = spark.createDataFrame(list(claims), CLAIM)
     f = spark.createDataFrame(list(files), "path string, analysis_status string")
     a = spark.createDataFrame(list(adj), "f string, agent string, change_id string, nbr string, dir string")
     d = spark.createDataFrame(list(damp), "f string, change_id string, nbr string, nbr_change string, via string")
     p = spark.createDataFrame(list(pairs), "path_a string, path_b string, co long, lift double")
-    return {r.change_id: (r.verdict, r.step) for r in contention.verdicts(c, f, contention.waits(c), a, d, p).collect()}
+    e = spark.createDataFrame(list(edges), EDGE)
+    facts = contention.change_facts(c, f, contention.waits(c), a, d, p, e)
+    promoted = {r.change_id for r in contention.loss_promoted(facts).collect()}
+    said = {r.change_id: (r.verdict, r.step) for r in contention.verdicts(facts).collect()}
+    assert promoted <= {x for x, (_, step) in said.items() if step == 7}
+    return {x: (*said[x], "promoted") if x in promoted else said[x] for x in said}
 
 
 def test_every_step_of_the_ladder(spark):
@@ -93,7 +98,8 @@ def test_every_step_of_the_ladder(spark):
     assert ladder(spark, [claim(1, "new", "X", "active")], files)["X"] == ("unknown", 5)
     damp = [("a", "X", "b", "Y", "h")]
     assert ladder(spark, [one, two], files, damp=damp, pairs=[("a", "b", 3, 2.0)])["X"] == ("warn", 6)
-    assert ladder(spark, [one, two], [("a", None), ("b", "failed")])["X"] == ("unknown", 7)
+    assert ladder(spark, [one, two], [("a", None), ("b", "failed")]) == {"X": ("unknown", 7, "promoted"), "Y": ("unknown", 7)}
+    assert ladder(spark, [one, two], files, edges=[("a", "z", "unresolved"), ("q", "b", "ambiguous")]) == {"X": ("unknown", 8), "Y": ("unknown", 8)}
     assert ladder(spark, [one], [("a", "ambiguous")])["X"] == ("unknown", 8)
     assert ladder(spark, [one, two], files, damp=damp, pairs=[("a", "b", 2, 9.0)])["X"] == ("unknown", 9)
     assert ladder(spark, [one, two], files)["X"] == ("clear", 10)
@@ -133,10 +139,73 @@ def test_landing_plans(spark):
     assert plan(hard("PR-10", "PR-9"), hard("PR-2", "PR-10")) == ({"ordered"}, ["PR-2", "PR-10", "PR-9"])
     assert plan(hard("PR-1", "PR-2"), hard("PR-2", "PR-3"), hard("PR-3", "PR-1"))[0] == {"cycle"}
     assert plan(hard("PR-1", "PR-2"), hard("PR-2", "PR-1"))[0] == {"mutual"}
-    assert plan(hard("PR-1", "PR-2"), hard("PR-2", "PR-1"), hard("PR-2", "PR-3"))[0] == {"ordered_with_revision"}
+    assert plan(hard("PR-1", "PR-2"), hard("PR-2", "PR-1"), hard("PR-2", "PR-3"))[0] == {"mutual"}
+    both = [hard("PR-1", "PR-2"), hard("PR-2", "PR-1"), hard("PR-2", "PR-3"), hard("PR-3", "PR-4"), hard("PR-4", "PR-2")]
+    assert plan(*both)[0] == {"mutual"} and plan(*both, ("PR-1", "PR-9", "r", "unknown"))[0] == {"unknown"}
+    assert plan(hard("PR-1", "PR-2"), ("PR-2", "PR-3", "consumer_call_mismatch", "breaking"))[0] == {"unknown"}
     assert plan(("PR-1", None, "r", "breaking"), ("PR-1", "PR-1", "r", "breaking"), hard("PR-1", "PR-2")) == ({"ordered"}, ["PR-1", "PR-2"])
 
 
+def test_typed_landing_plans(spark):
+    rows = [
+        ("PR-1", "PR-2", "r", "breaking", None, None), ("PR-2", "PR-3", "r", "compatible", "rebase_needed", None),
+        ("PR-4", "PR-5", "consumer_call_mismatch", "breaking", None, "arity"), ("PR-5", "PR-6", "r", "risky", None, None), ("PR-8", "PR-8", "r", "risky", None, None),
+    ]
+    findings = spark.createDataFrame(rows, FINDING + ", evidence_class string, reason_detail string")
+    plan = landing.landing_plan(findings)
+    assert sorted((r.plan, r.position, r.change_id, r.step) for r in plan.collect() if r.plan != "rebase") == [("ordered_with_revision", 1, "PR-4", "land"), ("ordered_with_revision", 2, "PR-5", "update_after_predecessor"), ("ordered_with_revision", 3, "PR-6", "land")]
+    assert {(r.change_id, r.step) for r in plan.collect() if r.plan == "rebase"} == {("PR-1", "land"), ("PR-2", "land"), ("PR-3", "rebase")}
+    assert tuple(landing.plan_summary(findings, plan).first()) == ("unknown", 2, 1)
+    assert tuple(landing.plan_summary(findings.where("producer_pr <> consumer_pr"), plan).first()) == ("rebase", 2, 0)
+
+
+def test_waits_and_their_flags(spark):
+    claim = "claim_id long, path string, change_id string, state string, claimed_at long, is_draft boolean"
+    rows = [
+        (1, "a", "PR-1", "active", 1, False), (2, "a", "PR-2", "waiting", 2, False), (3, "a", "PR-3", "waiting", 3, True), (4, "go.sum", "PR-1", "active", 1, False), (5, "go.sum", "PR-2", "waiting", 2, False),
+        (6, "b", "BR-topic", "active", 1, False), (7, "b", "PR-5", "waiting", 2, False), (8, "b", "PR-4", "waiting", 3, False), (9, "c", "BR-release/2", "active", 1, False), (10, "c", "PR-5", "waiting", 2, False),
+    ]
+    claims = spark.createDataFrame(rows, claim)
+    overlap = spark.createDataFrame([("a", "PR-2", "PR-1", "disjoint"), ("go.sum", "PR-2", "PR-1", "same")], "path string, waiter string, holder string, relation string")
+    got = {(r.path, r.waiter, r.holder): (r.cross_draft, r.low_value, r.append_soft, r.advisory) for r in contention.waits(claims, overlap).collect()}
+    no = (False, False, False, False)
+    assert got == {
+        ("a", "PR-3", "PR-1"): (True, False, False, False), ("go.sum", "PR-2", "PR-1"): no, ("b", "PR-5", "BR-topic"): (False, False, False, True),
+        ("b", "PR-4", "BR-topic"): (False, False, False, True), ("b", "PR-4", "PR-5"): no, ("c", "PR-5", "BR-release/2"): no,
+    }
+    assert {(r.path, r.waiter): r.low_value for r in contention.waits(claims).collect()}[("go.sum", "PR-2")]
+
+
+def test_routes_match_as_pairs_do(spark):
+    """The join by shapes against match_routes on every pair; a segment that all share is no key."""
+    import itertools
+
+    segs = ["api", "users", "{}", "x"]
+    routes_ = ["/" + "/".join(p) for n in (1, 2, 3) for p in itertools.product(segs, repeat=n)]
+    d = spark.createDataFrame([(f"d{i}", r) for i, r in enumerate(routes_)], "path string, route string")
+    u = spark.createDataFrame([(f"u{i}", r) for i, r in enumerate(routes_)], "path string, route string")
+    got = {(r.route, r.url) for r in routes.match_pairs(d, u).collect()}
+    specific = {r.route for r in d.where(routes.is_specific(F.col("route"))).collect()}
+    pairs = spark.createDataFrame([(a, b) for a in specific for b in specific], "a string, b string")
+    assert got == {(r.a, r.b) for r in pairs.where(routes.match_routes(F.col("a"), F.col("b"))).collect()} and len(got) > 200
+
+
+def test_steered_and_effect_counters(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(i, f"2024-01-{r.randrange(1, 29):02} 00:00:00", f"a{r.randrange(3)}", f"a{r.randrange(3)}", r.choice(["pushed", "landed", "collision_held"]), f"p{r.randrange(3)}", "acct") for i in range(120)]
+    events = spark.createDataFrame(rows, "event_id long, at string, agent string, counterparty string, kind string, path string, account string").withColumn("occurred_at", F.col("at").cast("timestamp_ntz"))
+    got = {x.agent: (x.held, x.steered) for x in surfaces.collision_summary(events, "2024-01-31 00:00:00").collect()}
+    held = [e for e in rows if e[4] == "collision_held" and e[2] != e[3]]
+    steered = [e for e in held if any(p[4] == "pushed" and p[2] == e[2] and p[5] != e[5] and p[1] >= e[1] for p in rows)]
+    assert got == {a: (sum(e[2] == a for e in held), sum(e[2] == a for e in steered)) for a in {e[2] for e in held}}
+    landed = [e for e in rows if e[4] == "landed"]
+    day = lambda e: int(e[1][8:10])
+    hit = sum(any(o[5] == e[5] and o[2] != e[2] and day(e) - 14 <= day(o) < day(e) for o in landed) for e in landed)
+    assert surfaces.effect_counters(events, "2024-01-31 00:00:00").first()["occurred"] == hit
+
+
 def shape(names="", required=0, kw="", varargs=False, mark=None):
     return (list(names), list(kw), required, varargs, mark or f"{names}/{required}/{kw}/{varargs}")
 
@@ -189,6 +258,16 @@ def test_import_resolution(spark):
     }
 
 
+def test_python_relative_and_member_imports(spark):
+    files = spark.createDataFrame([(p, "python") for p in ("pkg/a.py", "pkg/b.py", "pkg/__init__.py", "pkg/sub/c.py", "top.py")], "path string, family string")
+    asked = [("pkg/a.py", ".b"), ("pkg/a.py", ".b.member"), ("pkg/sub/c.py", "..b"), ("pkg/sub/c.py", ".."), ("pkg/a.py", ".none"), ("top.py", "pkg.b.member"), ("top.py", "pkg.sub.c")]
+    out = resolve.resolve_imports(spark.createDataFrame([(s, m, "python") for s, m in asked], "src string, module string, family string"), files).collect()
+    assert {(r.src, r.module): (r.dst, r.reference_status) for r in out} == {
+        ("pkg/a.py", ".b"): ("pkg/b.py", None), ("pkg/a.py", ".b.member"): ("pkg/b.py", None), ("pkg/sub/c.py", "..b"): ("pkg/b.py", None), ("pkg/sub/c.py", ".."): ("pkg/__init__.py", None),
+        ("pkg/a.py", ".none"): (".none", "unresolved"), ("top.py", "pkg.b.member"): ("pkg/b.py", None), ("top.py", "pkg.sub.c"): ("pkg/sub/c.py", None),
+    }
+
+
 def test_path_contracts(spark):
     files = spark.createDataFrame([("src/a/user_card.ts",), ("src/b/user-card.service.ts",), ("src/a/index.ts",), ("src/b/index.ts",), ("src/docs/user_card.ts",), ("frontend/src/pages/o/Orders.tsx",), ("frontend/src/components/OrderList.vue",)], "path string")
     assert {(r.contract, r.path) for r in contracts.sibling_stems(files).collect()} == {("sibling_stem::web::src::user-card", "src/a/user_card.ts"), ("sibling_stem::web::src::user-card", "src/b/user-card.service.ts")}

@@ -11,7 +11,7 @@ from sparkweft.streaming import claims
 
 
 def test_tree_guards(spark, tmp_path):
-    for name, raw in {"a.py": b"x = 1\n", "b.bin.py": b"a\0b", "c.ts": b"y" * 250_001, "node_modules/d.js": b"z", "e/f.go": b"package e\n" * 3, "g.sql": b"s"}.items():
+    for name, raw in {"a.py": b"x = 1\n", "b.bin.py": b"p\0q", "c.ts": b"y" * 250_001, "node_modules/d.js": b"z", "e/f.go": b"package e\n" * 3, "g.sql": b"s"}.items():
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(raw)
@@ -33,7 +33,26 @@ def test_log_and_renames(spark):
     touch = log.select("commit_id", "path")
     got = {(r.commit_id, r.path) for r in history.fold_renames(touch, log).collect()}
     assert got == {("aa", "x.py"), ("aa", "new.py"), ("bb", "new.py"), ("cc", "new.py")}
-    assert history.rename_map([("a", "b"), ("b", "a")]) == {"a": "b", "b": "a"} and history.rename_map([("a", "c"), ("a", "b")]) == {"a": "b"}
+    assert history.parse_log(spark.createDataFrame(list(enumerate(lines)), "position long, value string"), 2).select("commit_id").distinct().count() == 2
+
+
+@pytest.mark.parametrize(
+    ("renames", "want"),
+    [
+        ([("a", "b"), ("b", "a")], {"a": "b", "b": "a"}), ([("a", "c"), ("a", "b")], {"a": "b"}), ([("a", "b"), ("b", "c"), ("c", "a")], {"a": "c", "b": "a", "c": "b"}),
+        ([(f"n{i}", f"n{i + 1}") for i in range(9)], {f"n{i}": "n9" for i in range(9)}), ([], {}),
+    ],
+)
+def test_latest_names(spark, renames, want):
+    rows = [(i, old, new) for i, (old, new) in enumerate(renames)]
+    got = history.latest_names(spark.createDataFrame(rows, "nth long, old_path string, path string")).collect()
+    assert {r.path: r.latest for r in got} == want
+
+
+def test_several_logs(spark):
+    rows = [(r, i, v) for r in ("x", "y") for i, v in enumerate([f"commit {r.encode().hex()}1", "M\ta", f"commit {r.encode().hex()}2", f"M\t{r}"])]
+    log = history.parse_log(spark.createDataFrame(rows, "repo string, position long, value string"))
+    assert {(r.repo, r.commit_id, r.nth, r.path) for r in log.collect()} == {("x", "781", 1, "a"), ("x", "782", 2, "x"), ("y", "791", 1, "a"), ("y", "792", 2, "y")}
 
 
 def test_push_payload(spark):
@@ -72,10 +91,10 @@ def test_claim_stream_equals_replay(spark, tmp_path):
 
 @pytest.mark.parametrize("runs", [1, 2])
 def test_cochange_sink_equals_batch(spark, tmp_path, runs):
-    rows = [(c, f"p{(c * k) % 5}") for c in range(30) for k in (1, 2, 3)]
-    touch = spark.createDataFrame(rows, "commit_id long, path string")
+    rows = [(f"{c:02}f", f"p{(c * k) % 5}") for c in range(30) for k in (1, 2, 3)]
+    touch = spark.createDataFrame(rows, "commit_id string, path string")
     fold = claims.cochange_sink(str(tmp_path / "state"))
-    for batch, part in enumerate((touch.where("commit_id < 15"), touch.where("commit_id >= 10"))):
+    for batch, part in enumerate((touch.where("commit_id < '15'"), touch.where("commit_id >= '10'"))):
         for _ in range(runs):
             fold(part, batch)
     got = spark.read.parquet(str(tmp_path / "state/pairs")).groupBy("path_a", "path_b").agg(F.sum("co").alias("co"))

@@ -43,12 +43,37 @@ def test_empty(spark, odd, none):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(0, 6000), st.integers(0, 60), st.integers(8, 60), st.integers(0, 2**32))
+@given(st.integers(0, 6000), st.integers(0, 60), st.integers(1, 90), st.integers(0, 2**32))
 def test_short_item_in_long_document(at, lost, size, seed):
     rng = np.random.default_rng(seed)
-    doc = rng.integers(0, 2**63, 6100, dtype=np.uint64)
+    doc = rng.integers(0, 2**64, 6100, dtype=np.uint64)
     item = doc[at : at + size].copy()
-    item[: min(lost, size // 5)] = rng.integers(0, 2**63, min(lost, size // 5), dtype=np.uint64)
-    index = d.ItemIndex([(7, np.unique(item)), (8, np.unique(rng.integers(0, 2**63, 30, dtype=np.uint64)))])
+    item[: min(lost, size // 5)] = rng.integers(0, 2**64, min(lost, size // 5), dtype=np.uint64)
+    index = d.ItemIndex([(7, np.unique(item)), (8, np.unique(rng.integers(0, 2**64, 30, dtype=np.uint64)))], 80)
     share = np.isin(np.unique(item), doc).mean()
-    assert [x[0] for x in d.contained(doc, index, 80)] == ([7] if 100 * share >= 80 else [])
+    assert [x[0] for x in d.contained(doc, index)] == ([7] if 100 * share >= 80 else [])
+
+
+def test_scattered_items_and_thresholds():
+    """Items whose shingles lie anywhere in the document; thresholds are as likely to be reached as they say."""
+    rng = np.random.default_rng(4)
+    assert d.threshold(30, 0) == 30 and d.threshold(3, 1) == 0 and 1 <= d.threshold(24, 2) <= d.threshold(24, 8) < 24
+    for size, n in ((5, 40), (30, 900), (30, 20_000), (200, 5000), (1000, 1500)):
+        doc = rng.integers(0, 2**64, n, dtype=np.uint64)
+        items = []
+        for i in range(60):
+            own = rng.choice(doc, size, replace=False)
+            lost = i % 3 * size // 10
+            own[:lost] = rng.integers(0, 2**64, lost, dtype=np.uint64)
+            items.append((i, np.unique(own)))
+        index = d.ItemIndex(items, 80)
+        assert {i for i, *_ in d.contained(doc, index)} == {i for i, s in items if 100 * np.isin(s, doc).sum() >= 80 * len(s)}
+
+
+def test_repeated_items(spark):
+    text = words(1, 60)
+    bench = spark.createDataFrame([(i % 7, text) for i in range(50)] + [(9, words(2, 30))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{words(3, 20)} {text}"), (2, words(5, 50))], "doc_id long, text string")
+    out = d.contaminated(docs, bench, item_bytes=100).collect()
+    assert sorted(r["item_id"] for r in out) == sorted(i % 7 for i in range(50)) and {r["doc_id"] for r in out} == {1}
+    assert [r["doc_id"] for r in d.without_contaminated(docs, bench).collect()] == [2]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.shared import new_shared_path, shared_table, small_batches
+from sparkweft.llm.shared import id_filter, join_counted, new_shared_path, shared_table, small_batches
 
 # Fixed values of the formats.
 DICT_MAGIC = 0x184D2A5D
@@ -28,6 +28,8 @@ DATE = "2024-01-01T00:00:00Z"
 
 #: What a task's dictionary is trained on: its first records, within these bounds.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 64, 2_000_000, 16_384
+#: Bytes from which a task closes its archive and opens the next.
+ARCHIVE_BYTES = 1_000_000_000
 SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -196,38 +198,53 @@ def parse_record(record: bytes) -> tuple:
     return _page(h.get("warc-record-id")), url, length, digest[5:], kind, _page(h.get("warc-refers-to")), None
 
 
-def _write(folder: str):
+def _write(folder: str, archive_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        path = f"{folder}/part-{ctx.partitionId():06d}.warc.zst"
-        temp = f"{path}.{ctx.taskAttemptId()}.tmp"
+        nth = n = 0
         out = writer = None
         waiting: list[bytes] = []
-        n = 0
+
+        def names():
+            path = f"{folder}/part-{ctx.partitionId():06d}-{nth:04d}.warc.zst"
+            return path, f"{path}.{ctx.taskAttemptId()}.tmp"
+
+        def start():
+            nonlocal out, writer
+            out = open_shared(names()[1], "wb")
+            writer = ArchiveWriter(out, waiting)
+            for r in waiting:
+                writer.write(r)
+            waiting.clear()
+
+        def finish():
+            nonlocal out, writer, nth, n
+            out.close()
+            path, temp = names()
+            rename_shared(temp, path)
+            row = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([writer.size], pa.int64())], names=["path", "records", "bytes"])
+            out = writer = None
+            nth, n = nth + 1, 0
+            return row
+
         for batch in batches:
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n += 1
                 record = record_bytes(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to, refers_to is not None)
                 if writer:
                     writer.write(record)
+                    if writer.size >= archive_bytes:
+                        yield finish()
                     continue
                 waiting.append(record)
                 if len(waiting) >= SAMPLE_RECORDS or sum(map(len, waiting)) >= SAMPLE_BYTES:
-                    out = open_shared(temp, "wb")
-                    writer = ArchiveWriter(out, waiting)
-                    for r in waiting:
-                        writer.write(r)
+                    start()
         if waiting and not writer:
-            out = open_shared(temp, "wb")
-            writer = ArchiveWriter(out, waiting)
-            for r in waiting:
-                writer.write(r)
+            start()
         if writer:
-            out.close()
-            rename_shared(temp, path)
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([writer.size], pa.int64())], names=["path", "records", "bytes"])
+            yield finish()
 
     return write
 
@@ -260,7 +277,7 @@ def _read(with_payload: bool):
     return read
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record per row and returns the manifest: path, records, bytes of each archive.
 
     Of rows with equal payloads of at least least_bytes bytes that with the largest id is the response and the others
@@ -271,12 +288,18 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    marked = rows.withColumn("digest", F.when(F.octet_length(payload) >= least_bytes, F.unhex(F.sha1(payload))))
-    firsts = marked.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    joined = marked.join(firsts, "digest", "left")
+    digest = F.when(F.octet_length(payload) >= least_bytes, F.unhex(F.sha1(payload)))
+    # digests alone find what is there more than once; only rows that may be are moved, or meet a hot digest where they lie
+    counts = rows.select(digest.alias("digest"), "page_id").where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    firsts = shared_table(counts.where("n > 1 and first is not null"), "firsts")
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    maybe = id_filter(firsts, "digest")
+    marked = rows.withColumn("digest", digest)
+    alone = marked.where(~F.coalesce(maybe(F.col("digest")), F.lit(False))).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    joined = join_counted(marked.where(maybe(F.col("digest"))), firsts, "digest", total, "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    ready = joined.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"))
-    return shared_table(ready.mapInArrow(_write(folder), "path string, records long, bytes long"), "manifest")
+    ready = alone.unionAll(joined.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to")))
+    return shared_table(ready.mapInArrow(_write(folder, archive_bytes), "path string, records long, bytes long"), "manifest")
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -287,6 +310,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, with_payload: bool = False, **columns) -> DataFrame:
-    """pages written to archives in the shared folder and read back."""
+    """pages written to archives in the shared folder and read back; null ids, null and empty payloads, repeated rows and other columns
+    are as in write_archives, and an empty table gives an empty one."""
     folder = new_shared_path(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder, **columns), with_payload)

@@ -39,6 +39,15 @@ def test_round_trip(spark, least):
     assert {r["url"] for r in got} == {u for _, u, _ in PAGES}
 
 
+def test_hot_payloads_and_rolled_archives(spark):
+    rows = [(i, "u", None if i % 3 == 0 else f"<p>{i % 40 if i % 2 else i}</p>") for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    manifest = w.write_archives(df, w.new_shared_path(spark, "warc"), archive_bytes=6000)
+    assert manifest.count() > 8 and manifest.agg({"records": "sum"}).first()[0] == 900
+    got = w.read_archives(manifest).collect()
+    assert sorted((tuple(r)[:1] + tuple(r)[2:6] for r in got), key=str) == brute(rows)
+
+
 def test_empty(spark):
     assert w.round_trip(frame(spark, [], "page_id long, url string, html string")).count() == 0
 

@@ -30,43 +30,62 @@ def brute():
     return sorted(out)
 
 
-def read(nodes, members):
+def read(trees):
     cols = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    return sorted(tuple(r) for r in c.read_back(nodes, members).select(cols).collect())
+    return sorted(tuple(r) for r in c.read_back(*trees).select(cols).collect())
 
 
-def test_round_trip_and_tree(spark):
-    df = frame(spark, [*turns(), (None, 0, U, "no one's")], "conv_id long, turn long, role string, text string").repartition(3)
-    nodes, members = c.prefix_trees(df)
-    assert read(nodes, members) == brute()
-    rows = nodes.orderBy("tree", "leaf", "depth").collect()
-    assert sum(r["segment"] == c.format_turn(U, "hi")[0] and r["depth"] == 0 for r in rows) == 1
-    stack, tree, at = [], None, 0
+def check(trees, rows_of_turns):
+    """Each prefix once; starts gapless in each tree; position and attention as the path says."""
+    rows = trees.nodes.orderBy("chunk", "leaf", "depth").collect()
+    assert len(rows) == len({tuple((r or "", t or "") for r, t in ts[: k + 1]) for ts in rows_of_turns for k in range(len(ts))})
+    of_tree, path = {}, {}
     for r in rows:
-        if r["tree"] != tree:
-            stack, tree, at = [], r["tree"], 0
+        mine = of_tree.setdefault(r["tree"], [])
+        assert r["start"] == (mine[-1][0] + mine[-1][1] if mine else 0)
+        stack = path.setdefault(r["tree"], [])
         del stack[r["depth"] :]
-        sees = {k for s in r["attends"] for k in range(s["start"], s["end"])} if r["length"] < 1000 else None
-        assert r["start"] == at and r["position"] == sum(n for _, n in stack) and r["length"] == len(r["segment"])
-        if sees is not None and at < 5000:
-            assert sees == {k for s, n in stack for k in range(s, s + n)}
+        assert r["position"] == sum(n for _, n in stack) and r["length"] == len(r["segment"])
+        inside = lambda k: any(x["start"] <= k < x["end"] for x in r["attends"])
+        assert sum(x["end"] - x["start"] for x in r["attends"]) == r["position"] and all(inside(a) and inside(a + n - 1) for a, n in stack)
         if r["loss_start"] is not None:
             assert c.unescape_text(r["segment"][r["loss_start"] : r["loss_end"]]) == c.parse_turn(r["segment"])[1]
-        stack.append((at, r["length"]))
-        at += r["length"]
+        stack.append((r["start"], r["length"]))
+        mine.append((r["start"], r["length"]))
+    assert len(of_tree) == len({(ts[0][0] or "", ts[0][1] or "") for ts in rows_of_turns})
+
+
+def test_round_trip_and_tree(spark):
+    df = frame(spark, [*turns(), (None, 0, U, "no one's")], "conv_id long, turn long, role string, text string").repartition(3)
+    trees = c.prefix_trees(df)
+    assert read(trees) == brute()
+    check(trees, [ts for _, ts in CONVS])
 
 
-def test_small_trees_and_tokens(spark):
+def test_small_chunks_and_tokens(spark):
     df = frame(spark, turns(), "conv_id long, turn long, role string, text string")
-    assert read(*c.prefix_trees(df, most_nodes=1)) == brute()
-    nodes, members = c.prefix_trees(df.where("conv_id <> 7"), tokenizer_path=tokenizer_path("byte_bpe_50k.json"))
-    assert read(nodes, members) == [r for r in brute() if r[0] != 7]
-    assert nodes.where(F.col("length") < F.length("segment")).count() > 0
+    trees = c.prefix_trees(df, chunk_turns=1)
+    assert read(trees) == brute()
+    check(trees, [ts for _, ts in CONVS])
+    trees = c.prefix_trees(df.where("conv_id <> 7"), tokenizer_path=tokenizer_path("byte_bpe_50k.json"))
+    assert read(trees) == [r for r in brute() if r[0] != 7]
+    assert trees.nodes.where(F.col("length") < F.length("segment")).count() > 0
+
+
+def test_a_hot_first_turn_is_emitted_once(spark):
+    """Very many conversations with common turns, over many chunks; one conversation many times, and one that ends on the way."""
+    convs = [[(U, "hot"), (A, f"a{i % 5}"), (U, f"b{i % 60}"), (A, f"c{i}")] for i in range(900)] + [[(U, "hot")]] + [[(U, "hot"), (A, "a1")]] * 200 + [[(U, f"own {i}")] for i in range(50)]
+    rows = [(i, k, r, t) for i, ts in enumerate(convs) for k, (r, t) in enumerate(ts)]
+    trees = c.prefix_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chunk_turns=100)
+    check(trees, convs)
+    assert trees.nodes.select("chunk").distinct().count() > 5 and trees.spines.count() > 5
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"]) for r in c.read_back(*trees).collect()}
+    assert got == {i: (len(ts), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in ts).encode()).hexdigest()) for i, ts in enumerate(convs)}
 
 
 def test_empty(spark):
-    nodes, members = c.prefix_trees(frame(spark, [], "conv_id long, turn long, role string, text string"))
-    assert nodes.count() == 0 and read(nodes, members) == []
+    trees = c.prefix_trees(frame(spark, [], "conv_id long, turn long, role string, text string"))
+    assert trees.nodes.count() == 0 and read(trees) == []
 
 
 @given(st.text(), st.text())

@@ -122,3 +122,37 @@ def test_near_the_bound():
         for (first, b, c), end in zip(rows, [*(x[0] for x in rows[1:]), histogram[length]], strict=True):
             most = max(most, b + (end - first - 1) // c)
     assert bins and most + 1 <= -(-total // 4096) * 1.01 + 1
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying all ways."""
+    best = len(lengths)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= capacity and bins[i] not in bins[:i]:
+                place(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=9))
+def test_sequences_against_the_fewest_possible(lengths):
+    histogram = {k: lengths.count(k) for k in lengths}
+    plan = p.slack_plan(histogram, 40)
+    used = set()
+    for length, n in histogram.items():
+        rows = [r for r in plan if r[0] == length]
+        for rank in range(n):
+            r = max((x for x in rows if x[1] <= rank), key=lambda x: x[1])
+            used.add(r[2] + (rank - r[1]) // r[3])
+    assert len(used) <= fewest(sorted(lengths, reverse=True), 40) + 1

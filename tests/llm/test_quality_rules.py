@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -54,3 +55,59 @@ def test_em_finds_planted_accuracies():
     assert right[0] > right[1] > right[2]
     post = q.posterior(patterns, table, prior)
     assert ((post[:, None] >= 0.5)[np.unique(votes, axis=0, return_inverse=True)[1].ravel(), 0] == keep).mean() > 0.9
+
+
+def plain_votes(text):
+    """Each rule's vote, from counts made one character at a time."""
+    t = text or ""
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words = brute(text)
+    ascii_letters = [c for c in t if c.isascii() and c.isalpha()]
+    f = {
+        "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words,
+        "n_upper": sum(c.isupper() for c in ascii_letters), "n_letters": len(ascii_letters) + sum(not c.isascii() for c in t),
+        "n_marks": t.count("!!") + t.count("|") + t.count("??"), "n_lines": sum(bool(re.search(r"[^\x20\x09-\x0d]", x)) for x in t.split("\n")), "false": False,
+    }
+    return tuple(-1 if eval(no, {}, f) else 1 if eval(yes, {}, f) else 0 for _, no, yes in q.RULES)
+
+
+def plain_em(votes, rounds=200):
+    """The label model document by document: P(vote | class) by rule, and what each document's votes say."""
+    prior = 0.8
+    table = [[dict(zip((-1, 0, 1), (0.6, 0.25, 0.15), strict=True)), dict(zip((-1, 0, 1), (0.15, 0.25, 0.6), strict=True))] for _ in q.RULES]
+
+    def say():
+        out = []
+        for v in votes:
+            odds = math.log(prior / (1 - prior)) + sum(math.log(table[r][1][x] / table[r][0][x]) for r, x in enumerate(v))
+            out.append(1 / (1 + math.exp(-odds)))
+        return out
+
+    for _ in range(rounds):
+        post = say()
+        new = []
+        for r in range(len(q.RULES)):
+            rows = [{x: 1.0 for x in (-1, 0, 1)} for _ in (0, 1)]
+            for v, p in zip(votes, post, strict=True):
+                rows[0][v[r]] += 1 - p
+                rows[1][v[r]] += p
+            rows = [{x: n / sum(row.values()) for x, n in row.items()} for row in rows]
+            if rows[0][-1] < rows[1][-1]:
+                rows[0][-1] = rows[1][-1] = (rows[0][-1] + rows[1][-1]) / 2
+            if rows[1][1] < rows[0][1]:
+                rows[0][1] = rows[1][1] = (rows[0][1] + rows[1][1]) / 2
+            new.append([{x: n / sum(row.values()) for x, n in row.items()} for row in rows])
+        prior = min(0.95, max(0.05, (sum(post) + 1) / (len(votes) + 2)))
+        table = new
+    return say()
+
+
+def test_verdicts_against_a_plain_version(spark):
+    texts = [words(i, 20 + 3 * i) for i in range(40)] + [words(i, 90).upper().replace(" ", "!! ") for i in range(6)] + [words(i, 60).replace(" ", "*** ") for i in range(8)]
+    texts += ["same line here again\n" * 30, words(9, 10) + " x y z" * 40, None, "", "a | b"]
+    rows = {r["doc_id"]: r for r in q.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = plain_em([plain_votes(t) for t in texts])
+    for i, (t, p) in enumerate(zip(texts, want, strict=True)):
+        n, _, _, _, repeat = brute(t)
+        assert abs(rows[i]["p_keep"] - p) < 1e-4, (i, rows[i]["p_keep"], p)
+        assert rows[i]["kept"] == (not (n < 50 or 100 * repeat > 50 * n) and p >= 0.5)
+    assert {True, False} == {r["kept"] for r in rows.values()}

@@ -3,10 +3,10 @@
 Plan: (1) one pass turns each text into its shingle set's digest and its band keys; (2) equal sets collapse to their
 smallest id, so a group of copies costs one row from here on; (3) every band bucket has a centre, its smallest id, and each
 set is compared with the smallest centre of its buckets, on full sets: a star of at most one candidate edge a set; (4) what
-that links are classes already, and a bucket is done where all its members are in one; (5) in the buckets left, members of
-different classes are compared, what is outside the bucket's largest class with each other and with that class. So every pair that
-shares a bucket is linked or was compared, and a group of near copies costs its size, not its square. Groups are dealt
-in chunks of GROUP_ROWS, so no task holds a large one.
+that links are classes already, and a bucket is done where all its members are in one; (5) the buckets left join classes up to parts, and
+members of a part that are in different classes are compared, what is outside the part's largest class with each other and
+with that class. So every pair that shares a bucket is linked or was compared, and a group of near copies costs its size, not its
+square. Groups are dealt in chunks of GROUP_ROWS and GROUP_BYTES, so no task holds a large one.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from sparkweft.llm.shared import WordHash, free_names, id_filter, join_counted,
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Sets that a comparing group may have on each side.
-GROUP_ROWS = 512
+#: Sets, and bytes of shingle hashes, that a comparing group may have on each side.
+GROUP_ROWS, GROUP_BYTES = 512, 4_000_000
 
 
 def _probe_table(bins: int, tries: int = 64) -> np.ndarray:
@@ -157,7 +157,7 @@ def _with_centre(percent: int):
 
 def _across(percent: int):
     def compare(key, table):
-        """Members of two chunks of a bucket, as far as they are in different classes."""
+        """Members of two chunks of a part, as far as they are in different classes."""
         ids, known, side = (table.column(n).to_numpy() for n in ("rep", "known", "side"))
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
         return _links(link_forest(ids, sets, percent, side if len(set(side.tolist())) > 1 else None, known) if len(ids) > 1 else [])
@@ -167,38 +167,48 @@ def _across(percent: int):
 
 def _candidate_links(rows: DataFrame, classes: DataFrame, n_classes: int, percent: int, group_rows: int) -> DataFrame:
     """(a, b): verified links that join up all pairs of classes that share a bucket and are similar."""
-    buckets = classes.select("rep", F.explode("band_keys").alias("bucket"))
+    size = (F.col("size") * 8 + 8 * BINS).alias("size")
+    buckets = classes.select("rep", size, F.explode("band_keys").alias("bucket"))
     centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"), F.count("*").alias("n")).where("centre <> last").select("bucket", "centre", "n")
     shared = shared_table(join_counted(buckets, shared_table(centres, "centres"), "bucket", BANDS * n_classes), "shared")
-    reps = shared_table(shared.groupBy("rep").agg(F.min("centre").alias("centre")), "reps")
+    reps = shared_table(shared.groupBy("rep").agg(F.min("centre").alias("centre"), F.first("size").alias("size")), "reps")
     maybe = id_filter(reps, "rep")  # most documents share no bucket: their texts stay where they are
     texts = rows.where(maybe(F.col("doc_id"))).select(F.col("doc_id").alias("rep"), "text").join(reps.select("rep"), "rep")
     sets = shared_table(texts.select("rep", "text").mapInArrow(_sets, "rep long, shingles binary"), "sets")
-    chunk = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(n / F.lit(group_rows)))).cast("int")
-    chunks = lambda n: F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(n / F.lit(group_rows))).cast("int") - 1)
+    chunks_of = lambda n, size: F.greatest(F.lit(1), F.ceil(n / F.lit(group_rows)), F.ceil(size / F.lit(GROUP_BYTES))).cast("int")
+    chunk = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
 
     # stars: a centre goes to each chunk of its members
-    stars = shared_table(reps.where("rep <> centre").groupBy("centre").agg(F.count("*").alias("n")), "stars")
-    members = join_counted(reps.where("rep <> centre"), stars.select("centre", "n", F.col("n").alias("size")), "centre", n_classes).select("rep", "centre", chunk(F.col("size")).alias("chunk"))
-    dealt = members.unionByName(stars.select(F.col("centre").alias("rep"), "centre", F.explode(chunks(F.col("n"))).alias("chunk")))
+    stars = reps.where("rep <> centre").groupBy("centre").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    stars = shared_table(stars.select("centre", "n", chunks_of(F.col("n"), F.col("size")).alias("chunks")), "stars")
+    members = join_counted(reps.where("rep <> centre").select("rep", "centre"), stars, "centre", n_classes).select("rep", "centre", chunk(F.col("chunks")).alias("chunk"))
+    dealt = members.unionByName(stars.select(F.col("centre").alias("rep"), "centre", each(F.col("chunks")).alias("chunk")))
     first = shared_table(dealt.join(sets, "rep").groupBy("centre", "chunk").applyInArrow(_with_centre(percent), "a long, b long"), "links")
 
-    # buckets whose members are not all in one class yet: their largest class is the base, the others are the rest
-    known = shared.join(connected_components(first).select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", "bucket", F.coalesce("root", "rep").alias("known"))
+    # buckets whose members are not all in one class yet join classes up to parts
+    known = shared.join(connected_components(first).select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", "size", "bucket", F.coalesce("root", "rep").alias("known"))
     known = shared_table(known, "known")
-    sizes = known.groupBy("bucket", "known").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("known", F.struct("k", "known")).alias("base"), F.max("k").alias("base_n"), F.sum("k").alias("n"), F.count("*").alias("classes"))
-    left = shared_table(sizes.where("classes > 1").select("bucket", "base", "base_n", (F.col("n") - F.col("base_n")).alias("rest_n"), "n"), "left")
-    open_rows = join_counted(known, left, "bucket", BANDS * n_classes)
-    own = F.when(F.col("known") == F.col("base"), chunk(F.col("base_n"))).otherwise(chunk(F.col("rest_n")))
-    mine = open_rows.withColumn("chunk", own)
-    base = mine.where("known = base").select("rep", "known", "bucket", F.explode(chunks(F.col("rest_n"))).alias("x"), F.col("chunk").alias("y"), F.lit(True).alias("with_base"), F.lit(1).alias("side"))
-    rest = mine.where("known <> base")
-    rest_base = rest.select("rep", "known", "bucket", F.col("chunk").alias("x"), F.explode(chunks(F.col("base_n"))).alias("y"), F.lit(True).alias("with_base"), F.lit(0).alias("side"))
-    rest_rest = rest.withColumn("other", F.explode(chunks(F.col("rest_n")))).select(
-        "rep", "known", "bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), F.lit(False).alias("with_base"), F.when(F.col("chunk") > F.col("other"), 1).otherwise(0).alias("side"),
+    left = shared_table(known.groupBy("bucket").agg(F.min("known").alias("least"), F.max("known").alias("most"), F.count("*").alias("n")).where("least <> most").select("bucket", "least", "n"), "left")
+    open_rows = shared_table(join_counted(known, left, "bucket", BANDS * n_classes), "open")
+    edges = shared_table(open_rows.where("known <> least").select(F.col("known").alias("a"), F.col("least").alias("b")).distinct(), "class-edges")
+    rooted = connected_components(edges).withColumnsRenamed({"node": "known", "root": "part"})
+    in_class = open_rows.groupBy("known").agg(F.count("*").alias("n"))
+    in_part = join_counted(open_rows.select("rep", "size", "known"), shared_table(rooted.join(in_class, "known"), "parts"), "known", BANDS * n_classes)
+    mine = shared_table(in_part.distinct(), "members")
+    sizes = mine.groupBy("part", "known").agg(F.count("*").alias("k"), F.sum("size").alias("s")).groupBy("part").agg(
+        F.max_by(F.struct("known", "k", "s"), F.struct("k", "known")).alias("base"), F.sum("k").alias("n"), F.sum("s").alias("s")
+    )
+    sizes = sizes.select("part", F.col("base.known").alias("base"), "n", chunks_of(F.col("base.k"), F.col("base.s")).alias("base_chunks"), chunks_of(F.col("n") - F.col("base.k"), F.col("s") - F.col("base.s")).alias("rest_chunks"))
+    split = join_counted(mine, shared_table(sizes, "sizes"), "part", n_classes)
+    base = split.where("known = base").select("rep", "known", "part", each(F.col("rest_chunks")).alias("x"), chunk(F.col("base_chunks")).alias("y"), F.lit(True).alias("with_base"), F.lit(1).alias("side"))
+    rest = split.where("known <> base").withColumn("chunk", chunk(F.col("rest_chunks")))
+    rest_base = rest.select("rep", "known", "part", F.col("chunk").alias("x"), each(F.col("base_chunks")).alias("y"), F.lit(True).alias("with_base"), F.lit(0).alias("side"))
+    rest_rest = rest.withColumn("other", each(F.col("rest_chunks"))).select(
+        "rep", "known", "part", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), F.lit(False).alias("with_base"), F.when(F.col("chunk") > F.col("other"), 1).otherwise(0).alias("side"),
     )
     met = base.unionAll(rest_base).unionAll(rest_rest).join(sets, "rep")
-    return first.unionAll(met.groupBy("bucket", "with_base", "x", "y").applyInArrow(_across(percent), "a long, b long"))
+    return first.unionAll(met.groupBy("part", "with_base", "x", "y").applyInArrow(_across(percent), "a long, b long"))
 
 
 def _judge(rows: DataFrame, percent: int, group_rows: int) -> DataFrame:
@@ -209,7 +219,7 @@ def _judge(rows: DataFrame, percent: int, group_rows: int) -> DataFrame:
     known = sketches.where("doc_id is not null and digest is not null")
 
     # equal sets: one class each, named by its smallest id; what hangs on the set is the same in all its rows
-    classes = shared_table(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("band_keys").alias("band_keys"), F.count("*").alias("n")), "classes")
+    classes = shared_table(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("band_keys").alias("band_keys"), F.count("*").alias("n")), "classes")
     totals = classes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     merged = connected_components(_candidate_links(rows, classes, totals["classes"], percent, group_rows))
 

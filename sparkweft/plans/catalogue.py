@@ -621,17 +621,15 @@ def landing_plan_classes(spark, sf_dir):
 )
 def landing_plan_summary(spark, sf_dir):
     """The overall class, and how many pairs of changes must land in the order given: all that follow each other over live findings."""
-    findings = _typed_findings(Relations(spark, sf_dir)).cache()
-    plan = landing.landing_plan(findings).cache()
+    findings = _typed_findings(Relations(spark, sf_dir))
+    plan = components.cut(landing.landing_plan(findings))
     steps = landing.plan_edges(findings).where("live").select("producer", "consumer")
     place = plan.where("position is not null").select("component", "change_id", "position")
     a, b = place.withColumnsRenamed({"change_id": "producer", "position": "x"}), place.withColumnsRenamed({"change_id": "consumer", "position": "y"})
-    right = steps.join(a, "producer").join(b, ["component", "consumer"]).where("x < y").select("producer", "consumer")
-    reach = pairs = right
-    for _ in range(8):  # a cluster has at most six changes
-        reach = reach.join(right.select(F.col("producer").alias("consumer"), F.col("consumer").alias("next")), "consumer").select("producer", F.col("next").alias("consumer")).distinct()
-        pairs = pairs.union(reach)
-    return landing.plan_summary(findings, plan).crossJoin(F.broadcast(pairs.distinct().agg(F.count("*").alias("ordered_pairs")))).select("ordered_pairs", "skipped", "classification")
+    pairs = components.cut(steps.join(a, "producer").join(b, ["component", "consumer"]).where("x < y").select("producer", "consumer"))
+    for _ in range(3):  # ways of up to eight steps; a cluster has at most six changes
+        pairs = components.cut(pairs.union(pairs.join(pairs.select(F.col("producer").alias("consumer"), F.col("consumer").alias("next")), "consumer").select("producer", F.col("next").alias("consumer"))).distinct())
+    return landing.plan_summary(findings, plan).crossJoin(F.broadcast(pairs.agg(F.count("*").alias("ordered_pairs")))).select("ordered_pairs", "skipped", "classification")
 
 
 @query()

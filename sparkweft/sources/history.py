@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweft.operators.components import ensure_checkpoints
+from sparkweft.operators.components import cut
 
 
 def parse_log(lines: DataFrame, window: int = 800) -> DataFrame:
@@ -36,15 +36,14 @@ def latest_names(renames: DataFrame) -> DataFrame:
     """(path, latest): each renamed path and the newest name its renames lead to. renames are (nth, old_path, path), newest first by
     nth; of several renames of a name the oldest counts. Each round follows one rename more, and a name that was passed already
     ends the way, so there are as many rounds as one file has names."""
-    ensure_checkpoints(renames.sparkSession)
-    steps = renames.where("old_path <> path").groupBy(F.col("old_path").alias("path")).agg(F.max_by("path", F.struct("nth", "path")).alias("latest")).checkpoint()
+    steps = cut(renames.where("old_path <> path").groupBy(F.col("old_path").alias("path")).agg(F.max_by("path", F.struct("nth", "path")).alias("latest")))
     step = steps.select(F.col("path").alias("latest"), F.col("latest").alias("next"))
     now = steps.select("path", "latest", F.array("path", "latest").alias("trail"), F.lit(True).alias("moved"))
     while now.where("moved").limit(1).count():
         on = now.where("moved").join(step, "latest", "left")
         goes = F.col("next").isNotNull() & ~F.array_contains("trail", F.col("next"))
         went = on.select("path", F.when(goes, F.col("next")).otherwise(F.col("latest")).alias("latest"), F.when(goes, F.array_append("trail", F.col("next"))).otherwise(F.col("trail")).alias("trail"), F.coalesce(goes, F.lit(False)).alias("moved"))
-        now = now.where("not moved").unionByName(went).checkpoint()
+        now = cut(now.where("not moved").unionByName(went))
     return now.select("path", "latest")
 
 

@@ -61,9 +61,9 @@ def test_order_ranks_within_whole_clusters(spark):
 
 
 def test_several_clusters(spark):
-    claim = "path string, change_id string, state string, is_draft boolean, claim_id long"
+    claim = "path string, change_id string, state string, is_draft boolean, claim_id long, claimed_at long"
     rows = [("a", "PR-1", "active"), ("a", "PR-2", "waiting"), ("b", "PR-3", "active"), ("c", "PR-4", "active"), ("d", "PR-5", "active"), ("d", "PR-5", "waiting")]
-    claims = spark.createDataFrame([(p, c, s, False, i) for i, (p, c, s) in enumerate(rows)], claim)
+    claims = spark.createDataFrame([(p, c, s, False, i, i) for i, (p, c, s) in enumerate(rows)], claim)
     adjacency = spark.createDataFrame([("c", "b", "PR-4"), ("d", "x", "PR-5")], "f string, nbr string, change_id string")
     links = contention.change_links(contention.waits(claims), adjacency, claims)
     out = components.connected_components(claims.select(F.col("change_id").alias("node")), links)

@@ -121,11 +121,12 @@ def id_filter(ids: DataFrame, id_col: str = "doc_id"):
         bits *= 2
     probes = lambda c: [F.pmod(F.xxhash64(c, F.lit(s)), F.lit(bits)) for s in (11, 12, 13)]
     hit = known.select(F.explode(F.array(*probes(F.col(id_col)))).alias("bit"))
-    rows = hit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("word")).collect()  # bits / 64 rows at most
-    words = [0] * (bits // 64)
-    for r in rows:
-        words[r["at"]] = r["word"]
-    table = F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<bigint>")
+    words = hit.select(F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("word"))
+    none = ids.sparkSession.range(bits // 64).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("word"))
+    words = words.unionByName(none).groupBy("at").agg(F.bit_or("word").alias("word"))  # bits / 64 rows
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"])
+    # a subquery's value: as a literal it would stand in full in every text Spark makes of a plan
+    table = shared_table(words.agg(in_order.alias("words")), "id-filter").scalar()
 
     def passes(c: Column) -> Column:
         tests = [F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in probes(c)]

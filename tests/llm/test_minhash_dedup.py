@@ -139,3 +139,10 @@ def test_id_filter_passes_all_its_ids(spark):
     passes = id_filter(spark.range(500).selectExpr("id * 7 as doc_id"))
     hit = {r["id"] for r in spark.range(5000).where(passes(F.col("id"))).collect()}
     assert {7 * i for i in range(500)} <= hit and len(hit) < 1500
+
+
+def test_id_filter_stays_out_of_plan_texts(spark):
+    passes = id_filter(spark.range(0, 100_000, 3).withColumnRenamed("id", "doc_id"))
+    rows = spark.range(100_000).where(passes(F.col("id")))
+    assert len(rows._jdf.queryExecution().toString()) < 50_000
+    assert 33_334 <= rows.count() < 40_000

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.llm.chat_tree import prefix_trees, read_back
+from sparkweft.llm.clustering import cluster
 from sparkweft.llm.decontaminate import contaminated
 from sparkweft.llm.minhash_dedup import near_duplicates
 from sparkweft.llm.packing import pack, token_pieces
 from sparkweft.llm.quality_classifier import fit_quality, score_quality
 from sparkweft.llm.quality_rules import quality_rules
+from sparkweft.llm.resampling import resample
 from sparkweft.llm.secret_scan import ALLOWED, CLASSES, NARROW, WEIGHT, WINDOW, find_secrets, most_allowed, span_string
 from sparkweft.llm.shared import read_table
+from sparkweft.llm.sharding import MULTIPLIERS, ROUNDS, round_keys, sharded_digests
 from sparkweft.llm.toxicity import fit_toxicity, score_toxicity
 from sparkweft.llm.url_filter import filter_urls
 from sparkweft.llm.warc import round_trip
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 CAPACITY = 4096
+SHARDS, SEED = 16, 7
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -79,6 +85,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharded_digests(read_table(spark, sf_dir, "documents"), SHARDS, SEED)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2, dims=64, scale=256)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=25, min_words=20, n=2, buckets=10_000, seed=7)
+
+
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_OP1 = rf"""
@@ -172,6 +191,67 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(
 """
 
 
+def crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, byte by byte over the usual table, whose entries are CRCs of single bytes without their frame."""
+    table = [zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)]
+    step = f"xor(c >> 8, ({table}::UBIGINT[])[(xor(c & 255, y) + 1)::BIGINT])"
+    digits = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {digits}), lambda c, y: {step}), 4294967295::UBIGINT)::BIGINT"
+
+
+def _oracle_op11() -> str:
+    inner = "SELECT i, n, a, b, x % a AS h0, x // a AS h1 FROM walk WHERE x >= n OR NOT walked"
+    for r, key in enumerate(round_keys(SEED)):
+        mine, other, side = f"h{r % 2}", f"h{1 - r % 2}", "ab"[r % 2]
+        first = f"(({other} + {key}) & 4294967295) * {MULTIPLIERS[0]} & 4294967295"
+        inner = f"SELECT i, n, a, b, {other}, {mine}, xor(m, m >> 15) * {MULTIPLIERS[1]} & 4294967295 AS m FROM (SELECT *, {first} AS m FROM ({inner}))"
+        inner = f"SELECT i, n, a, b, {other}, ({mine} + xor(m, m >> 13) % {side}) % {side} AS {mine} FROM ({inner})"
+    assert ROUNDS == r + 1
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS x, (row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1)::UBIGINT AS i, count(*) OVER () AS n FROM documents),
+sides AS (SELECT n, a, ((n + a - 1) // a)::UBIGINT AS b FROM (SELECT any_value(n)::UBIGINT AS n, ceil(sqrt(any_value(n)))::UBIGINT AS a FROM t)),
+walk(i, n, a, b, x, walked) AS (SELECT i, sides.n, a, b, i, false FROM t, sides UNION ALL SELECT i, n, a, b, h0 + a * h1, true FROM ({inner}))
+SELECT doc_id, octet_length(encode(t.x))::BIGINT + 1 AS size, {crc_sql("t.x")} AS text_crc32, 'rows' AS law, (w.x % {SHARDS})::INT AS shard, (w.x // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard
+FROM t JOIN walk w ON w.i = t.i AND w.walked AND w.x < w.n
+"""
+
+
+def _oracle_op12(k: int = 40, rounds: int = 5, seed: int = 2, dims: int = 64) -> str:
+    near = lambda r: f"""d{r} AS (SELECT id, j, sum((x - c) * (x - c))::BIGINT AS d FROM v JOIN c{r} USING (i) GROUP BY ALL),
+a{r} AS (SELECT id, arg_min(j, (d, j)) AS j, min(d) AS d FROM d{r} GROUP BY id)"""
+    move = lambda r: f"""s{r} AS (SELECT a.j, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM a{r} a JOIN v USING (id) GROUP BY ALL),
+c{r + 1} AS (SELECT j, i, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{r} LEFT JOIN s{r} USING (j, i))"""
+    steps = ",\n".join(f"{near(r)},\n{move(r)}" for r in range(rounds))
+    return f"""
+WITH kept AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT id, unnest(range(1, {dims + 1})) AS i, unnest(x) AS x FROM kept),
+first AS (SELECT id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, x) - 1 AS j FROM kept),
+c0 AS (SELECT j, i, x AS c FROM first JOIN v USING (id) WHERE j < {k}),
+{steps},
+{near(rounds)},
+names AS (SELECT j, sha256(string_agg(c::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY j)
+SELECT vec_id, j::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY j)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN kept USING (id) JOIN names USING (j)
+"""
+
+
+def _oracle_op13() -> str:
+    words = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), {UPPER_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS id, 0 AS side, doc_id, {words("text")} AS w FROM documents UNION ALL SELECT 0, 1, NULL, {words("text")} FROM benchmark),
+f AS MATERIALIZED (SELECT id, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM texts),
+codes AS MATERIALIZED (SELECT f, {crc_sql("f")} % 10000 AS b FROM (SELECT DISTINCT f FROM f)),
+n AS (SELECT b, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM f JOIN codes USING (f) GROUP BY b),
+total AS (SELECT sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM n),
+gain AS (SELECT b, floor(1000 * ln(((n.t + 1) * (total.s + 10000))::DOUBLE / ((n.s + 1) * (total.t + 10000))::DOUBLE))::BIGINT AS g FROM n, total),
+sums AS (SELECT id, count(*) AS n, sum(g)::BIGINT AS s FROM f JOIN codes USING (f) JOIN gain USING (b) WHERE side = 0 GROUP BY id),
+w AS (SELECT id, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce((s - ((s % n) + n) % n) // n, 0)::BIGINT AS weight, ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM texts LEFT JOIN sums USING (id) WHERE side = 0),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w),
+ranked AS (SELECT id, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (id)
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_warc": op2_warc,
@@ -183,5 +263,10 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_chat_tree": op9_chat_tree,
     "op10_secret_scan": op10_secret_scan,
+    "op11_sharding": op11_sharding,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLES = {"op1_url_filter": ORACLE_OP1, "op2_warc": ORACLE_OP2, "op6_minhash_dedup": ORACLE_OP6, "op8_decontaminate": ORACLE_OP8, "op9_chat_tree": ORACLE_OP9, "op10_secret_scan": _oracle_op10()}
+ORACLES = {"op1_url_filter": ORACLE_OP1, "op2_warc": ORACLE_OP2, "op6_minhash_dedup": ORACLE_OP6, "op8_decontaminate": ORACLE_OP8, "op9_chat_tree": ORACLE_OP9, "op10_secret_scan": _oracle_op10()} | {
+    "op11_sharding": _oracle_op11(), "op12_centroid_clustering": _oracle_op12(), "op13_importance_resampling": _oracle_op13(),
+}

@@ -88,6 +88,27 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, how: s
     return out.select(*rows.columns, *added)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
+    """rows with name, their number from 0 in the given order, and how many there are.
+
+    One range shuffle, then each partition numbers its own rows and starts where the ones before it end; the counts of the
+    partitions are all that the driver sees. Rows that tie are split by where they came from, so that a group of any size
+    spreads over partitions. rows are read twice, the first time to sample the ranges.
+    """
+    (spread,) = free_names(rows, "spread")
+    dealt = rows.withColumn(spread, F.monotonically_increasing_id()).repartitionByRange(*order, F.col(spread)).sortWithinPartitions(*order, spread)
+    table = shared_table(dealt.drop(spread).withColumn(name, F.monotonically_increasing_id()), "numbered")
+    part, at = F.shiftright(name, 33), F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    counts = table.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()  # one row for each partition of the shuffle
+    starts, total = [], 0
+    for row in sorted(counts):
+        starts.append((row["part"], total))
+        total += row["n"]
+    by, start = free_names(table, "part", "start")
+    known = F.broadcast(rows.sparkSession.createDataFrame(starts, f"`{by}` long, `{start}` long"))
+    return table.withColumn(by, part).join(known, by).withColumn(name, at + F.col(start)).drop(by, start), total
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names like the wanted ones that no column of df has, for columns that are taken out again."""
     taken = {c.lower() for c in df.columns}

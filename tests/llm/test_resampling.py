@@ -79,10 +79,11 @@ def test_many_texts(spark):
     assert taken(got) == brute(docs, target, 25, 20, 3, 500, 11)
 
 
-def test_draw_prefers_the_target(spark):
-    docs = [(i, words(1000 + i, 60)) for i in range(300)] + [(1000 + i, " ".join(words(5, 30).split() + words(2000 + i, 30).split())) for i in range(100)]
-    rows = r.resample(frame(spark, docs, "doc_id long, text string"), frame(spark, [(words(5, 30),)], "text string")).where("rank is not null").collect()
-    assert len(rows) == 100 and sum(x["doc_id"] >= 1000 for x in rows) > 40
+def test_weights_prefer_the_target(spark):
+    docs = [(i, words(1000 + i, 60)) for i in range(300)] + [(1000 + i, " ".join(words(5, 30).split() + words(2000 + i, 30).split())) for i in range(6)]
+    rows = r.resample(frame(spark, docs, "doc_id long, text string"), frame(spark, [(words(5, 30),)] * 50, "text string")).collect()
+    near, far = ([x["weight"] for x in rows if (x["doc_id"] >= 1000) == side] for side in (True, False))
+    assert min(near) > max(far)
 
 
 def test_empty_tables(spark, none, odd):

@@ -115,9 +115,8 @@ def cross_repo_contracts(a: DataFrame, b: DataFrame) -> DataFrame:
     return links.join(bad, "contract", "left_anti").select("definer", "consumer", "contract").distinct()
 
 
-def meter(files: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, resources: DataFrame, blind_pairs: DataFrame, policy: dict | None = None, degree: int = v.HUB_DEGREE) -> DataFrame:
-    """One row: the components of the unit meter, the premium and the units."""
-    p = v.UNIT_POLICY | (policy or {})
+def meter_components(files: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, resources: DataFrame, blind: DataFrame, degree: int = v.HUB_DEGREE) -> DataFrame:
+    """One row of the unit meter's components; blind is one row, how many pairs change together without an edge."""
     known = files.select("path")
     pairs = resolved_pairs_meter(files, symbols, calls, imports)
     dirs = lambda c: F.regexp_replace(c, "(^|/)[^/]*$", "")
@@ -134,17 +133,22 @@ def meter(files: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataF
     degree = pairs.where("label = 'import'").select("path_a", "path_b").unionAll(touching).distinct().agg((2 * F.count("*")).alias("ends"))
     size = files.agg(F.count("*").alias("files"), F.sum("loc").cast("long").alias("loc"))
     one = size
-    for other in (counts, shared, hubs, degree, blind_pairs.agg(F.count("*").alias("blind"))):  # one row each
+    for other in (counts, shared, hubs, degree, blind):  # one row each
         one = one.crossJoin(F.broadcast(other))
     n = F.col("files")
-    one = one.select(
+    return one.select(
         "loc", ((F.col("shared") + F.col("both")) / n).alias("xs_intensity"), (F.col("call") / n).alias("call_density"), (F.col("xdir") / n).alias("xdir_density"),
         (F.col("ends") / n).alias("blast_mean"), (F.col("blind") / n).alias("blind_density"), (F.col("hubs") + F.col("hot")).alias("concentration"),
     )
+
+
+def meter(components: DataFrame, policy: dict | None = None) -> DataFrame:
+    """The components with the hub bucket, the premium that the policy gives them, whether that is capped, and the units."""
+    p = v.UNIT_POLICY | (policy or {})
     bucket = F.when(F.col("concentration") == 0, 0).when(F.col("concentration") <= 3, 1).when(F.col("concentration") <= 10, 2).otherwise(3)
     raw = (
         1.0 + p["a_xs"] * F.col("xs_intensity") + p["a_call"] * F.least("call_density", F.lit(p["cap_call"])) + p["a_xdir"] * F.least("xdir_density", F.lit(p["cap_xdir"]))
         + p["a_blast"] * F.least("blast_mean", F.lit(p["cap_blast"])) + p["a_hub"] * bucket + p["a_cc"] * F.least("blind_density", F.lit(p["cap_cc"]))
     )
-    out = one.withColumn("hub_bucket", bucket).withColumn("premium", F.least(raw, F.lit(p["cap_premium"]))).withColumn("premium_capped", raw > p["cap_premium"] + 1e-9)
+    out = components.withColumn("hub_bucket", bucket).withColumn("premium", F.least(raw, F.lit(p["cap_premium"]))).withColumn("premium_capped", raw > p["cap_premium"] + 1e-9)
     return out.withColumn("units", F.floor(F.col("loc") * F.col("premium"))).drop("concentration")

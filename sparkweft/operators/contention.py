@@ -109,8 +109,13 @@ LADDER = [
 
 
 def change_facts(claims: DataFrame, files: DataFrame, wait_rows: DataFrame, adjacency: DataFrame, dampened: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(change_id, and one boolean for each fact of LADDER). Each fact is aggregated by change and joined once."""
-    changes = claims.select("change_id").distinct()
+    """(change_id, and one boolean for each fact of LADDER). Each fact is aggregated by change and joined once.
+
+    any_loss holds for all changes of a repository (a column repo of claims, if there is one; a change has one) of which one touches a
+    file whose analysis lost facts.
+    """
+    repo = F.first("repo") if "repo" in claims.columns else F.lit("")
+    changes = claims.groupBy("change_id").agg(repo.alias("repo"))
     own = claims.select("change_id", "path").distinct()
     mild = F.col("low_value") | F.col("append_soft") | F.col("advisory")
     w = wait_rows.groupBy(F.col("waiter").alias("change_id")).agg(F.bool_or(~F.col("cross_draft") & ~mild).alias("hard"), F.bool_or(~F.col("cross_draft")).alias("soft"), F.bool_or("cross_draft").alias("draft"))
@@ -120,8 +125,8 @@ def change_facts(claims: DataFrame, files: DataFrame, wait_rows: DataFrame, adja
     known = own.join(files.select("path", F.lit(True).alias("here")).distinct(), "path", "left").join(doubt, "path", "left")
     facts = known.groupBy("change_id").agg(F.bool_or(F.col("here").isNull()).alias("absent"), F.bool_or(F.col("doubt").isNotNull()).alias("uncertain"), F.bool_or(F.coalesce("loss", F.lit(False))).alias("loss"))
     damp = corroborated(dampened, pairs).groupBy("change_id").agg(F.bool_or("corroborated").alias("borne_out"), F.lit(True).alias("dampened"))
-    lossy = facts.agg(F.coalesce(F.bool_or("loss"), F.lit(False)).alias("any_loss"))
-    rows = changes.join(w, "change_id", "left").join(contested, "change_id", "left").join(facts, "change_id", "left").join(damp, "change_id", "left").crossJoin(F.broadcast(lossy))  # one row
+    lossy = changes.join(facts.where("loss").select("change_id"), "change_id", "left_semi").groupBy("repo").agg(F.lit(True).alias("any_loss"))
+    rows = changes.join(w, "change_id", "left").join(contested, "change_id", "left").join(facts, "change_id", "left").join(damp, "change_id", "left").join(lossy, "repo", "left")
     return rows.select("change_id", *(F.coalesce(n, F.lit(False)).alias(n) for n, _ in LADDER))
 
 
@@ -172,15 +177,27 @@ def cluster_rollup(component: DataFrame, verdict: DataFrame, claims: DataFrame)
     return sized.join(hot, "component", "left").na.fill(0, ["hotspots"])
 
 
-def effective_verdicts(verdict: DataFrame, claims: DataFrame, files: DataFrame, dampened: DataFrame, added: DataFrame) -> DataFrame:
-    """(change_id, effective): unknown becomes clear where all its unknown paths are proven new and nothing is dampened;
-    clear becomes unknown where something dampened is not borne out."""
-    own = claims.select("change_id", "path").distinct().join(files.select("path"), "path", "left_anti")
-    new = own.join(added.select("path", F.lit(True).alias("new")), "path", "left").groupBy("change_id").agg(F.bool_and(F.coalesce("new", F.lit(False))).alias("all_new"))
-    damp = dampened.select("change_id").distinct().withColumn("dampened", F.lit(True))
-    rows = verdict.join(new, "change_id", "left").join(damp, "change_id", "left")
-    quiet = F.col("dampened").isNull()
-    effective = F.when((F.col("verdict") == "unknown") & F.coalesce("all_new", F.lit(False)) & quiet, "clear").when((F.col("verdict") == "clear") & ~quiet, "unknown").otherwise(F.col("verdict"))
+def effective_verdicts(verdict: DataFrame, claims: DataFrame, files: DataFrame, dampened: DataFrame, added: DataFrame, truncated: DataFrame | None = None) -> DataFrame:
+    """(change_id, verdict, effective) by what the paths that the graph knows say.
+
+    unknown becomes clear where there are unknown paths, all proven new (added), some path is known, nothing is dampened and the
+    change's paths are not cut short (truncated: change_id). Any other verdict becomes unknown where something dampened is not
+    borne out, and clear also where the paths are cut short. dampened has (change_id, corroborated).
+    """
+    known = files.select("path", F.lit(True).alias("known")).distinct()
+    own = claims.select("change_id", "path").distinct().join(known, "path", "left").join(added.select("path", F.lit(True).alias("new")).distinct(), "path", "left")
+    paths = own.groupBy("change_id").agg(F.bool_and(F.when(F.col("known").isNull(), F.col("new").isNotNull())).alias("all_new"), F.bool_or(F.col("known").isNotNull()).alias("some_known"))
+    damp = dampened.groupBy("change_id").agg(F.lit(True).alias("dampened"), F.bool_or(~F.col("corroborated")).alias("lone"))
+    rows = verdict.join(paths, "change_id", "left").join(damp, "change_id", "left")
+    flags = ["all_new", "some_known", "dampened", "lone"]
+    if truncated is None:
+        rows = rows.withColumn("truncated", F.lit(False))
+    else:
+        rows, flags = rows.join(truncated.select("change_id", F.lit(True).alias("truncated")).distinct(), "change_id", "left"), [*flags, "truncated"]
+    rows = rows.na.fill(False, flags)
+    proven = ~F.col("dampened") & ~F.col("truncated") & F.col("all_new") & F.col("some_known")
+    doubted = F.col("lone") | ((F.col("verdict") == "clear") & F.col("truncated"))
+    effective = F.when(F.col("verdict") == "unknown", F.when(proven, "clear").otherwise("unknown")).when(doubted, "unknown").otherwise(F.col("verdict"))
     return rows.select("change_id", "verdict", effective.alias("effective"))
 
 

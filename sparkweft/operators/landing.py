@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweft.functions import vocabulary as v
@@ -124,11 +125,16 @@ def landing_plan(findings: DataFrame) -> DataFrame:
     return rows.groupBy("component").applyInPandas(_plan, "component string, plan string, position int, change_id string, step string")
 
 
-def plan_summary(findings: DataFrame, plan: DataFrame) -> DataFrame:
-    """One row (classification, clusters, skipped): the gravest class of all; unknown where any finding could not be used."""
+def plan_summary(findings: DataFrame, plan: DataFrame, lane: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(lane, classification, clusters, skipped): the gravest class of each lane's plans; unknown where any of its findings could not be used.
+
+    lane gives the lane from a change or component; without it there is one, 0.
+    """
+    of = lane or (lambda _: F.lit(0))
     rank = F.array_position(F.array(*[F.lit(x) for x in PLAN_CLASSES]), F.col("plan"))
-    worst = plan.agg(F.countDistinct("component").alias("clusters"), F.min(rank).cast("int").alias("worst"))
-    skipped = typed(findings).agg(F.count_if(~F.col("usable")).alias("skipped"))
+    worst = plan.groupBy(of(F.col("component")).alias("lane")).agg(F.countDistinct("component").alias("clusters"), F.min(rank).cast("int").alias("worst"))
+    skipped = typed(findings).groupBy(of(F.col("producer_pr")).alias("lane")).agg(F.count_if(~F.col("usable")).alias("skipped"))
     names = F.array(*[F.lit(x) for x in PLAN_CLASSES])
+    rows = skipped.join(worst, "lane", "left").na.fill(0, ["clusters"])
     said = F.when(F.col("skipped") > 0, "unknown").otherwise(F.coalesce(F.get(names, F.col("worst") - 1), F.lit("ordered")))
-    return worst.crossJoin(F.broadcast(skipped)).select(said.alias("classification"), "clusters", "skipped")  # one row each
+    return rows.select("lane", said.alias("classification"), "clusters", "skipped")

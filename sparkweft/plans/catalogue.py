@@ -18,8 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 AS_OF = "2024-01-31 00:00:00"
-#: Importers or touchers from which a file or resource is a hub here: the test tables' files have some 22 on average.
-HUB = 30
+#: Importers or touchers from which a file or resource is a hub.
+HUB = v.HUB_DEGREE
 STOP = ", ".join(f"'{n}'" for n in v.STOP_NAMES)
 TAILS = ", ".join(f"'{n}'" for n in v.BUILTIN_TAILS)
 
@@ -202,24 +202,24 @@ def _many_symbols(r: Relations) -> DataFrame:
 @query(
     f"""WITH {MANY_SQL}, {SIZES_SQL}, rows AS (
       SELECT path, coalesce(importers, 0) AS importers, coalesce(symbols, 0) AS symbols, landings FROM churn JOIN file_node USING (path) LEFT JOIN fan USING (path) LEFT JOIN sizes USING (path) WHERE NOT generated AND landings >= 2)
-    SELECT *, CASE WHEN importers >= 25 AND symbols >= 32 THEN 'both' WHEN importers >= 25 THEN 'foundation' ELSE 'god_file' END AS basis FROM rows WHERE importers >= 25 OR symbols >= 32"""
+    SELECT *, CASE WHEN importers >= 8 AND symbols >= 6 THEN 'both' WHEN importers >= 8 THEN 'foundation' ELSE 'god_file' END AS basis FROM rows WHERE importers >= 8 OR symbols >= 6"""
 )
 def hotspots(spark, sf_dir):
     r = Relations(spark, sf_dir)
-    return graph.hotspots(r.file_node, r.import_edge, _many_symbols(r), r.event_log.where("kind = 'landed'"), fan=25, size=32, churn=2)
+    return graph.hotspots(r.file_node, r.import_edge, _many_symbols(r), r.event_log.where("kind = 'landed'"), fan=8, size=6, churn=2)
 
 
 @query(
     f"""WITH {MANY_SQL}, {SIZES_SQL}, rows AS (
       SELECT path, coalesce(collisions, 0) AS collisions, coalesce(importers, 0) AS importers, coalesce(symbols, 0) AS symbols, coalesce(landings, 0) AS landings
       FROM file_node LEFT JOIN hits USING (path) LEFT JOIN fan USING (path) LEFT JOIN sizes USING (path) LEFT JOIN churn USING (path) WHERE NOT generated),
-    flags AS (SELECT *, collisions >= 3 AS o, landings >= 2 AND (importers >= 25 OR symbols >= 32) AS s FROM rows)
-    SELECT path, collisions, importers, symbols, landings, CASE WHEN o AND s THEN 'both' WHEN o THEN 'collisions' WHEN symbols >= 32 AND importers < 25 THEN 'god_file' ELSE 'structural' END AS basis,
+    flags AS (SELECT *, collisions >= 3 AS o, landings >= 2 AND (importers >= 8 OR symbols >= 6) AS s FROM rows)
+    SELECT path, collisions, importers, symbols, landings, CASE WHEN o AND s THEN 'both' WHEN o THEN 'collisions' WHEN symbols >= 6 AND importers < 8 THEN 'god_file' ELSE 'structural' END AS basis,
       greatest(importers, symbols) * landings AS weight FROM flags WHERE o OR s"""
 )
 def split_candidates(spark, sf_dir):
     r = Relations(spark, sf_dir)
-    return graph.split_candidates(r.file_node, r.import_edge, _many_symbols(r), r.event_log.where("kind = 'landed'"), r.event_log.where("kind = 'collision_held'"), fan=25, size=32, churn=2)
+    return graph.split_candidates(r.file_node, r.import_edge, _many_symbols(r), r.event_log.where("kind = 'landed'"), r.event_log.where("kind = 'collision_held'"), fan=8, size=6, churn=2)
 
 
 @query("SELECT dst AS path, count(DISTINCT src) AS importers FROM import_edge WHERE reference_status IS NULL GROUP BY dst ORDER BY importers DESC, path LIMIT 8")
@@ -396,11 +396,16 @@ hashes AS (SELECT path, min(content_hash) AS g, max(end_line) AS last_line FROM
 claim_side AS (SELECT c.*, t.name, c.base_hash = g AS fresh, c.lo > last_line AS app FROM claim c LEFT JOIN tight t ON t.claim_id = c.claim_id AND rn = 1 LEFT JOIN hashes USING (path)),
 overlap AS (SELECT w.path, w.change_id AS waiter, h.change_id AS holder, CASE WHEN w.name = h.name THEN 'same' WHEN w.fresh AND h.fresh AND w.name IS NOT NULL AND h.name IS NOT NULL THEN 'disjoint' WHEN w.fresh AND h.fresh AND w.app AND h.app THEN 'append' ELSE 'unknown' END AS relation
   FROM claim_side w JOIN claim_side h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id)"""
-WAITS_SQL = f"""{OVERLAP_SQL}, drafts AS (SELECT change_id, bool_or(is_draft) AS draft FROM claim GROUP BY change_id),
-wait_rows AS (SELECT w.path, w.change_id AS waiter, h.change_id AS holder, w.claim_id AS waiter_claim, h.claim_id AS holder_claim, x.draft <> y.draft AS cross_draft, false AS low_value,
-  EXISTS (SELECT 1 FROM overlap o WHERE o.relation = 'append' AND o.path = w.path AND o.waiter = w.change_id AND o.holder = h.change_id) AS append_soft, false AS advisory
-  FROM claim w JOIN claim h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id JOIN drafts x ON x.change_id = w.change_id JOIN drafts y ON y.change_id = h.change_id
-  WHERE NOT EXISTS (SELECT 1 FROM overlap o WHERE o.relation = 'disjoint' AND o.path = w.path AND o.waiter = w.change_id AND o.holder = h.change_id))"""
+RELEASE = v.RELEASE_BRANCH.replace("'", "''")
+RAW_WAITS_SQL = f"""raw_waits AS (SELECT w.path, w.change_id AS waiter, h.change_id AS holder, w.claim_id AS waiter_claim, h.claim_id AS holder_claim, h.change_id LIKE 'BR-%' AND NOT regexp_matches(lower(substr(h.change_id, 4)), '{RELEASE}') AS advisory
+    FROM claim w JOIN claim h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id
+  UNION ALL SELECT w.path, w.change_id, f.holder, w.claim_id, f.holder_claim, false
+    FROM claim w JOIN (SELECT path, arg_min(change_id, (claimed_at, change_id)) AS holder, arg_min(claim_id, (claimed_at, change_id)) AS holder_claim FROM claim WHERE change_id LIKE 'PR-%' GROUP BY path) f USING (path)
+    WHERE w.state = 'waiting' AND w.change_id LIKE 'PR-%' AND w.change_id <> f.holder AND w.path IN (SELECT path FROM claim WHERE state = 'active' AND change_id LIKE 'BR-%' AND NOT regexp_matches(lower(substr(change_id, 4)), '{RELEASE}')))"""
+WAITS_SQL = f"""{OVERLAP_SQL}, {RAW_WAITS_SQL}, drafts AS (SELECT change_id, bool_or(is_draft) AS draft FROM claim GROUP BY change_id),
+known_overlap AS (SELECT path, waiter, holder, bool_or(relation = 'disjoint') AS apart, bool_or(relation = 'same') AS same, bool_or(relation = 'append') AS appends FROM (SELECT * FROM overlap UNION ALL SELECT path, holder, waiter, relation FROM overlap) GROUP BY path, waiter, holder),
+wait_rows AS (SELECT w.path, w.waiter, w.holder, w.waiter_claim, w.holder_claim, x.draft <> y.draft AS cross_draft, regexp_matches(lower(w.path), '\\.(lock|snap|min\\.js)$') AND NOT coalesce(o.same, false) AS low_value, coalesce(o.appends, false) AS append_soft, w.advisory
+  FROM raw_waits w JOIN drafts x ON x.change_id = w.waiter JOIN drafts y ON y.change_id = w.holder LEFT JOIN known_overlap o ON o.path = w.path AND o.waiter = w.waiter AND o.holder = w.holder WHERE NOT coalesce(o.apart, false))"""
 
 
 def _waits(r: Relations) -> DataFrame:
@@ -434,7 +439,7 @@ def symbol_overlap_relation(spark, sf_dir):
 
 
 LINKS_SQL = """active_by_path AS (SELECT DISTINCT path AS nbr, change_id AS b FROM claim WHERE state = 'active'),
-direct AS (SELECT DISTINCT w.change_id AS a, h.change_id AS b FROM claim w JOIN claim h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id),
+direct AS (SELECT DISTINCT waiter AS a, holder AS b FROM raw_waits),
 pair_links AS (SELECT DISTINCT change_id AS a, b FROM adjacent JOIN active_by_path USING (nbr) WHERE change_id <> b UNION SELECT a, b FROM direct)"""
 
 
@@ -444,7 +449,7 @@ def _links(r: Relations) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {ADJ_SQL}, {LINKS_SQL}, sides AS (SELECT a, b FROM pair_links UNION SELECT b, a FROM pair_links), nodes AS (SELECT DISTINCT change_id AS node FROM claim),
+    f"""WITH RECURSIVE {ADJ_SQL}, {RAW_WAITS_SQL}, {LINKS_SQL}, sides AS (SELECT a, b FROM pair_links UNION SELECT b, a FROM pair_links), nodes AS (SELECT DISTINCT change_id AS node FROM claim),
     reach(x, y) AS (SELECT node, node FROM nodes UNION SELECT r.x, s.b FROM reach r JOIN sides s ON s.a = r.y) SELECT x AS node, min(y) AS component FROM reach GROUP BY x"""
 )
 def inflight_components(spark, sf_dir):
@@ -452,11 +457,11 @@ def inflight_components(spark, sf_dir):
     return components.connected_components(r.claim.select(F.col("change_id").alias("node")).distinct(), _links(r))
 
 
-DEPS_SQL = "all_waits AS (SELECT w.change_id AS waiter, h.change_id AS holder FROM claim w JOIN claim h ON w.path = h.path AND w.state = 'waiting' AND h.state = 'active' AND w.change_id <> h.change_id), deps AS (SELECT DISTINCT waiter AS node, holder AS needs FROM all_waits WHERE length(waiter) > length(holder) OR (length(waiter) = length(holder) AND waiter > holder)), nodes AS (SELECT DISTINCT change_id AS node FROM claim)"
+DEPS_SQL = "deps AS (SELECT DISTINCT waiter AS node, holder AS needs FROM raw_waits WHERE length(waiter) > length(holder) OR (length(waiter) = length(holder) AND waiter > holder)), nodes AS (SELECT DISTINCT change_id AS node FROM claim)"
 
 
 @query(
-    f"""WITH RECURSIVE {DEPS_SQL}, walk(node, needs, d) AS (SELECT node, node, 0 FROM nodes UNION SELECT w.node, p.needs, w.d + 1 FROM walk w JOIN deps p ON p.node = w.needs WHERE w.d < 64)
+    f"""WITH RECURSIVE {RAW_WAITS_SQL}, {DEPS_SQL}, walk(node, needs, d) AS (SELECT node, node, 0 FROM nodes UNION SELECT w.node, p.needs, w.d + 1 FROM walk w JOIN deps p ON p.node = w.needs WHERE w.d < 64)
     SELECT node, max(d) AS depth FROM walk GROUP BY node"""
 )
 def landing_depth(spark, sf_dir):
@@ -472,7 +477,7 @@ def _deps(claims: DataFrame) -> DataFrame:
 
 
 VERDICT_SQL = f"""{ADJ_SQL}, {WAITS_SQL}, {DAMP_SQL}, {BASKET_SQL}, {EDGES_SQL},
-changes AS (SELECT DISTINCT change_id FROM claim), own AS (SELECT DISTINCT change_id, path FROM claim),
+changes AS (SELECT change_id, any_value(repo) AS repo FROM claim GROUP BY change_id), own AS (SELECT DISTINCT change_id, path FROM claim),
 w AS (SELECT waiter AS change_id, bool_or(NOT cross_draft AND NOT low_value AND NOT append_soft AND NOT advisory) AS hard, bool_or(NOT cross_draft) AS soft, bool_or(cross_draft) AS draft FROM wait_rows GROUP BY waiter),
 con AS (SELECT DISTINCT a.change_id, true AS contested FROM adjacent a JOIN claim c ON c.path = a.nbr AND c.state = 'active' AND c.change_id <> a.change_id),
 doubt AS (SELECT path, analysis_status IN ('failed', 'incomplete') AS loss FROM file_node WHERE analysis_status IS NOT NULL UNION SELECT src, false FROM edges WHERE reference_status IN ('ambiguous', 'unresolved')
@@ -480,10 +485,10 @@ doubt AS (SELECT path, analysis_status IN ('failed', 'incomplete') AS loss FROM
 doubts AS (SELECT path, bool_or(loss) AS loss FROM doubt GROUP BY path),
 facts AS (SELECT change_id, bool_or(f.path IS NULL) AS absent, bool_or(d.path IS NOT NULL) AS uncertain, coalesce(bool_or(d.loss), false) AS loss FROM own LEFT JOIN file_node f USING (path) LEFT JOIN doubts d USING (path) GROUP BY change_id),
 d AS (SELECT change_id, true AS dampened, bool_or(EXISTS (SELECT 1 FROM scored s WHERE s.path_a = least(f, nbr) AND s.path_b = greatest(f, nbr) AND s.co >= 3 AND s.lift >= 2)) AS borne_out FROM damp GROUP BY change_id),
-loss AS (SELECT bool_or(loss) AS any_loss FROM facts),
+loss AS (SELECT repo, bool_or(loss) AS any_loss FROM facts JOIN changes USING (change_id) GROUP BY repo),
 ladder AS (SELECT change_id, CASE WHEN hard THEN 1 WHEN soft THEN 2 WHEN draft THEN 3 WHEN contested THEN 4 WHEN absent THEN 5 WHEN borne_out THEN 6 WHEN any_loss THEN 7 WHEN uncertain THEN 8 WHEN dampened THEN 9 ELSE 10 END AS step,
     coalesce(any_loss, false) AND NOT (coalesce(soft, false) OR coalesce(draft, false) OR contested IS NOT NULL OR absent OR coalesce(borne_out, false) OR uncertain OR dampened IS NOT NULL) AS promoted
-  FROM changes LEFT JOIN w USING (change_id) LEFT JOIN con USING (change_id) LEFT JOIN facts USING (change_id) LEFT JOIN d USING (change_id), loss),
+  FROM changes LEFT JOIN w USING (change_id) LEFT JOIN con USING (change_id) LEFT JOIN facts USING (change_id) LEFT JOIN d USING (change_id) JOIN loss USING (repo)),
 judged AS (SELECT change_id, step, promoted, (['serialize', 'serialize_soft', 'warn', 'warn', 'unknown', 'warn', 'unknown', 'unknown', 'unknown', 'clear'])[step] AS verdict FROM ladder)"""
 
 
@@ -532,18 +537,23 @@ def cluster_rollup(spark, sf_dir):
 
 
 @query(
-    f"""WITH {VERDICT_SQL}, added AS (SELECT DISTINCT path FROM claim WHERE claim_id % 2 = 0), gone AS (SELECT change_id, bool_and(path IN (SELECT path FROM added)) AS all_new FROM own WHERE path NOT IN (SELECT path FROM file_node) GROUP BY change_id)
-    SELECT change_id, verdict, CASE WHEN verdict = 'unknown' AND coalesce(all_new, false) AND dampened IS NULL THEN 'clear' WHEN verdict = 'clear' AND dampened IS NOT NULL THEN 'unknown' ELSE verdict END AS effective
-    FROM judged LEFT JOIN gone USING (change_id) LEFT JOIN d USING (change_id)"""
+    f"""WITH {VERDICT_SQL}, added AS (SELECT DISTINCT path FROM claim WHERE claim_id % 2 = 0), cut_short AS (SELECT DISTINCT change_id, true AS truncated FROM claim WHERE claim_id % 13 = 0),
+    seen AS (SELECT change_id, bool_and(path IN (SELECT path FROM added)) FILTER (WHERE f.path IS NULL) AS all_new, bool_or(f.path IS NOT NULL) AS some_known FROM own LEFT JOIN (SELECT path FROM file_node) f USING (path) GROUP BY change_id),
+    lone AS (SELECT change_id, true AS lone FROM damp WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.path_a = least(f, nbr) AND s.path_b = greatest(f, nbr) AND s.co >= 3 AND s.lift >= 2) GROUP BY change_id)
+    SELECT change_id, verdict, CASE WHEN verdict <> 'unknown' THEN CASE WHEN lone OR (verdict = 'clear' AND truncated) THEN 'unknown' ELSE verdict END
+      WHEN dampened IS NULL AND truncated IS NULL AND all_new AND some_known THEN 'clear' ELSE 'unknown' END AS effective
+    FROM judged LEFT JOIN seen USING (change_id) LEFT JOIN d USING (change_id) LEFT JOIN lone USING (change_id) LEFT JOIN cut_short USING (change_id)"""
 )
 def effective_verdicts(spark, sf_dir):
     r = Relations(spark, sf_dir)
     added = r.claim.where("claim_id % 2 = 0").select("path").distinct()
-    return contention.effective_verdicts(contention.verdicts(_facts(r)), r.claim, r.file_node, _dampened(r), added)
+    truncated = r.claim.where("claim_id % 13 = 0").select("change_id").distinct()
+    damp = contention.corroborated(_dampened(r), _pairs(r, 3, 2.0))
+    return contention.effective_verdicts(contention.verdicts(_facts(r)), r.claim, r.file_node, damp, added, truncated)
 
 
 @query(
-    f"""WITH RECURSIVE {ADJ_SQL}, {LINKS_SQL}, {DEPS_SQL}, sides AS (SELECT a, b FROM pair_links UNION SELECT b, a FROM pair_links),
+    f"""WITH RECURSIVE {ADJ_SQL}, {RAW_WAITS_SQL}, {LINKS_SQL}, {DEPS_SQL}, sides AS (SELECT a, b FROM pair_links UNION SELECT b, a FROM pair_links),
     reach(x, y) AS (SELECT node, node FROM nodes UNION SELECT r.x, s.b FROM reach r JOIN sides s ON s.a = r.y), member AS (SELECT x AS node, min(y) AS component FROM reach GROUP BY x),
     walk(node, needs, d) AS (SELECT node, node, 0 FROM nodes UNION SELECT w.node, p.needs, w.d + 1 FROM walk w JOIN deps p ON p.node = w.needs WHERE w.d < 64), depth AS (SELECT node, max(d) AS depth FROM walk GROUP BY node),
     impact AS (SELECT change_id, count(DISTINCT nbr) AS impact FROM adjacent WHERE dir IN ('down', 'shared') GROUP BY change_id)
@@ -574,8 +584,8 @@ def _findings(r: Relations) -> DataFrame:
 
 
 #: Findings in small clusters of six changes for each landing, of all classes by the landing's number.
-PLANS_SQL = """typed AS (SELECT 'L' || (event_id // 12) || '-' || (event_id % 5) AS producer_pr, 'L' || (event_id // 12) || '-' || ((event_id + 1 + event_id // 12 % 3) % 5 + CASE WHEN event_id // 12 % 4 = 0 AND event_id % 5 >= 3 THEN 5 ELSE 0 END) AS consumer_pr,
-  CASE WHEN event_id % 7 = 0 THEN 'consumer_call_mismatch' ELSE 'required_arg_added' END AS rule_id, CASE WHEN event_id % 9 = 0 AND event_id // 12 % 5 = 0 THEN 'unknown' WHEN event_id % 2 = 0 THEN 'risky' ELSE 'breaking' END AS compat_result,
+PLANS_SQL = """typed AS (SELECT 'L' || (event_id // 12) || '-' || (event_id % 5) AS producer_pr, 'L' || (event_id // 12) || '-' || ((event_id + CASE WHEN event_id // 12 % 7 = 3 THEN 1 + event_id % 2 * 3 ELSE 1 + event_id // 12 % 3 END) % 5 + CASE WHEN event_id // 12 % 4 = 0 AND event_id % 5 >= 3 THEN 5 ELSE 0 END) AS consumer_pr,
+  CASE WHEN event_id % 7 = 0 THEN 'consumer_call_mismatch' ELSE 'required_arg_added' END AS rule_id, CASE WHEN event_id // 12 % 7 = 3 THEN 'breaking' WHEN event_id % 9 = 0 AND event_id // 12 % 5 = 0 THEN 'unknown' WHEN event_id % 2 = 0 THEN 'risky' ELSE 'breaking' END AS compat_result,
   CASE WHEN event_id % 11 = 0 AND event_id // 12 % 2 = 0 THEN 'rebase_needed' END AS evidence_class, CASE WHEN event_id % 7 = 0 THEN 'arity' END AS reason_detail FROM event_log)"""
 PLAN_SQL = f"""{PLANS_SQL}, marked AS (SELECT *, coalesce(evidence_class, CASE WHEN rule_id = 'consumer_call_mismatch' THEN rule_id END, '') AS e FROM typed WHERE producer_pr <> consumer_pr),
 flagged AS (SELECT producer_pr AS p, consumer_pr AS c, compat_result = 'unknown' OR (e = 'consumer_call_mismatch' AND reason_detail IS NULL) AS unknown, e = 'rebase_needed' AS rebase, e = 'consumer_call_mismatch' AND compat_result = 'breaking' AND reason_detail IS NOT NULL AS revise, compat_result FROM marked),
@@ -614,13 +624,21 @@ def landing_plan_classes(spark, sf_dir):
     return plan.groupBy("component", "plan").agg(F.count("*").alias("changes"))
 
 
+def _lane(change):
+    """The lane a change lands in, of 35."""
+    return F.regexp_extract(change, "^L([0-9]+)", 1).cast("long") % 35
+
+
 @query(
-    f"""WITH RECURSIVE {PLAN_SQL}, orders AS (SELECT down.x, down.y, component FROM down JOIN part USING (x) JOIN classes USING (component) WHERE plan IN ('ordered', 'ordered_with_revision'))
-    SELECT (SELECT count(*) FROM orders) AS ordered_pairs, (SELECT count(*) FROM typed WHERE producer_pr = consumer_pr) AS skipped,
-      CASE WHEN (SELECT count(*) FROM typed WHERE producer_pr = consumer_pr) > 0 THEN 'unknown' ELSE (['unknown', 'mutual', 'cycle', 'rebase', 'ordered_with_revision', 'ordered'])[(SELECT min(list_position(['unknown', 'mutual', 'cycle', 'rebase', 'ordered_with_revision', 'ordered'], plan)) FROM classes)] END AS classification"""
+    f"""WITH RECURSIVE {PLAN_SQL}, orders AS (SELECT down.x, down.y, component FROM down JOIN part USING (x) JOIN classes USING (component) WHERE plan IN ('ordered', 'ordered_with_revision')),
+    lane_plans AS (SELECT regexp_extract(component, '^L([0-9]+)', 1)::BIGINT % 35 AS lane, count(*) AS clusters, min(list_position(['unknown', 'mutual', 'cycle', 'rebase', 'ordered_with_revision', 'ordered'], plan)) AS worst FROM classes GROUP BY 1),
+    lane_pairs AS (SELECT regexp_extract(component, '^L([0-9]+)', 1)::BIGINT % 35 AS lane, count(*) AS ordered_pairs FROM orders GROUP BY 1),
+    lane_skips AS (SELECT regexp_extract(producer_pr, '^L([0-9]+)', 1)::BIGINT % 35 AS lane, count(*) FILTER (WHERE producer_pr = consumer_pr) AS skipped FROM typed GROUP BY 1)
+    SELECT lane, clusters, coalesce(ordered_pairs, 0) AS ordered_pairs, skipped, CASE WHEN skipped > 0 THEN 'unknown' ELSE (['unknown', 'mutual', 'cycle', 'rebase', 'ordered_with_revision', 'ordered'])[worst] END AS classification
+    FROM lane_plans LEFT JOIN lane_pairs USING (lane) JOIN lane_skips USING (lane)"""
 )
 def landing_plan_summary(spark, sf_dir):
-    """The overall class, and how many pairs of changes must land in the order given: all that follow each other over live findings."""
+    """Each lane's class, and how many pairs of changes must land in the order given: all that follow each other over live findings."""
     findings = _typed_findings(Relations(spark, sf_dir))
     plan = components.cut(landing.landing_plan(findings))
     steps = landing.plan_edges(findings).where("live").select("producer", "consumer")
@@ -629,7 +647,8 @@ def landing_plan_summary(spark, sf_dir):
     pairs = components.cut(steps.join(a, "producer").join(b, ["component", "consumer"]).where("x < y").select("producer", "consumer"))
     for _ in range(3):  # ways of up to eight steps; a cluster has at most six changes
         pairs = components.cut(pairs.union(pairs.join(pairs.select(F.col("producer").alias("consumer"), F.col("consumer").alias("next")), "consumer").select("producer", F.col("next").alias("consumer"))).distinct())
-    return landing.plan_summary(findings, plan).crossJoin(F.broadcast(pairs.agg(F.count("*").alias("ordered_pairs")))).select("ordered_pairs", "skipped", "classification")
+    counted = pairs.groupBy(_lane(F.col("producer")).alias("lane")).agg(F.count("*").alias("ordered_pairs"))
+    return landing.plan_summary(findings, plan, _lane).join(counted, "lane", "left").na.fill(0, ["ordered_pairs"]).select("lane", "clusters", "ordered_pairs", "skipped", "classification")
 
 
 @query()
@@ -731,18 +750,18 @@ def file_insights(spark, sf_dir):
     return surfaces.file_insights(Relations(spark, sf_dir).event_log)
 
 
-@query("SELECT path, count(DISTINCT change_id) AS changes FROM claim WHERE claimed_at <= TIMESTAMP '2024-01-15 00:00:00' AND claimed_at + INTERVAL 14400 MINUTE > TIMESTAMP '2024-01-15 00:00:00' GROUP BY path HAVING count(DISTINCT change_id) >= 2")
+@query("SELECT path, count(DISTINCT change_id) AS changes FROM claim_history WHERE claimed_at <= TIMESTAMP '2024-01-15 00:00:00' AND claimed_at + INTERVAL 14400 MINUTE > TIMESTAMP '2024-01-15 00:00:00' GROUP BY path HAVING count(DISTINCT change_id) >= 2")
 def now_contended(spark, sf_dir):
-    return surfaces.now_contended(Relations(spark, sf_dir).claim, "2024-01-15 00:00:00", 14400)
+    return surfaces.now_contended(Relations(spark, sf_dir).claim_history, "2024-01-15 00:00:00", 14400)
 
 
 @query(
-    """WITH c AS (SELECT *, claimed_at + INTERVAL 14400 MINUTE > TIMESTAMP '2024-01-25 00:00:00' AS live FROM claim WHERE claimed_at <= TIMESTAMP '2024-01-25 00:00:00')
+    """WITH c AS (SELECT *, claimed_at + INTERVAL 5760 MINUTE > TIMESTAMP '2024-01-30 00:00:00' AS live FROM claim WHERE claimed_at <= TIMESTAMP '2024-01-30 00:00:00')
     SELECT path, change_id, 'abandoned' AS why FROM c WHERE state = 'active' AND NOT live AND path NOT IN (SELECT path FROM c WHERE state = 'active' AND live)
-    UNION ALL SELECT path, change_id, 'starved' FROM c WHERE state = 'waiting' AND claimed_at < TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 60 MINUTE"""
+    UNION ALL SELECT path, change_id, 'starved' FROM c WHERE state = 'waiting' AND claimed_at < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 60 MINUTE"""
 )
 def stalled_work(spark, sf_dir):
-    return surfaces.stalled_work(Relations(spark, sf_dir).claim, "2024-01-25 00:00:00", 14400)
+    return surfaces.stalled_work(Relations(spark, sf_dir).claim, "2024-01-30 00:00:00", 5760)
 
 
 @query(
@@ -784,10 +803,10 @@ def first_predictions(spark, sf_dir):
     return surfaces.first_predictions(Relations(spark, sf_dir).event_log)
 
 
-@query(f"SELECT count(DISTINCT agent) AS seats FROM (SELECT agent FROM event_log WHERE {WITHIN.format(5)} UNION SELECT agent FROM claim WHERE {WITHIN.format(5).replace('occurred_at', 'claimed_at')}) WHERE agent NOT LIKE '%[bot]'")
+@query(f"SELECT count(DISTINCT agent) AS seats FROM (SELECT agent FROM event_log WHERE {WITHIN.format(5)} UNION SELECT agent FROM claim_history WHERE {WITHIN.format(5).replace('occurred_at', 'claimed_at')}) WHERE agent NOT LIKE '%[bot]'")
 def seat_count(spark, sf_dir):
     r = Relations(spark, sf_dir)
-    return surfaces.seat_count(r.event_log, r.claim, AS_OF, 5)
+    return surfaces.seat_count(r.event_log, r.claim_history, AS_OF, 5)
 
 
 @query("SELECT account, count(*) AS events, count(DISTINCT path) AS paths, count(*) * 100.0::DOUBLE / 1500 AS share, count(*) > 1500 AS over FROM event_log GROUP BY account")
@@ -796,12 +815,14 @@ def account_cost(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT account, count(DISTINCT path) AS files FROM event_log GROUP BY account), l(account, file_limit) AS (VALUES ('acct0', 10), ('acct1', 700), ('acct2', 100000), ('acct3', NULL))
+    """WITH f AS (SELECT account, count(DISTINCT path) AS files FROM event_log GROUP BY account), l AS (SELECT account, CASE account WHEN 'acct0' THEN 10 WHEN 'acct1' THEN count(*) * 3 // 4 WHEN 'acct2' THEN count(*) * 3 END AS file_limit FROM event_log WHERE account <> 'acct5' GROUP BY account)
     SELECT account, files, file_limit, greatest(coalesce(files - file_limit, 0), 0) AS over_by, coalesce(files * 5 >= file_limit * 4 AND files <= file_limit, false) AS near FROM f LEFT JOIN l USING (account)"""
 )
 def account_coverage(spark, sf_dir):
-    limits = spark.sql("SELECT * FROM VALUES ('acct0', 10), ('acct1', 700), ('acct2', 100000), ('acct3', NULL) AS t(account, file_limit)")
-    return surfaces.coverage(Relations(spark, sf_dir).event_log, limits)
+    log = Relations(spark, sf_dir).event_log
+    n = F.count("*")
+    limit = F.when(F.col("account") == "acct0", 10).when(F.col("account") == "acct1", F.floor(n * 3 / 4)).when(F.col("account") == "acct2", n * 3)
+    return surfaces.coverage(log, log.where("account <> 'acct5'").groupBy("account").agg(limit.cast("long").alias("file_limit")))
 
 
 @query(
@@ -877,7 +898,7 @@ def route_specific(spark, sf_dir):
     return rows.select("page_id", "route", routes.is_specific(F.col("route")).alias("specific"))
 
 
-SIDES_SQL = """defined AS (SELECT DISTINCT 'api/s' || (p_partkey % 40) || '.py' AS path, '/api/' || split_part(p_name, ' ', 1) || '/{}/' || split_part(p_name, ' ', 2) AS route FROM part WHERE p_partkey % 2 = 0),
+SIDES_SQL = """defined AS (SELECT DISTINCT 'api/' || CASE WHEN length(split_part(p_name, ' ', 1)) % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE 's' || (p_partkey % 40) END || '.py' AS path, '/api/' || split_part(p_name, ' ', 1) || '/{}/' || split_part(p_name, ' ', 2) AS route FROM part WHERE p_partkey % 2 = 0),
 requested AS (SELECT DISTINCT 'web/c' || (p_partkey % 50) || '.ts' AS path, CASE p_partkey % 3 WHEN 0 THEN '/' ELSE '/v2/api/' END || split_part(p_name, ' ', 1) || '/' || (p_partkey % 9) || '/' || split_part(p_name, ' ', 2) AS route FROM part WHERE p_partkey % 2 = 1)"""
 ALIGN_SQL = """len(a) = len(b) AND len(list_filter(list_zip(a, b), lambda z: NOT (z[1] = z[2] OR z[1] = '{}' OR z[2] = '{}'))) = 0 AND len(list_filter(list_zip(a, b), lambda z: z[1] = z[2] AND z[1] <> '{}')) > 0"""
 MATCH_SQL = f"""{SIDES_SQL}, sides2 AS (SELECT d.path AS definer, q.path AS requester, d.route, q.route AS url, list_filter(string_split(d.route, '/'), lambda s: s <> '') AS ds, list_filter(string_split(q.route, '/'), lambda s: s <> '') AS qs FROM defined d CROSS JOIN requested q),
@@ -889,7 +910,7 @@ def _route_sides(r: Relations) -> tuple[DataFrame, DataFrame]:
     part = r.table("part")
     word = lambda i: F.get(F.split("p_name", " "), F.lit(i))
     k = F.col("p_partkey")
-    defined = part.where("p_partkey % 2 = 0").select(F.concat(F.lit("api/s"), k % 40, F.lit(".py")).alias("path"), F.concat(F.lit("/api/"), word(0), F.lit("/{}/"), word(1)).alias("route")).distinct()
+    defined = part.where("p_partkey % 2 = 0").select(F.concat(F.lit("api/"), F.when(F.length(word(0)) % 2 == 0, word(0)).otherwise(F.concat(F.lit("s"), k % 40)), F.lit(".py")).alias("path"), F.concat(F.lit("/api/"), word(0), F.lit("/{}/"), word(1)).alias("route")).distinct()
     start = F.when(k % 3 == 0, "/").otherwise("/v2/api/")
     asked = part.where("p_partkey % 2 = 1").select(F.concat(F.lit("web/c"), k % 50, F.lit(".ts")).alias("path"), F.concat(start, word(0), F.lit("/"), k % 9, F.lit("/"), word(1)).alias("route")).distinct()
     return defined, asked
@@ -917,23 +938,23 @@ def route_suffix_keys(spark, sf_dir):
 
 
 IMPORTS_SQL = f"""files AS (SELECT path, language AS family FROM file_node),
-asked AS (SELECT src, CASE WHEN n % 4 = 0 THEN './' || regexp_replace(regexp_replace(dst, '^.*/', ''), '\\.[a-z]+$', '') WHEN n % 4 = 1 THEN replace(regexp_replace(dst, '\\.[a-z]+$', ''), '/', '.') WHEN n % 4 = 2 THEN '@/' || dst ELSE 'lib' || n END AS module, language AS family
+asked AS (SELECT src, CASE WHEN n % 4 = 0 THEN './' || regexp_replace(regexp_replace(dst, '^.*/', ''), '\\.[a-z]+$', '') WHEN n % 8 = 1 THEN regexp_replace(regexp_replace(dst, '^.*/', ''), '\\.[a-z]+$', '') WHEN n % 4 = 1 THEN replace(regexp_replace(dst, '\\.[a-z]+$', ''), '/', '.') WHEN n % 4 = 2 THEN '@/' || dst ELSE 'lib' || n END AS module, language AS family
   FROM (SELECT src, dst, length(src) + length(dst) * 3 AS n FROM import_edge) e JOIN file_node ON path = src)"""
 
 
 def _asked(r: Relations) -> DataFrame:
     n = F.length("src") + F.length("dst") * 3
     stem = F.regexp_replace("dst", r"\.[a-z]+$", "")
-    module = F.when(n % 4 == 0, F.concat(F.lit("./"), F.regexp_replace(stem, "^.*/", ""))).when(n % 4 == 1, F.translate(stem, "/", ".")).when(n % 4 == 2, F.concat(F.lit("@/"), F.col("dst"))).otherwise(F.concat(F.lit("lib"), n))
+    module = F.when(n % 4 == 0, F.concat(F.lit("./"), F.regexp_replace(stem, "^.*/", ""))).when(n % 8 == 1, F.regexp_replace(stem, "^.*/", "")).when(n % 4 == 1, F.translate(stem, "/", ".")).when(n % 4 == 2, F.concat(F.lit("@/"), F.col("dst"))).otherwise(F.concat(F.lit("lib"), n))
     return r.import_edge.join(r.file_node, F.col("src") == F.col("path")).select("src", module.alias("module"), F.col("language").alias("family"))
 
 
 @query(
     rf"""WITH {IMPORTS_SQL}, q AS (SELECT DISTINCT src, module, family, module LIKE './%' AS rel, module LIKE '@/%' AS loc FROM asked),
     t AS (SELECT *, CASE WHEN rel THEN regexp_replace(src, '/[^/]*$', '') || substr(module, 2) WHEN loc THEN substr(module, 3) ELSE replace(module, '.', '/') END AS target FROM q),
-    cand AS (SELECT t.*, f.path, 0 AS rank FROM t JOIN files f ON f.path = t.target WHERE rel OR loc
-      UNION SELECT t.*, f.path, 0 FROM t JOIN files f ON f.path = t.target
-      UNION SELECT t.*, f.path, 1 FROM t JOIN files f ON f.family = t.family AND CASE WHEN rel THEN regexp_replace(f.path, '\.[a-z]+$', '') = target ELSE ('/' || regexp_replace(f.path, '\.[a-z]+$', '')) LIKE '%/' || regexp_replace(target, '\.[a-z]+$', '') END),
+    endings AS (SELECT path, family, unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '/'))) AS ending, unnest(range(1, len(p) + 1)) AS i FROM (SELECT path, family, string_split(regexp_replace(path, '\.[a-z]+$', ''), '/') AS p FROM files)),
+    cand AS (SELECT t.*, f.path, 0 AS rank FROM t JOIN files f ON f.path = t.target
+      UNION SELECT t.*, f.path, 1 FROM t JOIN endings f ON f.family = t.family AND ending = CASE WHEN rel THEN target ELSE regexp_replace(target, '\.[a-z]+$', '') END WHERE NOT rel OR i = 1),
     c AS (SELECT * FROM cand WHERE path <> src), best AS (SELECT src, module, min(rank) AS r, bool_and(path LIKE 'tests/%') AS tt FROM c GROUP BY ALL),
     kept AS (SELECT DISTINCT c.src, c.module, c.path FROM c JOIN best b ON b.src = c.src AND b.module = c.module AND c.rank = b.r AND (c.path LIKE 'tests/%') = b.tt),
     n AS (SELECT src, module, count(*) AS n FROM kept GROUP BY ALL)
@@ -947,7 +968,7 @@ def import_suffix_resolve(spark, sf_dir):
 
 
 @query(
-    rf"""WITH f AS (SELECT language AS family, 'p' || floor(sqrt(regexp_extract(path, '/p(\d+)\.', 1)::BIGINT))::BIGINT AS stem FROM file_node)
+    rf"""WITH f AS (SELECT DISTINCT language AS family, regexp_extract(path, '/p(\d+)\.', 1)::BIGINT AS k, 'p' || floor(sqrt(regexp_extract(path, '/p(\d+)\.', 1)::BIGINT))::BIGINT AS stem FROM file_node)
     SELECT family, stem, count(*) AS n, CASE WHEN count(*) > {v.MAX_BARE_FANOUT} THEN 'raw' WHEN count(*) > 1 THEN 'ambiguous' ELSE 'resolved' END AS fate FROM f GROUP BY ALL"""
 )
 def bare_fanout_cap(spark, sf_dir):
@@ -955,7 +976,7 @@ def bare_fanout_cap(spark, sf_dir):
     r = Relations(spark, sf_dir)
     key = F.regexp_extract("path", r"/p(\d+)\.", 1).cast("long")
     stem = F.concat(F.lit("p"), F.floor(F.sqrt("k")))
-    rows = r.file_node.select(F.col("language").alias("family"), key.alias("k")).select("family", stem.alias("stem"), F.concat(F.lit("src/m"), "k", F.lit("/"), stem, F.lit(".py")).alias("path"))
+    rows = r.file_node.select(F.col("language").alias("family"), key.alias("k")).distinct().select("family", stem.alias("stem"), F.concat(F.lit("src/m"), "k", F.lit("/"), stem, F.lit(".py")).alias("path"))
     n = rows.groupBy("family", "stem").agg(F.count("*").alias("n"))
     asked = n.select(F.concat(F.lit("main/"), "family").alias("src"), F.col("stem").alias("module"), "family")
     raw = F.bool_or(F.col("dst") == F.col("module"))
@@ -1015,12 +1036,15 @@ def role_feature_pairs(spark, sf_dir):
       (SELECT count(*) FROM scored s WHERE co >= 2 AND lift >= 2 AND NOT EXISTS (SELECT 1 FROM prs p WHERE p.path_a = s.path_a AND p.path_b = s.path_b)) AS blind),
     m AS (SELECT loc, xs / n AS xs_intensity, calls / n AS call_density, xdir / n AS xdir_density, ends / n AS blast_mean, blind / n AS blind_density, CASE WHEN conc = 0 THEN 0 WHEN conc <= 3 THEN 1 WHEN conc <= 10 THEN 2 ELSE 3 END AS hub_bucket FROM one),
     p AS (SELECT *, 1.0::DOUBLE + 2.0::DOUBLE * xs_intensity + 0.35::DOUBLE * least(call_density, 3.0::DOUBLE) + 0.3::DOUBLE * least(xdir_density, 3.0::DOUBLE) + 0.03::DOUBLE * least(blast_mean, 10.0::DOUBLE) + 0.15::DOUBLE * hub_bucket + 0.5::DOUBLE * least(blind_density, 2.0::DOUBLE) AS raw_premium FROM m)
-    SELECT loc, xs_intensity, call_density, xdir_density, blast_mean, blind_density, hub_bucket, least(raw_premium, 4.0::DOUBLE) AS premium, raw_premium > 4.0 + 1e-9 AS premium_capped, floor(loc * least(raw_premium, 4.0::DOUBLE))::BIGINT AS units FROM p"""
+    SELECT loc, xs_intensity, call_density, xdir_density, blast_mean, blind_density, hub_bucket, least(raw_premium, cap) AS premium, raw_premium > cap + 1e-9 AS premium_capped, floor(loc * least(raw_premium, cap))::BIGINT AS units FROM p, (SELECT unnest([4.0::DOUBLE, 9.0::DOUBLE]) AS cap)"""
 )
 def units_components(spark, sf_dir):
+    """The meter under its own policy and under one with a higher cap."""
     r = Relations(spark, sf_dir)
     structure = adj.resolved_pairs_meter(r.file_node, r.symbol_node, r.call_edge, r.import_edge).select("path_a", "path_b").distinct()
-    return adj.meter(r.file_node, r.symbol_node, r.call_edge, r.import_edge, r.resource_edge, cc.graph_blind(_pairs(r), structure), degree=HUB)
+    blind = components.cut(cc.graph_blind(_pairs(r), structure).agg(F.count("*").alias("blind")))
+    parts = components.cut(adj.meter_components(r.file_node, r.symbol_node, r.call_edge, r.import_edge, r.resource_edge, blind, degree=HUB))
+    return adj.meter(parts).unionByName(adj.meter(parts, {"cap_premium": 9.0}))
 
 
 # ---- validation and evaluation ---------------------------------------------------------------------------------
@@ -1066,13 +1090,16 @@ def cross_kind_collisions(spark, sf_dir):
     return validation.cross_kind_collisions(rows.withColumn("canonical_key", validation.canonical_key(F.col("kind"), F.col("id"), F.col("name"))))
 
 
-RATES_SQL = f"""{BASKET_SQL}, labelled AS (SELECT DISTINCT least(src, dst) AS path_a, greatest(src, dst) AS path_b, CASE WHEN reference_status IS NULL THEN 'coupled' ELSE 'control' END AS label FROM import_edge WHERE src <> dst),
+CONTROLS_SQL = """n_files AS (SELECT greatest(0, floor(log2(count(*) / 1000) / 4))::INT AS digits FROM file_node), hashed AS (SELECT path, md5('7:' || path) AS h, left(md5('7:' || path), digits) AS block FROM file_node, n_files),
+ordered AS (SELECT path, lead(path, 1) OVER w AS x, lead(path, 2) OVER w AS y FROM hashed WINDOW w AS (PARTITION BY block ORDER BY h, path)), paired AS (SELECT path, x AS other FROM ordered UNION ALL SELECT path, y FROM ordered),
+controls AS (SELECT DISTINCT least(path, other) AS path_a, greatest(path, other) AS path_b FROM paired WHERE other IS NOT NULL)"""
+RATES_SQL = f"""{BASKET_SQL}, {CONTROLS_SQL}, labelled AS (SELECT DISTINCT least(src, dst) AS path_a, greatest(src, dst) AS path_b, 'coupled' AS label FROM import_edge WHERE src <> dst AND reference_status IS NULL UNION ALL SELECT *, 'control' FROM controls),
 rates AS (SELECT label, regexp_replace(path_a, '/[^/]*$', '') <> regexp_replace(path_b, '/[^/]*$', '') AS cross_dir, count(*) AS pairs, count(co.co) AS together FROM labelled LEFT JOIN co USING (path_a, path_b) GROUP BY ALL)"""
 
 
 def _labelled(r: Relations) -> DataFrame:
-    label = F.when(F.col("reference_status").isNull(), "coupled").otherwise("control")
-    return r.import_edge.where("src <> dst").select(F.least("src", "dst").alias("path_a"), F.greatest("src", "dst").alias("path_b"), label.alias("label")).distinct()
+    """Resolved imports, and control pairs by a seeded hash order."""
+    return cc.structural_pairs(graph.usable(r.import_edge)).withColumn("label", F.lit("coupled")).unionByName(evaluation.controls(r.file_node).withColumn("label", F.lit("control")))
 
 
 @query(f"WITH {RATES_SQL} SELECT label, cross_dir, pairs, together FROM rates")
@@ -1092,11 +1119,7 @@ def evaluation_verdict(spark, sf_dir):
     return evaluation.verdict(evaluation.change_rates(_labelled(r), cc.pair_counts(cc.baskets(r.touch))))
 
 
-@query(
-    """WITH n AS (SELECT greatest(0, floor(log2(count(*) / 1000) / 4))::INT AS digits FROM file_node), h AS (SELECT path, md5('7:' || path) AS h, left(md5('7:' || path), digits) AS block FROM file_node, n),
-    o AS (SELECT path, lead(path, 1) OVER w AS x, lead(path, 2) OVER w AS y FROM h WINDOW w AS (PARTITION BY block ORDER BY h, path)), p AS (SELECT path, x AS other FROM o UNION ALL SELECT path, y FROM o)
-    SELECT DISTINCT least(path, other) AS path_a, greatest(path, other) AS path_b FROM p WHERE other IS NOT NULL"""
-)
+@query(f"WITH {CONTROLS_SQL} SELECT * FROM controls")
 def evaluation_controls(spark, sf_dir):
     """Control pairs by a seeded hash order."""
     return evaluation.controls(Relations(spark, sf_dir).file_node)
@@ -1126,11 +1149,11 @@ def detector_scores(spark, sf_dir):
 @query(
     f"""WITH {BASKET_SQL}, {STRUCT_SQL}, hist AS (SELECT path_a, path_b FROM scored WHERE co >= 2 AND lift >= 2), me AS (SELECT '{{path}}' AS p),
     s AS (SELECT DISTINCT CASE WHEN path_a = p THEN path_b ELSE path_a END AS candidate FROM structure, me WHERE p IN (path_a, path_b)), h AS (SELECT DISTINCT CASE WHEN path_a = p THEN path_b ELSE path_a END AS candidate FROM hist, me WHERE p IN (path_a, path_b))
-    SELECT candidate, CASE WHEN s.candidate IS NULL THEN 'not_observed' ELSE 'observed' END AS static, CASE WHEN h.candidate IS NULL THEN 'not_observed' ELSE 'observed' END AS historical FROM s FULL JOIN h USING (candidate)""".replace("{path}", "src/m1/p12.py")
+    SELECT candidate, CASE WHEN s.candidate IS NULL THEN 'not_observed' ELSE 'observed' END AS static, CASE WHEN h.candidate IS NULL THEN 'not_observed' ELSE 'observed' END AS historical FROM s FULL JOIN h USING (candidate)""".replace("{path}", "src/m1/d2/p12.py")
 )
 def review_file(spark, sf_dir):
     r = Relations(spark, sf_dir)
-    return evaluation.review("src/m1/p12.py", cc.structural_pairs(graph.usable(r.import_edge)), _pairs(r))
+    return evaluation.review("src/m1/d2/p12.py", cc.structural_pairs(graph.usable(r.import_edge)), _pairs(r))
 
 
 @query(

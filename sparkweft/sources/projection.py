@@ -1,8 +1,11 @@
 """The domain's relations read off the test tables: one SQL text for both engines.
 
-Rules are deterministic in the keys and take every row of their tables: all neighbouring lines of an order are imports and
-calls, all lines touch a resource, of which there are 28 a supplier. Part p is a file unless its key ends in 9, so some claims hit paths that the graph
-does not know.
+Rules are deterministic in the keys and take every row of their tables. There are REPOS repositories: an order's commit is of one
+of them, and part p is a file there if a line of the order names it. All neighbouring lines of an order are imports and calls, each
+file imports a foundation of its repository, and all lines touch a resource. Files whose part's key ends in 9 are not in the graph, so
+some claims hit paths that it does not know. A user works in one repository, on a window of files that overlaps with the next users',
+now and then on a foundation; a user's events of a day are one change. Claims of the last IN_FLIGHT days are in flight, earlier ones are released.
+Analysis lost facts in some repositories only, as one lossy file in flight decides about its whole repository.
 """
 
 from __future__ import annotations
@@ -11,32 +14,47 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+REPOS, FOUNDATIONS = 11, 25
+IN_FLIGHT = "2024-01-24"
 
-def path_sql(k: str) -> str:
-    return f"(CASE WHEN {k} % 13 = 0 THEN 'tests/' ELSE 'src/m' || ({k} % 11) || '/' END || 'p' || {k} || CASE {k} % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.go' END)"
 
+def path_sql(k: str, r: str) -> str:
+    """The path of file k of repository r; every 37th is a lock file."""
+    return f"(CASE WHEN {k} % 13 = 0 THEN 'tests/m' ELSE 'src/m' END || {r} || '/d' || ({k} % 5) || '/p' || {k} || CASE WHEN {k} % 37 = 5 THEN '.lock' WHEN {k} % 3 = 0 THEN '.py' WHEN {k} % 3 = 1 THEN '.ts' ELSE '.go' END)"
 
-def name_sql(p: str) -> str:
-    k = f"{p}.p_partkey"
-    return f"(CASE WHEN {k} % 50 = 0 THEN 'map' WHEN {k} % 50 = 1 THEN '__init__' WHEN {k} % 50 = 3 THEN 'pop' ELSE replace({p}.p_name, ' ', '_') || '_' || ({k} % 40) END)"
 
+def name_sql(k: str, r: str, name: str) -> str:
+    return f"(CASE WHEN {k} % 50 = 0 THEN 'map' WHEN {k} % 50 = 1 THEN '__init__' WHEN {k} % 50 = 3 THEN 'pop' ELSE replace({name}, ' ', '_') || '_' || ({k} % 40) || '_' || {r} END)"
 
-_K = "cast(regexp_extract(props, '([0-9]+)', 1) as bigint) * 17 + user_id % 5"
+
+_LINE = f"(SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS k, l_suppkey AS s, l_returnflag AS flag, l_orderkey % {REPOS} AS r FROM lineitem)"
+_KNOWN = f"(SELECT DISTINCT k, r, p_name, p_size FROM {_LINE} l JOIN part ON p_partkey = k WHERE k % 10 <> 9)"
+_NEXT = f"FROM {_LINE} a JOIN {_LINE} b ON a.o = b.o AND a.n + 1 = b.n"
+_BASE = f"(1 + k % {FOUNDATIONS})"
+_FLAW = "CASE WHEN {0} % 10 = 0 THEN 'ambiguous' WHEN {0} % 11 = 0 THEN 'unresolved' END"
+#: One row for each event: its change, agent and file.
+_EVENT = f"""(SELECT event_id, ts, user_id, event_type, value, r, k, {path_sql("k", "r")} AS path, 'ag' || (user_id % 13) AS agent,
+    CASE WHEN user_id % 17 = 5 THEN 'BR-topic/' WHEN user_id % 17 = 6 THEN 'BR-release/' ELSE 'PR-' END || user_id || '-' || extract(day FROM ts) AS change_id
+  FROM (SELECT *, user_id % {REPOS} AS r, CASE WHEN x % 10 = 0 THEN 1 + cast(floor(x / 10) AS bigint) ELSE cast(floor(user_id / {REPOS}) AS bigint) * 130 + x * 2 END AS k
+    FROM (SELECT *, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) AS x FROM events) e) f)"""
+_CLAIMS = f"""SELECT event_id AS claim_id, 'r' || r AS repo, path, change_id, agent, claimed_at, CASE WHEN NOT live THEN 'released' WHEN rn = 1 THEN 'active' ELSE 'waiting' END AS state, lo, hi, base_hash, is_draft FROM (
+    SELECT *, row_number() OVER (PARTITION BY path, live ORDER BY claimed_at, event_id) AS rn FROM (
+      SELECT event_id, r, path, change_id, agent, ts AS claimed_at, cast(ts AS date) >= DATE '{IN_FLIGHT}' AS live, cast(event_id % 110 as bigint) AS lo, cast(event_id % 110 + 1 + event_id % 7 as bigint) AS hi,
+        'h' || ((k + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) % 7) AS base_hash, user_id % 9 = 0 AS is_draft, row_number() OVER (PARTITION BY path, change_id ORDER BY ts, event_id) AS first_one
+      FROM {_EVENT} e) f WHERE first_one = 1) g"""
 
 RELATIONS = {
-    "touch": f"SELECT DISTINCT l_orderkey AS commit_id, o_orderdate AS ts, {path_sql('l_partkey')} AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
-    "file_node": f"SELECT {path_sql('p_partkey')} AS path, CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' ELSE 'go' END AS language, p_size * 20 AS loc, p_size % 17 = 0 AS generated, CASE WHEN p_partkey % 97 = 0 THEN 'incomplete' WHEN p_partkey % 89 = 0 THEN 'failed' END AS analysis_status FROM part WHERE p_partkey % 10 <> 9",
-    "symbol_node": f"SELECT {path_sql('p.p_partkey')} AS path, {name_sql('p')} AS name, CASE WHEN p_partkey % 4 = 0 THEN 'class' ELSE 'def' END AS kind, cast(1 + p_size % 20 as bigint) AS start_line, cast(12 + p_size as bigint) AS end_line, 'h' || (p_partkey % 7) AS content_hash FROM part p WHERE p_partkey % 10 <> 9",
-    "import_edge": f"SELECT DISTINCT {path_sql('a.l_partkey')} AS src, {path_sql('b.l_partkey')} AS dst, CASE WHEN a.l_orderkey % 10 = 0 THEN 'ambiguous' WHEN a.l_orderkey % 11 = 0 THEN 'unresolved' END AS reference_status FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_partkey <> b.l_partkey",
-    "call_edge": f"SELECT DISTINCT {path_sql('a.l_partkey')} AS src, {name_sql('p')} AS dst, CASE WHEN a.l_orderkey % 15 = 0 THEN 'ambiguous' END AS reference_status FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber JOIN part p ON p.p_partkey = b.l_partkey",
-    "resource_edge": f"SELECT DISTINCT {path_sql('l_partkey')} AS src, 'table::t' || ((l_suppkey * 7 + l_linenumber) * 4 + l_orderkey % 4) AS dst, CASE l_returnflag WHEN 'R' THEN 'alters' WHEN 'A' THEN 'queries' ELSE 'reads_config' END AS kind, cast(NULL as varchar(10)) AS reference_status FROM lineitem",
-    "claim": f"""SELECT event_id AS claim_id, path, change_id, agent, claimed_at, CASE WHEN rn = 1 THEN 'active' ELSE 'waiting' END AS state, lo, hi, base_hash, is_draft FROM (
-        SELECT event_id, path, change_id, agent, ts AS claimed_at, row_number() OVER (PARTITION BY path ORDER BY ts, event_id) AS rn,
-            cast(event_id % 40 as bigint) AS lo, cast(event_id % 40 + 1 + event_id % 7 as bigint) AS hi, 'h' || (event_id % 7) AS base_hash, user_id % 9 = 0 AS is_draft FROM (
-            SELECT event_id, ts, user_id, {path_sql('k')} AS path, 'PR-' || (user_id % 60) AS change_id, 'ag' || (user_id % 13) AS agent,
-                row_number() OVER (PARTITION BY k, user_id % 60 ORDER BY ts, event_id) AS first_one
-            FROM (SELECT event_id, ts, user_id, {_K} AS k FROM events) e) f WHERE first_one = 1) g""",
-    "event_log": f"SELECT event_id, ts AS occurred_at, 'ag' || (user_id % 13) AS agent, 'ag' || ((user_id + event_id) % 13) AS counterparty, 'PR-' || (user_id % 60) AS change_id, CASE event_type WHEN 'signup' THEN 'landed' WHEN 'view' THEN 'collision_held' WHEN 'click' THEN 'warned' WHEN 'purchase' THEN 'pr_failing' ELSE 'pushed' END AS kind, {path_sql('k')} AS path, 'acct' || (user_id % 6) AS account, value FROM (SELECT event_id, ts, user_id, event_type, value, {_K} AS k FROM events) e",
+    "touch": f"""SELECT o AS commit_id, o_orderdate AS ts, path FROM (SELECT o, {path_sql("k", "r")} AS path FROM {_LINE} l UNION SELECT o, {path_sql(_BASE, "r")} FROM {_LINE} l WHERE n % 2 = 0) t JOIN orders ON o = o_orderkey""",
+    "file_node": f"SELECT {path_sql('k', 'r')} AS path, CASE k % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' ELSE 'go' END AS language, p_size * 20 AS loc, p_size % 17 = 0 AS generated, CASE WHEN r % 3 = 0 AND k % 97 = 0 THEN 'incomplete' WHEN r % 3 = 0 AND k % 89 = 0 THEN 'failed' WHEN k % 83 = 0 THEN 'ambiguous' END AS analysis_status FROM {_KNOWN} f",
+    "symbol_node": f"""SELECT {path_sql("k", "r")} AS path, {name_sql("k", "r", "p_name")} || t AS name, CASE WHEN k % 4 = 0 THEN 'class' ELSE 'def' END AS kind, cast(CASE WHEN t = '' THEN 1 ELSE 13 END + p_size % 20 as bigint) AS start_line,
+        cast(CASE WHEN t = '' THEN 12 ELSE 40 END + p_size % 20 as bigint) AS end_line, 'h' || (k % 7) AS content_hash FROM {_KNOWN} f CROSS JOIN (SELECT '' AS t UNION ALL SELECT '_b') two""",
+    "import_edge": f"""SELECT DISTINCT {path_sql("a.k", "a.r")} AS src, {path_sql("b.k", "a.r")} AS dst, {_FLAW.format("a.o")} AS reference_status {_NEXT} WHERE a.k <> b.k
+        UNION SELECT {path_sql("k", "r")}, {path_sql(_BASE, "r")}, cast(NULL as varchar(10)) FROM {_LINE} l WHERE k <> {_BASE}""",
+    "call_edge": f"SELECT DISTINCT {path_sql('a.k', 'a.r')} AS src, {name_sql('b.k', 'a.r', 'p_name')} AS dst, CASE WHEN a.o % 15 = 0 THEN 'ambiguous' END AS reference_status {_NEXT} JOIN part ON p_partkey = b.k",
+    "resource_edge": f"SELECT DISTINCT {path_sql('k', 'r')} AS src, 'table::t' || ((s * 7 + n) * 2 + o % 2) || '_' || r AS dst, CASE flag WHEN 'R' THEN 'alters' WHEN 'A' THEN 'queries' ELSE 'reads_config' END AS kind, cast(NULL as varchar(10)) AS reference_status FROM {_LINE} l",
+    "claim": f"SELECT * FROM ({_CLAIMS}) h WHERE state <> 'released'",
+    "claim_history": _CLAIMS,
+    "event_log": f"SELECT event_id, ts AS occurred_at, agent, 'ag' || ((user_id + event_id) % 13) AS counterparty, change_id, CASE event_type WHEN 'signup' THEN 'landed' WHEN 'view' THEN 'collision_held' WHEN 'click' THEN 'warned' WHEN 'purchase' THEN 'pr_failing' ELSE 'pushed' END AS kind, path, 'acct' || (user_id % 6) AS account, value FROM {_EVENT} e",
 }
 
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

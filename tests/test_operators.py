@@ -155,8 +155,8 @@ def test_typed_landing_plans(spark):
     plan = landing.landing_plan(findings)
     assert sorted((r.plan, r.position, r.change_id, r.step) for r in plan.collect() if r.plan != "rebase") == [("ordered_with_revision", 1, "PR-4", "land"), ("ordered_with_revision", 2, "PR-5", "update_after_predecessor"), ("ordered_with_revision", 3, "PR-6", "land")]
     assert {(r.change_id, r.step) for r in plan.collect() if r.plan == "rebase"} == {("PR-1", "land"), ("PR-2", "land"), ("PR-3", "rebase")}
-    assert tuple(landing.plan_summary(findings, plan).first()) == ("unknown", 2, 1)
-    assert tuple(landing.plan_summary(findings.where("producer_pr <> consumer_pr"), plan).first()) == ("rebase", 2, 0)
+    assert tuple(landing.plan_summary(findings, plan).first()) == (0, "unknown", 2, 1)
+    assert tuple(landing.plan_summary(findings.where("producer_pr <> consumer_pr"), plan).first()) == (0, "rebase", 2, 0)
 
 
 def test_waits_and_their_flags(spark):

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 from collections import Counter
 from types import SimpleNamespace
 
@@ -32,9 +33,20 @@ def clusters(nodes, links):
     return {n: find(n) for n in root}
 
 
+def advisory(change):
+    return change.startswith("BR-") and not re.match(v.RELEASE_BRANCH, change[3:].lower())
+
+
 def all_waits(claims):
+    """Waits for holders, and behind a branch that only advises also for the first change."""
     held = [(c.path, c.change_id) for c in claims if c.state == "active"]
-    return {(c.change_id, h) for c in claims if c.state == "waiting" for p, h in held if p == c.path and h != c.change_id}
+    out = {(c.change_id, h) for c in claims if c.state == "waiting" for p, h in held if p == c.path and h != c.change_id}
+    first = {}
+    for c in sorted(claims, key=lambda c: (c.claimed_at, c.change_id)):
+        if c.change_id.startswith("PR-"):
+            first.setdefault(c.path, c.change_id)
+    lanes = {p for p, h in held if advisory(h)}
+    return out | {(c.change_id, first[c.path]) for c in claims if c.state == "waiting" and c.path in lanes and c.change_id.startswith("PR-") and first[c.path] != c.change_id}
 
 
 def all_links(r):

@@ -11,7 +11,7 @@ from sparkweft.functions import vocabulary as v
 from sparkweft.functions.paths import dirname
 from sparkweft.operators import adjacency as adj
 from sparkweft.operators import cochange as cc
-from sparkweft.operators import compat, components, contention, contracts, evaluation, graph, landing, resolve, routes, surfaces, validation
+from sparkweft.operators import compat, components, contention, contracts, evaluation, graph, landing, packages, resolve, routes, surfaces, validation
 from sparkweft.sources.projection import relation, table, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1019,6 +1019,53 @@ def role_feature_pairs(spark, sf_dir):
     return contracts.role_features(files, most=30)
 
 
+@query(
+    r"""WITH dirs AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir, path AS dst FROM go_file WHERE path LIKE '%.go' AND path NOT LIKE '%\_test.go' ESCAPE '\'),
+    names AS (SELECT module, string_split(module, '/') AS p FROM (SELECT DISTINCT module FROM go_import WHERE module LIKE '%/%')),
+    ends AS (SELECT module, unnest(range(1, len(p) + 1)) AS i, unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '/'))) AS dir FROM names),
+    found AS (SELECT module, arg_min(dir, i) AS dir FROM ends WHERE dir IN (SELECT dir FROM dirs) GROUP BY module)
+    SELECT src, module, dst, NULL::VARCHAR AS reference_status FROM go_import JOIN found USING (module) JOIN dirs USING (dir) WHERE src <> dst
+    UNION ALL SELECT src, module, module, NULL FROM go_import WHERE module NOT IN (SELECT module FROM found)"""
+)
+def go_package_resolve(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return packages.go_packages(r.go_import, r.go_file)
+
+
+@query(
+    rf"""WITH own AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, path AS dst FROM cs_file WHERE NOT regexp_matches(lower(path), '(^|/)(tests?|specs?|__tests__|examples?)/')),
+    dots AS (SELECT DISTINCT dir, replace(dir, '/', '.') AS name FROM own), names AS (SELECT DISTINCT module FROM cs_import WHERE module LIKE '%.%'),
+    tries AS (SELECT module, module AS space, NULL AS type FROM names UNION ALL SELECT module, regexp_replace(module, '\.[^.]*$', ''), regexp_extract(module, '([^.]*)$', 1) FROM names WHERE regexp_replace(module, '\.[^.]*$', '') LIKE '%.%'),
+    ends AS (SELECT dir, i = 1 AS exact, array_to_string(p[i:], '.') AS space FROM (SELECT dir, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT dir, string_split(name, '.') AS p FROM dots))),
+    spots AS (SELECT module, type, dir, exact, bool_or(exact) OVER (PARTITION BY module, type) AS any_exact FROM tries JOIN ends USING (space)),
+    hits AS (SELECT module, type, dir, dst FROM spots JOIN own USING (dir) WHERE exact = any_exact AND (type IS NULL OR regexp_replace(dst, '^.*/', '') = type || '.cs')),
+    kept AS (SELECT * FROM hits h WHERE type IS NULL OR NOT EXISTS (SELECT 1 FROM hits g WHERE g.module = h.module AND g.type IS NULL)),
+    n AS (SELECT module, count(DISTINCT dir) AS dirs, count(DISTINCT dst) AS n FROM kept GROUP BY module)
+    SELECT DISTINCT src, module, dst, CASE WHEN dirs > 1 THEN 'ambiguous' END AS reference_status FROM cs_import JOIN n USING (module) JOIN kept USING (module) WHERE src <> dst AND (dirs = 1 OR n <= {v.MAX_BARE_FANOUT})
+    UNION ALL SELECT src, module, module, 'ambiguous' FROM cs_import JOIN n USING (module) WHERE dirs > 1 AND n > {v.MAX_BARE_FANOUT}
+    UNION ALL SELECT src, module, module, NULL FROM cs_import WHERE module NOT IN (SELECT module FROM n)"""
+)
+def csharp_namespace_resolve(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return packages.csharp_namespaces(r.cs_import, r.cs_file)
+
+
+@query(
+    rf"""WITH stems AS (SELECT path AS dst, regexp_replace(path, '\.[A-Za-z0-9]+$', '') AS key FROM ws_file), names AS (SELECT module, string_split(module, '/') AS p FROM (SELECT DISTINCT module FROM ws_import)),
+    pre AS (SELECT module, i, array_to_string(p[1:i], '/') AS name, array_to_string(p[i + 1:], '/') AS rest FROM (SELECT module, p, unnest(range(1, len(p) + 1)) AS i FROM names)),
+    known AS (SELECT module, root, rest FROM (SELECT *, max(i) OVER (PARTITION BY module) AS most FROM pre JOIN ws_package USING (name)) WHERE i = most),
+    base AS (SELECT module, rest, root || '/src' AS b, 1 AS place FROM known UNION ALL SELECT module, rest, root, 2 FROM known),
+    keys AS (SELECT module, b || '/' || rest AS key, 0 AS rank FROM base WHERE rest <> '' UNION ALL SELECT module, b || '/' || rest || '/index', 0 FROM base WHERE rest <> '' UNION ALL SELECT module, b || '/index', place FROM base WHERE rest = ''),
+    hits AS (SELECT module, dst FROM (SELECT module, dst, rank, min(rank) OVER (PARTITION BY module) AS least FROM keys JOIN stems USING (key)) WHERE rank = least), n AS (SELECT module, count(DISTINCT dst) AS n FROM hits GROUP BY module)
+    SELECT DISTINCT src, module, dst, CASE WHEN n > 1 THEN 'ambiguous' END AS reference_status FROM ws_import JOIN n USING (module) JOIN hits USING (module) WHERE src <> dst AND n <= {v.MAX_BARE_FANOUT}
+    UNION ALL SELECT src, module, module, 'ambiguous' FROM ws_import JOIN n USING (module) WHERE n > {v.MAX_BARE_FANOUT}
+    UNION ALL SELECT src, module, module, CASE WHEN module IN (SELECT module FROM known) THEN 'unresolved' END FROM ws_import WHERE module NOT IN (SELECT module FROM n)"""
+)
+def workspace_resolve(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return packages.workspace_imports(r.ws_import, r.ws_package, r.ws_file)
+
+
 # ---- meter -----------------------------------------------------------------------------------------------------
 
 

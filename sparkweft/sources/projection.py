@@ -43,6 +43,25 @@ _CLAIMS = f"""SELECT event_id AS claim_id, 'r' || r AS repo, path, change_id, ag
         'h' || ((k + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) % 7) AS base_hash, user_id % 9 = 0 AS is_draft, row_number() OVER (PARTITION BY path, change_id ORDER BY ts, event_id) AS first_one
       FROM {_EVENT} e) f WHERE first_one = 1) g"""
 
+
+
+def _go(k: str, r: str) -> str:
+    """A Go file: directories nest, and some short ones are endings of others."""
+    return f"('internal/g' || ({k} % 300) || '/' || CASE WHEN {k} % 4 = 0 THEN 'sub/' ELSE '' END || 'm' || {r} || '/f' || {k} || CASE WHEN {k} % 7 = 0 THEN '_test.go' ELSE '.go' END)"
+
+
+def _cs(k: str, r: str) -> str:
+    """A C# file: a third lie in directories of one name in several projects, some in tests."""
+    return f"(CASE WHEN {k} % 3 = 0 THEN 'P' || {r} || '/Old/G' || ({k} % 90) WHEN {k} % 11 = 0 THEN 'Acme.M' || {r} || '/Tests/G' || ({k} % 40) ELSE 'Acme.M' || {r} || '/G' || ({k} % 40) END || '/T' || {k} || '.cs')"
+
+
+def _ws(k: str, r: str) -> str:
+    """A file of a workspace package, below src or not, some an index of their directory, some in a package with a longer name."""
+    return f"('packages/m' || {r} || '/p' || ({k} % 50) || CASE WHEN {k} % 50 % 3 = 0 AND {k} % 4 = 1 THEN '/deep' ELSE '' END || CASE WHEN {k} % 2 = 0 THEN '/src/' ELSE '/' END || 'f' || ({k} % 700) || CASE {k} % 5 WHEN 0 THEN '/index.ts' WHEN 1 THEN '.tsx' ELSE '.ts' END)"
+
+
+_GO = f"CASE WHEN k % 50 = 2 THEN 'sub/m' || r || '/f' || k || '.go' ELSE {_go('k', 'r')} END"
+
 RELATIONS = {
     "touch": f"""SELECT o AS commit_id, o_orderdate AS ts, path FROM (SELECT o, {path_sql("k", "r")} AS path FROM {_LINE} l UNION SELECT o, {path_sql(_BASE, "r")} FROM {_LINE} l WHERE n % 2 = 0) t JOIN orders ON o = o_orderkey""",
     "file_node": f"SELECT {path_sql('k', 'r')} AS path, CASE k % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' ELSE 'go' END AS language, p_size * 20 AS loc, p_size % 17 = 0 AS generated, CASE WHEN r % 3 = 0 AND k % 97 = 0 THEN 'incomplete' WHEN r % 3 = 0 AND k % 89 = 0 THEN 'failed' WHEN k % 83 = 0 THEN 'ambiguous' END AS analysis_status FROM {_KNOWN} f",
@@ -55,6 +74,14 @@ RELATIONS = {
     "claim": f"SELECT * FROM ({_CLAIMS}) h WHERE state <> 'released'",
     "claim_history": _CLAIMS,
     "event_log": f"SELECT event_id, ts AS occurred_at, agent, 'ag' || ((user_id + event_id) % 13) AS counterparty, change_id, CASE event_type WHEN 'signup' THEN 'landed' WHEN 'view' THEN 'collision_held' WHEN 'click' THEN 'warned' WHEN 'purchase' THEN 'pr_failing' ELSE 'pushed' END AS kind, path, 'acct' || (user_id % 6) AS account, value FROM {_EVENT} e",
+    "go_file": f"SELECT {_GO} AS path FROM {_KNOWN} f",
+    "go_import": f"""SELECT DISTINCT {_go("a.k", "a.r")} AS src, CASE b.o % 5 WHEN 0 THEN 'fmt' WHEN 1 THEN 'other.io/sub/m' || b.r WHEN 2 THEN 'other.io/zap' || b.k ELSE 'example.org/app/' || regexp_replace({_go("b.k", "b.r")}, '/[^/]*$', '') END AS module {_NEXT}""",
+    "cs_file": f"SELECT {_cs('k', 'r')} AS path FROM {_KNOWN} f",
+    "cs_import": f"""SELECT DISTINCT {_cs("a.k", "a.r")} AS src, CASE b.o % 5 WHEN 0 THEN 'System' WHEN 1 THEN 'Old.G' || (b.k % 90) WHEN 2 THEN 'Newtonsoft.J' || b.k ELSE replace(regexp_replace({_cs("b.k", "b.r")}, CASE WHEN b.o % 2 = 0 THEN '/[^/]*$' ELSE '[.]cs$' END, ''), '/', '.') END AS module {_NEXT}""",
+    "ws_package": f"SELECT DISTINCT '@s' || r || '/p' || (k % 50) || t AS name, 'packages/m' || r || '/p' || (k % 50) || t AS root FROM {_KNOWN} f CROSS JOIN (SELECT '' AS t UNION ALL SELECT '/deep') two WHERE t = '' OR k % 50 % 3 = 0",
+    "ws_file": f"SELECT DISTINCT {_ws('k', 'r')} AS path FROM {_KNOWN} f UNION SELECT 'packages/m' || r || '/p' || (k % 50) || CASE WHEN k % 2 = 0 THEN '/src' ELSE '' END || '/index.ts' FROM {_KNOWN} f WHERE k % 50 < 40",
+    "ws_import": f"""SELECT DISTINCT {_ws("a.k", "a.r")} AS src, CASE b.o % 6 WHEN 0 THEN '@babel/core' WHEN 1 THEN '@s' || b.r || '/p' || (b.k % 50) WHEN 2 THEN '@s' || b.r || '/p' || (b.k % 50) || '/none' || b.k
+        ELSE '@s' || b.r || regexp_replace(replace(replace({_ws("b.k", "b.r")}, 'packages/m' || b.r, ''), '/src/', '/'), '(/index)?[.][a-z.]+$', '') END AS module {_NEXT}""",
 }
 
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -12,6 +12,7 @@ from sparkweft.functions.paths import dirname
 from sparkweft.operators import adjacency as adj
 from sparkweft.operators import cochange as cc
 from sparkweft.operators import compat, components, contention, contracts, evaluation, graph, landing, packages, resolve, routes, surfaces, validation
+from sparkweft.sources import build
 from sparkweft.sources.projection import relation, table, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1066,6 +1067,41 @@ def workspace_resolve(spark, sf_dir):
     return packages.workspace_imports(r.ws_import, r.ws_package, r.ws_file)
 
 
+# ---- the whole graph of a tree ----------------------------------------------------------------------------------
+
+BUILD_SQL = """k AS (SELECT p_partkey AS k, p_partkey * 3 + 1 AS j, 'pkg' || (p_partkey % 7) || '/m' || p_partkey || '.py' AS path, p_partkey % 101 = 7 AS broken FROM part), py AS (SELECT * FROM k WHERE NOT broken),
+page AS (SELECT page_id AS g, page_id % 20 AS i, 'web/c' || page_id || '.ts' AS path FROM pages), srv AS (SELECT DISTINCT page_id % 30 AS i, 'srv/s' || (page_id % 30) || '.py' AS path FROM pages UNION SELECT page_id % 30, 'srv/z' || (page_id % 30) || '.py' FROM pages WHERE page_id % 30 % 4 = 0),
+made AS (SELECT 'db/t' || k || '.sql' AS path, 't' || k AS t, true AS creates FROM k UNION SELECT 'db/t' || k || '.sql', 't' || (k + 1), true FROM k WHERE k % 10 = 0 UNION SELECT 'db/t' || k || '.sql', 't' || (k + 1), false FROM k WHERE k % 5 = 1 AND k % 10 <> 0),
+creators AS (SELECT t, count(DISTINCT path) FILTER (WHERE creates) AS n FROM made GROUP BY t), used AS (SELECT DISTINCT path, 't' || unnest([k, j]) AS t FROM py),
+keyed AS (SELECT 'conf/e' || k || '.env' AS path, 'KEY_W' || k AS c FROM k UNION SELECT 'conf/e' || k || '.env', 'KEY_W' || (k + 1) FROM k WHERE k % 9 = 0), setters AS (SELECT c, count(DISTINCT path) AS n FROM keyed GROUP BY c),
+graph_edges AS (
+  SELECT path AS src, path || '::' || unnest(['f' || k, 'C' || k]) AS dst, 'contains' AS kind, NULL AS reference_status FROM py UNION ALL SELECT path, unnest(['getenv', 'f' || j, 'Base' || (k % 3)]), 'calls', NULL FROM py
+  UNION ALL SELECT path, unnest(['os', 'pkg' || (j % 7)]), 'imports', NULL FROM py UNION ALL SELECT py.path, coalesce(o.path, 'pkg' || (py.j % 7) || '.m' || py.j), 'imports', NULL FROM py LEFT JOIN k o ON o.k = py.j
+  UNION ALL SELECT path, 'table::' || t, 'alters', CASE WHEN n > 1 THEN 'ambiguous' END FROM made JOIN creators USING (t) UNION ALL SELECT path, 'table::' || t, 'queries', CASE WHEN n > 1 THEN 'ambiguous' END FROM used JOIN creators USING (t)
+  UNION ALL SELECT path, 'config::' || c, 'alters', CASE WHEN n > 1 THEN 'ambiguous' END FROM keyed JOIN setters USING (c) UNION ALL SELECT path, 'config::KEY_W' || (k % 50), 'reads_config', CASE WHEN n > 1 THEN 'ambiguous' END FROM py JOIN setters ON c = 'KEY_W' || (k % 50)
+  UNION ALL SELECT path, path || '::g' || g, 'contains', NULL FROM page UNION ALL SELECT path, 'fetch', 'calls', NULL FROM page UNION ALL SELECT path, path || '::h' || i, 'contains', NULL FROM srv UNION ALL SELECT path, 'get', 'calls', NULL FROM srv
+  UNION ALL SELECT p.path, s.path, 'imports', CASE WHEN i % 4 = 0 THEN 'ambiguous' END FROM page p JOIN srv s USING (i)),
+graph_rows AS (SELECT DISTINCT * FROM graph_edges), doubted AS (SELECT DISTINCT src AS path FROM graph_rows WHERE reference_status = 'ambiguous'),
+graph_nodes AS (SELECT path AS id, 'file' AS kind, path, path AS name, CASE WHEN path IN (SELECT path FROM k WHERE broken) THEN 'failed' WHEN path LIKE 'web/%' AND (SELECT bool_or(broken) FROM k) THEN 'incomplete' WHEN path IN (SELECT path FROM doubted) THEN 'ambiguous' END AS analysis_status
+    FROM (SELECT path FROM k UNION SELECT path FROM made UNION SELECT path FROM keyed UNION SELECT path FROM page UNION SELECT path FROM srv)
+  UNION ALL SELECT path || '::f' || k, 'def', path, 'f' || k, NULL FROM py UNION ALL SELECT path || '::C' || k, 'class', path, 'C' || k, NULL FROM py UNION ALL SELECT path || '::g' || g, 'def', path, 'g' || g, NULL FROM page UNION ALL SELECT path || '::h' || i, 'def', path, 'h' || i, NULL FROM srv
+  UNION ALL SELECT DISTINCT 'table::' || t, 'table', path, t, NULL FROM made UNION ALL SELECT 'config::' || c, 'config_key', path, c, NULL FROM keyed)"""
+
+
+def _source_files(r: Relations) -> DataFrame:
+    return r.source_file.select("path", F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("length"))
+
+
+@query(f"WITH {BUILD_SQL} SELECT * FROM graph_nodes")
+def build_graph_nodes(spark, sf_dir):
+    return build.build_graph(_source_files(Relations(spark, sf_dir))).nodes
+
+
+@query(f"WITH {BUILD_SQL} SELECT * FROM graph_rows")
+def build_graph_edges(spark, sf_dir):
+    return build.build_graph(_source_files(Relations(spark, sf_dir))).edges.select("src", "dst", "kind", "reference_status")
+
+
 # ---- meter -----------------------------------------------------------------------------------------------------
 
 

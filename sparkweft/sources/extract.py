@@ -22,7 +22,6 @@ from sparkweft.functions import vocabulary as v
 NODE = "path string, kind string, name string, start_line int, end_line int, param_names array<string>, kwonly_names array<string>, required_arity int, optional_arity int, has_varargs boolean, has_kwargs boolean, shape_fingerprint string"
 EDGE = "src string, kind string, dst string, probe string"
 MENTION = "path string, substrate string, role string, contract string"
-MAX_KEYS = 2000
 
 # ---- Python ------------------------------------------------------------------------------------------------------
 
@@ -133,11 +132,11 @@ def pattern_file(path: str, text: str, language: str) -> tuple[list[dict], list[
 NAME = r"[\"'`\[]?(?:\w+[\"'`\]]?\.[\"'`\[]?)*(\w+)"
 #: Fixed values: (substrate, role, languages, pattern); the first group that matches is the contract.
 CONTRACTS = [
-    ("table", "defines", ("sql",), rf"(?i)\b(?:create|alter)\s+table\s+(?:if\s+(?:not\s+)?exists\s+)?(?:only\s+)?{NAME}"),
+    ("table", "creates", ("sql",), rf"(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?{NAME}"),
+    ("table", "defines", ("sql",), rf"(?i)\balter\s+table\s+(?:if\s+exists\s+)?(?:only\s+)?{NAME}"),
     ("table", "defines", ("sql",), rf"(?i)\bdrop\s+table\s+(?:if\s+exists\s+)?{NAME}"),
     ("table", "defines", ("sql",), rf"(?i)\bcreate\s+(?:unique\s+)?(?:index|trigger)\b[^;]*?\bon\s+{NAME}"),
     ("table", "uses", (), rf"\b(?:INSERT\s+INTO|insert\s+into|UPDATE|update|DELETE\s+FROM|delete\s+from)\s+{NAME}"),
-    ("table", "uses", (), rf"(?s)\b(?:SELECT|select)\b[^;\"']{{0,2000}}?\b(?:FROM|from|JOIN|join)\s+{NAME}"),
     ("table", "uses", ("python",), r"__tablename__\s*=\s*[\"'](\w+)|\bTable\(\s*[\"'](\w+)|db_table\s*=\s*[\"'](\w+)"),
     ("table", "uses", ("java", "kotlin"), r"@Table\(\s*name\s*=\s*\"(\w+)"), ("table", "uses", ("ruby",), r"self\.table_name\s*=\s*[\"'](\w+)|create_table\s+:(\w+)"),
     ("table", "uses", ("typescript",), r"@Entity\(\s*[\"'](\w+)"), ("table", "uses", ("javascript", "typescript"), r"knex\(\s*[\"'](\w+)|\.createTable\(\s*[\"'](\w+)"), ("table", "uses", ("elixir",), r"schema\s+\"(\w+)\""),
@@ -155,6 +154,9 @@ CONTRACTS = [
     ("route", "uses", ("javascript", "typescript", "vue", "svelte"), r"(?:\bfetch|\baxios(?:\.\w+)?|\bapi\.\w+|\bhttp\.\w+)\(\s*[\"'`](/[^\"'`]*|\$\{\w+\}/[^\"'`]*)"),
     ("script", "uses", ("yaml",), r"(?m)\b(?:npm|pnpm|yarn|bun)\s+run\s+([\w:-]+)"),
 ]
+#: A statement ends at a semicolon or with its string; what it selects from counts wherever it stands.
+STATEMENT = re.compile(r"[^;\"']*")
+SELECTED = re.compile(rf"\b(?:FROM|from|JOIN|join)\s+{NAME}")
 GENERIC_KEYS = frozenset("name type version id url host port path key value title description enabled default config debug env main scripts test build start dev".split())
 
 
@@ -181,7 +183,7 @@ def config_keys(path: str, text: str, language: str) -> list[str]:
         return []
     parts = lambda k: [p for p in re.split(r"[._-]|(?<=[a-z])(?=[A-Z])", k) if p]
     telling = [k for k in keys if re.fullmatch(r"[A-Z][A-Z0-9]*(_[A-Z0-9]+)+", k) or (len(parts(k)) > 1 and not all(p.lower() in GENERIC_KEYS for p in parts(k)))]
-    return list(dict.fromkeys(telling))[:MAX_KEYS]
+    return list(dict.fromkeys(telling))
 
 
 def file_mentions(path: str, text: str, language: str) -> list[tuple[str, str, str, str]]:
@@ -209,6 +211,10 @@ def file_mentions(path: str, text: str, language: str) -> list[tuple[str, str, s
             if name:
                 name = re.sub(r"\"\s+\"", ".", name)
                 out.append((path, substrate, role, name.lower() if substrate == "table" else name))
+    if re.search(r"\b(?:SELECT|select)\b", text):
+        for m in STATEMENT.finditer(text):
+            if at := re.search(r"\b(?:SELECT|select)\b", m[0]):
+                out += [(path, "table", "uses", t[1].lower()) for t in SELECTED.finditer(m[0], at.end())]
     return list(dict.fromkeys(out))
 
 
@@ -219,8 +225,11 @@ def _decode(raw: bytes) -> str:
     return bytes(raw).decode("utf-8", "replace")
 
 
-def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of guarded files (path, content, language, guard). A file that does not parse is a bare node marked failed."""
+def code_graph(files: DataFrame, keep=lambda rows: rows) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of guarded files (path, content, language, guard). A file that does not parse is a bare node marked failed.
+
+    keep may write what was found, so that nodes and edges are read off it without parsing twice.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -231,6 +240,8 @@ def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                     status = "incomplete"
                 else:
                     try:
+                        if r.language == "json":
+                            json.loads(_decode(r.content))
                         nodes, edges = python_file(r.path, _decode(r.content)) if r.language == "python" else pattern_file(r.path, _decode(r.content), r.language or "")
                     except (SyntaxError, ValueError, RecursionError):
                         status = "failed"
@@ -239,7 +250,7 @@ def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 out += [(None, json.dumps(dict(zip(("src", "kind", "dst", "probe"), e, strict=True))), None) for e in edges]
             yield pd.DataFrame(out, columns=["node", "edge", "analysis_status"])
 
-    found = files.select("path", "content", "language", "guard").mapInPandas(rows, "node string, edge string, analysis_status string")
+    found = keep(files.select("path", "content", "language", "guard").mapInPandas(rows, "node string, edge string, analysis_status string"))
     nodes = found.where("node is not null").select(F.from_json("node", NODE).alias("n"), "analysis_status").select("n.*", "analysis_status")
     edges = found.where("edge is not null").select(F.from_json("edge", EDGE).alias("e")).select("e.*").distinct()
     return nodes, edges
@@ -259,12 +270,14 @@ def mentions(files: DataFrame) -> DataFrame:
 def link_contracts(found: DataFrame, lost: DataFrame) -> DataFrame:
     """(src, kind, dst, reference_status, incomplete): definers alter, users of known contracts query or read.
 
-    lost are (substrate) whose first pass lost a file: their users become incomplete, as the known set may lack something.
+    lost are (substrate) whose first pass lost a file: their users become incomplete, as the known set may lack something. A contract that
+    several files define is ambiguous; of tables only those that create it count, so that many may alter one.
     """
-    kind = F.when(F.col("role") == "defines", "alters").when(F.col("substrate") == "config", "reads_config").otherwise("queries")
-    definers = found.where("role = 'defines'").groupBy("substrate", "contract").agg(F.countDistinct("path").alias("definers"))
+    kind = F.when(F.col("role") != "uses", "alters").when(F.col("substrate") == "config", "reads_config").otherwise("queries")
+    counts = (F.col("role") == "creates") | (F.col("substrate") != "table")
+    definers = found.where("role <> 'uses'").groupBy("substrate", "contract").agg(F.countDistinct(F.when(counts, F.col("path"))).alias("definers"))
     rows = found.join(definers, ["substrate", "contract"]).join(lost.select("substrate").distinct().withColumn("gone", F.lit(True)), "substrate", "left")
-    status = F.when((F.col("definers") > 1) & (F.col("substrate") != "table"), "ambiguous")
+    status = F.when(F.col("definers") > 1, "ambiguous")
     return rows.select(F.col("path").alias("src"), kind.alias("kind"), F.concat_ws("::", "substrate", "contract").alias("dst"), status.alias("reference_status"), (F.coalesce("gone", F.lit(False)) & (F.col("role") == "uses")).alias("incomplete")).distinct()
 
 

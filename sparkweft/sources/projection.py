@@ -60,6 +60,8 @@ def _ws(k: str, r: str) -> str:
     return f"('packages/m' || {r} || '/p' || ({k} % 50) || CASE WHEN {k} % 50 % 3 = 0 AND {k} % 4 = 1 THEN '/deep' ELSE '' END || CASE WHEN {k} % 2 = 0 THEN '/src/' ELSE '/' END || 'f' || ({k} % 700) || CASE {k} % 5 WHEN 0 THEN '/index.ts' WHEN 1 THEN '.tsx' ELSE '.ts' END)"
 
 
+_NL = "chr(10)"
+_PARTS = "(SELECT p_partkey AS k, p_partkey * 3 + 1 AS j FROM part)"
 _GO = f"CASE WHEN k % 50 = 2 THEN 'sub/m' || r || '/f' || k || '.go' ELSE {_go('k', 'r')} END"
 
 RELATIONS = {
@@ -74,6 +76,12 @@ RELATIONS = {
     "claim": f"SELECT * FROM ({_CLAIMS}) h WHERE state <> 'released'",
     "claim_history": _CLAIMS,
     "event_log": f"SELECT event_id, ts AS occurred_at, agent, 'ag' || ((user_id + event_id) % 13) AS counterparty, change_id, CASE event_type WHEN 'signup' THEN 'landed' WHEN 'view' THEN 'collision_held' WHEN 'click' THEN 'warned' WHEN 'purchase' THEN 'pr_failing' ELSE 'pushed' END AS kind, path, 'acct' || (user_id % 6) AS account, value FROM {_EVENT} e",
+    "source_file": f"""SELECT 'pkg' || (k % 7) || '/m' || k || '.py' AS path, CASE WHEN k % 101 = 7 THEN 'def (' ELSE 'from pkg' || (j % 7) || ' import m' || j || {_NL} || 'import os' || {_NL} || 'K = os.getenv("KEY_W' || (k % 50) || '")' || {_NL}
+          || 'def f' || k || '(a, b=1):' || {_NL} || '    return f' || j || '(a)' || {_NL} || 'class C' || k || '(Base' || (k % 3) || '):' || {_NL} || '    q = "SELECT x FROM t' || k || ' JOIN t' || j || '"' || {_NL} END AS text FROM {_PARTS} p
+        UNION ALL SELECT 'db/t' || k || '.sql', 'CREATE TABLE t' || k || ' (id int);' || CASE WHEN k % 10 = 0 THEN ' CREATE TABLE t' || (k + 1) || ' (id int);' WHEN k % 5 = 1 THEN ' ALTER TABLE t' || (k + 1) || ' ADD c int;' ELSE '' END FROM {_PARTS} p
+        UNION ALL SELECT 'conf/e' || k || '.env', 'KEY_W' || k || '=1' || CASE WHEN k % 9 = 0 THEN {_NL} || 'KEY_W' || (k + 1) || '=2' ELSE '' END FROM {_PARTS} p
+        UNION ALL SELECT 'web/c' || page_id || '.ts', 'export function g' || page_id || '() {{ return fetch(`/api/items/' || (page_id % 20) || '/${{x}}`) }}' FROM pages
+        UNION ALL SELECT DISTINCT 'srv/' || t || (page_id % 30) || '.py', '@app.get("/api/items/' || (page_id % 30) || '/{{id}}")' || {_NL} || 'def h' || (page_id % 30) || '(id):' || {_NL} || '    return 1' || {_NL} FROM pages CROSS JOIN (SELECT 's' AS t UNION ALL SELECT 'z') two WHERE t = 's' OR page_id % 30 % 4 = 0""",
     "go_file": f"SELECT {_GO} AS path FROM {_KNOWN} f",
     "go_import": f"""SELECT DISTINCT {_go("a.k", "a.r")} AS src, CASE b.o % 5 WHEN 0 THEN 'fmt' WHEN 1 THEN 'other.io/sub/m' || b.r WHEN 2 THEN 'other.io/zap' || b.k ELSE 'example.org/app/' || regexp_replace({_go("b.k", "b.r")}, '/[^/]*$', '') END AS module {_NEXT}""",
     "cs_file": f"SELECT {_cs('k', 'r')} AS path FROM {_KNOWN} f",
@@ -95,6 +103,7 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A relation by name, as a DataFrame over the Parquet tables of sf_dir."""
     text = RELATIONS[name]
     used = [t for t in _TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)]
+    text = text.replace("{", "{{").replace("}", "}}")
     return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {\2}", text), **{t: table(spark, sf_dir, t) for t in used})
 
 

@@ -57,24 +57,23 @@ def declared_packages(files: DataFrame) -> DataFrame:
     return npm.unionByName(rust)
 
 
-def resolved_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(src, dst, reference_status) of import edges (src, dst, family) over files (path, family, content): each family by its own rules; declared
-    packages go before other names."""
-    known = declared_packages(files)
-    asked = edges.select("src", F.when(F.col("family") == "rust", F.replace("dst", F.lit("::"), F.lit("/"))).otherwise(F.col("dst")).alias("module"), "family").distinct()
+def resolved_imports(edges: DataFrame, files: DataFrame, known: DataFrame) -> DataFrame:
+    """(src, dst, reference_status) of import edges (src, dst, family) over files (path, family): each family by its own rules; declared
+    packages known (name, root, family) go before other names. Each step's rows are written once, so that plans stay small."""
+    asked = edges.select("src", F.when(F.col("family") == "rust", F.replace("dst", F.lit("::"), F.lit("/"))).otherwise(F.col("dst")).alias("module"), "family", F.lit(False).alias("local")).distinct()
     of = lambda rows, *f: rows.where(F.col("family").isin(*f))
     parts = [packages.go_packages(of(asked, "go"), of(files, "go")), packages.csharp_namespaces(of(asked, "csharp"), of(files, "csharp"))]
     prefix = lambda n: F.array_join(F.slice(F.split("module", "/"), 1, n), "/")
-    own = cut(known)
     for family, depth, entries, members in (("web", 2, ("index",), False), ("rust", 1, ("lib", "main", "mod"), True)):
-        mine = of(asked, family).join(of(own, family).select("name").distinct(), prefix(depth) == F.col("name"), "left_semi")
-        parts.append(packages.workspace_imports(mine, of(own, family), of(files, family), entries, members))
-        asked = asked.join(mine, ["src", "module", "family"], "left_anti")
-    parts.append(resolve.resolve_imports(asked.where(~F.col("family").isin("go", "csharp")), files.select("path", "family")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("src", "dst", "reference_status")
+        own = of(known, family)
+        asked = cut(asked.join(own.select(F.col("name").alias("declared")).distinct(), prefix(depth) == F.col("declared"), "left").withColumn("local", F.col("local") | (F.col("declared").isNotNull() & (F.col("family") == family))).drop("declared"))
+        parts.append(packages.workspace_imports(of(asked, family).where("local"), own, of(files, family), entries, members))
+    parts.append(resolve.resolve_imports(asked.where(~F.col("family").isin("go", "csharp") & ~F.col("local")), files))
+    out = None
+    for p in parts:
+        done = cut(p.select("src", "dst", "reference_status"))
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def build_graph(files: DataFrame) -> Graph:
@@ -87,12 +86,12 @@ def build_graph(files: DataFrame) -> Graph:
     family = F.coalesce(F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])[F.col("language")], F.col("language"))
     found_nodes, found_edges = extract.code_graph(source, cut)
     mentions = cut(extract.mentions(source))
+    mine = cut(source.select("path", "language", family.alias("family")))
     documents = found_nodes.where("kind = 'file'").select("path", "analysis_status")
-    lost = cut(lost_substrates(documents.where("analysis_status is not null").join(source.select("path", "language"), "path").select("language", F.lit(True).alias("lost"))))
+    lost = cut(lost_substrates(documents.where("analysis_status is not null").join(mine, "path").select("language", F.lit(True).alias("lost"))))
 
-    mine = source.select("path", family.alias("family"), "content")
-    imports = found_edges.where("kind = 'imports'").join(mine.select(F.col("path").alias("src"), "family"), "src").select("src", "dst", "family")
-    imports = resolved_imports(imports, mine).withColumn("kind", F.lit("imports"))
+    imports = cut(found_edges.where("kind = 'imports'").join(mine.select(F.col("path").alias("src"), "family"), "src").select("src", "dst", "family"))
+    imports = resolved_imports(imports, mine.select("path", "family"), cut(declared_packages(source))).withColumn("kind", F.lit("imports"))
     linked = extract.link_contracts(mentions.where("substrate <> 'route'"), lost).select("src", "dst", "kind", "reference_status")
     route = mentions.where("substrate = 'route'").select("path", "role", routes.normalize_route(F.col("contract")).alias("route"))
     pairs = routes.single_definer(routes.match_pairs(route.where("role = 'defines'"), route.where("role = 'uses'")))

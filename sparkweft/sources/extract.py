@@ -114,7 +114,7 @@ def pattern_file(path: str, text: str, language: str) -> tuple[list[dict], list[
             starts.append((text.count("\n", 0, m.start()) + 1, kind, next(g for g in m.groups() if g)))
     starts.sort()
     last = text.count("\n") + 1
-    for (line, kind, name), after in zip(starts, [*(s[0] for s in starts[1:]), last + 1], strict=True):
+    for (line, kind, name), after in zip(starts, [*(s[0] for s in starts[1:]), last + 1], strict=False):  # none where nothing is defined
         if name not in KEYWORDS:
             nodes.append({"path": path, "kind": kind, "name": name, "start_line": line, "end_line": max(line, after - 1)})
             edges.append((path, "contains", name, None))

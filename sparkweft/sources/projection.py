@@ -80,7 +80,7 @@ RELATIONS = {
           || 'def f' || k || '(a, b=1):' || {_NL} || '    return f' || j || '(a)' || {_NL} || 'class C' || k || '(Base' || (k % 3) || '):' || {_NL} || '    q = "SELECT x FROM t' || k || ' JOIN t' || j || '"' || {_NL} END AS text FROM {_PARTS} p
         UNION ALL SELECT 'db/t' || k || '.sql', 'CREATE TABLE t' || k || ' (id int);' || CASE WHEN k % 10 = 0 THEN ' CREATE TABLE t' || (k + 1) || ' (id int);' WHEN k % 5 = 1 THEN ' ALTER TABLE t' || (k + 1) || ' ADD c int;' ELSE '' END FROM {_PARTS} p
         UNION ALL SELECT 'conf/e' || k || '.env', 'KEY_W' || k || '=1' || CASE WHEN k % 9 = 0 THEN {_NL} || 'KEY_W' || (k + 1) || '=2' ELSE '' END FROM {_PARTS} p
-        UNION ALL SELECT 'web/c' || page_id || '.ts', 'export function g' || page_id || '() {{ return fetch(`/api/items/' || (page_id % 20) || '/${{x}}`) }}' FROM pages
+        UNION ALL SELECT 'web/c' || page_id || '.ts', 'export function g' || page_id || '() {{ return fetch(`/api/items/' || (page_id % 20) || '/$' || '{{x}}`) }}' FROM pages
         UNION ALL SELECT DISTINCT 'srv/' || t || (page_id % 30) || '.py', '@app.get("/api/items/' || (page_id % 30) || '/{{id}}")' || {_NL} || 'def h' || (page_id % 30) || '(id):' || {_NL} || '    return 1' || {_NL} FROM pages CROSS JOIN (SELECT 's' AS t UNION ALL SELECT 'z') two WHERE t = 's' OR page_id % 30 % 4 = 0""",
     "go_file": f"SELECT {_GO} AS path FROM {_KNOWN} f",
     "go_import": f"""SELECT DISTINCT {_go("a.k", "a.r")} AS src, CASE b.o % 5 WHEN 0 THEN 'fmt' WHEN 1 THEN 'other.io/sub/m' || b.r WHEN 2 THEN 'other.io/zap' || b.k ELSE 'example.org/app/' || regexp_replace({_go("b.k", "b.r")}, '/[^/]*$', '') END AS module {_NEXT}""",

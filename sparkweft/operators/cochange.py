@@ -111,3 +111,28 @@ def pair_stats(pairs: DataFrame, counted: DataFrame, files: DataFrame, total: Da
     ranked = values.withColumns({"upto": up_to, "n": F.sum("k").over(Window.partitionBy("label"))})
     middle = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("lift")))
     return ranked.groupBy("label").agg(F.first("n").alias("n"), F.sum("ever").alias("ever"), middle.alias("median_lift"))
+
+
+def canonical_pairs(rows: DataFrame) -> DataFrame:
+    """Stored pairs (repo, path_a, path_b, co, n_a, n_b, n_total, strength, lift) from rows in any order and orientation, some repeated.
+
+    The smaller path comes first, with its own count. Of rows of one pair each count is the largest that any of them says, so a batch that comes
+    again or late changes nothing. Counts are at least 0, n_a and n_b at least co and n_total at least both; strength and lift follow from
+    them. Rows of one path with itself or without one are left out.
+    """
+    flip = F.col("path_a") > F.col("path_b")
+    one = rows.where("path_a <> path_b").select(
+        "repo", F.least("path_a", "path_b").alias("path_a"), F.greatest("path_a", "path_b").alias("path_b"), "co",
+        F.when(flip, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(flip, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"), "n_total",
+    )
+    most = lambda c, *least: F.greatest(F.coalesce(F.max(c), F.lit(0)), *[F.coalesce(F.max(x), F.lit(0)) for x in least], F.lit(0)).cast("long").alias(c)
+    out = one.groupBy("repo", "path_a", "path_b").agg(most("co"), most("n_a", "co"), most("n_b", "co"), most("n_total", "co", "n_a", "n_b"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    strength = F.greatest(ratio(F.col("co"), F.col("n_a")), ratio(F.col("co"), F.col("n_b")))
+    return out.withColumns({"strength": strength, "lift": ratio(F.col("co") * F.col("n_total"), F.col("n_a") * F.col("n_b"))})
+
+
+def seed_counters(pairs: DataFrame) -> DataFrame:
+    """(repo, path, n): each file's count as its stored pairs tell it, the largest that any of them has."""
+    side = lambda p, n: pairs.select("repo", F.col(p).alias("path"), F.col(n).alias("n"))
+    return side("path_a", "n_a").unionByName(side("path_b", "n_b")).groupBy("repo", "path").agg(F.max("n").alias("n"))

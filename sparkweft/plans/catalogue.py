@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from sparkweft.functions import vocabulary as v
 from sparkweft.functions.paths import dirname
 from sparkweft.operators import adjacency as adj
 from sparkweft.operators import cochange as cc
-from sparkweft.operators import compat, components, contention, contracts, evaluation, graph, landing, packages, resolve, routes, surfaces, validation
+from sparkweft.operators import compat, components, contention, contracts, evaluation, graph, landing, packages, resolve, routes, store, surfaces, validation
 from sparkweft.sources import build
 from sparkweft.sources.projection import relation, table, with_relations
 
@@ -144,6 +145,35 @@ def seen_commit_dedupe(spark, sf_dir):
     return cc.unseen(touch, touch.where("commit_id % 5 = 0")).select("commit_id", "path")
 
 
+STORED_SQL = f"""{BASKET_SQL}, batches AS (SELECT regexp_extract(path_a, 'm([0-9]+)/', 1) AS repo, path_a AS x, path_b AS y, co, n_a AS nx, n_b AS ny, n_total FROM scored WHERE co >= 2
+  UNION ALL SELECT regexp_extract(path_a, 'm([0-9]+)/', 1), path_b, path_a, co - 1, n_b, n_a - 1, n_total - 7 FROM scored WHERE co >= 2 UNION ALL SELECT regexp_extract(path_a, 'm([0-9]+)/', 1), path_b, path_a, co + 1, 0, 0, NULL FROM scored WHERE co >= 2 AND n_a % 5 = 0
+  UNION ALL SELECT 'x', path_a, path_a, co, n_a, n_b, n_total FROM scored),
+turned AS (SELECT repo, least(x, y) AS path_a, greatest(x, y) AS path_b, co, CASE WHEN x > y THEN ny ELSE nx END AS n_a, CASE WHEN x > y THEN nx ELSE ny END AS n_b, n_total FROM batches WHERE x <> y),
+stored AS (SELECT repo, path_a, path_b, max(co) AS co, greatest(max(n_a), max(co)) AS n_a, greatest(max(n_b), max(co)) AS n_b, greatest(max(n_total), max(co), max(n_a), max(n_b)) AS n_total FROM turned GROUP BY ALL)"""
+
+
+def _stored(r: Relations) -> DataFrame:
+    """Three batches of pairs, some turned round, late or with too small counts."""
+    pairs = _pairs(r, 1, 0.0)
+    repo = F.regexp_extract("path_a", "m([0-9]+)/", 1).alias("repo")
+    often = pairs.where("co >= 2")
+    first = often.select(repo, "path_a", "path_b", "co", "n_a", "n_b", "n_total")
+    late = often.select(repo, F.col("path_b").alias("path_a"), F.col("path_a").alias("path_b"), (F.col("co") - 1).alias("co"), F.col("n_b").alias("n_a"), (F.col("n_a") - 1).alias("n_b"), (F.col("n_total") - 7).alias("n_total"))
+    odd = often.where("n_a % 5 = 0").select(repo, F.col("path_b").alias("path_a"), F.col("path_a").alias("path_b"), (F.col("co") + 1).alias("co"), F.lit(0).cast("long").alias("n_a"), F.lit(0).cast("long").alias("n_b"), F.lit(None).cast("long").alias("n_total"))
+    same = pairs.select(F.lit("x").alias("repo"), "path_a", F.col("path_a").alias("path_b"), "co", "n_a", "n_b", "n_total")
+    return cc.canonical_pairs(odd.unionByName(late).unionByName(same).unionByName(first))
+
+
+@query(f"WITH {STORED_SQL} SELECT *, greatest(co / n_a, co / n_b) AS strength, (co * n_total) / (n_a * n_b) AS lift FROM stored")
+def cochange_store(spark, sf_dir):
+    return _stored(Relations(spark, sf_dir))
+
+
+@query(f"WITH {STORED_SQL} SELECT repo, path, max(n) AS n FROM (SELECT repo, path_a AS path, n_a AS n FROM stored UNION ALL SELECT repo, path_b, n_b FROM stored) GROUP BY ALL")
+def cochange_seed_counters(spark, sf_dir):
+    return cc.seed_counters(_stored(Relations(spark, sf_dir)))
+
+
 # ---- graph -----------------------------------------------------------------------------------------------------
 
 EDGES_SQL = "edges AS (SELECT src, dst, 'imports' AS kind, reference_status FROM import_edge UNION ALL SELECT src, dst, 'calls', reference_status FROM call_edge UNION ALL SELECT src, dst, kind, reference_status FROM resource_edge)"
@@ -1067,6 +1097,39 @@ def workspace_resolve(spark, sf_dir):
     return packages.workspace_imports(r.ws_import, r.ws_package, r.ws_file)
 
 
+# ---- graph store ------------------------------------------------------------------------------------------------
+
+PATCHED_SQL = """old AS (SELECT regexp_extract(src, 'm([0-9]+)/', 1) AS c, src, dst, 'imports' AS kind, reference_status FROM import_edge),
+one AS (SELECT * FROM old WHERE length(src) % 4 <> 0 AND length(dst) % 9 <> 0 AND length(src) % 9 <> 0 UNION ALL SELECT c, src, dst || '.new', kind, reference_status FROM old WHERE length(src) % 4 = 0 AND length(src) % 9 <> 0),
+two AS (SELECT * FROM one WHERE c::INT % 2 = 1 OR length(src) % 5 <> 0 UNION ALL SELECT c, src, dst || '.two', kind, reference_status FROM old WHERE c::INT % 2 = 0 AND length(src) % 5 = 0)"""
+
+
+@query(f"WITH {PATCHED_SQL} SELECT c AS coordinate, src, dst, kind, reference_status, (2 + CASE WHEN c::INT % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS revision FROM two")
+def graph_store_patches(spark, sf_dir):
+    """Every repository's graph ingested, an older one refused, patched, the patch sent again, one on a wrong base refused, and half of them patched again."""
+    repo = lambda c: F.regexp_extract(c, "m([0-9]+)/", 1).alias("coordinate")
+    edges = components.cut(Relations(spark, sf_dir).import_edge.select(repo("src"), "src", "dst", F.lit("imports").alias("kind"), "reference_status"))
+    nodes = edges.select("coordinate", F.col("src").alias("id"), F.col("src").alias("path")).distinct()
+    graphs = edges.select("coordinate").distinct()
+    at = lambda day: F.lit(f"2024-01-{day:02d}").cast("timestamp_ntz").alias("captured_at")
+    text = lambda x, name: F.lit(x).alias(name)
+    kept = store.GraphStore(spark, f"{components.cut_dir(spark)}/graphs-{uuid.uuid4().hex}")
+    kept.ingest(graphs.select("coordinate", text("c1", "commit"), at(2)), nodes, edges)
+    kept.ingest(graphs.select("coordinate", text("c0", "commit"), at(1)), nodes.limit(0), edges.limit(0))
+    length = F.length("src")
+    touched = nodes.select("coordinate", "path", (F.length("path") % 9 == 0).alias("removed")).where("length(path) % 4 = 0 or removed")
+    gone = edges.where("length(dst) % 9 = 0").select("coordinate", F.col("dst").alias("path"), F.lit(True).alias("removed"))
+    fresh = edges.where((length % 4 == 0) & (length % 9 != 0)).withColumn("dst", F.concat("dst", F.lit(".new")))
+    first = graphs.select("coordinate", text("c2", "commit"), at(3), text("c1", "base_commit"), F.lit(1).cast("long").alias("base_revision"))
+    for _ in range(2):
+        kept.patch(first, touched.unionByName(gone), nodes.where("length(path) % 4 = 0 and length(path) % 9 <> 0"), fresh)
+    kept.patch(first.withColumn("commit", F.lit("c9")), touched, nodes.limit(0), edges.limit(0))
+    fifth = nodes.where("length(path) % 5 = 0")
+    second = graphs.where("cast(coordinate as int) % 2 = 0").select("coordinate", text("c3", "commit"), at(4), text("c2", "base_commit"), F.lit(2).cast("long").alias("base_revision"))
+    kept.patch(second, fifth.select("coordinate", "path", F.lit(False).alias("removed")), fifth, edges.where(length % 5 == 0).withColumn("dst", F.concat("dst", F.lit(".two"))))
+    return kept.table("edge").join(kept.table("version").select("coordinate", "revision"), "coordinate").select("coordinate", "src", "dst", "kind", "reference_status", "revision")
+
+
 # ---- the whole graph of a tree ----------------------------------------------------------------------------------
 
 BUILD_SQL = """k AS (SELECT p_partkey AS k, p_partkey * 3 + 1 AS j, 'pkg' || (p_partkey % 7) || '/m' || p_partkey || '.py' AS path, p_partkey % 101 = 7 AS broken FROM part), py AS (SELECT * FROM k WHERE NOT broken),

@@ -58,11 +58,8 @@ class Level:
 
     def has(self, key: Column) -> Column:
         words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")  # one constant that all probes look into
-        tests = [F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in self.probes(key)]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
+        at = F.filter(F.array(*self.probes(key)), lambda p: F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 0)
+        return F.size(at) == 0
 
 
 class Cascade:
@@ -98,23 +95,39 @@ class Cascade:
             raise RuntimeError(f"{len(outside)} keys still pass after {max_levels} levels")
 
     def has(self, key: Column) -> Column:
-        """Whether key is listed; exact for keys of the universe."""
-        out = F.lit(len(self.levels) % 2 == 1)
-        for i in range(len(self.levels) - 1, -1, -1):
-            out = F.when(self.levels[i].has(key), out).otherwise(F.lit(i % 2 == 1))
-        return out
+        """Whether key is listed; exact for keys of the universe. The size of the expression depends on neither keys nor levels: all levels' words are one
+        constant, and one function walks over them."""
+        if not self.levels:
+            return F.lit(False)
+        words, about = [], []
+        for i, level in enumerate(self.levels):
+            about.append(F.struct(F.lit(i).alias("i"), F.lit(2 * level.seed).alias("seed"), F.lit(level.bits).cast("long").alias("bits"), F.lit(level.k).alias("k"), F.lit(64 * len(words)).cast("long").alias("start")))
+            words += level.words
+        table = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
 
+        def passes(level: Column) -> Column:
+            a, b = (F.shiftrightunsigned(F.xxhash64(key, level["seed"] + i), 33) for i in (0, 1))
 
-def _candidates(host: Column, path: Column, labels: list[int], prefixes: list[int]) -> list[Column]:
-    """Every key that a rule with such numbers of host labels and path characters could have to fit; null where too short."""
-    out = []
-    for n in labels:
-        # n labels of the host, or fewer where it is shorter; a shorter host is taken by another n
-        tail = F.substring_index(host, ".", -n)
-        right = (F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1 >= n) & (host != "")
-        for m in prefixes:
-            out.append(F.when(right & (F.length(path) >= m), F.concat(tail, F.substring(path, 1, m))))
-    return out
+            def set_at(i: Column) -> Column:
+                bit = level["start"] + F.pmod(a + b.bitwiseOR(F.lit(1)) * i, level["bits"])
+                return F.getbit(F.get(table, F.shiftright(bit, 6).cast("int")), (bit % 64).cast("int")) == 1
+
+            return F.forall(F.sequence(F.lit(0), level["k"] - 1), set_at)
+
+        stops = F.array_min(F.transform(F.filter(F.array(*about), lambda level: ~passes(level)), lambda level: level["i"]))
+        return F.coalesce(stops, F.lit(len(self.levels))) % 2 == 1
+
+
+def _candidates(host: Column, path: Column, labels: list[int], prefixes: list[int]) -> Column:
+    """All keys that a rule with such numbers of host labels and path characters could have to fit."""
+    have = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+    def of_host(n: Column) -> Column:
+        # n labels of the host; a shorter host is taken by another n
+        key = lambda m: F.when((have >= n) & (host != "") & (F.length(path) >= m), F.concat(F.call_function("substring_index", host, F.lit("."), -n), F.substring(path, F.lit(1), m)))
+        return F.transform(F.array(*[F.lit(m) for m in prefixes]), key)
+
+    return F.filter(F.flatten(F.transform(F.array(*[F.lit(n) for n in labels]), of_host)), lambda k: k.isNotNull())
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", url_col: str = "url") -> DataFrame:
@@ -130,17 +143,13 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
     labels = sorted({h.count(".") + 1 for h, _, _ in rules})
     prefixes = sorted({len(p) for _, p, _ in rules})
     parsed = pages.withColumns({"host": host_of(F.col(url_col).cast("string")), "path": path_of(F.col(url_col).cast("string"))})
-    candidates = _candidates(F.col("host"), F.col("path"), labels, prefixes)
-    if not candidates:
+    if not rules:
         return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    universe = parsed.select(F.explode(F.array(*candidates)).alias("key")).where("key is not null")
+    best, tries = free_names(parsed, "best", "tries")
+    tried = parsed.withColumn(tries, _candidates(F.col("host"), F.col("path"), labels, prefixes))
+    universe = tried.select(F.explode(tries).alias("key"))
     n = universe.count()
     cascades = {v: Cascade(universe, k, n) for v, k in keys.items()}
-    hits = []
-    for key in candidates:
-        for verdict in ("block", "allow"):
-            if cascades[verdict].levels:
-                hits.append(F.when(key.isNotNull() & cascades[verdict].has(key), F.struct(F.length(key).alias("n"), F.lit(verdict == "block").alias("first"), key.alias("rule"), F.lit(verdict).alias("verdict"))))
-    (best,) = free_names(parsed, "best")
-    marked = parsed.withColumn(best, F.greatest(*hits) if len(hits) > 1 else hits[0])
-    return marked.withColumns({"rule": F.col(f"{best}.rule"), "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(default))}).drop(best)
+    hit = lambda v: F.transform(F.filter(tries, cascades[v].has), lambda key: F.struct(F.length(key).alias("n"), F.lit(v == "block").alias("first"), key.alias("rule"), F.lit(v).alias("verdict")))
+    marked = tried.withColumn(best, F.array_max(F.concat(hit("block"), hit("allow"))))
+    return marked.withColumns({"rule": F.col(f"{best}.rule"), "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(default))}).drop(best, tries)

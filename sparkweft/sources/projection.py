@@ -46,13 +46,13 @@ _CLAIMS = f"""SELECT event_id AS claim_id, 'r' || r AS repo, path, change_id, ag
 
 
 def _go(k: str, r: str) -> str:
-    """A Go file: directories nest, and some short ones are endings of others."""
-    return f"('internal/g' || ({k} % 300) || '/' || CASE WHEN {k} % 4 = 0 THEN 'sub/' ELSE '' END || 'm' || {r} || '/f' || {k} || CASE WHEN {k} % 7 = 0 THEN '_test.go' ELSE '.go' END)"
+    """A Go file: packages of a few files, so that their number grows with the table; directories nest, and some short ones are endings of others."""
+    return f"('internal/g' || cast(floor({k} / 7) as bigint) || '/' || CASE WHEN {k} % 4 = 0 THEN 'sub/' ELSE '' END || 'm' || {r} || '/f' || {k} || CASE WHEN {k} % 7 = 0 THEN '_test.go' ELSE '.go' END)"
 
 
 def _cs(k: str, r: str) -> str:
     """A C# file: a third lie in directories of one name in several projects, some in tests."""
-    return f"(CASE WHEN {k} % 3 = 0 THEN 'P' || {r} || '/Old/G' || ({k} % 90) WHEN {k} % 11 = 0 THEN 'Acme.M' || {r} || '/Tests/G' || ({k} % 40) ELSE 'Acme.M' || {r} || '/G' || ({k} % 40) END || '/T' || {k} || '.cs')"
+    return f"(CASE WHEN {k} % 3 = 0 THEN 'P' || {r} || '/Old/G' || cast(floor({k} / 30) as bigint) WHEN {k} % 11 = 0 THEN 'Acme.M' || {r} || '/Tests/G' || cast(floor({k} / 10) as bigint) ELSE 'Acme.M' || {r} || '/G' || cast(floor({k} / 10) as bigint) END || '/T' || {k} || '.cs')"
 
 
 def _ws(k: str, r: str) -> str:
@@ -62,7 +62,7 @@ def _ws(k: str, r: str) -> str:
 
 _NL = "chr(10)"
 _PARTS = "(SELECT p_partkey AS k, p_partkey * 3 + 1 AS j FROM part)"
-_GO = f"CASE WHEN k % 50 = 2 THEN 'sub/m' || r || '/f' || k || '.go' ELSE {_go('k', 'r')} END"
+_GO = f"CASE WHEN k IN (2, 52) THEN 'sub/m' || r || '/f' || k || '.go' ELSE {_go('k', 'r')} END"
 
 RELATIONS = {
     "touch": f"""SELECT o AS commit_id, o_orderdate AS ts, path FROM (SELECT o, {path_sql("k", "r")} AS path FROM {_LINE} l UNION SELECT o, {path_sql(_BASE, "r")} FROM {_LINE} l WHERE n % 2 = 0) t JOIN orders ON o = o_orderkey""",
@@ -85,7 +85,7 @@ RELATIONS = {
     "go_file": f"SELECT {_GO} AS path FROM {_KNOWN} f",
     "go_import": f"""SELECT DISTINCT {_go("a.k", "a.r")} AS src, CASE b.o % 5 WHEN 0 THEN 'fmt' WHEN 1 THEN 'other.io/sub/m' || b.r WHEN 2 THEN 'other.io/zap' || b.k ELSE 'example.org/app/' || regexp_replace({_go("b.k", "b.r")}, '/[^/]*$', '') END AS module {_NEXT}""",
     "cs_file": f"SELECT {_cs('k', 'r')} AS path FROM {_KNOWN} f",
-    "cs_import": f"""SELECT DISTINCT {_cs("a.k", "a.r")} AS src, CASE b.o % 5 WHEN 0 THEN 'System' WHEN 1 THEN 'Old.G' || (b.k % 90) WHEN 2 THEN 'Newtonsoft.J' || b.k ELSE replace(regexp_replace({_cs("b.k", "b.r")}, CASE WHEN b.o % 2 = 0 THEN '/[^/]*$' ELSE '[.]cs$' END, ''), '/', '.') END AS module {_NEXT}""",
+    "cs_import": f"""SELECT DISTINCT {_cs("a.k", "a.r")} AS src, CASE b.o % 5 WHEN 0 THEN 'System' WHEN 1 THEN 'Old.G' || cast(floor(b.k / 30) as bigint) WHEN 2 THEN 'Newtonsoft.J' || b.k ELSE replace(regexp_replace({_cs("b.k", "b.r")}, CASE WHEN b.o % 2 = 0 THEN '/[^/]*$' ELSE '[.]cs$' END, ''), '/', '.') END AS module {_NEXT}""",
     "ws_package": f"SELECT DISTINCT '@s' || r || '/p' || (k % 50) || t AS name, 'packages/m' || r || '/p' || (k % 50) || t AS root FROM {_KNOWN} f CROSS JOIN (SELECT '' AS t UNION ALL SELECT '/deep') two WHERE t = '' OR k % 50 % 3 = 0",
     "ws_file": f"SELECT DISTINCT {_ws('k', 'r')} AS path FROM {_KNOWN} f UNION SELECT 'packages/m' || r || '/p' || (k % 50) || CASE WHEN k % 2 = 0 THEN '/src' ELSE '' END || '/index.ts' FROM {_KNOWN} f WHERE k % 50 < 40",
     "ws_import": f"""SELECT DISTINCT {_ws("a.k", "a.r")} AS src, CASE b.o % 6 WHEN 0 THEN '@babel/core' WHEN 1 THEN '@s' || b.r || '/p' || (b.k % 50) WHEN 2 THEN '@s' || b.r || '/p' || (b.k % 50) || '/none' || b.k

@@ -42,3 +42,13 @@ def normalize_parts(path: Column) -> Column:
         )
 
     return F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/")
+
+
+def module_stem(module: Column) -> Column:
+    """A dotted module as a path without its ending."""
+    return F.translate(module, ".", "/")
+
+
+def path_stem(path: Column) -> Column:
+    """The path under which a module finds a file: without its ending, a package's file by its directory."""
+    return F.regexp_replace(path, r"(/__init__)?[.]py$", "")

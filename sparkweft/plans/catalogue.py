@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.functions import vocabulary as v
-from sparkweft.functions.paths import dirname
+from sparkweft.functions.paths import dirname, module_stem, path_stem
 from sparkweft.operators import adjacency as adj
 from sparkweft.operators import cochange as cc
 from sparkweft.operators import compat, components, contention, contracts, evaluation, graph, landing, packages, resolve, routes, store, surfaces, validation
-from sparkweft.sources import build
+from sparkweft.sources import build, calls
 from sparkweft.sources.projection import relation, table, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -722,8 +722,9 @@ POINTS_SQL = "SELECT p_partkey AS qual, nullif(p_partkey % 4, 3) AS head_a, null
 
 
 @query(
-    f"""SELECT qual, CASE WHEN head_a IS NOT DISTINCT FROM head_b OR (base_a IS NULL AND base_b IS NULL AND (head_a IS NULL OR head_b IS NULL)) THEN NULL WHEN base_a IS DISTINCT FROM base_b THEN 'unknown_baseline'
-    WHEN head_a IS DISTINCT FROM base_a AND head_b IS DISTINCT FROM base_b THEN 'divergent_definitions' WHEN head_a IS DISTINCT FROM base_a THEN 'contract_delta:a' WHEN head_b IS DISTINCT FROM base_b THEN 'contract_delta:b' ELSE 'rebase_needed' END AS claim FROM ({POINTS_SQL})"""
+    f"""SELECT qual, CASE WHEN head_a IS NOT DISTINCT FROM head_b THEN NULL WHEN head_a IS DISTINCT FROM base_a AND head_b IS DISTINCT FROM base_b THEN 'divergent_definitions'
+    WHEN head_a IS NOT DISTINCT FROM base_a AND head_b IS NOT DISTINCT FROM base_b THEN 'rebase_needed' WHEN base_a IS DISTINCT FROM base_b THEN 'unknown_baseline' WHEN base_a IS NULL THEN NULL
+    WHEN head_a IS DISTINCT FROM base_a THEN 'contract_delta:a' ELSE 'contract_delta:b' END AS claim FROM ({POINTS_SQL})"""
 )
 def pair_classification(spark, sf_dir):
     rows = spark.sql(POINTS_SQL.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
@@ -735,6 +736,102 @@ def finding_fingerprints(spark, sf_dir):
     return Relations(spark, sf_dir).claim.select("claim_id", compat.finding_fingerprint(F.col("base_hash"), F.col("change_id"), F.col("path")).alias("fingerprint"))
 
 
+# ---- compatibility of open changes: what their Python files define, import and call ------------------------------
+
+
+def _facts(rows: DataFrame, version: str) -> DataFrame:
+    parts = rows.sparkSession.sparkContext.defaultParallelism  # parsing takes far longer than so few bytes suggest
+    return components.cut(calls.python_facts(rows.withColumn("version", F.col(version)).repartition(parts, "version", "path")))
+
+
+class Compat:
+    """The facts of all changed files and baselines, and the candidate pairs, each worked out once."""
+
+    def __init__(self, spark, sf_dir):
+        r = Relations(spark, sf_dir)
+        self.touched = components.cut(r.changed_file.select("repo", "change_id", "base", "path", "text"))
+        self.heads = _facts(self.touched, "change_id")
+        self.based = r.based_file
+        self.lost = self.heads.where("fact = 'lost'").select("version", "path")
+        self.calls = self.heads.where("fact = 'call'").select(F.col("version").alias("change_id"), "path", "call.*")
+
+    def pairs(self) -> DataFrame:
+        self.bases = _facts(self.based, "base")
+        stems = self.based.where("base = 'b0'").select("path", path_stem(F.col("path")).alias("stem"))
+        loads = lambda f: f.where("fact = 'import'").select("version", "path", module_stem(F.col("name")).alias("stem"))
+        links = loads(self.bases.where("version = 'b0'")).join(stems.withColumnRenamed("path", "imported"), "stem").where("path <> imported").select("imported", F.col("path").alias("importer")).distinct()
+        impact = self.touched.join(links, F.col("path") == F.col("imported")).select("change_id", F.col("importer").alias("path"))
+        imports = loads(self.heads).select(F.col("version").alias("change_id"), "stem")
+        return compat.candidate_pairs(self.touched, impact, imports)
+
+    def points(self) -> DataFrame:
+        pairs = self.pairs()
+        both = self.heads.unionByName(self.bases)
+        shapes = both.where("fact = 'shape'").select("version", "path", F.col("name").alias("qual"), "shape")
+        return compat.contract_points(pairs, self.touched, self.touched.select("change_id", "base").distinct(), shapes, both.where("fact = 'lost'").select("version", "path"))
+
+
+SIDES_SQL = """heads AS (SELECT repo, change_id, base, path, f, j, v, s, path LIKE '%.py' AND text IS NOT NULL AND lost = 1 AS lost, path LIKE '%.py' AND text IS NOT NULL AND lost = 0 AS read, text IS NULL AS gone FROM changed_file),
+py AS (SELECT * FROM heads WHERE path LIKE '%.py'), pull AS (SELECT * FROM heads WHERE change_id LIKE 'PR-%'),
+near AS (SELECT DISTINCT h.repo, h.change_id, b.path FROM py h JOIN based_file b ON b.repo = h.repo AND b.j = h.f AND b.f <> h.f WHERE b.base = 'b0' AND b.path LIKE '%.py'),
+ways AS (SELECT a.change_id AS acting, b.change_id AS sibling, 1 AS rank, a.path, NULL AS owner FROM py a JOIN pull b ON a.repo = b.repo AND a.path = b.path
+  UNION SELECT a.change_id, b.change_id, 2, NULL, a.change_id FROM near a JOIN pull b ON a.repo = b.repo AND a.path = b.path
+  UNION SELECT a.change_id, b.change_id, 2, NULL, b.change_id FROM heads a JOIN near b ON a.repo = b.repo AND a.path = b.path WHERE b.change_id LIKE 'PR-%'
+  UNION SELECT a.change_id, b.change_id, 3, b.path, NULL FROM py a JOIN pull b ON a.repo = b.repo AND a.j = b.f WHERE a.read AND b.path LIKE '%.py'
+  UNION SELECT a.change_id, b.change_id, 4, a.path, NULL FROM py a JOIN pull b ON a.repo = b.repo AND b.j = a.f WHERE b.read),
+offered AS (SELECT acting, sibling, rank, coalesce(w.path, p.path) AS path FROM ways w LEFT JOIN py p ON p.change_id = w.owner WHERE acting <> sibling AND coalesce(w.path, p.path) IS NOT NULL),
+paired AS (SELECT DISTINCT acting, sibling, rank, path, CASE rank WHEN 1 THEN 'shared' WHEN 2 THEN 'main_graph' ELSE 'import_scan' END AS via FROM offered QUALIFY rank = min(rank) OVER (PARTITION BY acting, sibling)),
+named AS (SELECT DISTINCT change_id, base FROM heads), places AS (SELECT DISTINCT acting, sibling, via, path FROM paired),
+four AS (SELECT p.*, a.base AS base_a, b.base AS base_b, x.v AS va, y.v AS vb, x.gone AS gone_a, y.gone AS gone_b, cast(regexp_extract(p.path, 'f([0-9]+)[.]', 1) AS int) % 2 = 0 AS even
+  FROM places p JOIN named a ON a.change_id = acting JOIN named b ON b.change_id = sibling LEFT JOIN heads x ON x.change_id = acting AND x.path = p.path LEFT JOIN heads y ON y.change_id = sibling AND y.path = p.path WHERE NOT coalesce(x.lost, false) AND NOT coalesce(y.lost, false)),
+runs AS (SELECT *, CASE WHEN base_a = 'b1' AND even THEN 'ab' ELSE 'ab?' END AS ra, CASE WHEN base_b = 'b1' AND even THEN 'ab' ELSE 'ab?' END AS rb FROM four),
+marks AS (SELECT acting, sibling, via, path, 'run' AS qual, ra AS ba, rb AS bb, CASE WHEN gone_a THEN NULL ELSE CASE va WHEN 1 THEN 'abc' WHEN 2 THEN NULL WHEN 3 THEN 'a*m' WHEN 4 THEN 'ab?' ELSE ra END END AS ha, CASE WHEN gone_b THEN NULL ELSE CASE vb WHEN 1 THEN 'abc' WHEN 2 THEN NULL WHEN 3 THEN 'a*m' WHEN 4 THEN 'ab?' ELSE rb END END AS hb FROM runs
+  UNION ALL SELECT acting, sibling, via, path, 'C.make', 'sa', 'sa', CASE WHEN gone_a THEN NULL WHEN va = 4 THEN 'sab' ELSE 'sa' END, CASE WHEN gone_b THEN NULL WHEN vb = 4 THEN 'sab' ELSE 'sa' END FROM runs),
+claimed AS (SELECT *, CASE WHEN ha IS NOT DISTINCT FROM hb THEN NULL WHEN ha IS DISTINCT FROM ba AND hb IS DISTINCT FROM bb THEN 'divergent_definitions' WHEN ha IS NOT DISTINCT FROM ba AND hb IS NOT DISTINCT FROM bb THEN 'rebase_needed'
+  WHEN ba <> bb THEN 'unknown_baseline' WHEN ha IS DISTINCT FROM ba THEN 'contract_delta:a' ELSE 'contract_delta:b' END AS claim FROM marks)"""
+
+
+@query(
+    """WITH way AS (SELECT * FROM (VALUES (0, '', 'run', 2, '', false), (1, '', 'run', 1, 'b', false), (2, '', 'run', 0, '', true), (3, '', 'run', 1, '', false), (4, '.C', 'make', 2, '', false), (4, '', 'C.make', 2, '', false)) t(s, tail, qual, "positional", keywords, starred))
+    SELECT change_id, path, repo || '.d' || (j % 7) || '.f' || j || tail AS module, qual, "positional", keywords, starred FROM changed_file JOIN way USING (s) WHERE path LIKE '%.py' AND text IS NOT NULL AND lost = 0"""
+)
+def call_expectations(spark, sf_dir):
+    return Compat(spark, sf_dir).calls.select("change_id", "path", "module", "qual", "positional", F.array_join("keywords", ",").alias("keywords"), "starred")
+
+
+@query(f"WITH {SIDES_SQL} SELECT acting, sibling, via, path FROM places")
+def compat_candidates(spark, sf_dir):
+    return Compat(spark, sf_dir).pairs().select("acting", "sibling", "via", "path").distinct()
+
+
+@query(
+    f"""WITH {SIDES_SQL}, lame AS (SELECT change_id, repo, bool_or(lost) AS lost FROM heads GROUP BY ALL), size AS (SELECT repo, count(*) FILTER (WHERE change_id LIKE 'PR-%') AS pulls, count(*) FILTER (WHERE change_id LIKE 'PR-%' AND lost) AS bad FROM lame GROUP BY repo),
+    each AS (SELECT acting, sibling, via, rank FROM paired GROUP BY ALL), sums AS (SELECT acting, count(*) FILTER (WHERE via = 'shared') AS shared, count(*) FILTER (WHERE via = 'main_graph') AS main_graph, count(*) FILTER (WHERE via = 'import_scan') AS import_scan, count(*) FILTER (WHERE lost AND rank < 4) AS settled FROM each JOIN lame ON sibling = change_id GROUP BY acting),
+    told AS (SELECT change_id, coalesce(shared, 0) AS shared, coalesce(main_graph, 0) AS main_graph, coalesce(import_scan, 0) AS import_scan, CASE WHEN lost THEN pulls - (change_id LIKE 'PR-%')::INT - coalesce(shared, 0) - coalesce(main_graph, 0) ELSE bad - coalesce(settled, 0) END AS unknown FROM lame JOIN size USING (repo) LEFT JOIN sums ON acting = change_id)
+    SELECT *, unknown = 0 AS complete FROM told"""
+)
+def compat_candidacy(spark, sf_dir):
+    c = Compat(spark, sf_dir)
+    return compat.candidacy(c.touched, c.pairs(), c.lost.select(F.col("version").alias("change_id")))
+
+
+@query(f"WITH {SIDES_SQL} SELECT acting, sibling, via, path, qual, claim FROM claimed WHERE claim IS NOT NULL")
+def compat_claims(spark, sf_dir):
+    return Compat(spark, sf_dir).points().select("acting", "sibling", "via", "path", "qual", "claim")
+
+
+@query(
+    f"""WITH {SIDES_SQL}, deltas AS (SELECT acting, sibling, path, qual, CASE WHEN claim = 'contract_delta:a' THEN acting ELSE sibling END AS producer, CASE WHEN claim = 'contract_delta:a' THEN sibling ELSE acting END AS consumer, ba AS old, CASE WHEN claim = 'contract_delta:a' THEN ha ELSE hb END AS new FROM claimed WHERE claim LIKE 'contract_delta:%')
+    SELECT DISTINCT acting, sibling, d.path, qual, producer, consumer, CASE WHEN new IS NULL THEN 'callee_removed' WHEN new = 'a*m' THEN 'missing_required_kwonly' ELSE 'positional_shortfall' END AS mismatch
+    FROM deltas d JOIN heads h ON h.change_id = consumer AND h.read AND d.path = h.repo || '/d' || (h.j % 7) || '/f' || h.j || '.py' AND qual = CASE WHEN s = 4 THEN 'C.make' ELSE 'run' END
+    WHERE new IS NULL OR (s <> 2 AND (new = 'a*m' OR new = 'sab' OR (new = 'abc' AND (old = 'ab?' OR s <> 3))))"""
+)
+def consumer_mismatches(spark, sf_dir):
+    c = Compat(spark, sf_dir)
+    used = c.calls.select("change_id", module_stem(F.col("module")).alias("stem"), "qual", "positional", "keywords", "starred")
+    return compat.consumer_mismatches(c.points(), used)
+
+
 # ---- event log -------------------------------------------------------------------------------------------------
 
 WITHIN = "occurred_at > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL {0} DAY AND occurred_at <= TIMESTAMP '2024-01-31 00:00:00'"

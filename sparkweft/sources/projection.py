@@ -64,7 +64,30 @@ _NL = "chr(10)"
 _PARTS = "(SELECT p_partkey AS k, p_partkey * 3 + 1 AS j FROM part)"
 _GO = f"CASE WHEN k IN (2, 52) THEN 'sub/m' || r || '/f' || k || '.go' ELSE {_go('k', 'r')} END"
 
+#: Changes of lines of an order, in repositories of twenty orders with a hundred files each; the repository's graph is that of baseline b0.
+_CHANGED = """(SELECT *, CASE WHEN f % 10 = 3 THEN '.md' ELSE '.py' END AS ending, CASE WHEN v = 5 THEN (f * 7 + 11) % 100 ELSE cast(floor(f / 3) as bigint) END AS j FROM (
+    SELECT CASE WHEN o % 9 = 0 THEN 'BR-' ELSE 'PR-' END || o AS change_id, cast(floor(o / 20) as bigint) AS w, CASE WHEN o % 8 = 7 THEN 'b1' ELSE 'b0' END AS base, k % 100 AS f, min((o + n) % 6) AS v, min((o * 3 + n) % 5) AS s, max(CASE WHEN (o + k) % 97 = 0 THEN 1 ELSE 0 END) AS lost
+    FROM (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS k FROM lineitem) l GROUP BY ALL) c)"""
+_BASED = """(SELECT w, f, base, ending, cast(floor(f / 3) as bigint) AS j, f % 5 AS s FROM (SELECT DISTINCT w, f, ending FROM {0} c) d CROSS JOIN (SELECT 'b0' AS base UNION ALL SELECT 'b1') two)""".format(_CHANGED)
+
+
+def _module(k: str, sep: str) -> str:
+    return f"'w' || w || '{sep}d' || ({k} % 7) || '{sep}f' || {k}"
+
+
+def _python(run: str, make: str) -> str:
+    """A file that imports module j, defines C.make and mostly a function run, and calls what it imported in the way s."""
+    call = f"CASE s WHEN 0 THEN 'go(1, 2)' WHEN 1 THEN 'go(1, b=2)' WHEN 2 THEN 'go(*[1])' WHEN 3 THEN {_module('j', '.')} || '.run(1)' ELSE 'K.make(1, 2)' END"
+    return f"""'from ' || {_module("j", ".")} || ' import run as go, C as K' || chr(10) || 'import ' || {_module("j", ".")} || chr(10) || 'class C:' || chr(10) || '    def make(self, a' || {make} || '): pass' || chr(10) || {run} || chr(10) || '    ' || {call} || chr(10)"""
+
+
+_RUN_BASE = "CASE WHEN base = 'b1' AND f % 2 = 0 THEN 'def run(a, b):' ELSE 'def run(a, b=1):' END"
+_RUN_HEAD = f"CASE v WHEN 1 THEN 'def run(a, b, c):' WHEN 2 THEN 'if True:' WHEN 3 THEN 'def run(a, *, mode):' WHEN 4 THEN 'def run(a, b=1):' ELSE {_RUN_BASE} END"
+_CHANGED_PATH = f"{_module('f', '/')} || ending"
+
 RELATIONS = {
+    "changed_file": f"SELECT 'w' || w AS repo, change_id, base, {_CHANGED_PATH} AS path, f, j, v, s, lost, CASE WHEN v = 2 AND f % 20 = 0 THEN cast(NULL as varchar(1)) WHEN lost = 1 THEN 'def (' ELSE {_python(_RUN_HEAD, "CASE WHEN v = 4 THEN ', b' ELSE '' END")} END AS text FROM {_CHANGED} c",
+    "based_file": f"SELECT 'w' || w AS repo, base, {_CHANGED_PATH} AS path, f, j, s, {_python(_RUN_BASE, chr(39) * 2)} AS text FROM {_BASED} b",
     "touch": f"""SELECT o AS commit_id, o_orderdate AS ts, path FROM (SELECT o, {path_sql("k", "r")} AS path FROM {_LINE} l UNION SELECT o, {path_sql(_BASE, "r")} FROM {_LINE} l WHERE n % 2 = 0) t JOIN orders ON o = o_orderkey""",
     "file_node": f"SELECT {path_sql('k', 'r')} AS path, CASE k % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' ELSE 'go' END AS language, p_size * 20 AS loc, p_size % 17 = 0 AS generated, CASE WHEN r % 3 = 0 AND k % 97 = 0 THEN 'incomplete' WHEN r % 3 = 0 AND k % 89 = 0 THEN 'failed' WHEN k % 83 = 0 THEN 'ambiguous' END AS analysis_status FROM {_KNOWN} f",
     "symbol_node": f"""SELECT {path_sql("k", "r")} AS path, {name_sql("k", "r", "p_name")} || t AS name, CASE WHEN k % 4 = 0 THEN 'class' ELSE 'def' END AS kind, cast(CASE WHEN t = '' THEN 1 ELSE 13 END + p_size % 20 as bigint) AS start_line,

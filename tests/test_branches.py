@@ -26,6 +26,11 @@ CASES = {
     "units_components": ("SELECT premium_capped FROM t", {True, False}),
     "stalled_work": ("SELECT why FROM t", {"abandoned", "starved"}),
     "corroborated_dampened": ("SELECT corroborated FROM t", {True, False}),
+    "pair_classification": ("SELECT claim FROM t", {"divergent_definitions", "rebase_needed", "unknown_baseline", "contract_delta:a", "contract_delta:b", None}),
+    "compat_candidates": ("SELECT via FROM t", {"shared", "main_graph", "import_scan"}),
+    "compat_candidacy": ("SELECT complete FROM t", {True, False}),
+    "compat_claims": ("SELECT claim FROM t", {"divergent_definitions", "rebase_needed", "unknown_baseline", "contract_delta:a", "contract_delta:b"}),
+    "consumer_mismatches": ("SELECT mismatch FROM t", {"callee_removed", "positional_shortfall", "missing_required_kwonly"}),
     "shape_compare": ("SELECT compat_result FROM t", {"compatible", "unknown", "risky", "breaking"}),
 }
 LEAST = {"inflight_loss_promoted": 5, "cochange_default_floors": 50, "cluster_rollup": 10, "conflict_points": 20, "dampened_pairs": 500, "hub_files": 50, "resource_hubs": 50, "cross_repo_contracts": 100, "graph_blind_pairs": 1000}

@@ -12,7 +12,7 @@ from sparkweft.functions import vocabulary as v
 from sparkweft.functions.paths import dirname, module_stem, path_stem
 from sparkweft.operators import adjacency as adj
 from sparkweft.operators import cochange as cc
-from sparkweft.operators import compat, components, contention, contracts, evaluation, graph, landing, packages, resolve, routes, store, surfaces, validation
+from sparkweft.operators import compat, components, contention, contracts, evaluation, funnel, graph, landing, packages, resolve, routes, store, surfaces, validation
 from sparkweft.sources import build, calls
 from sparkweft.sources.projection import relation, table, with_relations
 
@@ -961,6 +961,53 @@ def activation_latency_percentiles(spark, sf_dir):
     return surfaces.activation_latency(Relations(spark, sf_dir).event_log)
 
 
+STAGES_SQL = """living AS (SELECT account, min(created_at) AS installed_at FROM install WHERE NOT revoked GROUP BY account),
+started AS (SELECT account, repo, max(activated_at) AS start FROM activation GROUP BY ALL),
+fenced AS (SELECT c.* FROM act c LEFT JOIN started s USING (account, repo) WHERE NOT EXISTS (SELECT 1 FROM tombstone t WHERE t.account = c.account AND t.repo = c.repo) AND (start IS NULL OR acted_at >= start)),
+moved AS (SELECT * FROM fenced WHERE kind IN ('warn_issued', 'collision_held') OR (kind = 'claim' AND change_id LIKE 'PR-%')),
+ones AS (SELECT account, repo, min(acted_at) AS one FROM moved GROUP BY ALL), twos AS (SELECT m.account, m.repo, min(m.acted_at) AS two FROM moved m JOIN ones o ON m.account = o.account AND m.repo = o.repo AND m.acted_at > o.one GROUP BY ALL),
+back AS (SELECT DISTINCT account FROM ones JOIN twos USING (account, repo) WHERE two <= one + INTERVAL 7 DAY), span AS (SELECT account, min(acted_at) AS first_at, max(acted_at) AS last_at FROM moved GROUP BY account),
+prs AS (SELECT account, min(acted_at) AS first_pr FROM fenced WHERE kind = 'claim' AND change_id LIKE 'PR-%' GROUP BY account), sigs AS (SELECT account, count(*) FILTER (WHERE kind = 'warn_issued') AS warns, count(*) FILTER (WHERE kind = 'collision_held') AS serializes FROM moved GROUP BY account),
+checks AS (SELECT account, acted_at AS first_check, CASE WHEN detail IN ('clear', 'heads_up', 'wait_in_line', 'paused') THEN detail ELSE 'unknown' END AS signal FROM fenced WHERE kind = 'check_published' AND change_id LIKE 'PR-%' QUALIFY row_number() OVER (PARTITION BY account ORDER BY acted_at, coalesce(detail, '')) = 1),
+stage AS (SELECT account, installed_at, EXISTS (SELECT 1 FROM activation v WHERE v.account = living.account AND NOT EXISTS (SELECT 1 FROM tombstone t WHERE t.account = v.account AND t.repo = v.repo)) AS selected, first_pr, first_check, signal, coalesce(warns, 0) AS warns, coalesce(serializes, 0) AS serializes,
+  account IN (SELECT account FROM back) AS repeated, first_at, last_at, greatest(epoch(first_pr) - epoch(installed_at), 0)::BIGINT AS to_pr, greatest(epoch(first_check) - epoch(installed_at), 0)::BIGINT AS to_check, greatest(epoch(first_check) - epoch(first_pr), 0)::BIGINT AS pr_to_check
+  FROM living LEFT JOIN prs USING (account) LEFT JOIN checks USING (account) LEFT JOIN sigs USING (account) LEFT JOIN span USING (account)),
+gaps AS (SELECT * REPLACE (CASE WHEN first_pr IS NULL THEN NULL ELSE to_pr END AS to_pr, CASE WHEN first_check IS NULL THEN NULL ELSE to_check END AS to_check, CASE WHEN first_pr IS NULL OR first_check IS NULL THEN NULL ELSE pr_to_check END AS pr_to_check) FROM stage)"""
+LATENCY_SQL = ", ".join(f"count({c}) AS {c}_n, round(quantile_cont({c}::DOUBLE, 0.5))::BIGINT AS {c}_p50, round(quantile_cont({c}::DOUBLE, 0.9))::BIGINT AS {c}_p90" for c in ("to_pr", "to_check", "pr_to_check"))
+
+
+def _stages(r: Relations) -> DataFrame:
+    return components.cut(funnel.activation_stages(r.install, r.activation, r.tombstone, r.act))
+
+
+@query(f"WITH {STAGES_SQL} SELECT * FROM gaps")
+def activation_stages(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return funnel.activation_stages(r.install, r.activation, r.tombstone, r.act)
+
+
+@query(
+    f"""WITH {STAGES_SQL} SELECT (SELECT count(*) FROM install) AS installs_total, (SELECT count(*) FROM install WHERE NOT revoked) AS installs_live, count(*) AS live_accounts, count(*) FILTER (WHERE account NOT IN (SELECT account FROM own_account)) AS external_accounts,
+    count(*) FILTER (WHERE account IN (SELECT account FROM own_account)) AS owner_accounts, count(*) FILTER (WHERE selected) AS a2_selected_repo, count(first_pr) AS a3_first_pr, count(first_check) AS a4_first_check, count(*) FILTER (WHERE warns + serializes > 0) AS a5_first_signal,
+    count(*) FILTER (WHERE repeated) AS a9_repeat_7d, count(*) FILTER (WHERE signal = 'clear') AS a4_clear, count(*) FILTER (WHERE signal = 'heads_up') AS a4_heads_up, count(*) FILTER (WHERE signal = 'wait_in_line') AS a4_wait_in_line, count(*) FILTER (WHERE signal = 'paused') AS a4_paused,
+    count(*) FILTER (WHERE signal = 'unknown') AS a4_unknown, sum(warns)::BIGINT AS warns, sum(serializes)::BIGINT AS serializes, {LATENCY_SQL}, count(*) FILTER (WHERE to_pr < 3600) AS under_1h, count(*) FILTER (WHERE to_pr >= 3600 AND to_pr < 86400) AS h1_to_1d,
+    count(*) FILTER (WHERE to_pr >= 86400 AND to_pr < 604800) AS d1_to_7d, count(*) FILTER (WHERE to_pr >= 604800) AS over_7d, min(first_at) AS first_at, max(last_at) AS last_at FROM gaps"""
+)
+def activation_funnel(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return funnel.activation_funnel(_stages(r), r.install, r.own_account)
+
+
+@query(
+    """WITH last AS (SELECT account, detail FROM act WHERE kind = 'human_judgment' AND account IN (SELECT account FROM install WHERE NOT revoked) QUALIFY row_number() OVER (PARTITION BY account, repo, change_id ORDER BY acted_at DESC, coalesce(detail, '') DESC) = 1)
+    SELECT nullif(regexp_extract(detail, 'judgment=([a-z-]+)', 1), '') AS judgment, nullif(regexp_extract(detail, 'action=([a-z-]+)', 1), '') AS action, count(*) AS total, count(*) FILTER (WHERE account NOT IN (SELECT account FROM own_account)) AS external
+    FROM last WHERE detail LIKE '%judgment=%' GROUP BY 1, 2"""
+)
+def human_judgments(spark, sf_dir):
+    r = Relations(spark, sf_dir)
+    return funnel.judgments(r.act, _stages(r), r.own_account)
+
+
 @query(
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY account, agent ORDER BY occurred_at, event_id) AS rn FROM event_log), p AS (SELECT account, agent, min(occurred_at) FILTER (WHERE rn = 1) AS one, min(occurred_at) FILTER (WHERE rn = 2) AS two FROM r GROUP BY ALL)
     SELECT account, count(*) AS agents, count(*) FILTER (WHERE two <= one + INTERVAL 1 DAY) AS repeated FROM p GROUP BY account"""

@@ -105,6 +105,15 @@ RELATIONS = {
         UNION ALL SELECT 'conf/e' || k || '.env', 'KEY_W' || k || '=1' || CASE WHEN k % 9 = 0 THEN {_NL} || 'KEY_W' || (k + 1) || '=2' ELSE '' END FROM {_PARTS} p
         UNION ALL SELECT 'web/c' || page_id || '.ts', 'export function g' || page_id || '() {{ return fetch(`/api/items/' || (page_id % 20) || '/$' || '{{x}}`) }}' FROM pages
         UNION ALL SELECT DISTINCT 'srv/' || t || (page_id % 30) || '.py', '@app.get("/api/items/' || (page_id % 30) || '/{{id}}")' || {_NL} || 'def h' || (page_id % 30) || '(id):' || {_NL} || '    return 1' || {_NL} FROM pages CROSS JOIN (SELECT 's' AS t UNION ALL SELECT 'z') two WHERE t = 's' OR page_id % 30 % 4 = 0""",
+    "install": "SELECT 'a' || c_custkey AS account, o_first + INTERVAL 1 DAY * (c_custkey % 9 - 4) AS created_at, c_custkey % 7 = 0 AS revoked FROM customer JOIN (SELECT o_custkey, min(o_orderdate) AS o_first FROM orders GROUP BY o_custkey) f ON o_custkey = c_custkey UNION ALL SELECT 'a' || c_custkey, TIMESTAMP '1997-01-01 00:00:00', c_custkey % 14 = 0 FROM customer WHERE c_custkey % 3 = 0",
+    "activation": "SELECT 'a' || o_custkey AS account, 'r' || (o_orderkey % 3) AS repo, min(o_orderdate) + INTERVAL 1 DAY * (o_custkey % 300) AS activated_at FROM orders WHERE o_custkey % 10 <> 4 GROUP BY o_custkey, o_orderkey % 3",
+    "tombstone": "SELECT 'a' || c_custkey AS account, 'r' || n AS repo FROM customer CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) three WHERE (c_custkey + n) % 6 = 0 OR c_custkey % 11 = 5",
+    "act": """SELECT 'a' || o_custkey AS account, 'r' || (o_orderkey % 3) AS repo, CASE (o_orderkey + l_linenumber) % 5 WHEN 0 THEN 'claim' WHEN 1 THEN 'warn_issued' WHEN 2 THEN 'collision_held' WHEN 3 THEN 'check_published' ELSE 'human_judgment' END AS kind,
+        CASE WHEN o_orderkey % 7 = 0 THEN 'BR-' ELSE 'PR-' END || (o_orderkey % 50) AS change_id, o_orderdate + INTERVAL 1 HOUR * (l_linenumber * 11 + o_orderkey % 24) AS acted_at,
+        CASE WHEN (o_orderkey + l_linenumber) % 5 = 4 THEN CASE WHEN l_partkey % 8 = 0 THEN 'none' ELSE 'judgment=' || CASE WHEN l_partkey % 2 = 0 THEN 'useful' ELSE 'too-late' END || CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE ' action=merged-first' END END
+          ELSE CASE l_partkey % 6 WHEN 0 THEN 'clear' WHEN 1 THEN 'heads_up' WHEN 2 THEN 'wait_in_line' WHEN 3 THEN 'paused' WHEN 4 THEN 'odd' END END AS detail
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "own_account": "SELECT 'a' || c_custkey AS account FROM customer WHERE c_custkey % 25 = 1",
     "go_file": f"SELECT {_GO} AS path FROM {_KNOWN} f",
     "go_import": f"""SELECT DISTINCT {_go("a.k", "a.r")} AS src, CASE b.o % 5 WHEN 0 THEN 'fmt' WHEN 1 THEN 'other.io/sub/m' || b.r WHEN 2 THEN 'other.io/zap' || b.k ELSE 'example.org/app/' || regexp_replace({_go("b.k", "b.r")}, '/[^/]*$', '') END AS module {_NEXT}""",
     "cs_file": f"SELECT {_cs('k', 'r')} AS path FROM {_KNOWN} f",

@@ -31,6 +31,9 @@ CASES = {
     "compat_candidacy": ("SELECT complete FROM t", {True, False}),
     "compat_claims": ("SELECT claim FROM t", {"divergent_definitions", "rebase_needed", "unknown_baseline", "contract_delta:a", "contract_delta:b"}),
     "consumer_mismatches": ("SELECT mismatch FROM t", {"callee_removed", "positional_shortfall", "missing_required_kwonly"}),
+    "activation_stages": ("SELECT signal FROM t", {"clear", "heads_up", "wait_in_line", "paused", "unknown", None}),
+    "activation_funnel": ("SELECT least(live_accounts - a2_selected_repo, a3_first_pr, live_accounts - a3_first_pr, a4_first_check, a5_first_signal, a9_repeat_7d, live_accounts - a9_repeat_7d, owner_accounts, under_1h, h1_to_1d, d1_to_7d, over_7d) > 0 FROM t", {True}),
+    "human_judgments": ("SELECT judgment FROM t", {"useful", "too-late"}),
     "shape_compare": ("SELECT compat_result FROM t", {"compatible", "unknown", "risky", "breaking"}),
 }
 LEAST = {"inflight_loss_promoted": 5, "cochange_default_floors": 50, "cluster_rollup": 10, "conflict_points": 20, "dampened_pairs": 500, "hub_files": 50, "resource_hubs": 50, "cross_repo_contracts": 100, "graph_blind_pairs": 1000}

@@ -13,7 +13,7 @@ from sparkweft.functions.paths import dirname, module_stem, path_stem
 from sparkweft.operators import adjacency as adj
 from sparkweft.operators import cochange as cc
 from sparkweft.operators import compat, components, contention, contracts, evaluation, funnel, graph, landing, packages, resolve, routes, store, surfaces, validation
-from sparkweft.sources import build, calls
+from sparkweft.sources import build, calls, columns, extract
 from sparkweft.sources.projection import relation, table, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -736,6 +736,20 @@ def finding_fingerprints(spark, sf_dir):
     return Relations(spark, sf_dir).claim.select("claim_id", compat.finding_fingerprint(F.col("base_hash"), F.col("change_id"), F.col("path")).alias("fingerprint"))
 
 
+@query(
+    """WITH def AS (SELECT 'db/c' || p_partkey || '.sql' AS path, 't' || p_partkey || '.' || unnest(['id', 'name_' || (p_partkey % 5), 'price']) AS contract, true AS creates FROM part UNION ALL SELECT 'db/c' || p_partkey || '.sql', 't' || (p_partkey + 1) || '.extra_' || (p_partkey % 3), false FROM part WHERE p_partkey % 4 = 0
+      UNION ALL SELECT 'db/d' || p_partkey || '.sql', 't' || p_partkey || '.id', true FROM part WHERE p_partkey % 10 = 0),
+    used AS (SELECT 'app/q' || l_orderkey || '_' || l_linenumber || '.py' AS path, unnest(['t' || l_partkey || '.id', 't' || (l_partkey * 3 + 1) || '.price', 't' || l_partkey || '.name_' || (l_partkey % 5), 't' || (l_partkey * 3 + 1) || '.name_' || (l_partkey % 5), 't' || l_suppkey || '.id', 't' || l_partkey || '.price', 't' || l_partkey || '.extra_' || (l_orderkey % 3)]) AS contract FROM lineitem),
+    known AS (SELECT contract, CASE WHEN count(*) FILTER (WHERE creates) > 1 THEN 'ambiguous' END AS reference_status FROM def GROUP BY contract)
+    SELECT DISTINCT path AS src, kind, 'column::' || contract AS dst, reference_status FROM (SELECT path, contract, 'alters' AS kind FROM def UNION ALL SELECT path, contract, 'queries' FROM used) m JOIN known USING (contract)"""
+)
+def sql_column_edges(spark, sf_dir):
+    files = Relations(spark, sf_dir).sql_file
+    found = components.cut(columns.column_mentions(files.repartition(spark.sparkContext.defaultParallelism, "path")))
+    none = spark.createDataFrame([], "substrate string")
+    return extract.link_contracts(found, none).select("src", "kind", "dst", "reference_status")
+
+
 # ---- compatibility of open changes: what their Python files define, import and call ------------------------------
 
 

@@ -271,10 +271,10 @@ def link_contracts(found: DataFrame, lost: DataFrame) -> DataFrame:
     """(src, kind, dst, reference_status, incomplete): definers alter, users of known contracts query or read.
 
     lost are (substrate) whose first pass lost a file: their users become incomplete, as the known set may lack something. A contract that
-    several files define is ambiguous; of tables only those that create it count, so that many may alter one.
+    several files define is ambiguous; of tables and columns only those that create it count, so that many may alter one.
     """
     kind = F.when(F.col("role") != "uses", "alters").when(F.col("substrate") == "config", "reads_config").otherwise("queries")
-    counts = (F.col("role") == "creates") | (F.col("substrate") != "table")
+    counts = (F.col("role") == "creates") | ~F.col("substrate").isin("table", "column")
     definers = found.where("role <> 'uses'").groupBy("substrate", "contract").agg(F.countDistinct(F.when(counts, F.col("path"))).alias("definers"))
     rows = found.join(definers, ["substrate", "contract"]).join(lost.select("substrate").distinct().withColumn("gone", F.lit(True)), "substrate", "left")
     status = F.when(F.col("definers") > 1, "ambiguous")

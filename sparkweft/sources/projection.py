@@ -114,6 +114,11 @@ RELATIONS = {
           ELSE CASE l_partkey % 6 WHEN 0 THEN 'clear' WHEN 1 THEN 'heads_up' WHEN 2 THEN 'wait_in_line' WHEN 3 THEN 'paused' WHEN 4 THEN 'odd' END END AS detail
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "own_account": "SELECT 'a' || c_custkey AS account FROM customer WHERE c_custkey % 25 = 1",
+    "sql_file": """SELECT 'db/c' || k || '.sql' AS path, 'sql' AS language, '-- CREATE TABLE ghost (id int);' || chr(10) || 'CREATE TABLE IF NOT EXISTS app.t' || k || ' (id int, name_' || (k % 5) || ' varchar(10), price numeric(10, 2), PRIMARY KEY (id, price), CHECK (price > 0));'
+          || CASE WHEN k % 4 = 0 THEN ' ALTER TABLE t' || (k + 1) || ' ADD COLUMN extra_' || (k % 3) || ' int, DROP COLUMN gone;' ELSE '' END AS text FROM (SELECT p_partkey AS k FROM part) p
+        UNION ALL SELECT 'db/d' || p_partkey || '.sql', 'sql', 'create table t' || p_partkey || ' (id int)' FROM part WHERE p_partkey % 10 = 0
+        UNION ALL SELECT 'app/q' || l_orderkey || '_' || l_linenumber || '.py', 'python', 'q = "SELECT a.id, b.price AS p, name_' || (l_partkey % 5) || ', count(*), max(a.price) FROM t' || l_partkey || ' a JOIN app.t' || (l_partkey * 3 + 1) || ' AS b ON a.id = b.id WHERE a.id IN (SELECT id FROM t' || l_suppkey || ' WHERE price > 1)"' || chr(10)
+          || 'u = "UPDATE t' || l_partkey || ' SET price = 1, extra_' || (l_orderkey % 3) || ' = 2 WHERE id = 3"' FROM lineitem""",
     "go_file": f"SELECT {_GO} AS path FROM {_KNOWN} f",
     "go_import": f"""SELECT DISTINCT {_go("a.k", "a.r")} AS src, CASE b.o % 5 WHEN 0 THEN 'fmt' WHEN 1 THEN 'other.io/sub/m' || b.r WHEN 2 THEN 'other.io/zap' || b.k ELSE 'example.org/app/' || regexp_replace({_go("b.k", "b.r")}, '/[^/]*$', '') END AS module {_NEXT}""",
     "cs_file": f"SELECT {_cs('k', 'r')} AS path FROM {_KNOWN} f",

@@ -17,7 +17,7 @@ def test_dealt_rows_are_the_same(spark, name):
     assert dealt.count() == plain.count() and dealt.exceptAll(plain).count() == 0
 
 
-@pytest.mark.parametrize("query", ["sql_column_edges"])
+@pytest.mark.parametrize("query", ["build_graph_nodes", "build_graph_edges", "sql_column_edges"])
 def test_parsing_uses_all_cores(spark, monkeypatch, query):
     parts = []
 

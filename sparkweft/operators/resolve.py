@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkweft.functions import vocabulary as v
 from sparkweft.functions.paths import dirname, is_test_path, normalize_parts
+from sparkweft.operators.components import cut
 
 
 def strip_extension(path: Column) -> Column:
@@ -53,10 +54,11 @@ def resolve_imports(imports: DataFrame, files: DataFrame, max_fanout: int = v.MA
         F.when(slashed, relative_target(F.col("src"), F.col("module"))).when(dotted, dotted_target(F.col("src"), F.col("module")))
         .when(aliased, F.regexp_replace(F.col("module"), r"^[@~]/", "")).otherwise(F.translate("module", ".", "/"))
     )
-    rows = rows.withColumn("target", target)
+    # written once: else each of the joins below works out the distinct imports and, for each mention of the target, the target again
+    rows = cut(rows.withColumn("target", target).withColumn("k", strip_extension(F.col("target"))))
     hit = lambda d, rank: d.select("src", "module", "dst", rank.alias("rank"), is_test_path(F.col("dst")).cast("int").alias("test"))
     exact = rows.join(files.select(F.col("path").alias("target"), F.col("path").alias("dst")), "target")
-    asked = rows.withColumn("k", strip_extension(F.col("target"))).select("src", "module", "family", "whole", "k", F.lit(1).alias("rank"))
+    asked = rows.select("src", "module", "family", "whole", "k", F.lit(1).alias("rank"))
     stem = strip_extension(F.regexp_replace(F.col("path"), r"/(index|__init__)(\.[A-Za-z0-9]+)$", "$2"))
     full = asked.where("whole").join(files.select(stem.alias("k"), "family", F.col("path").alias("dst")), ["k", "family"])
     member = (F.col("family") == "python") & F.col("module").rlike(r"^\.*[^./]+\.[^/]+$") & F.col("k").contains("/")

@@ -13,7 +13,7 @@ DIR = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["units_components", "detector_scores"])
+@pytest.mark.parametrize("name", ["units_components", "detector_scores", "import_suffix_resolve"])
 def test_each_relation_once(spark, monkeypatch, name):
     asked, real = [], catalogue.relation
     monkeypatch.setattr(catalogue, "relation", lambda s, d, n: asked.append(n) or real(s, d, n))

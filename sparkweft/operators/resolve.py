@@ -37,6 +37,11 @@ def dotted_target(src: Column, module: Column) -> Column:
     return normalize_parts(F.concat_ws("/", dirname(src), F.repeat(F.lit("../"), dots - 1), rest))
 
 
+def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An equi-join without a broadcast: paths are many times larger in memory than in their files, by whose size Spark decides."""
+    return left.join(right.hint("merge"), on)
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame, max_fanout: int = v.MAX_BARE_FANOUT) -> DataFrame:
     """(src, module, dst, reference_status) of imports (src, module, family).
 
@@ -57,21 +62,21 @@ def resolve_imports(imports: DataFrame, files: DataFrame, max_fanout: int = v.MA
     # written once: else each of the joins below works out the distinct imports and, for each mention of the target, the target again
     rows = cut(rows.withColumn("target", target).withColumn("k", strip_extension(F.col("target"))))
     hit = lambda d, rank: d.select("src", "module", "dst", rank.alias("rank"), is_test_path(F.col("dst")).cast("int").alias("test"))
-    exact = rows.join(files.select(F.col("path").alias("target"), F.col("path").alias("dst")), "target")
+    exact = meet(rows, files.select(F.col("path").alias("target"), F.col("path").alias("dst")), ["target"])
     asked = rows.select("src", "module", "family", "whole", "k", F.lit(1).alias("rank"))
     stem = strip_extension(F.regexp_replace(F.col("path"), r"/(index|__init__)(\.[A-Za-z0-9]+)$", "$2"))
-    full = asked.where("whole").join(files.select(stem.alias("k"), "family", F.col("path").alias("dst")), ["k", "family"])
+    full = meet(asked.where("whole"), files.select(stem.alias("k"), "family", F.col("path").alias("dst")), ["k", "family"])
     member = (F.col("family") == "python") & F.col("module").rlike(r"^\.*[^./]+\.[^/]+$") & F.col("k").contains("/")
     names = asked.withColumn("tries", F.when(member, F.array(F.struct("k", "rank"), F.struct(dirname(F.col("k")).alias("k"), F.lit(2).alias("rank")))).otherwise(F.array(F.struct("k", "rank"))))
     names = names.select("src", "module", "family", "whole", F.explode("tries").alias("t")).select("src", "module", "family", "whole", "t.k", "t.rank")
-    parents = names.where("whole and rank = 2").join(files.select(stem.alias("k"), "family", F.col("path").alias("dst")), ["k", "family"])
+    parents = meet(names.where("whole and rank = 2"), files.select(stem.alias("k"), "family", F.col("path").alias("dst")), ["k", "family"])
     # each suffix once: how common it is over the files that are no tests, or over all where only tests have it, and its files up to the cap
     index = suffix_index(files).select("key", "family", "path", is_test_path(F.col("path")).cast("int").alias("test"))
     sizes = index.groupBy("key", "family").agg(F.count_if(F.col("test") == 0).alias("plain"), F.count("*").alias("n"))
     some = F.when(F.col("plain") > 0, F.col("plain")).otherwise(F.col("n"))
     sizes = sizes.select(F.col("key").alias("k"), "family", (F.col("plain") == 0).cast("int").alias("test"), (some > max_fanout + 1).alias("common"))  # the file that asks is no answer
-    sized = names.where("not whole").join(sizes, ["k", "family"])
-    loose = sized.where("not common").join(index.withColumnsRenamed({"key": "k", "path": "dst"}), ["k", "family", "test"])
+    sized = meet(names.where("not whole"), sizes, ["k", "family"])
+    loose = meet(sized.where("not common"), index.withColumnsRenamed({"key": "k", "path": "dst"}), ["k", "family", "test"])
     none = F.lit(None).cast("string")
     found = (
         hit(exact, F.lit(0)).unionAll(hit(full, F.col("rank"))).unionAll(hit(parents, F.col("rank"))).unionAll(hit(loose, F.col("rank"))).where("src <> dst")

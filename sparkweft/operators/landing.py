@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweft.functions import vocabulary as v
-from sparkweft.operators.components import connected_components
+from sparkweft.operators.components import connected_components, cut
 
 #: Precedence of plan classes, the gravest first.
 PLAN_CLASSES = ("unknown", "mutual", "cycle", "rebase", "ordered_with_revision", "ordered")
@@ -94,35 +94,43 @@ def typed(findings: DataFrame) -> DataFrame:
     )
 
 
-def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
-    component = pdf["component"].iloc[0]
-    nodes = sorted({*pdf["producer"], *pdf["consumer"]}, key=change_key)
-    live = pdf[pdf["live"] & ~pdf["mutual"]]
-    order = kahn(nodes, list(zip(live["producer"], live["consumer"], strict=True)))
-    has = lambda c: bool(pdf[c].any())
+def _plan(component: str, edges: list[dict]) -> list[tuple]:
+    """The steps of one component, given all its edges."""
+    nodes = sorted({e[side] for e in edges for side in ("producer", "consumer")}, key=change_key)
+    order = kahn(nodes, [(e["producer"], e["consumer"]) for e in edges if e["live"] and not e["mutual"]])
+    has = lambda c: any(e[c] for e in edges)
     facts = {"unknown": has("unknown"), "mutual": has("mutual"), "cycle": order is None, "rebase": has("rebase"), "ordered_with_revision": has("revise"), "ordered": True}
     kind = next(k for k in PLAN_CLASSES if facts[k])
-    successors = set(pdf[pdf["revise" if kind == "ordered_with_revision" else "rebase"]]["consumer"])
+    successors = {e["consumer"] for e in edges if e["revise" if kind == "ordered_with_revision" else "rebase"]}
     turn = "update_after_predecessor" if kind == "ordered_with_revision" else "rebase"
-    steps = [(component, kind, i + 1 if kind.startswith("ordered") else None, n, STEPS.get(kind, turn if n in successors else "land")) for i, n in enumerate(order if kind.startswith("ordered") else nodes)]
-    return pd.DataFrame(steps, columns=["component", "plan", "position", "change_id", "step"])
+    return [(component, kind, i + 1 if kind.startswith("ordered") else None, n, STEPS.get(kind, turn if n in successors else "land")) for i, n in enumerate(order if kind.startswith("ordered") else nodes)]
+
+
+def _plans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, types = ["component", "plan", "position", "change_id", "step"], [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+    for batch in batches:
+        steps = [s for c, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s in _plan(c, edges)]
+        columns = zip(*steps) if steps else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)  # noqa: B905
 
 
 def landing_plan(findings: DataFrame) -> DataFrame:
     """(component, plan, position, change_id, step) for each component of changes that findings link.
 
     The gravest class that holds is the component's: unknown, mutual, cycle, rebase, ordered_with_revision, ordered. A position is
-    given in the ordered classes only; step is what the change has to do.
+    given in the ordered classes only; step is what the change has to do. Edges are written once, and a component's are one row, so that
+    Python takes many small components at a time.
     """
-    edges = plan_edges(findings)
+    edges = cut(plan_edges(findings))
     hard = edges.select("producer", "consumer", "hard")
     mutual = mutual_pairs(hard)
     both = mutual.select(F.col("a").alias("producer"), F.col("b").alias("consumer")).unionAll(mutual.select(F.col("b").alias("producer"), F.col("a").alias("consumer"))).withColumn("mutual", F.lit(True))
     marked = edges.join(both, ["producer", "consumer"], "left").withColumn("mutual", F.coalesce("mutual", F.lit(False)))
     nodes = edges.select(F.col("producer").alias("node")).union(edges.select("consumer")).distinct()
     parts = connected_components(nodes, edges.select(F.col("producer").alias("a"), F.col("consumer").alias("b")))
-    rows = marked.join(parts, F.col("producer") == F.col("node")).select("component", "producer", "consumer", "unknown", "rebase", "revise", "live", "mutual")
-    return rows.groupBy("component").applyInPandas(_plan, "component string, plan string, position int, change_id string, step string")
+    edge = F.struct("producer", "consumer", "unknown", "rebase", "revise", "live", "mutual")
+    rows = marked.join(parts, F.col("producer") == F.col("node")).groupBy("component").agg(F.collect_list(edge).alias("edges"))
+    return rows.mapInArrow(_plans, "component string, plan string, position int, change_id string, step string")
 
 
 def plan_summary(findings: DataFrame, plan: DataFrame, lane: Callable[[Column], Column] | None = None) -> DataFrame:
